@@ -2,9 +2,9 @@
 
 
 def all_oracles() -> dict[str, str]:
-    from oracles import urls
+    from oracles import text, urls
 
     out: dict[str, str] = {}
-    for module in (urls,):
+    for module in (urls, text):
         out.update(module.ORACLES)
     return out

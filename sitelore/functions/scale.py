@@ -82,6 +82,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def project_wanted(
+    pages: DataFrame, wanted: DataFrame, key: str, project, broadcast_rows: int = 1_000_000
+) -> DataFrame:
+    """Wide rows named by a narrow table, projected without ever moving the wide columns.
+
+    When the narrow table is counted to be small it is broadcast, and only the named rows are
+    projected.  Otherwise all rows are projected first, so the shuffle carries the results only.
+    """
+    wanted = reused(wanted)
+    if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return project(pages.join(F.broadcast(wanted), key))
+    return project(pages).join(wanted, key)
+
+
 def reused(df: DataFrame) -> DataFrame:
     """Keep a result that several branches read; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitelore.functions import urls as U, vocab as V
-from sitelore.functions.scale import first_per_group, salted_join
+from sitelore.functions.scale import first_per_group, reused, salted_join
 
 
 def _cols(*names: str) -> list[Column]:
@@ -40,22 +40,19 @@ def tier_quota_sample(
     free places from medium, then low; medium and low are drawn in md5 order, the same on every
     cluster.
     """
-    high = F.col("tier") == "high"
-    tiered = (
-        kept.withColumn("tier", U.knowledge_tier(F.col("url")))
-        .withColumn("draw", F.when(high, F.lit("")).otherwise(F.md5("url")))
-        .withColumn("tail_", F.when(high, F.col("tail")))
-        .withColumn("pos_", F.when(high, F.col("pos")))
-    )
-    # sets of fixed size per site: the head of the list, and the head of each tier
-    head = first_per_group(
-        kept.select("site", "url", "pos", "tail"), ["site"], _cols("tail", "pos", "url"), threshold
-    ).select("site", "url", "pos", "tail", "rank", F.lit(None).cast("string").alias("tier"))
+    # Each row enters two pools, the whole list and its tier; one window cuts every pool to a
+    # fixed size per site before the shuffle.
+    ordered = F.col("pool").isin("all", "high")
     pools = first_per_group(
-        tiered.filter("tier <> 'skip'"), ["site", "tier"],
-        _cols("tail_", "pos_", "draw", "url"), threshold,
-    ).select("site", "url", "pos", "tail", "rank", "tier")
-
+        kept.select(
+            "site", "url", "pos", "tail",
+            F.explode(F.array(F.lit("all"), U.knowledge_tier(F.col("url")))).alias("pool"),
+        ).filter("pool <> 'skip'"),
+        ["site", "pool"],
+        [F.when(ordered, F.col("tail")), F.when(ordered, F.col("pos")),
+         F.when(~ordered, F.md5("url")), F.col("url")],
+        threshold,
+    )
     counts = kept.groupBy("site").agg(
         F.count(F.lit(1)).alias("n_urls"),
         *[
@@ -66,23 +63,19 @@ def tier_quota_sample(
     take_high = F.least("n_high", F.lit(high_limit))
     take_medium = F.least(F.floor((threshold - take_high) / 2), F.col("n_medium"))
     take_low = F.least(threshold - take_high - take_medium, F.col("n_low"))
-    bounded = head.unionByName(pools).join(counts, "site")
-    small = F.col("n_urls") <= threshold
-    chosen = bounded.filter(
-        F.when(small, F.col("tier").isNull())
-        .when(F.col("tier") == "high", F.col("rank") <= take_high)
-        .when(F.col("tier") == "medium", F.col("rank") <= take_medium)
-        .when(F.col("tier") == "low", F.col("rank") <= take_low)
+    pool = F.col("pool")
+    chosen = pools.join(counts, "site").filter(
+        F.when(F.col("n_urls") <= threshold, pool == "all")
+        .when(pool == "high", F.col("rank") <= take_high)
+        .when(pool == "medium", F.col("rank") <= take_medium)
+        .when(pool == "low", F.col("rank") <= take_low)
         .otherwise(F.lit(False))
     )
     before = (
-        F.when(F.col("tier") == "medium", take_high)
-        .when(F.col("tier") == "low", take_high + take_medium)
-        .otherwise(F.lit(0))
+        F.when(pool == "medium", take_high).when(pool == "low", take_high + take_medium).otherwise(0)
     )
     return chosen.select(
-        "site", "url", "pos", "tail", F.coalesce("tier", F.lit("all")).alias("tier"),
-        (F.col("rank") + before).alias("rank"),
+        "site", "url", "pos", "tail", pool.alias("tier"), (F.col("rank") + before).alias("rank")
     )
 
 
@@ -96,16 +89,16 @@ def url_category_sample(
         F.when(U.contains_any(low, V.CATEGORY_PRIORITY), "priority")
         .when(~U.contains_any(low, V.CATEGORY_SKIP), "regular")
     )
-    priority = F.col("kind") == "priority"
-    rows = kept.select("site", "url", "pos", "tail", kind.alias("kind"))
-    head = first_per_group(rows, ["site"], _cols("tail", "pos", "url"), threshold).withColumn(
-        "kind", F.lit("all")
-    )
+    ordered = F.col("kind").isin("all", "priority")
     pools = first_per_group(
-        rows.filter("kind IS NOT NULL"), ["site", "kind"],
-        [F.when(priority, F.col("tail")), F.when(priority, F.col("pos")),
-         F.when(~priority, F.md5("url")), F.col("url")],
-        total,
+        kept.select(
+            "site", "url", "pos", "tail",
+            F.explode(F.array_compact(F.array(F.lit("all"), kind))).alias("kind"),
+        ),
+        ["site", "kind"],
+        [F.when(ordered, F.col("tail")), F.when(ordered, F.col("pos")),
+         F.when(~ordered, F.md5("url")), F.col("url")],
+        threshold,
     )
     counts = kept.groupBy("site").agg(
         F.count(F.lit(1)).alias("n_urls"),
@@ -113,7 +106,7 @@ def url_category_sample(
     )
     take_priority = F.least("n_priority", F.lit(priority_limit))
     return (
-        head.unionByName(pools).join(counts, "site")
+        pools.join(counts, "site")
         .filter(
             F.when(F.col("n_urls") <= threshold, F.col("kind") == "all")
             .when(F.col("kind") == "priority", F.col("rank") <= take_priority)
@@ -219,6 +212,7 @@ def select_pages(
         )
         .select("site", "url", "place.tail", "place.pos")
     )
+    listed = reused(listed)  # read by the pools, the counts and the backfill
     clusters = cluster_assign(tier_quota_sample(listed))
     pick = F.create_map(*[F.lit(x) for i, c in enumerate(V.CLUSTER_PICK_ORDER, 1) for x in (c, i)])
     extra = sum(V.CLUSTER_LIMITS.values()) + 1

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelore.functions import urls as U, vocab as V
-from sitelore.operators import clusters, links, prefilter
+from sitelore.functions import language as G, text as T, urls as U, vocab as V
+from sitelore.operators import clusters, content, links, prefilter
 from sitelore.sources import derived as D, tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,116 @@ def select_pages(spark, sf):
 @query
 def pages_by_cluster(spark, sf):
     return clusters.pages_by_cluster(select_pages(spark, sf))
+
+
+# --- text and page facts --------------------------------------------------------------------
+def pages(spark, sf):
+    return S.table(spark, sf, "pages")
+
+
+def documents(spark, sf):
+    return S.table(spark, sf, "documents")
+
+
+@query
+def page_title(spark, sf):
+    return pages(spark, sf).select("page_id", T.page_title(F.col("html")).alias("title"))
+
+
+@query
+def clean_text(spark, sf):
+    return pages(spark, sf).select("page_id", T.clean_text(F.col("html")).alias("text"))
+
+
+@query
+def plain_text(spark, sf):
+    return pages(spark, sf).select("page_id", T.plain_text(F.col("html")).alias("text"))
+
+
+@query
+def main_content(spark, sf):
+    """Pages with their article tags kept, renamed, or renamed and without paragraph tags."""
+    pid, html = F.col("page_id"), F.col("html")
+    plain = F.replace(html, F.lit("article"), F.lit("div"))
+    shaped = (
+        F.when(pid % 3 == 0, html).when(pid % 3 == 1, plain)
+        .otherwise(F.replace(plain, F.lit("<p>"), F.lit("<br>")))
+    )
+    return pages(spark, sf).select("page_id", T.main_content(shaped).alias("chunk"))
+
+
+@query
+def strip_noise_html(spark, sf):
+    return pages(spark, sf).select("page_id", T.strip_noise_html(F.col("html")).alias("html"))
+
+
+@query
+def token_count(spark, sf):
+    return documents(spark, sf).select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+
+
+@query
+def detect_script_lang(spark, sf):
+    return D.script_texts(spark, sf).select("doc_id", G.script_language(F.col("text")).alias("lang"))
+
+
+@query
+def detect_lang(spark, sf):
+    return documents(spark, sf).select(
+        "doc_id", G.stopword_language(F.col("text")).alias("detected"), F.col("lang").alias("labelled")
+    )
+
+
+@query
+def language_name(spark, sf):
+    key, lang = F.col("doc_id") % 6, F.col("lang")
+    code = (
+        F.when(key == 0, F.upper(lang)).when(key == 1, "Xx").when(key == 2, "")
+        .when(key == 3, None).when(key == 4, "fa").otherwise(lang)
+    )
+    return documents(spark, sf).select("doc_id", code.alias("code")).withColumn(
+        "name", G.language_name(F.col("code"))
+    )
+
+
+@query
+def harvest_emails(spark, sf):
+    return content.harvested(documents(spark, sf), "source", "text", "email")
+
+
+@query
+def harvest_phones(spark, sf):
+    return content.harvested(documents(spark, sf), "source", "text", "phone")
+
+
+@query
+def site_contacts(spark, sf):
+    return content.site_contacts(documents(spark, sf), "source", "text")
+
+
+@query
+def site_colors(spark, sf):
+    good = S.fetched(D.styled_pages(spark, sf))
+    return content.site_colors(good, links.homepages(good))
+
+
+@query
+def page_section(spark, sf):
+    good = S.fetched(D.crawl(spark, sf))
+    return good.select(
+        "page_id", content.section_of(F.col("url"), T.page_title(F.col("html"))).alias("section")
+    )
+
+
+@query
+def page_chunks(spark, sf):
+    return content.page_chunks(S.fetched(D.crawl(spark, sf)))
+
+
+@query
+def faq_pairs(spark, sf):
+    """Document texts with a question line made of each clause that ends in a comma."""
+    lines = F.replace(
+        F.replace(F.col("text"), F.lit(", "), F.lit("?\n")), F.lit(". "), F.lit(".\n")
+    )
+    return documents(spark, sf).select("doc_id", F.inline(T.faq_pairs(lines)))
