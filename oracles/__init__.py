@@ -2,9 +2,9 @@
 
 
 def all_oracles() -> dict[str, str]:
-    from oracles import text, urls
+    from oracles import assembly, text, urls
 
     out: dict[str, str] = {}
-    for module in (urls, text):
+    for module in (urls, text, assembly):
         out.update(module.ORACLES)
     return out

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelore.functions import language as G, text as T, urls as U, vocab as V
-from sitelore.operators import clusters, content, links, prefilter
+from sitelore.functions import contacts as C, language as G, text as T, urls as U, vocab as V
+from sitelore.operators import clusters, content, document, links, prefilter, sections
+from sitelore.plans import knowledge_base as knowledge
 from sitelore.sources import derived as D, tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,3 +253,104 @@ def faq_pairs(spark, sf):
         F.replace(F.col("text"), F.lit(", "), F.lit("?\n")), F.lit(". "), F.lit(".\n")
     )
     return documents(spark, sf).select("doc_id", F.inline(T.faq_pairs(lines)))
+
+
+# --- sections, documents, the full chain ----------------------------------------------------
+def built(spark, sf, **options):
+    return knowledge.build(D.crawl(spark, sf), **options)
+
+
+@query
+def site_language(spark, sf):
+    return built(spark, sf).languages
+
+
+@query
+def section_chunks(spark, sf):
+    kb = built(spark, sf)
+    return sections.section_chunks(kb.chunks, kb.contacts)
+
+
+@query
+def token_batches(spark, sf):
+    return sections.token_batches(built(spark, sf).chunks, budget=1500)
+
+
+@query
+def section_partial(spark, sf):
+    return sections.section_partial(built(spark, sf).chunks, budget=1500)
+
+
+@query
+def section_merge(spark, sf):
+    return sections.section_merge(built(spark, sf).chunks)
+
+
+@query
+def contact_context(spark, sf):
+    return built(spark, sf).contacts.select(
+        "site", C.context(F.col("emails"), F.col("phones")).alias("block")
+    )
+
+
+@query
+def section_title(spark, sf):
+    key = F.col("doc_id")
+    names = F.array(*[F.lit(k) for k in V.SECTIONS], F.lit("unknown"))
+    return documents(spark, sf).select(
+        "doc_id", F.element_at(names, (key % 9 + 1).cast("int")).alias("section"),
+        F.when(key % 3 == 0, "FA").otherwise(F.col("lang")).alias("lang"),
+    ).withColumn("title", document.section_title(F.col("section"), F.col("lang")))
+
+
+@query
+def toc(spark, sf):
+    kb = built(spark, sf)
+    return document.toc(kb.sections, kb.languages)
+
+
+@query
+def overview_source(spark, sf):
+    return document.overview_source(built(spark, sf).sections)
+
+
+@query
+def target_tokens(spark, sf):
+    key = F.col("o_orderkey")
+    asked = F.when(key % 4 == 0, None).when(key % 4 == 1, "many").otherwise(
+        ((key * 37) % 200000 - 500).cast("string")
+    )
+    return S.table(spark, sf, "orders").select(
+        "o_orderkey", document.target_tokens(asked).alias("target")
+    )
+
+
+@query
+def compression_plan(spark, sf):
+    return document.compression_plan(built(spark, sf).sections, target=2000).drop("body")
+
+
+@query
+def assemble_document(spark, sf):
+    """Documents under the smallest target, so that sections are condensed."""
+    return built(spark, sf, target=V.TARGET_TOKENS_MIN).documents
+
+
+@query
+def completeness_audit(spark, sf):
+    return built(spark, sf).audit()
+
+
+@query
+def kb_summary(spark, sf):
+    return built(spark, sf).summary()
+
+
+@query
+def knowledge_base(spark, sf):
+    return built(spark, sf).documents
+
+
+@query
+def legacy_compile(spark, sf):
+    return sections.legacy_compile(built(spark, sf).chunks)
