@@ -2,9 +2,9 @@
 
 
 def all_oracles() -> dict[str, str]:
-    from oracles import assembly, text, urls
+    from oracles import assembly, rest, text, urls
 
     out: dict[str, str] = {}
-    for module in (urls, text, assembly):
+    for module in (urls, text, assembly, rest):
         out.update(module.ORACLES)
     return out

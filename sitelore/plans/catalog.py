@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelore.functions import contacts as C, language as G, text as T, urls as U, vocab as V
-from sitelore.operators import clusters, content, document, links, prefilter, sections
+from sitelore.functions import contacts as C, language as G, pricing as P, text as T, urls as U, vocab as V
+from sitelore.functions.scale import new_shared_path
+from sitelore.operators import (
+    clusters, company, content, costs, discovery, document, elements, links, models, prefilter, runs,
+    sections,
+)
 from sitelore.plans import knowledge_base as knowledge
-from sitelore.sources import derived as D, tables as S
+from sitelore.sources import derived as D, sinks, tables as S
+from sitelore.streaming import job_progress as stream_jobs, page_stream as stream_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -354,3 +359,271 @@ def knowledge_base(spark, sf):
 @query
 def legacy_compile(spark, sf):
     return sections.legacy_compile(built(spark, sf).chunks)
+
+
+# --- discovery ------------------------------------------------------------------------------
+@query
+def scan_robots_sitemaps(spark, sf):
+    return S.robots_sitemaps(D.robots(spark, sf), links.homepages(D.crawl(spark, sf)))
+
+
+@query
+def sitemap_locs(spark, sf):
+    return S.sitemap_locs(D.sitemaps(spark, sf))
+
+
+@query
+def sitemap_expand(spark, sf):
+    return discovery.sitemap_expand(scan_robots_sitemaps(spark, sf), sitemap_locs(spark, sf))
+
+
+def crawled(spark, sf, max_pages):
+    pages_ = D.crawl(spark, sf)
+    return discovery.crawl_reach(
+        links.homepages(S.fetched(pages_)), D.link_graph(spark, sf), pages_, max_pages
+    )
+
+
+@query
+def crawl_reach(spark, sf):
+    return crawled(spark, sf, V.COMPANY_CRAWL_PAGES)
+
+
+def discovered(spark, sf):
+    bases = links.homepages(S.fetched(D.crawl(spark, sf)))
+    return bases, sitemap_expand(spark, sf), crawled(spark, sf, V.CRAWL_FALLBACK_PAGES)
+
+
+@query
+def discover_candidates(spark, sf):
+    return discovery.discover_candidates(*discovered(spark, sf))
+
+
+@query
+def discovery_meta(spark, sf):
+    return discovery.discovery_meta(*discovered(spark, sf))
+
+
+@query
+def core_pages(spark, sf):
+    pages_ = D.crawl(spark, sf)
+    return discovery.core_pages(links.homepages(pages_), pages_)
+
+
+@query
+def specified_pages(spark, sf):
+    pages_ = D.crawl(spark, sf)
+    pid = F.col("page_id")
+    asked = pages_.select("site", pid.alias("pos"), "url").unionByName(
+        pages_.select("site", pid.alias("pos"), F.concat("url", F.lit("-missing")).alias("url"))
+    )
+    return discovery.specified_pages(links.homepages(pages_), asked, pages_)
+
+
+# --- models and costs -----------------------------------------------------------------------
+@query
+def model_requests(spark, sf):
+    return models.model_requests(built(spark, sf).chunks)
+
+
+@query
+def model_responses(spark, sf):
+    return models.model_responses(D.responses(spark, sf))
+
+
+@query
+def model_apply(spark, sf):
+    def score(frame):
+        return frame.assign(score=frame["text"].str.len()).drop(columns="text")
+
+    return models.model_apply(
+        documents(spark, sf).select("doc_id", "text"), score, "doc_id bigint, score bigint"
+    )
+
+
+@query
+def model_price(spark, sf):
+    return D.usage(spark, sf).groupBy("model").agg(F.count(F.lit(1)).alias("n")).select(
+        "model", "n", P.price(F.col("model"), "input").alias("input"),
+        P.price(F.col("model"), "output").alias("output"),
+    )
+
+
+@query
+def cost_by_model(spark, sf):
+    return costs.cost_by_model(D.usage(spark, sf))
+
+
+@query
+def cost_estimate(spark, sf):
+    return costs.cost_estimate(D.usage(spark, sf))
+
+
+@query
+def cost_flat(spark, sf):
+    return costs.cost_flat(D.usage(spark, sf))
+
+
+# --- companies and prospects ----------------------------------------------------------------
+def described(spark, sf):
+    return company.company_pages(S.fetched(D.crawl(spark, sf)), crawl_reach(spark, sf))
+
+
+@query
+def company_pages(spark, sf):
+    return described(spark, sf)
+
+
+@query
+def company_summary(spark, sf):
+    bases = links.homepages(S.fetched(D.crawl(spark, sf)))
+    return company.company_summary(described(spark, sf), bases)
+
+
+@query
+def scan_prospect_list(spark, sf):
+    return S.prospect_list(D.crawl(spark, sf).select(F.concat(F.lit(" "), "url", F.lit(" ")).alias("url")))
+
+
+def prospects(spark, sf):
+    return company.prospect_texts(scan_prospect_list(spark, sf), S.fetched(D.crawl(spark, sf)))
+
+
+def personas(spark, sf):
+    return S.table(spark, sf, "benchmark").select(F.col("item_id").alias("persona_id"), "text")
+
+
+@query
+def prospect_score(spark, sf):
+    return company.prospect_score(prospects(spark, sf), personas(spark, sf))
+
+
+@query
+def prospect_status(spark, sf):
+    return company.prospect_status(prospects(spark, sf))
+
+
+# --- jobs and runs --------------------------------------------------------------------------
+@query
+def jobs_list(spark, sf):
+    return runs.jobs_list(D.job_events(spark, sf))
+
+
+@query
+def job_latest(spark, sf):
+    return runs.job_latest(D.job_events(spark, sf))
+
+
+@query
+def progress_localise(spark, sf):
+    return D.job_events(spark, sf).select(
+        "event_id", runs.localise_progress(F.col("progress")).alias("progress_fa")
+    )
+
+
+@query
+def run_flatten(spark, sf):
+    return runs.run_flatten(runs.runs(D.job_events(spark, sf)))
+
+
+@query
+def run_summary(spark, sf):
+    return runs.run_summary(runs.runs(D.job_events(spark, sf)))
+
+
+# --- page elements --------------------------------------------------------------------------
+@query
+def element_inventory(spark, sf):
+    return elements.element_inventory(D.element_pages(spark, sf)).select(
+        "page_id", "category", "selector", F.col("element.no").alias("element_no"),
+        F.col("element.tag").alias("tag"), F.col("element.text").alias("text"),
+    )
+
+
+@query
+def element_xpaths(spark, sf):
+    return elements.element_xpaths(D.element_pages(spark, sf)).select(
+        "page_id", "category", "selector", "element_no", "xpath_no", "xpath"
+    )
+
+
+@query
+def page_xpaths(spark, sf):
+    return elements.page_xpaths(D.element_pages(spark, sf).select("page_id", "html"))
+
+
+@query
+def selector_coverage(spark, sf):
+    return elements.selector_coverage(D.element_pages(spark, sf))
+
+
+# --- sinks: written below the shared folder and read back -----------------------------------
+GENERATED, STAMP = "2024-01-01 00:00:00", "20240101_000000"
+
+
+def reports(spark, sf):
+    kb = built(spark, sf)
+    n = kb.chunks.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    return (
+        kb.documents.join(kb.bases, "site").join(kb.audit(), "site").join(n, "site", "left")
+        .withColumn("pages", F.coalesce("pages", F.lit(0)).cast("bigint"))
+        .withColumn("job_id", F.md5("site")).withColumn("depth", F.lit("deep"))
+        .withColumn("cost", costs.usd(P.cost(F.lit(V.CHEAP_MODEL), F.col("final_doc_tokens"), F.lit(0))))
+    )
+
+
+@query
+def sink_kb_markdown(spark, sf):
+    path = new_shared_path(spark, "kb_markdown")
+    sinks.write_kb_markdown(sinks.kb_markdown(reports(spark, sf), GENERATED, STAMP), path)
+    return spark.read.schema("site string, name string, content string").json(path)
+
+
+@query
+def sink_kb_metadata(spark, sf):
+    path = new_shared_path(spark, "kb_metadata")
+    rows = sinks.kb_metadata(reports(spark, sf), GENERATED, STAMP)
+    sinks.write_kb_metadata(rows, path)
+    m = "metadata"
+    return spark.read.schema(rows.schema).json(path).select(
+        "site", "name", f"{m}.job_id", f"{m}.url", f"{m}.knowledge_base_file",
+        f"{m}.extracted_pages_count", f"{m}.detected_target_language",
+        f"{m}.quality_report.has_email", f"{m}.quality_report.doc_tokens",
+        F.array_join(f"{m}.quality_report.missing", ",").alias("missing"),
+    )
+
+
+@query
+def sink_prospect_csv(spark, sf):
+    path = new_shared_path(spark, "prospects")
+    sinks.write_csv(
+        sinks.prospect_rows(company.prospect_report(prospects(spark, sf), personas(spark, sf))), path
+    )
+    return sinks.read_csv(spark, path, V.PROSPECT_COLUMNS)
+
+
+@query
+def sink_run_csv(spark, sf):
+    path = new_shared_path(spark, "runs")
+    sinks.write_csv(run_flatten(spark, sf), path)
+    return sinks.read_csv(spark, path, V.RUN_COLUMNS).withColumn(
+        "duration_seconds", F.col("duration_seconds").cast("double")
+    )
+
+
+# --- streams: run to the end of the given files ---------------------------------------------
+@query
+def page_stream(spark, sf):
+    out = new_shared_path(spark, "page_stream")
+    source = stream_pages.read_pages(spark, sf, "pages.parquet")
+    stream_pages.start(source, out, out + "-state").awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def job_progress_stream(spark, sf):
+    out = new_shared_path(spark, "job_progress")
+    schema = S.table(spark, sf, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream_jobs.start(D.as_job_events(raw), out, out + "-state").awaitTermination()
+    return stream_jobs.current(spark, out)

@@ -229,7 +229,11 @@ STATUSES = {"view": "pending", "click": "running", "purchase": "completed", "sig
 
 
 def job_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Job state changes, one per event; the job is the user."""
+    return as_job_events(table(spark, sf, "events"))
+
+
+def as_job_events(events: DataFrame) -> DataFrame:
+    """Job state changes, one per event; the job is the user.  Works on a batch or a stream."""
     status = F.create_map(*[F.lit(x) for pair in STATUSES.items() for x in pair])
     key = F.col("event_id")
     messages = F.array(
@@ -237,7 +241,7 @@ def job_events(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("Extracting knowledge 4/9 pages..."), F.lit("Writing section: FAQ..."),
         F.lit("Warming up"), F.lit("Knowledge base generation completed successfully."),
     )
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("user_id").alias("job_id"),
         key.alias("event_id"),
         F.col("ts"),
