@@ -92,7 +92,7 @@ def rep(x, pattern, by="", flags="g"):
 
 
 def unescape(x):
-    names = {"copy": "©", "middot": "·", "nbsp": " ", "quot": '"', "apos": "'", "lt": "<", "gt": ">"}
+    names = {"copy": "©", "middot": "·", "nbsp": chr(160), "quot": '"', "apos": "'", "lt": "<", "gt": ">"}
     out = x
     for n, c in names.items():
         out = f"replace({out}, '&{n};', {q(c)})"

@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from sitelore.functions import vocab as V
+from sitelore.functions.let import let, lit
 from sitelore.functions.text import strip
 
+NONE = "CAST(array() AS array<string>)"
+
 
-def emails(text: Column) -> Column:
+def emails(text: str) -> str:
     """Distinct e-mail addresses of a text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(V.EMAIL_RE), F.lit(0)))
+    found = f"array_distinct(regexp_extract_all(t, {lit(V.EMAIL_RE)}, 0))"
+    return let("t", text, f"CASE WHEN contains(t, '@') THEN {found} ELSE {NONE} END")
 
 
-def phones(text: Column) -> Column:
+def phones(text: str) -> str:
     """Distinct phone-like runs whose digit count is plausible."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(V.PHONE_RE), F.lit(0)), strip)
-    digits = lambda m: F.length(F.regexp_replace(m, r"\P{Nd}", ""))
-    return F.array_distinct(F.filter(found, lambda m: digits(m).between(*V.PHONE_DIGITS)))
+    low, high = V.PHONE_DIGITS
+    found = f"transform(regexp_extract_all({text}, {lit(V.PHONE_RE)}, 0), m -> {strip('m')})"
+    digits = rf"length(regexp_replace(m, '\\P{{Nd}}', ''))"
+    return f"array_distinct(filter({found}, m -> {digits} BETWEEN {low} AND {high}))"
 
 
-def context(emails_text: Column, phones_text: Column) -> Column:
+def context(emails_text: str, phones_text: str) -> str:
     """Contact block for the contact section; NULL when there is nothing to show."""
-    none = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("none"))
-    block = F.concat(
-        F.lit("Emails: "), none(emails_text), F.lit("\nPhones: "), none(phones_text)
-    )
-    empty = (F.coalesce(emails_text, F.lit("")) == "") & (F.coalesce(phones_text, F.lit("")) == "")
-    return F.when(~empty, block)
+    none = lambda x: f"coalesce(nullif({x}, ''), 'none')"
+    block = f"concat('Emails: ', {none(emails_text)}, '\\nPhones: ', {none(phones_text)})"
+    return f"CASE WHEN concat(coalesce({emails_text}, ''), coalesce({phones_text}, '')) <> '' THEN {block} END"

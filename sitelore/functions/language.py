@@ -2,62 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from sitelore.functions import vocab as V
-from sitelore.functions.let import let
+from sitelore.functions.let import let, lit, mapping, one_of
 from sitelore.functions.text import cap
 
 
-def script_language(text: Column, max_chars: int | None = None) -> Column:
+def script_language(text: str, max_chars: int | None = None) -> str:
     """``fa`` or ``ar`` when enough letters are of Arabic script, else NULL."""
-    letters = lambda sample: F.struct(
-        F.regexp_count(sample, F.lit(f"[{V.ARABIC_RANGES}]")).alias("arabic"),
-        F.regexp_count(sample, F.lit("[A-Za-z]")).alias("latin"),
-    )
-    enough = lambda n: (n["arabic"] >= V.SCRIPT_MIN_LETTERS) & (
-        n["arabic"] >= V.SCRIPT_MIN_SHARE * (n["arabic"] + n["latin"])
-    )
-    persian = lambda sample: F.when(sample.rlike(f"[{V.PERSIAN_LETTERS}]"), "fa").otherwise("ar")
-    return let(
-        cap(text, max_chars),
-        lambda sample: let(letters(sample), lambda n: F.when(enough(n), persian(sample))),
-    )
+    letters = f"""named_struct('arabic', regexp_count(sample, {lit(f'[{V.ARABIC_RANGES}]')}),
+        'latin', regexp_count(sample, '[A-Za-z]'))"""
+    enough = f"""n.arabic >= {V.SCRIPT_MIN_LETTERS}
+        AND n.arabic >= {V.SCRIPT_MIN_SHARE}D * (n.arabic + n.latin)"""
+    persian = f"CASE WHEN sample RLIKE {lit(f'[{V.PERSIAN_LETTERS}]')} THEN 'fa' ELSE 'ar' END"
+    return let("sample", cap(text, max_chars),
+               let("n", letters, f"CASE WHEN {enough} THEN {persian} END"))
 
 
-def stopword_language(text: Column, max_chars: int | None = None) -> Column:
+def stopword_language(text: str, max_chars: int | None = None) -> str:
     """Language whose stop words occur most; ties by code; default when none occurs.
 
-    Every word is put between two blanks, so one regex count per language is exact.
+    The words of a text are looked up once in the set of all stop words; the few that are left
+    are then counted per language.
     """
-    spaced = F.concat(
-        F.lit(" "),
-        F.regexp_replace(F.lower(F.coalesce(cap(text, max_chars), F.lit(""))), r"[^\p{L}]+", "  "),
-        F.lit(" "),
-    )
-    vote = lambda words, code: F.struct(
-        F.regexp_count(words, F.lit(f" (?:{'|'.join(V.STOPWORDS[code])}) ")).alias("n"),
-        F.lit(code).alias("code"),
+    listed = sorted({w for words in V.STOPWORDS.values() for w in words})
+    words = rf"split(lower(coalesce({cap(text, max_chars)}, '')), '[^\\p{{L}}]+')"
+    hits = f"filter({words}, w -> w IN {one_of(listed)})"
+    vote = lambda code: (
+        f"named_struct('n', size(filter(hits, w -> w IN {one_of(V.STOPWORDS[code])})), 'code', {lit(code)})"
     )
     # codes go in descending order, so a later equal vote has the smaller code
-    return let(
-        spaced,
-        lambda words: F.aggregate(
-            F.array(*[vote(words, code) for code in sorted(V.STOPWORDS, reverse=True)]),
-            F.struct(F.lit(1).alias("n"), F.lit(V.DEFAULT_LANGUAGE).alias("code")),
-            lambda top, v: F.when(v["n"] >= top["n"], v).otherwise(top),
-        )["code"],
-    )
+    votes = "array(" + ", ".join(vote(c) for c in sorted(V.STOPWORDS, reverse=True)) + ")"
+    start = f"named_struct('n', 1, 'code', {lit(V.DEFAULT_LANGUAGE)})"
+    best = f"aggregate({votes}, {start}, (top, v) -> CASE WHEN v.n >= top.n THEN v ELSE top END).code"
+    return let("hits", hits, best)
 
 
-def detect_language(text: Column) -> Column:
-    return F.coalesce(script_language(text), stopword_language(text))
+def detect_language(text: str) -> str:
+    return f"coalesce({script_language(text)}, {stopword_language(text)})"
 
 
-def language_name(code: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in V.LANGUAGE_NAMES.items() for x in pair])
-    known = F.coalesce(code, F.lit(""))
-    return F.coalesce(
-        F.try_element_at(names, F.lower(known)),
-        F.when(known == "", V.UNKNOWN_LANGUAGE).otherwise(code),
-    )
+def language_name(code: str) -> str:
+    return f"""coalesce(try_element_at({mapping(V.LANGUAGE_NAMES)}, lower(coalesce({code}, ''))),
+        CASE WHEN coalesce({code}, '') = '' THEN {lit(V.UNKNOWN_LANGUAGE)} ELSE {code} END)"""

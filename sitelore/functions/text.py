@@ -2,214 +2,185 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from sitelore.functions.let import let, lit, mapping
 
-from sitelore.functions.let import let
-
-# Blanks as Python's strip() sees them; \s alone misses no-break and other Unicode spaces.
+# Blanks as Python's strip() sees them; \s and plain trim miss no-break and other Unicode spaces.
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 WS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 SEP = "\u0001"
 NAMED_ENTITIES = {  # fixed values
-    "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
+    "nbsp": "\xa0", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
     "laquo": "«", "raquo": "»", "ndash": "–", "mdash": "—", "hellip": "…", "lsquo": "‘",
     "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€", "pound": "£", "deg": "°",
     "times": "×", "quot": '"', "apos": "'", "lt": "<", "gt": ">",
 }
-NUMERIC_ENTITY_RE = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-SCRIPTS_RE = (
-    r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
-)
+ENTITY_RE = r"&([a-z]{2,6}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
 TAG_RE = r"<[/!?A-Za-z][^>]*>"
 BLOCK_TAG_RE = r"(?i)</?(?:p|li|td|h[1-6]|pre|blockquote)\b[^>]*>"
+BODY_RE = r"(?i)<body\b"
+ANCHOR_RE = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
+REGION_RE = r"(?is)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)\s*>"
+TITLE_RE = r"(?is)<title\b[^>]*>([^<]*)</title\s*>"
 BOILERPLATE = ("nav", "footer", "header", "noscript", "svg", "form", "iframe")
 
 
-def strip(col: Column) -> Column:
-    return F.regexp_replace(col, f"^[{WS}]+|[{WS}]+$", "")
+def strip(x: str) -> str:
+    return f"trim(BOTH {lit(BLANKS)} FROM {x})"
 
 
-def is_blank(col: Column) -> Column:
-    return ~F.coalesce(col, F.lit("")).rlike(f"[^{WS}]")
+def is_blank(x: str) -> str:
+    return f"(coalesce({strip(x)}, '') = '')"
 
 
-def cap(col: Column, max_chars: int | None) -> Column:
+def cap(x: str, max_chars: int | None) -> str:
     """Optional character cap; None keeps the whole text."""
-    return col if max_chars is None else F.substring(col, 1, max_chars)
+    return x if max_chars is None else f"substring({x}, 1, {max_chars})"
 
 
-def _code_point(code: Column) -> Column:
-    """Character of a numeric entity; NULL when there is no such character."""
-    number = F.when(code.rlike("^[xX]"), F.conv(F.substring(code, 2, 7), 16, 10)).otherwise(code)
-    return let(
-        number.cast("bigint"),
-        lambda n: F.when(
-            n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF),
-            F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"),
-        ),
-    )
+def replace_all(x: str, pattern: str, by: str = "") -> str:
+    return f"regexp_replace({x}, {lit(pattern)}, {lit(by)})"
 
 
-def _unescape_numeric(text: Column) -> Column:
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC_ENTITY_RE), F.lit(1)))
-    one = lambda acc, code: F.coalesce(
-        F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), _code_point(code)), acc
-    )
-    return F.when(text.contains("&#"), F.aggregate(codes, text, one)).otherwise(text)
+def _entity(code: str) -> str:
+    """Character of an entity; NULL when there is no such character (``&amp;`` is left for last)."""
+    digits = f"""CASE WHEN {code} RLIKE '^#[xX]' THEN conv(substring({code}, 3), 16, 10)
+        WHEN startswith({code}, '#') THEN substring({code}, 2) END"""
+    char = """CASE WHEN point BETWEEN 1 AND 55295 OR point BETWEEN 57344 AND 1114111
+        THEN decode(unhex(lpad(hex(point), 8, '0')), 'UTF-32') END"""
+    numeric = let("point", f"CAST({digits} AS BIGINT)", char)
+    return f"coalesce(try_element_at({mapping(NAMED_ENTITIES)}, {code}), {numeric})"
 
 
-def _unescape_all(text: Column) -> Column:
-    out = text
-    for name, char in NAMED_ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    out = F.replace(let(out, _unescape_numeric), F.lit("&amp;"), F.lit("&"))
-    return F.regexp_replace(out, r"&amp([^A-Za-z0-9;]|$)", "&$1")
+def unescape(x: str) -> str:
+    """Decode HTML entities, each distinct one once; ``&amp;`` last so nothing is decoded twice."""
+    known = f"""aggregate(array_distinct(regexp_extract_all(t, {lit(ENTITY_RE)}, 1)), t,
+        (acc, code) -> CASE WHEN code = 'amp' THEN acc ELSE
+          coalesce(replace(acc, concat('&', code, ';'), {_entity('code')}), acc) END)"""
+    amp = replace_all(f"replace({known}, '&amp;', '&')", "&amp([^A-Za-z0-9;]|$)", "&$1")
+    return let("t", x, f"CASE WHEN contains(t, '&') THEN {amp} ELSE t END")
 
 
-def unescape(col: Column) -> Column:
-    """Decode HTML entities; ``&amp;`` last so that nothing is decoded twice."""
-    return let(col, lambda text: F.when(text.contains("&"), _unescape_all(text)).otherwise(text))
+def _elements_re(tags) -> str:
+    inner = "|".join(rf"{t}\b[^>]*>.*?</{t}" for t in tags)
+    return rf"(?is)<(?:{inner})\s*>"
 
 
-def drop_elements(html: Column, tags) -> Column:
-    pattern = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in tags)
-    return F.regexp_replace(html, "(?is)" + pattern, "")
+def drop_elements(html: str, tags) -> str:
+    return replace_all(html, _elements_re(tags))
 
 
-def without_scripts(html: Column) -> Column:
-    return F.regexp_replace(html, SCRIPTS_RE, "")
+def without_scripts(html: str) -> str:
+    return replace_all(html, _elements_re(("script", "style")) + "|<!--.*?-->")
 
 
-def body(html: Column) -> Column:
+def body(html: str) -> str:
     """Inside of ``<body>``; the whole text when there is none."""
-    return F.regexp_replace(html, r"(?is)^.*?<body\b[^>]*>|</body\s*>.*$", "")
+    return replace_all(html, r"(?is)^.*?<body\b[^>]*>|</body\s*>.*$")
 
 
-def text_nodes(html: Column) -> Column:
+def text_nodes(html: str) -> str:
     """Text nodes trimmed, empty ones dropped, joined by newlines."""
-    marked = unescape(F.regexp_replace(html, TAG_RE, SEP))
-    joined = F.regexp_replace(marked, f"[{WS}]*{SEP}[{WS}{SEP}]*", "\n")
-    return strip(joined)
+    marked = unescape(replace_all(html, TAG_RE, SEP))
+    pieces = f"transform(split({marked}, {lit(SEP)}), piece -> {strip('piece')})"
+    return f"array_join(filter({pieces}, piece -> piece <> ''), '\\n')"
 
 
-def plain_text(html: Column, max_chars: int | None = None) -> Column:
+def plain_text(html: str, max_chars: int | None = None) -> str:
     """Body text without scripts and styles; empty when the page has no body."""
-    text = lambda bare: F.when(bare.rlike(r"(?i)<body\b"), text_nodes(body(bare))).otherwise("")
-    return cap(let(without_scripts(html), text), max_chars)
+    text = f"CASE WHEN bare RLIKE {lit(BODY_RE)} THEN {text_nodes(body('bare'))} ELSE '' END"
+    return cap(let("bare", without_scripts(html), text), max_chars)
 
 
-def _own_region(html: Column) -> Column:
+def _own_region(html: str) -> str:
     return drop_elements(body(without_scripts(html)), BOILERPLATE)
 
 
-def _region_text(region: Column) -> Column:
-    return F.regexp_replace(text_nodes(region), r"\n{3,}", "\n\n")
+def _region_text(region: str) -> str:
+    squeezed = replace_all("region_text", r"\n{3,}", "\n\n")
+    some = "contains(region_text, '\\n\\n\\n')"
+    return let(
+        "region_text", text_nodes(region), f"CASE WHEN {some} THEN {squeezed} ELSE region_text END"
+    )
 
 
-def clean_text(html: Column, max_chars: int | None = None) -> Column:
+def clean_text(html: str, max_chars: int | None = None) -> str:
     """Body text without scripts, navigation, header, footer, forms and frames."""
     return cap(_region_text(_own_region(html)), max_chars)
 
 
-def _mostly_text(block: Column) -> Column:
+def _mostly_text(block: str) -> str:
     """Block with text of which less than half is link text."""
-    linked = F.regexp_extract_all(block, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1))
-    text = F.regexp_replace(block, TAG_RE, "")
-    link_text = F.regexp_replace(F.array_join(linked, ""), TAG_RE, "")
-    return ~is_blank(text) & (2 * F.length(link_text) < F.length(text))
+    anchors = f"regexp_extract_all({block}, {lit(ANCHOR_RE)}, 1)"
+    links = replace_all(f"array_join({anchors}, '')", TAG_RE)
+    return let(
+        "block_text", replace_all(block, TAG_RE),
+        f"NOT {is_blank('block_text')} AND 2 * length({links}) < length(block_text)",
+    )
 
 
-def main_content(html: Column, max_chars: int | None = None) -> Column:
+def main_content(html: str, max_chars: int | None = None) -> str:
     """Article or main region; else text blocks that are not mostly links; else clean text."""
-    regions = lambda page: F.regexp_extract_all(
-        page, F.lit(r"(?is)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)\s*>"), F.lit(1)
-    )
-    article = lambda page: text_nodes(F.array_join(regions(page), "<br>"))
-    blocks = lambda page: text_nodes(
-        F.array_join(F.filter(F.split(page, BLOCK_TAG_RE), _mostly_text), "<br>")
-    )
-    enough = lambda text, other: F.when(F.length(text) > 40, text).otherwise(other)
-    text = let(
-        _own_region(html),
-        lambda page: let(
-            article(page),
-            lambda a: enough(a, let(blocks(page), lambda b: enough(b, _region_text(page)))),
-        ),
-    )
-    return cap(text, max_chars)
+    regions = f"regexp_extract_all(page, {lit(REGION_RE)}, 1)"
+    article = text_nodes(f"array_join({regions}, '<br>')")
+    kept = f"filter(split(page, {lit(BLOCK_TAG_RE)}), block -> {_mostly_text('block')})"
+    blocks = text_nodes(f"array_join({kept}, '<br>')")
+    last = let("blocks", blocks, f"CASE WHEN length(blocks) > 40 THEN blocks ELSE {_region_text('page')} END")
+    first = let("article", article, f"CASE WHEN length(article) > 40 THEN article ELSE {last} END")
+    return cap(let("page", _own_region(html), first), max_chars)
 
 
-def strip_noise_html(html: Column, max_chars: int | None = None) -> Column:
+def strip_noise_html(html: str, max_chars: int | None = None) -> str:
     """HTML without nine noise tag kinds; the other markup stays."""
-    out = F.regexp_replace(
-        html, r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", ""
-    )
-    out = drop_elements(out, ("nav", "footer", "header", "noscript", "svg"))
-    return cap(F.regexp_replace(out, r"(?i)<(?:meta|link)\b[^>]*>", ""), max_chars)
+    out = drop_elements(drop_elements(html, ("script", "style")), ("nav", "footer", "header", "noscript", "svg"))
+    return cap(replace_all(out, r"(?i)<(?:meta|link)\b[^>]*>"), max_chars)
 
 
-def page_title(html: Column) -> Column:
+def page_title(html: str) -> str:
     """``<title>`` text; ``N/A`` when missing, empty or holding child tags."""
-    raw = F.regexp_extract(html, r"(?is)<title\b[^>]*>([^<]*)</title\s*>", 1)
-    return let(raw, lambda t: F.when(t != "", strip(unescape(t))).otherwise("N/A"))
+    raw = f"regexp_extract({html}, {lit(TITLE_RE)}, 1)"
+    return let("raw", raw, f"CASE WHEN raw <> '' THEN {strip(unescape('raw'))} ELSE 'N/A' END")
 
 
-def tokens(text: Column) -> Column:
+def tokens(x: str) -> str:
     """Declared token measure: a quarter of the characters, at least 1, 0 for no text."""
-    n = F.length(text)
-    return (
-        F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(0))
-        .otherwise(F.greatest(F.lit(1), F.floor(n / 4)))
-        .cast("bigint")
-    )
+    return f"CAST(CASE WHEN coalesce(length({x}), 0) = 0 THEN 0 ELSE greatest(1, length({x}) DIV 4) END AS BIGINT)"
 
 
-def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), strip), lambda p: p != "")
+def paragraphs(x: str) -> str:
+    return f"filter(transform(split({x}, '\\n'), line -> {strip('line')}), line -> line <> '')"
 
 
-def paragraph_key(paragraph: Column) -> Column:
-    return F.lower(F.regexp_replace(paragraph, f"[{WS}]+", " "))
+def paragraph_key(x: str) -> str:
+    return f"lower({replace_all(x, f'[{WS}]+', ' ')})"
 
 
-def leading_paragraphs(text: Column, max_tokens: int) -> Column:
+def leading_paragraphs(x: str, max_tokens: int) -> str:
     """Leading paragraphs within a token limit; a too long first one is cut to fit."""
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("n"))
     # once a paragraph does not fit, `used` is above the limit and no later one fits
-    step = lambda acc, p: let(
-        acc["used"] + tokens(p),
-        lambda used: F.struct(
-            used.alias("used"), F.when(used <= max_tokens, acc["n"] + 1).otherwise(acc["n"]).alias("n")
-        ),
+    step = let(
+        "total", f"acc.used + {tokens('para')}",
+        f"named_struct('used', total, 'n', CASE WHEN total <= {max_tokens} THEN acc.n + 1 ELSE acc.n END)",
     )
+    fits = f"aggregate(paras, named_struct('used', 0L, 'n', 0), (acc, para) -> {step}).n"
+    text = let("n", fits, f"""CASE WHEN n > 0 THEN array_join(slice(paras, 1, n), '\\n')
+        WHEN size(paras) > 0 THEN substring(get(paras, 0), 1, {4 * max_tokens}) ELSE '' END""")
+    return let("paras", paragraphs(x), text)
 
-    def leading(paras: Column) -> Column:
-        return let(
-            F.aggregate(paras, start, step)["n"],
-            lambda n: F.when(n > 0, F.array_join(F.slice(paras, F.lit(1), n), "\n"))
-            .when(F.size(paras) > 0, F.substring(F.get(paras, F.lit(0)), 1, 4 * max_tokens))
-            .otherwise(""),
-        )
-
-    return let(paragraphs(text), leading)
 
-
-def first_sentences(text: Column, n: int) -> Column:
+def first_sentences(x: str, n: int) -> str:
     """First sentences of a text, newlines read as blanks."""
-    flat = strip(F.regexp_replace(text, f"[{WS}]+", " "))
-    found = F.regexp_extract_all(flat, F.lit(r"[^.!?؟]+[.!?؟]*"), F.lit(0))
-    return strip(F.array_join(F.slice(found, 1, n), ""))
+    flat = strip(replace_all(x, f"[{WS}]+", " "))
+    found = f"regexp_extract_all({flat}, '[^.!?؟]+[.!?؟]*', 0)"
+    return strip(f"array_join(slice({found}, 1, {n}), '')")
 
 
-def faq_pairs(text: Column) -> Column:
+def faq_pairs(x: str) -> str:
     """Array of (line_no, question, answer): a question line and the answer line after it."""
-    asks = lambda line: line.rlike(r"[?؟]$")
-    pair = lambda lines: F.transform(
-        lines,
-        lambda line, i: F.struct(
-            (i + 1).cast("bigint").alias("line_no"),
-            line.alias("question"),
-            F.get(lines, i + 1).alias("answer"),
-        ),
-    )
-    answered = lambda qa: asks(qa["question"]) & qa["answer"].isNotNull() & ~asks(qa["answer"])
-    return F.filter(let(paragraphs(text), pair), answered)
+    pair = """transform(rows, (line, i) -> named_struct(
+        'line_no', CAST(i + 1 AS BIGINT), 'question', line, 'answer', get(rows, i + 1)))"""
+    answered = "qa.question RLIKE '[?؟]$' AND qa.answer IS NOT NULL AND NOT qa.answer RLIKE '[?؟]$'"
+    return f"filter({let('rows', paragraphs(x), pair)}, qa -> {answered})"

@@ -2,156 +2,119 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, functions as F
-
 from sitelore.functions import vocab as V
-from sitelore.functions.let import let
+from sitelore.functions.let import any_of, contains_any, let, lit, one_of
 
 URL_RE = (
     r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 )
 SCHEME_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+TAIL_RE = r"(?s)\??(?:#.*)?\z"
 LINK_RE = r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
-def any_of(words) -> str:
-    """Regex that matches when any of the words occurs."""
-    return "|".join(re.escape(w) for w in words)
-
-
-def contains_any(col: Column, words) -> Column:
-    return col.rlike(any_of(words))
+def _part(url: str, number: int) -> str:
+    return f"regexp_extract({url}, {lit(URL_RE)}, {number})"
 
 
-def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, URL_RE, 1))
+def scheme(url: str) -> str:
+    return f"lower({_part(url, 1)})"
 
 
-def netloc(url: Column) -> Column:
+def netloc(url: str) -> str:
     """Authority as written: port and case are kept."""
-    return F.regexp_extract(url, URL_RE, 2)
+    return _part(url, 2)
 
 
-def path(url: Column) -> Column:
+def path(url: str) -> str:
     """Path without the ``;params`` of its last segment."""
-    return F.regexp_replace(F.regexp_extract(url, URL_RE, 3), r";[^/]*$", "")
+    return f"regexp_replace({_part(url, 3)}, ';[^/]*$', '')"
 
 
-def query(url: Column) -> Column:
-    return F.regexp_extract(url, URL_RE, 4)
+def query(url: str) -> str:
+    return _part(url, 4)
 
 
-def fragment(url: Column) -> Column:
-    return F.regexp_extract(url, URL_RE, 5)
+def fragment(url: str) -> str:
+    return _part(url, 5)
 
 
-def normalize(url: Column) -> Column:
+def origin(url: str) -> str:
+    return f"concat({scheme(url)}, '://', {netloc(url)})"
+
+
+def normalize(url: str) -> str:
     """Drop the fragment and an empty query, lower-case the scheme; keep everything else."""
-    return let(
-        F.regexp_replace(url, r"(?s)\??(?:#.*)?\z", ""),
-        lambda bare: F.concat(
-            F.lower(F.regexp_extract(bare, SCHEME_RE, 0)), F.regexp_replace(bare, SCHEME_RE, "")
-        ),
-    )
+    bare = f"regexp_replace({url}, {lit(TAIL_RE)}, '')"
+    head = f"lower(regexp_extract(bare, {lit(SCHEME_RE)}, 0))"
+    return let("bare", bare, f"concat({head}, regexp_replace(bare, {lit(SCHEME_RE)}, ''))")
 
 
-def _remove_dots(path: Column) -> Column:
+def _remove_dots(p: str) -> str:
     """Apply ``.`` and ``..`` segments; a path that ends in one keeps a trailing slash."""
-    walk = lambda segments: F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda done, seg: F.when(
-            seg == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        ).when(seg == ".", done).otherwise(F.concat(done, F.array(seg))),
-    )
-    tail = F.when(path.rlike(r"(^|/)\.\.?$"), "/").otherwise("")
-    walked = F.concat(F.array_join(walk(F.split(path, "/")), "/"), tail)
-    return F.when(
-        path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.lit("/"), F.regexp_replace(walked, "^/+", ""))
-    ).otherwise(path)
-
-
-def _merge_path(base_path: Column, ref_path: Column) -> Column:
+    walked = f"""aggregate(split({p}, '/'), CAST(array() AS array<string>), (done, seg) -> CASE
+        WHEN seg = '..' THEN slice(done, 1, greatest(size(done) - 1, 0))
+        WHEN seg = '.' THEN done ELSE concat(done, array(seg)) END)"""
+    tail = f"CASE WHEN {p} RLIKE {lit(r'(^|/)[.][.]?$')} THEN '/' ELSE '' END"
+    clean = f"concat('/', regexp_replace(concat(array_join({walked}, '/'), {tail}), '^/+', ''))"
+    return f"CASE WHEN {p} RLIKE {lit(r'(^|/)[.][.]?(/|$)')} THEN {clean} ELSE {p} END"
+
+
+def _merge_path(base_path: str, ref_path: str) -> str:
     """Path of a reference seen from the folder of the base; empty inner segments are dropped."""
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    merged = F.regexp_replace(F.concat(F.lit("/"), folder, ref_path), "/+", "/")
-    return let(F.when(ref_path.startswith("/"), ref_path).otherwise(merged), _remove_dots)
+    folder = f"regexp_replace({base_path}, '[^/]*$', '')"
+    merged = f"regexp_replace(concat('/', {folder}, {ref_path}), '/+', '/')"
+    whole = f"CASE WHEN startswith({ref_path}, '/') THEN {ref_path} ELSE {merged} END"
+    return let("whole_path", whole, _remove_dots("whole_path"))
 
 
-def resolve(base: Column, href: Column) -> Column:
+def resolve(base: str, href: str) -> str:
     """Absolute form of ``href`` found on the page ``base`` (fragment kept)."""
-
-    def from_parts(ref: Column, at: Column) -> Column:
-        head, path_, tail = ref["head"], ref["path"], ref["tail"]
-        origin = F.concat(at["scheme"], F.lit("://"), at["host"])
-        foreign = (ref["scheme"] != "") & (
-            (ref["scheme"] != at["scheme"]) | (ref["host"] != "")
-        )
-        return (
-            F.when(head == "", at["url"])
-            .when(foreign, head)
-            .when(ref["host"] != "", F.concat(at["scheme"], F.lit(":"), head))
-            .when(path_ != "", F.concat(origin, _merge_path(at["path"], path_), tail))
-            .when(tail.startswith("?"), F.concat(origin, at["path"], tail))
-            .otherwise(F.concat(origin, at["path"], at["query"], tail))
-        )
-
-    ref = let(
-        href,
-        lambda h: F.struct(
-            h.alias("head"), scheme(h).alias("scheme"), netloc(h).alias("host"),
-            F.regexp_extract(h, URL_RE, 3).alias("path"),
-            F.regexp_extract(h, r"(?s)^[^?#]*(.*)$", 1).alias("tail"),
-        ),
-    )
-    at = let(
-        base,
-        lambda b: F.struct(
-            b.alias("url"), scheme(b).alias("scheme"), netloc(b).alias("host"),
-            F.regexp_extract(b, URL_RE, 3).alias("path"),
-            F.regexp_extract(b, r"(?s)^[^?#]*(\?[^#]*)?", 1).alias("query"),
-        ),
-    )
-    return let(ref, lambda r: let(at, lambda a: from_parts(r, a)))
-
-
-def unquote_attribute(value: Column) -> Column:
-    return F.regexp_replace(value, r"""^["']|["']$""", "")
-
-
-def is_product(path_lower: Column) -> Column:
-    return contains_any(path_lower, V.PRODUCT_PATHS)
+    ref = let("h", href, f"""named_struct('head', h, 'scheme', {scheme('h')}, 'host', {netloc('h')},
+        'path', {_part('h', 3)}, 'tail', regexp_extract(h, '(?s)^[^?#]*(.*)$', 1))""")
+    page = let("b", base, f"""named_struct('url', b, 'scheme', {scheme('b')}, 'host', {netloc('b')},
+        'path', {_part('b', 3)}, 'query', regexp_extract(b, {lit(r'(?s)^[^?#]*([?][^#]*)?')}, 1))""")
+    start = "concat(page.scheme, '://', page.host)"
+    rules = f"""CASE WHEN ref.head = '' THEN page.url
+        WHEN ref.scheme <> '' AND (ref.scheme <> page.scheme OR ref.host <> '') THEN ref.head
+        WHEN ref.host <> '' THEN concat(page.scheme, ':', ref.head)
+        WHEN ref.path <> '' THEN concat({start}, {_merge_path('page.path', 'ref.path')}, ref.tail)
+        WHEN startswith(ref.tail, '?') THEN concat({start}, page.path, ref.tail)
+        ELSE concat({start}, page.path, page.query, ref.tail) END"""
+    return let("ref", ref, let("page", page, rules))
 
 
-def drop_reason(site: Column, norm: Column) -> Column:
-    """First matching reason in fixed order; ``kept`` when none applies."""
+def unquote_attribute(value: str) -> str:
+    return f"""regexp_replace({value}, {lit("^[\"']|[\"']$")}, '')"""
 
-    def by_parts(url: Column) -> Column:
-        return let(
-            F.struct(F.lower(path(url)).alias("path"), F.lower(query(url)).alias("query")),
-            lambda low: F.when(url.isNull(), "invalid")
-            .when(~scheme(url).isin("http", "https"), "non_http")
-            .when(netloc(url) != site, "offsite")
-            .when(low["path"].rlike("(?:" + any_of(V.ASSET_SUFFIXES) + r")$"), "asset")
-            .when(contains_any(low["path"], V.TRANSACTIONAL_PATHS), "transactional")
-            .when(contains_any(low["path"], V.ARCHIVE_PATHS), "archive")
-            .when(contains_any(low["query"], V.FACET_QUERIES), "faceted")
-            .when(is_product(low["path"]), "product")
-            .otherwise("kept"),
-        )
 
-    return let(norm, by_parts)
+def is_product(path_lower: str) -> str:
+    return contains_any(path_lower, V.PRODUCT_PATHS)
 
 
-def knowledge_tier(url: Column) -> Column:
+def drop_reason(site: str, norm: str) -> str:
+    """First matching reason in fixed order; ``kept`` when none applies."""
+    low = f"named_struct('path', lower({path('u')}), 'query', lower({query('u')}))"
+    asset = "(?:" + any_of(V.ASSET_SUFFIXES) + ")$"
+    rules = f"""CASE WHEN u IS NULL THEN 'invalid'
+        WHEN {scheme('u')} NOT IN ('http', 'https') THEN 'non_http'
+        WHEN {netloc('u')} <> {site} THEN 'offsite'
+        WHEN low.path RLIKE {lit(asset)} THEN 'asset'
+        WHEN {contains_any('low.path', V.TRANSACTIONAL_PATHS)} THEN 'transactional'
+        WHEN {contains_any('low.path', V.ARCHIVE_PATHS)} THEN 'archive'
+        WHEN {contains_any('low.query', V.FACET_QUERIES)} THEN 'faceted'
+        WHEN {is_product('low.path')} THEN 'product'
+        ELSE 'kept' END"""
+    return let("u", norm, let("low", low, rules))
+
+
+def knowledge_tier(url: str) -> str:
     """skip / high / medium / low over the whole lower-cased URL, host included."""
-    return let(
-        F.lower(url),
-        lambda low: F.when(contains_any(low, V.TIER_SKIP), "skip")
-        .when(contains_any(low, V.TIER_HIGH), "high")
-        .when(contains_any(low, V.TIER_MEDIUM), "medium")
-        .when(contains_any(low, V.TIER_LOW), "low")
-        .otherwise("medium"),
-    )
+    return let("low", f"lower({url})", f"""CASE WHEN {contains_any('low', V.TIER_SKIP)} THEN 'skip'
+        WHEN {contains_any('low', V.TIER_HIGH)} THEN 'high'
+        WHEN {contains_any('low', V.TIER_MEDIUM)} THEN 'medium'
+        WHEN {contains_any('low', V.TIER_LOW)} THEN 'low' ELSE 'medium' END""")
+
+
+def is_root(url: str) -> str:
+    return f"({path(url)} IN {one_of(['', '/'])})"

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitelore.functions import urls as U, vocab as V
+from sitelore.functions.let import contains_any
 from sitelore.functions.scale import first_per_group, reused, salted_join
 
 
@@ -27,7 +28,7 @@ def knowledge_tier(kept: DataFrame, threshold: int = V.TIER_THRESHOLD) -> DataFr
     """Tier per address of the sites that are large enough to need one."""
     rows = kept.select("site", "url", "pos", "tail")
     return salted_join(rows, large_sites(kept, threshold).select("site"), ["site"]).withColumn(
-        "tier", U.knowledge_tier(F.col("url"))
+        "tier", F.expr(U.knowledge_tier("url"))
     )
 
 
@@ -46,7 +47,7 @@ def tier_quota_sample(
     pools = first_per_group(
         kept.select(
             "site", "url", "pos", "tail",
-            F.explode(F.array(F.lit("all"), U.knowledge_tier(F.col("url")))).alias("pool"),
+            F.explode(F.array(F.lit("all"), F.expr(U.knowledge_tier("url")))).alias("pool"),
         ).filter("pool <> 'skip'"),
         ["site", "pool"],
         [F.when(ordered, F.col("tail")), F.when(ordered, F.col("pos")),
@@ -56,7 +57,7 @@ def tier_quota_sample(
     counts = kept.groupBy("site").agg(
         F.count(F.lit(1)).alias("n_urls"),
         *[
-            F.count_if(U.knowledge_tier(F.col("url")) == t).alias(f"n_{t}")
+            F.count_if(F.expr(U.knowledge_tier("url")) == t).alias(f"n_{t}")
             for t in ("high", "medium", "low")
         ],
     )
@@ -84,11 +85,9 @@ def url_category_sample(
     priority_limit: int = V.CATEGORY_PRIORITY_LIMIT, total: int = V.CATEGORY_TOTAL,
 ) -> DataFrame:
     """Small sites keep all; large ones the first priority addresses, then regular ones by md5."""
-    low = F.lower("url")
-    kind = (
-        F.when(U.contains_any(low, V.CATEGORY_PRIORITY), "priority")
-        .when(~U.contains_any(low, V.CATEGORY_SKIP), "regular")
-    )
+    first = F.expr(contains_any("lower(url)", V.CATEGORY_PRIORITY))
+    skipped = F.expr(contains_any("lower(url)", V.CATEGORY_SKIP))
+    kind = F.when(first, "priority").when(~skipped, "regular")
     ordered = F.col("kind").isin("all", "priority")
     pools = first_per_group(
         kept.select(
@@ -102,7 +101,7 @@ def url_category_sample(
     )
     counts = kept.groupBy("site").agg(
         F.count(F.lit(1)).alias("n_urls"),
-        F.count_if(U.contains_any(low, V.CATEGORY_PRIORITY)).alias("n_priority"),
+        F.count_if(first).alias("n_priority"),
     )
     take_priority = F.least("n_priority", F.lit(priority_limit))
     return (
@@ -119,15 +118,13 @@ def url_category_sample(
 
 def url_category(kept: DataFrame, classified: DataFrame) -> DataFrame:
     """(site, category, url): keyword categories over the first pages, the rest by drop reason."""
-    low = F.lower("url")
     first = first_per_group(
         kept.select("site", "url", "pos", "tail"), ["site"], _cols("tail", "pos", "url"), 20
     )
-    company = U.contains_any(low, V.CATEGORY_COMPANY)
-    service = U.contains_any(low, V.CATEGORY_SERVICE)
-    product = ~U.contains_any(
-        low, V.CATEGORY_NOT_PRODUCT + V.CATEGORY_COMPANY + V.CATEGORY_SERVICE
-    ) & (F.col("rank") <= 15)
+    holds = lambda words: F.expr(contains_any("lower(url)", words))
+    company, service = holds(V.CATEGORY_COMPANY), holds(V.CATEGORY_SERVICE)
+    other = ~holds(V.CATEGORY_NOT_PRODUCT + V.CATEGORY_COMPANY + V.CATEGORY_SERVICE)
+    product = other & (F.col("rank") <= 15)
     named = F.array(
         F.when(company, F.lit("company_info_pages")), F.when(service, F.lit("service_pages")),
         F.when(product, F.lit("product_pages")),
@@ -145,10 +142,8 @@ def url_category(kept: DataFrame, classified: DataFrame) -> DataFrame:
 
 def cluster_assign(sample: DataFrame) -> DataFrame:
     """(site, cluster, rank, url): an address may be in several clusters; each has a limit."""
-    low = F.lower("url")
-    labels = F.array_compact(
-        F.array(*[F.when(U.contains_any(low, w), F.lit(c)) for c, w in V.CLUSTER_WORDS.items()])
-    )
+    tests = [f"CASE WHEN {contains_any('lower(url)', w)} THEN '{c}' END" for c, w in V.CLUSTER_WORDS.items()]
+    labels = F.expr(f"array_compact(array({', '.join(tests)}))")
     rows = sample.select(
         "site", F.explode(labels).alias("cluster"), F.col("rank").alias("ord"), "url"
     )
@@ -163,8 +158,9 @@ def cluster_assign(sample: DataFrame) -> DataFrame:
 
 def cluster_counts(sample: DataFrame) -> DataFrame:
     """Addresses per (site, cluster), every cluster listed, and the total before the limits."""
-    low = F.lower("url")
-    hits = {c: F.count_if(U.contains_any(low, w)) for c, w in V.CLUSTER_WORDS.items()}
+    hits = {
+        c: F.expr(f"count_if({contains_any('lower(url)', w)})") for c, w in V.CLUSTER_WORDS.items()
+    }
     counts = sample.groupBy("site").agg(*[n.alias(c) for c, n in hits.items()])
     total = sum((F.col(c) for c in V.CLUSTER_WORDS), F.lit(0))
     shown = F.array(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitelore.functions import text as T, urls as U, vocab as V
+from sitelore.functions.let import lit
 from sitelore.functions.scale import project_wanted, salted_join
 
 TERM_RE = r"\p{L}{4,}"
@@ -12,12 +13,12 @@ TERM_RE = r"\p{L}{4,}"
 
 def company_pages(pages: DataFrame, reached: DataFrame) -> DataFrame:
     """(site, rank, url, description): first two sentences of each crawled page that has text."""
-    first_copy = pages.groupBy("site", U.normalize(F.col("url")).alias("url")).agg(
+    first_copy = pages.groupBy("site", F.expr(U.normalize("url")).alias("url")).agg(
         F.min("page_id").alias("page_id")
     )
     wanted = reached.join(first_copy, ["site", "url"]).select("page_id", "site", "rank", "url")
     describe = lambda rows: rows.withColumn(
-        "description", T.first_sentences(T.plain_text(F.col("html")), 2)
+        "description", F.expr(T.first_sentences(T.plain_text("html"), 2))
     ).drop("html")
     rows = project_wanted(pages.select("page_id", "html"), wanted, "page_id", describe)
     return rows.filter("description <> ''").select("site", "rank", "url", "description")
@@ -38,27 +39,27 @@ def company_summary(described: DataFrame, bases: DataFrame) -> DataFrame:
     )
 
 
-def terms(text: Column) -> Column:
+def terms(text: str) -> Column:
     """Distinct lower-case words of at least four letters."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM_RE), F.lit(0)))
+    return F.expr(f"array_distinct(regexp_extract_all(lower({text}), {lit(TERM_RE)}, 0))")
 
 
 def prospect_texts(prospects: DataFrame, pages: DataFrame) -> DataFrame:
     """(url, text): page text per prospect address; NULL when the page was not fetched."""
     first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
     wanted = prospects.join(first, "url").select("page_id", "url")
-    read = lambda rows: rows.withColumn("text", T.plain_text(F.col("html"))).drop("html")
+    read = lambda rows: rows.withColumn("text", F.expr(T.plain_text("html"))).drop("html")
     got = project_wanted(pages.select("page_id", "html"), wanted, "page_id", read)
     return prospects.join(got.select("url", "text"), "url", "left")
 
 
 def prospect_status(texts: DataFrame) -> DataFrame:
-    empty = T.is_blank(F.col("text"))
+    empty = F.expr(T.is_blank("text"))
     return texts.select(
         "url",
         F.when(empty, "failed").otherwise("completed").alias("status"),
         F.when(empty, V.EMPTY_PAGE_ERROR).alias("error"),
-        F.when(empty, 0).otherwise(T.tokens(F.col("text"))).cast("bigint").alias("prompt_tokens"),
+        F.when(empty, 0).otherwise(F.expr(T.tokens("text"))).cast("bigint").alias("prompt_tokens"),
     )
 
 
@@ -75,11 +76,11 @@ def prospect_score(
     broadcast when they are counted to be few, else joined by salted term.  Pages' terms are
     distinct before they are split off, and matches of a page are counted in its own task first.
     """
-    profile = personas.select("persona_id", terms(F.col("text")).alias("persona_terms"))
+    profile = personas.select("persona_id", terms("text").alias("persona_terms"))
     by_term = profile.select("persona_id", F.explode("persona_terms").alias("term")).groupBy("term").agg(
         F.collect_set("persona_id").alias("ids")
     )
-    known = texts.filter(~T.is_blank(F.col("text"))).select("url", terms(F.col("text")).alias("page_terms"))
+    known = texts.filter(~F.expr(T.is_blank("text"))).select("url", terms("text").alias("page_terms"))
     words = known.select("url", F.explode("page_terms").alias("term"))
     if by_term.limit(broadcast_terms + 1).count() <= broadcast_terms:
         shared = words.join(F.broadcast(by_term), "term")

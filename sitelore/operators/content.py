@@ -2,40 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sitelore.functions import contacts as C, language as G, text as T, urls as U, vocab as V
-from sitelore.functions.let import let
+from sitelore.functions.let import contains_any, let, lit
 from sitelore.functions.scale import first_per_group, project_wanted
 
 
-def section_of(url: Column, title: Column) -> Column:
+def section_of(url: str, title: str) -> str:
     """Section of a page by the words in its path and title; ``additional`` when none fits."""
-    words = F.lower(F.concat_ws(" ", U.path(url), title))
-
-    def choose(low: Column) -> Column:
-        out = F.lit("additional")
-        for key, terms in reversed(V.SECTION_WORDS.items()):
-            out = F.when(U.contains_any(low, terms), key).otherwise(out)
-        return out
-
-    return let(words, choose)
+    tests = " ".join(
+        f"WHEN {contains_any('low', terms)} THEN {lit(key)}" for key, terms in V.SECTION_WORDS.items()
+    )
+    return let("low", f"lower(concat_ws(' ', {U.path(url)}, {title}))", f"CASE {tests} ELSE 'additional' END")
 
 
 def chunk_columns(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Title, section, main text and its tokens, one row per page; every other column stays."""
-    text = pages.withColumn("title", T.page_title(F.col("html"))).withColumn(
-        "chunk", T.main_content(F.col("html"), max_chars)
+    text = pages.withColumn("title", F.expr(T.page_title("html"))).withColumn(
+        "chunk", F.expr(T.main_content("html", max_chars))
     )
-    return text.drop("html").withColumn("section", section_of(F.col("url"), F.col("title"))).withColumn(
-        "tokens", T.tokens(F.col("chunk"))
+    return text.drop("html").withColumn("section", F.expr(section_of("url", "title"))).withColumn(
+        "tokens", F.expr(T.tokens("chunk"))
     )
 
 
 def page_chunks(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Chunk row per page; pages without text are dropped."""
     rows = chunk_columns(pages.select("page_id", "site", "url", "html"), max_chars)
-    return rows.filter(~T.is_blank(F.col("chunk")))
+    return rows.filter(~F.expr(T.is_blank("chunk")))
 
 
 def selected_chunks(
@@ -46,7 +41,7 @@ def selected_chunks(
     Selection is joined to the pages' addresses first (narrow), then the text is taken by page
     number, so HTML is never shuffled.
     """
-    first_copy = pages.groupBy("site", U.normalize(F.col("url")).alias("url")).agg(
+    first_copy = pages.groupBy("site", F.expr(U.normalize("url")).alias("url")).agg(
         F.min("page_id").alias("page_id")
     )
     wanted = selected.join(first_copy, ["site", "url"]).select(
@@ -54,21 +49,21 @@ def selected_chunks(
     )
     texts = lambda rows: rows.select(
         "page_id", *[c for c in wanted.columns if c != "page_id" and c in rows.columns],
-        T.page_title(F.col("html")).alias("title"),
-        T.main_content(F.col("html"), max_chars).alias("chunk"),
+        F.expr(T.page_title("html")).alias("title"),
+        F.expr(T.main_content("html", max_chars)).alias("chunk"),
     )
     rows = project_wanted(pages.select("page_id", "html"), wanted, "page_id", texts)
     return (
-        rows.filter(~T.is_blank(F.col("chunk")))
-        .withColumn("section", section_of(F.col("url"), F.col("title")))
-        .withColumn("tokens", T.tokens(F.col("chunk")))
+        rows.filter(~F.expr(T.is_blank("chunk")))
+        .withColumn("section", F.expr(section_of("url", "title")))
+        .withColumn("tokens", F.expr(T.tokens("chunk")))
     )
 
 
 def harvested(texts: DataFrame, site: str, text: str, kind: str) -> DataFrame:
     """Distinct (site, value) of one contact kind."""
     find = {"email": C.emails, "phone": C.phones}[kind]
-    return texts.select(F.col(site).alias("site"), F.explode(find(F.col(text))).alias(kind)).distinct()
+    return texts.select(F.col(site).alias("site"), F.explode(F.expr(find(text))).alias(kind)).distinct()
 
 
 def site_contacts(
@@ -78,11 +73,11 @@ def site_contacts(
 
     Distinct values are ranked, so a site never gathers more than ``limit`` of a kind.
     """
-    both = F.concat(
-        F.transform(C.emails(F.col(text)), lambda v: F.struct(F.lit("email").alias("kind"), v.alias("value"))),
-        F.transform(C.phones(F.col(text)), lambda v: F.struct(F.lit("phone").alias("kind"), v.alias("value"))),
+    tagged = lambda kind, found: (
+        f"transform({found}, v -> named_struct('kind', '{kind}', 'value', v))"
     )
-    values = texts.select(F.col(site).alias("site"), F.inline(both)).distinct()
+    both = f"concat({tagged('email', C.emails(text))}, {tagged('phone', C.phones(text))})"
+    values = texts.select(F.col(site).alias("site"), F.expr(f"inline({both})")).distinct()
     ranked = first_per_group(values, ["site", "kind"], [F.col("value")], limit)
     listed = lambda kind: F.array_join(
         F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))), ", "
@@ -93,7 +88,7 @@ def site_contacts(
 def site_language(chunks: DataFrame, probes: int = 4) -> DataFrame:
     """Language per site from its first pages: the first answer that is not the default wins."""
     seen = chunks.filter(F.col("pos") <= probes).select(
-        "site", "pos", G.detect_language(F.col("chunk")).alias("lang")
+        "site", "pos", F.expr(G.detect_language("chunk")).alias("lang")
     )
     other = F.when(F.col("lang") != V.DEFAULT_LANGUAGE, F.col("pos"))
     return seen.groupBy("site").agg(
@@ -105,42 +100,35 @@ HEX_RE = r"(?i)#(?:[0-9a-f]{6}|[0-9a-f]{3})\b"
 BACKGROUND_RE = r"(?i)background(?:-color)?\s*:\s*(#(?:[0-9a-f]{6}|[0-9a-f]{3})\b)"
 
 
-def _long_hex(code: Column) -> Column:
-    low = F.lower(code)
-    return F.when(F.length(low) == 4, F.regexp_replace(low, "([0-9a-f])", "$1$1")).otherwise(low)
+def _long_hex(code: str) -> str:
+    return f"""CASE WHEN length({code}) = 4 THEN regexp_replace(lower({code}), '([0-9a-f])', '$1$1')
+        ELSE lower({code}) END"""
 
 
-def _most_frequent(codes: Column, default: str) -> Column:
+def _most_frequent(codes: str, default: str) -> str:
     """Most frequent value of an array, the smallest one on a tie."""
-    tally = F.transform(
-        F.array_distinct(codes),
-        lambda c: F.struct((-F.size(F.filter(codes, lambda x: x == c))).alias("n"), c.alias("code")),
-    )
-    return F.coalesce(F.array_min(tally)["code"], F.lit(default))
+    tally = f"""transform(array_distinct({codes}), c -> named_struct(
+        'n', -size(filter({codes}, x -> x = c)), 'code', c))"""
+    return f"coalesce(array_min({tally}).code, {lit(default)})"
 
 
-def colors(html: Column, max_chars: int | None = None) -> Column:
+def colors(html: str, max_chars: int | None = None) -> str:
     """struct(background, brand): most frequent background colour and most frequent other one."""
-
-    def pick(text: Column) -> Column:
-        behind = F.transform(F.regexp_extract_all(text, F.lit(BACKGROUND_RE), F.lit(1)), _long_hex)
-        rest = F.regexp_replace(text, BACKGROUND_RE, "")
-        others = F.transform(F.regexp_extract_all(rest, F.lit(HEX_RE), F.lit(0)), _long_hex)
-        return F.struct(
-            let(behind, lambda c: _most_frequent(c, V.DEFAULT_BACKGROUND)).alias("background"),
-            let(others, lambda c: _most_frequent(c, V.DEFAULT_BRAND)).alias("brand"),
-        )
-
-    return let(T.cap(html, max_chars), pick)
+    behind = f"transform(regexp_extract_all(css, {lit(BACKGROUND_RE)}, 1), h -> {_long_hex('h')})"
+    rest = T.replace_all("css", BACKGROUND_RE)
+    others = f"transform(regexp_extract_all({rest}, {lit(HEX_RE)}, 0), h -> {_long_hex('h')})"
+    background = let("found", behind, _most_frequent("found", V.DEFAULT_BACKGROUND))
+    brand = let("found", others, _most_frequent("found", V.DEFAULT_BRAND))
+    return let("css", T.cap(html, max_chars), f"named_struct('background', {background}, 'brand', {brand})")
 
 
 def site_colors(pages: DataFrame, bases: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Colours of each site's start page, with the default descriptions where none was found."""
-    at_base = pages.select("page_id", "site", U.normalize(F.col("url")).alias("base_url")).join(
+    at_base = pages.select("page_id", "site", F.expr(U.normalize("url")).alias("base_url")).join(
         bases, ["site", "base_url"], "left_semi"
     )
     wanted = at_base.groupBy("site").agg(F.min("page_id").alias("page_id"))
-    found = lambda rows: rows.withColumn("c", colors(F.col("html"), max_chars)).drop("html")
+    found = lambda rows: rows.withColumn("c", F.expr(colors("html", max_chars))).drop("html")
     got = project_wanted(pages.select("page_id", "html"), wanted, "page_id", found)
     out = bases.select("site").join(got, "site", "left")
     return out.select(

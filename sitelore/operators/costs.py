@@ -7,11 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sitelore.functions import pricing as P, vocab as V
 
 
-def usd(amount: Column) -> Column:
-    """Amount as text with six digits, rounded from its exact binary value."""
-    return F.call_function("format_number", amount, F.lit("0.000000"))
-
-
 def by_model(usage: DataFrame) -> DataFrame:
     """Token sums per (run, model); calls without a model count for the cheap one."""
     model = F.coalesce(F.nullif("model", F.lit("")), F.lit(V.CHEAP_MODEL))
@@ -23,11 +18,13 @@ def by_model(usage: DataFrame) -> DataFrame:
 
 
 def _cost() -> Column:
-    return P.cost(F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens"))
+    return F.expr(P.cost("model", "prompt_tokens", "completion_tokens"))
 
 
 def cost_by_model(usage: DataFrame) -> DataFrame:
-    return by_model(usage).withColumn("cost_usd", usd(_cost()).cast("double"))
+    return by_model(usage).withColumn(
+        "cost_usd", F.expr(P.usd(P.cost("model", "prompt_tokens", "completion_tokens"))).cast("double")
+    )
 
 
 def cost_estimate(usage: DataFrame) -> DataFrame:
@@ -37,18 +34,17 @@ def cost_estimate(usage: DataFrame) -> DataFrame:
     )
     total = F.aggregate(costs, F.lit(0.0), lambda acc, c: acc + c)
     return by_model(usage).groupBy("run_id").agg(
-        usd(total).alias("total_cost_usd"),
+        total.alias("total"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),
-    )
+    ).select("run_id", F.expr(P.usd("total")).alias("total_cost_usd"), "prompt_tokens", "completion_tokens")
 
 
 def cost_flat(usage: DataFrame) -> DataFrame:
     """Run totals priced at the cheap rate whatever the model."""
-    million, (inp, out) = F.lit(1_000_000), V.DEFAULT_PRICE
     sums = usage.groupBy("run_id").agg(
         F.sum(F.coalesce("prompt_tokens", F.lit(0))).alias("prompt_tokens"),
         F.sum(F.coalesce("completion_tokens", F.lit(0))).alias("completion_tokens"),
     )
-    flat = F.col("prompt_tokens") / million * F.lit(inp) + F.col("completion_tokens") / million * F.lit(out)
-    return sums.withColumn("total_cost_usd", usd(flat))
+    flat = P.flat_cost("prompt_tokens", "completion_tokens")
+    return sums.withColumn("total_cost_usd", F.expr(P.usd(flat)))

@@ -59,9 +59,9 @@ def crawl_reach(
 ) -> DataFrame:
     """(site, rank, url, depth): first HTML pages per site by (depth, url) over same-site links."""
     start = bases.select("site", F.col("base_url").alias("url"))
-    same = links.filter(U.netloc(F.col("dst_url")) == F.col("site"))
+    same = links.filter(F.expr(U.netloc("dst_url")) == F.col("site"))
     seen = reachable(start, same, max_depth)
-    html_pages = fetched(pages).select("site", U.normalize(F.col("url")).alias("url")).distinct()
+    html_pages = fetched(pages).select("site", F.expr(U.normalize("url")).alias("url")).distinct()
     found = seen.join(html_pages, ["site", "url"])
     return first_per_group(found, ["site"], [F.col("depth"), F.col("url")], max_pages).select(
         "site", "rank", "url", "depth"
@@ -122,14 +122,14 @@ def core_pages(bases: DataFrame, crawl: DataFrame) -> DataFrame:
     list, a filter on the scan; a site keeps at most one row per path.
     """
     order = F.create_map(*[F.lit(x) for i, p in enumerate(V.CORE_PATHS, 1) for x in (p, i)])
-    path = U.path(F.col("url"))
+    path = F.expr(U.path("url"))
     hits = (
         crawl.filter((F.col("status") < 400) & path.isin(*V.CORE_PATHS))
-        .select("site", "url", path.alias("path"), U.scheme(F.col("url")).alias("scheme"))
+        .select("site", "url", path.alias("path"), F.expr(U.scheme("url")).alias("scheme"))
         .filter(F.col("url") == F.concat("scheme", F.lit("://"), "site", "path"))
         .distinct()
     )
-    found = hits.join(bases, "site").filter(F.col("scheme") == U.scheme(F.col("base_url"))).select(
+    found = hits.join(bases, "site").filter(F.col("scheme") == F.expr(U.scheme("base_url"))).select(
         "site", order[F.col("path")].cast("bigint").alias("ord"), "url",
         F.initcap(F.replace(F.regexp_replace("path", "^/|/$", ""), F.lit("-"), F.lit(" "))).alias("title"),
         F.lit("auto_discovered_core_page").alias("type"),

@@ -8,31 +8,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sitelore.functions import text as T, vocab as V
-from sitelore.functions.let import let
+from sitelore.functions.let import let, lit, mapping
 
 ORDER = {k: i for i, k in enumerate(V.SECTIONS)}
 PRIORITY = {k: i for i, k in enumerate(V.SECTION_PRIORITY)}
 
 
 def _number(section: Column, numbers: dict[str, int]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])[section]
+    return F.expr(mapping(numbers))[section]
 
 
-def _titles(names: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+def section_title(section: str, lang: str) -> str:
+    """Heading in the site's language, else English, else the key itself."""
+    local = f"""CASE WHEN lower(coalesce({lang}, '')) = 'fa'
+        THEN try_element_at({mapping(V.SECTIONS_FA)}, {section}) END"""
+    return f"coalesce({local}, try_element_at({mapping(V.SECTIONS)}, {section}), {section})"
 
 
-def section_title(section: Column, lang: Column) -> Column:
-    """Heading in the site's language, else English, else the key itself."""
-    local = F.when(
-        F.lower(F.coalesce(lang, F.lit(""))) == "fa", F.try_element_at(_titles(V.SECTIONS_FA), section)
-    )
-    return F.coalesce(local, F.try_element_at(_titles(V.SECTIONS), section), section)
+CONTENTS = f"array_join(transform(s, x -> concat('- ', {section_title('x.section', 'lang')})), '\\n')"
 
 
 def toc(sections: DataFrame, languages: DataFrame) -> DataFrame:
     """Present sections and table of contents per site, in canonical order."""
-    rows = sections.filter(~T.is_blank(F.col("body"))).select("site", "section").join(languages, "site")
+    rows = sections.filter(~F.expr(T.is_blank("body"))).select("site", "section").join(languages, "site")
     listed = rows.groupBy("site", "lang").agg(
         F.array_sort(F.collect_list(F.struct(_number(F.col("section"), ORDER).alias("ord"), "section"))).alias("s")
     )
@@ -40,9 +38,7 @@ def toc(sections: DataFrame, languages: DataFrame) -> DataFrame:
         "site",
         F.array_join(F.transform("s", lambda x: x["section"]), ",").alias("sections_present"),
         F.when(F.col("lang") == "fa", V.TOC_TITLE_FA).otherwise(V.TOC_TITLE).alias("heading"),
-        F.array_join(
-            F.transform("s", lambda x: F.concat(F.lit("- "), section_title(x["section"], F.col("lang")))), "\n"
-        ).alias("toc"),
+        F.expr(CONTENTS).alias("toc"),
     )
 
 
@@ -51,8 +47,8 @@ def overview_source(sections: DataFrame, max_chars: int | None = V.OVERVIEW_CHAR
     parts = sections.filter(F.col("section").isin("company_overview", "products_services"))
     ordered = F.array_sort(F.collect_list(F.struct("section", "body")))  # c before p
     return parts.groupBy("site").agg(
-        T.cap(F.array_join(F.transform(ordered, lambda x: x["body"]), "\n\n"), max_chars).alias("overview")
-    )
+        F.array_join(F.transform(ordered, lambda x: x["body"]), "\n\n").alias("overview")
+    ).select("site", F.expr(T.cap("overview", max_chars)).alias("overview"))
 
 
 def target_tokens(requested: Column) -> Column:
@@ -69,8 +65,8 @@ def compression_plan(sections: DataFrame, target: int = V.TARGET_TOKENS_DEFAULT)
     of lower-priority sections decides each one.
     """
     # a body that needs no condensing is not cut: its saving is 0 either way
-    body = sections.withColumn("condensed", T.leading_paragraphs(F.col("body"), V.CONDENSE_TOKENS))
-    sized = body.withColumn("condensed_tokens", T.tokens(F.col("condensed")))
+    body = sections.withColumn("condensed", F.expr(T.leading_paragraphs("body", V.CONDENSE_TOKENS)))
+    sized = body.withColumn("condensed_tokens", F.expr(T.tokens("condensed")))
     long = F.col("tokens") >= V.CONDENSE_MIN_TOKENS
     saving = F.when(long, F.col("tokens") - F.col("condensed_tokens")).otherwise(0)
     lowest_first = Window.partitionBy("site").orderBy(
@@ -94,7 +90,7 @@ def assemble_document(
     sections: DataFrame, languages: DataFrame, bases: DataFrame, target: int = V.TARGET_TOKENS_DEFAULT
 ) -> DataFrame:
     """One document per site: introduction, contents, then each section under its title."""
-    present = sections.filter(~T.is_blank(F.col("body")))
+    present = sections.filter(~F.expr(T.is_blank("body")))
     planned = compression_plan(present, target)
     both = F.col("section").isin("company_overview", "products_services")
     # the introduction is drawn from the sections before they are condensed
@@ -114,27 +110,12 @@ def assemble_document(
     all_sites = bases.join(languages, "site", "left").withColumn(
         "lang", F.coalesce("lang", F.lit(V.DEFAULT_LANGUAGE))
     ).join(parts, "site", "left")
-    lang = F.col("lang")
-    sources = F.array_join(F.transform("s", lambda x: x["source"]), "\n\n")
-    intro = let(
-        T.paragraphs(F.substring(sources, 1, V.OVERVIEW_CHARS)),
-        lambda p: F.get(F.filter(p, lambda line: line != "---"), F.lit(0)),
-    )
-    heading = F.concat(F.lit("## "), F.when(lang == "fa", V.TOC_TITLE_FA).otherwise(V.TOC_TITLE))
-    contents = F.array_join(
-        F.transform("s", lambda x: F.concat(F.lit("- "), section_title(x["section"], lang))), "\n"
-    )
-    bodies = F.flatten(
-        F.transform(
-            "s",
-            lambda x: F.array(
-                F.concat(F.lit("## "), section_title(x["section"], lang)), T.strip(x["body"])
-            ),
-        )
-    )
-    text = T.strip(
-        F.array_join(F.concat(F.array_compact(F.array(intro, heading, contents)), bodies), "\n\n")
-    )
+    source = f"substring(array_join(transform(s, x -> x.source), '\\n\\n'), 1, {V.OVERVIEW_CHARS})"
+    intro = f"get(filter({T.paragraphs(source)}, line -> line <> '---'), 0)"
+    heading = f"concat('## ', CASE WHEN lang = 'fa' THEN {lit(V.TOC_TITLE_FA)} ELSE {lit(V.TOC_TITLE)} END)"
+    part = f"array(concat('## ', {section_title('x.section', 'lang')}), {T.strip('x.body')})"
+    parts_ = f"concat(array_compact(array({intro}, {heading}, {CONTENTS})), flatten(transform(s, x -> {part})))"
+    text = F.expr(T.strip(f"array_join({parts_}, '\\n\\n')"))
     names = lambda keep: F.array_join(
         F.transform(F.filter("s", keep), lambda x: x["section"]), ","
     )
@@ -144,7 +125,7 @@ def assemble_document(
         F.coalesce(names(lambda x: F.lit(True)), F.lit("")).alias("sections_present"),
         F.coalesce(names(lambda x: x["compress"]), F.lit("")).alias("compressed_sections"),
     ).withColumn("trimmed", F.col("compressed_sections") != "").withColumn(
-        "final_doc_tokens", T.tokens(F.col("document"))
+        "final_doc_tokens", F.expr(T.tokens("document"))
     )
 
 

@@ -6,144 +6,131 @@ filters it and keeps its first matches, so no shuffle is needed to rank within a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sitelore.functions import text as T, vocab as V
-from sitelore.functions.let import let
+from sitelore.functions.let import contains_any, let, lit, one_of
 from sitelore.functions.scale import salted_join
-from sitelore.functions.urls import any_of, contains_any
+from sitelore.functions.urls import unquote_attribute
 
 ELEMENT_RE = r"<[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?>[^<]*"
 ATTRIBUTES = ("id", "class", "href", *V.ATTRIBUTE_VALUES)
 PER_SELECTOR, PER_ELEMENT = 5, 5
 
 
-def _attribute(tag: Column, name: str) -> Column:
+def _attribute(tag: str, name: str) -> str:
     """Attribute as quoted in the tag; '' when absent."""
-    return F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
-
-
-def _element(raw: Column, number: Column) -> Column:
-    tag = F.regexp_extract(raw, "^<[^>]*>", 0)
-    value = lambda name: T.unescape(F.regexp_replace(_attribute(tag, name), "^[\"']|[\"']$", ""))
-    return F.struct(
-        (number + 1).cast("bigint").alias("no"),
-        F.lower(F.regexp_extract(raw, "^<([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"),
-        T.strip(T.unescape(F.regexp_replace(raw, "^<[^>]*>", ""))).alias("text"),
-        (_attribute(tag, "href") != "").alias("has_href"),
-        *[value(a).alias(a) for a in ATTRIBUTES],
-    )
+    pattern = rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*')"""
+    return f"regexp_extract({tag}, {lit(pattern)}, 1)"
+
+
+def _element(raw: str, number: str) -> str:
+    value = lambda name: T.unescape(unquote_attribute(_attribute("opening", name)))
+    attributes = ", ".join(f"'{a}', {value(a)}" for a in ATTRIBUTES)
+    return let("opening", f"regexp_extract({raw}, '^<[^>]*>', 0)", f"""named_struct(
+        'no', CAST({number} + 1 AS BIGINT),
+        'tag', lower(regexp_extract(opening, '^<([a-zA-Z][a-zA-Z0-9]*)', 1)),
+        'text', {T.strip(T.unescape(f"substring({raw}, length(opening) + 1)"))},
+        'has_href', {_attribute('opening', 'href')} <> '',
+        {attributes})""")
 
 
-def page_elements(html: Column) -> Column:
+def page_elements(html: str) -> str:
     """Array of elements: number, tag, the text right after the tag, attributes."""
-    found = F.regexp_extract_all(T.without_scripts(html), F.lit(ELEMENT_RE), F.lit(0))
-    return F.transform(found, _element)
-
-
-def _matches(e: Column, tag, attribute, test, value) -> Column:
-    tests = []
-    if tag:
-        tests.append(e["tag"] == tag)
-    if test == "present":
-        tests.append(e["has_href"])
-    elif test == "text":
-        tests.append(e["text"].contains(value))
-    elif test:
-        actual = F.lower(e[attribute]) if test == "icontains" else e[attribute]
-        tests.append(actual == value if test == "equals" else actual.contains(value))
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return out
-
-
-def inventory_array(html: Column, limit: int = PER_SELECTOR) -> Column:
+    found = f"regexp_extract_all({T.without_scripts(html)}, {lit(ELEMENT_RE)}, 0)"
+    return f"transform({found}, (raw, i) -> {_element('raw', 'i')})"
+
+
+def _matches(tag, attribute, test, value) -> str:
+    """SQL test of one selector on element ``e``."""
+    actual = f"e.`{attribute}`"
+    tests = [f"e.tag = {lit(tag)}"] if tag else []
+    tests += {
+        None: [],
+        "present": ["e.has_href"],
+        "equals": [f"{actual} = {lit(value or '')}"],
+        "contains": [f"contains({actual}, {lit(value or '')})"],
+        "icontains": [f"contains(lower({actual}), {lit(value or '')})"],
+        "text": [f"contains(e.text, {lit(value or '')})"],
+    }[test]
+    return " AND ".join(tests)
+
+
+def inventory_array(html: str, limit: int = PER_SELECTOR) -> str:
     """Array of (category, selector, selector_no, element): first matches of each selector."""
-
-    def of_selector(elements: Column, number: int, spec) -> Column:
-        category, selector, *rule = spec
-        hits = F.slice(F.filter(elements, lambda e: _matches(e, *rule)), 1, limit)
-        return F.transform(
-            hits,
-            lambda e: F.struct(
-                F.lit(category).alias("category"), F.lit(selector).alias("selector"),
-                F.lit(number).cast("bigint").alias("selector_no"), e.alias("element"),
-            ),
-        )
-
-    return let(
-        page_elements(html),
-        lambda els: F.flatten(F.array(*[of_selector(els, i, s) for i, s in enumerate(V.SELECTORS)])),
+    groups = ", ".join(
+        f"""transform(slice(filter(els, e -> {_matches(*rule)}), 1, {limit}), e -> named_struct(
+            'category', {lit(category)}, 'selector', {lit(selector)},
+            'selector_no', CAST({number} AS BIGINT), 'element', e))"""
+        for number, (category, selector, *rule) in enumerate(V.SELECTORS)
     )
+    return let("els", page_elements(html), f"flatten(array({groups}))")
 
 
 def element_inventory(pages: DataFrame, limit: int = PER_SELECTOR) -> DataFrame:
     keep = [c for c in pages.columns if c != "html"]
-    return pages.select(*keep, F.inline(inventory_array(F.col("html"), limit)))
+    return pages.select(*keep, F.expr(f"inline({inventory_array('html', limit)})"))
 
 
-def _digits(x: Column) -> Column:
-    return F.regexp_count(x, F.lit(r"\p{Nd}"))
+def _digits(x: str) -> str:
+    return f"regexp_count({x}, {lit(r'\p{Nd}')})"
 
 
-def _locators(e: Column) -> Column:
-    at = lambda test, value: F.concat(F.lit("//"), e["tag"], F.lit(test), value, F.lit("']"))
-    ident, text = e["id"], e["text"]
-    dynamic = (
-        ((F.length(ident) > 10) & (_digits(ident) > 0)) | ident.contains("__")
-        | ident.startswith("id_") | (_digits(ident) > 3) | contains_any(F.lower(ident), V.DYNAMIC_ID_WORDS)
-    )
-    stable = ident.isin(*V.STABLE_IDS) | ((F.length(ident) < 8) & (_digits(ident) == 0))
-    by_id = F.when(
-        (ident != "") & ~dynamic & stable & ~contains_any(F.lower(ident), V.PERSONAL_ID_WORDS),
-        at("[@id='", ident),
-    )
-    generic = (
-        F.length(text).between(2, 29) & (_digits(text) == 0) & ~text.contains("@")
-        & ~contains_any(F.lower(text), V.PERSONAL_TEXT_WORDS)
-        & contains_any(F.lower(text), V.ACTION_WORDS)
-    )
-    quoted = F.replace(text, F.lit("'"), F.lit("\\'"))
-    by_text = [
-        F.when(generic, F.concat(F.lit("//"), e["tag"], F.lit("[contains(text(), '"), quoted, F.lit("')]"))),
-        F.when(generic, at("[text()='", quoted)),
+def _locator(test: str, value: str, close: str = "']") -> str:
+    return f"concat('//', e.tag, {lit(test)}, {value}, {lit(close)})"
+
+
+def _by_id() -> str:
+    dynamic = f"""(length(e.id) > 10 AND {_digits('e.id')} > 0) OR contains(e.id, '__')
+        OR startswith(e.id, 'id_') OR {_digits('e.id')} > 3
+        OR {contains_any('lower(e.id)', V.DYNAMIC_ID_WORDS)}"""
+    stable = f"e.id IN {one_of(V.STABLE_IDS)} OR (length(e.id) < 8 AND {_digits('e.id')} = 0)"
+    personal = contains_any("lower(e.id)", V.PERSONAL_ID_WORDS)
+    return f"""CASE WHEN e.id <> '' AND NOT ({dynamic}) AND ({stable}) AND NOT {personal}
+        THEN {_locator("[@id='", "e.id")} END"""
+
+
+def _by_text() -> list[str]:
+    generic = f"""length(e.text) BETWEEN 2 AND 29 AND {_digits('e.text')} = 0
+        AND NOT contains(e.text, '@') AND NOT {contains_any('lower(e.text)', V.PERSONAL_TEXT_WORDS)}
+        AND {contains_any('lower(e.text)', V.ACTION_WORDS)}"""
+    quoted = f"""replace(e.text, {lit("'")}, {lit(chr(92) + "'")})"""
+    return [
+        f"""CASE WHEN {generic} THEN {_locator("[contains(text(), '", quoted, "')]")} END""",
+        f"""CASE WHEN {generic} THEN {_locator("[text()='", quoted)} END""",
     ]
 
-    def by_attribute(name: str, allowed) -> Column:
-        value = e[name]
-        usable = (value != "") & (F.length(value) < 50)
-        if allowed:
-            usable = usable & value.isin(*allowed)
-        plain = F.when((_digits(value) == 0) & ~value.contains("@"), at(f"[@{name}='", value))
-        if name == "alt":
-            picture = F.concat(F.lit("//"), e["tag"], F.lit("[contains(@alt, 'profile picture')]"))
-            plain = F.when(F.lower(value).contains("profile picture"), picture).otherwise(plain)
-        return F.when(usable, plain)
-
-    by_href = F.when(
-        (e["href"] != "") & ~contains_any(F.lower(e["href"]), V.PERSONAL_HREFS), at("[@href='", e["href"])
-    )
-    return F.array_compact(
-        F.array(by_id, *by_text, *[by_attribute(a, v) for a, v in V.ATTRIBUTE_VALUES.items()], by_href)
-    )
 
+def _by_attribute(name: str, allowed) -> str:
+    value = f"e.`{name}`"
+    usable = f"{value} <> '' AND length({value}) < 50"
+    if allowed:
+        usable += f" AND {value} IN {one_of(allowed)}"
+    plain = f"""WHEN {_digits(value)} = 0 AND NOT contains({value}, '@')
+        THEN {_locator(f"[@{name}='", value)}"""
+    picture = ""
+    if name == "alt":
+        whole = _locator("[contains(@alt, 'profile picture')]", "''", "")
+        picture = f"WHEN contains(lower({value}), 'profile picture') THEN {whole}"
+    return f"CASE WHEN NOT ({usable}) THEN NULL {picture} {plain} END"
 
-def _by_class(e: Column) -> Column:
-    fits = F.filter(
-        F.split(e["class"], r"\s+"),
-        lambda c: F.lower(c).rlike(any_of(V.CLASS_WORDS)) & (F.length(c) < 25),
-    )
-    return F.transform(
-        F.slice(fits, 1, 1),
-        lambda c: F.concat(F.lit("//"), e["tag"], F.lit("[contains(@class, '"), c, F.lit("')]")),
-    )
 
+def _by_class() -> str:
+    fits = f"""filter(split(e.class, {lit(chr(92) + 's+')}), c ->
+        {contains_any('lower(c)', V.CLASS_WORDS)} AND length(c) < 25)"""
+    return f"""transform(slice({fits}, 1, 1), c -> {_locator("[contains(@class, '", "c", "')]")})"""
 
-def locators(element: Column, limit: int = PER_ELEMENT) -> Column:
+
+def locators(element: str, limit: int = PER_ELEMENT) -> str:
     """First distinct locators of an element; the class is used when nothing else is."""
-    found = lambda e: let(_locators(e), lambda x: F.when(F.size(x) > 0, x).otherwise(_by_class(e)))
-    return F.slice(F.array_distinct(let(element, found)), 1, limit)
+    personal = contains_any("lower(e.href)", V.PERSONAL_HREFS)
+    by_href = f"""CASE WHEN e.href <> '' AND NOT {personal} THEN {_locator("[@href='", "e.href")} END"""
+    tests = [_by_id(), *_by_text(), *[_by_attribute(a, v) for a, v in V.ATTRIBUTE_VALUES.items()], by_href]
+    found = let(
+        "found", f"array_compact(array({', '.join(tests)}))",
+        f"CASE WHEN size(found) > 0 THEN found ELSE {_by_class()} END",
+    )
+    return f"slice(array_distinct({let('e', element, found)}), 1, {limit})"
 
 
 def element_xpaths(pages: DataFrame) -> DataFrame:
@@ -151,7 +138,7 @@ def element_xpaths(pages: DataFrame) -> DataFrame:
     keep = [c for c in rows.columns if c != "element"]
     return rows.select(
         *keep, F.col("element.no").alias("element_no"),
-        F.posexplode(locators(F.col("element"))).alias("xpath_no", "xpath"),
+        F.posexplode(F.expr(locators("element"))).alias("xpath_no", "xpath"),
     ).withColumn("xpath_no", (F.col("xpath_no") + 1).cast("bigint"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sitelore.functions import urls as U
+from sitelore.functions.let import lit
 from sitelore.functions.text import unescape, without_scripts
 
 
@@ -14,24 +15,24 @@ def extract_links(pages: DataFrame, base: str | None = None) -> DataFrame:
     Relative links are resolved against the page's own address, or against column ``base``.
     No shuffle: links are split off inside the task that reads the page.
     """
-    hrefs = F.regexp_extract_all(without_scripts(F.col("html")), F.lit(U.LINK_RE), F.lit(1))
+    hrefs = F.expr(f"regexp_extract_all({without_scripts('html')}, {lit(U.LINK_RE)}, 1)")
     found = pages.select(
         "page_id", "site", F.col("url").alias("src_url"),
         F.col(base or "url").alias("_base"), F.posexplode(hrefs).alias("link_no", "raw"),
-    ).withColumn("href", unescape(U.unquote_attribute(F.col("raw"))))
+    ).withColumn("href", F.expr(unescape(U.unquote_attribute("raw"))))
     return found.select(
         "page_id", "site", "src_url", F.col("link_no").cast("bigint").alias("link_no"), "href",
-        U.normalize(U.resolve(F.col("_base"), F.col("href"))).alias("dst_url"),
+        F.expr(U.normalize(U.resolve("_base", "href"))).alias("dst_url"),
     )
 
 
 def same_site_links(links: DataFrame) -> DataFrame:
-    return links.filter(U.netloc(F.col("dst_url")) == F.col("site"))
+    return links.filter(F.expr(U.netloc("dst_url")) == F.col("site"))
 
 
 def homepages(pages: DataFrame) -> DataFrame:
     """Start address per site: its root page, or its smallest page when the root is missing."""
-    not_root = (~U.path(F.col("url")).isin("", "/")).cast("int")
+    not_root = (~F.expr(U.path("url")).isin("", "/")).cast("int")
     return pages.groupBy("site").agg(
-        F.min_by(U.normalize(F.col("url")), F.struct(not_root, F.col("page_id"))).alias("base_url")
+        F.min_by(F.expr(U.normalize("url")), F.struct(not_root, F.col("page_id"))).alias("base_url")
     )

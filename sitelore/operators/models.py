@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from sitelore.functions import pricing as P, text as X, vocab as V
-from sitelore.functions.let import let
+from sitelore.functions.let import let, lit
 from sitelore.operators.sections import RULE, token_batches
 
 ANSWER = "url string, title_suggestion string, primary_category string, extracted_chunk string"
@@ -33,31 +33,26 @@ def model_requests(chunks: DataFrame, batch_tokens: int = V.BATCH_TOKENS) -> Dat
         )
     )
     limit = F.create_map(*[F.lit(x) for p in V.MAX_OUTPUT_TOKENS.items() for x in p])
-    sized = page.unionByName(section).withColumn("tokens", X.tokens(F.col("text"))).withColumn(
+    sized = page.unionByName(section).withColumn("tokens", F.expr(X.tokens("text"))).withColumn(
         "max_output_tokens", limit[F.col("kind")].cast("bigint")
     )
     return sized.withColumn(
-        "max_cost_usd", P.cost(F.lit(V.CHEAP_MODEL), F.col("tokens"), F.col("max_output_tokens"))
+        "max_cost_usd", F.expr(P.cost(lit(V.CHEAP_MODEL), "tokens", "max_output_tokens"))
     )
 
 
-def answer_json(content: Column) -> Column:
+def answer_json(content: str) -> str:
     """JSON part of a model answer: inside a json fence, else inside any fence, else all of it."""
-
-    def unfence(text):
-        tagged = F.regexp_extract(text, r"(?s)```json(.*?)```", 1)
-        plain = F.regexp_extract(text, r"(?s)```(.+)```", 1)
-        return X.strip(
-            F.when(text.contains("```json"), F.when(text.rlike(r"(?s)```json.*?```"), tagged).otherwise(text))
-            .when(plain != "", plain).otherwise(text)
-        )
-
-    return let(X.strip(F.coalesce(content, F.lit(""))), unfence)
+    tagged, plain = lit("(?s)```json(.*?)```"), lit("(?s)```(.+)```")
+    part = f"""CASE WHEN contains(answer, '```json') THEN
+          CASE WHEN answer RLIKE {tagged} THEN regexp_extract(answer, {tagged}, 1) ELSE answer END
+        WHEN answer RLIKE {plain} THEN regexp_extract(answer, {plain}, 1) ELSE answer END"""
+    return let("answer", X.strip(f"coalesce({content}, '')"), X.strip(part))
 
 
 def model_responses(responses: DataFrame) -> DataFrame:
     """Typed rows from answers (request_id, page_url, page_title, content); defaults when unreadable."""
-    body = answer_json(F.col("content"))
+    body = F.expr(answer_json("content"))
     parsed = responses.withColumn("body", body).withColumn(
         "a",
         F.when(
@@ -65,7 +60,7 @@ def model_responses(responses: DataFrame) -> DataFrame:
             F.from_json("body", ANSWER, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}),
         ),
     )
-    category = F.lower(X.strip(F.coalesce("a.primary_category", F.lit(""))))
+    category = F.expr(f"lower({X.strip("coalesce(a.primary_category, '')")})")
     return parsed.select(
         "request_id",
         F.coalesce("a.url", "page_url").alias("url"),

@@ -14,13 +14,13 @@ from sitelore.functions.scale import first_per_group
 
 def classify_urls(candidates: DataFrame) -> DataFrame:
     """One row per distinct (site, URL): first position, number of copies, reason."""
-    norm = F.when(F.col("url") != "", U.normalize(F.col("url")))
+    norm = F.when(F.col("url") != "", F.expr(U.normalize("url")))
     merged = candidates.select("site", "pos", norm.alias("norm")).groupBy("site", "norm").agg(
         F.min("pos").alias("pos"), F.count(F.lit(1)).alias("copies")
     )
     return merged.select(
         "site", F.col("norm").alias("url"), "pos", "copies",
-        U.drop_reason(F.col("site"), F.col("norm")).alias("reason"),
+        F.expr(U.drop_reason("site", "norm")).alias("reason"),
     )
 
 

@@ -5,23 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitelore.functions import vocab as V
-from sitelore.functions.let import let
+from sitelore.functions.let import let, lit
 
 
-def localise_progress(message: Column) -> Column:
+def localise_progress(message: str) -> str:
     """Persian text of a progress message: page pattern, then the first message it contains."""
-
-    def choose(text: Column) -> Column:
-        out = text
-        for english, persian in reversed(V.PROGRESS_FA.items()):
-            out = F.when(text.contains(english), persian).otherwise(out)
-        page = F.concat(
-            F.lit(V.PAGE_PROGRESS_FA), F.regexp_extract(text, V.PAGE_PROGRESS_RE, 1), F.lit(": "),
-            F.regexp_extract(text, V.PAGE_PROGRESS_RE, 2),
-        )
-        return F.when(text.rlike(V.PAGE_PROGRESS_RE), page).otherwise(out)
-
-    return let(message, choose)
+    part = lambda n: f"regexp_extract(m, {lit(V.PAGE_PROGRESS_RE)}, {n})"
+    tests = " ".join(
+        f"WHEN contains(m, {lit(english)}) THEN {lit(persian)}" for english, persian in V.PROGRESS_FA.items()
+    )
+    return let("m", message, f"""CASE WHEN m RLIKE {lit(V.PAGE_PROGRESS_RE)}
+        THEN concat({lit(V.PAGE_PROGRESS_FA)}, {part(1)}, ': ', {part(2)}) {tests} ELSE m END""")
 
 
 def stamp(ts: Column) -> Column:
@@ -42,7 +36,7 @@ def job_latest(events: DataFrame, preview: int = V.PREVIEW_CHARS) -> DataFrame:
         F.max_by("document", has_doc).alias("document"),
     )
     return state.select(
-        "job_id", "status", "progress", localise_progress(F.col("progress")).alias("progress_fa"),
+        "job_id", "status", "progress", F.expr(localise_progress("progress")).alias("progress_fa"),
         F.concat(F.substring("document", 1, preview), F.lit("...")).alias("preview"),
         F.when(F.col("status") == "completed", F.col("document")).alias("document"),
     )

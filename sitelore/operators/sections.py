@@ -64,7 +64,7 @@ def _merged_bodies(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
     Copies meet in a partial aggregate, so a paragraph repeated on most pages moves once per input
     partition.  Chunks are put back together first, then the groups.
     """
-    firsts = paragraphs.groupBy(*keys, T.paragraph_key(F.col("para")).alias("key")).agg(
+    firsts = paragraphs.groupBy(*keys, F.expr(T.paragraph_key("para")).alias("key")).agg(
         F.min(F.struct("pos", "no", "para")).alias("first")
     )
     in_order = lambda items, text, sep: F.array_join(
@@ -77,7 +77,7 @@ def _merged_bodies(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _paragraph_rows(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    return rows.select(*keys, "pos", F.posexplode(T.paragraphs(F.col(text))).alias("no", "para"))
+    return rows.select(*keys, "pos", F.posexplode(F.expr(T.paragraphs(text))).alias("no", "para"))
 
 
 def section_partial(chunks: DataFrame, budget: int = V.BATCH_TOKENS) -> DataFrame:
@@ -106,12 +106,12 @@ def section_docs(merged: DataFrame, contacts: DataFrame) -> DataFrame:
     """(site, section, body, tokens): merged bodies, the contact block put before ``contact``."""
     block = contacts.select(
         "site", F.lit("contact").alias("section"),
-        C.context(F.col("emails"), F.col("phones")).alias("block"),
+        F.expr(C.context("emails", "phones")).alias("block"),
     ).filter("block IS NOT NULL")
     return (
         merged.join(block, ["site", "section"], "full_outer")
         .select("site", "section", F.concat_ws("\n\n", "block", "body").alias("body"))
-        .withColumn("tokens", T.tokens(F.col("body")))
+        .withColumn("tokens", F.expr(T.tokens("body")))
     )
 
 

@@ -42,22 +42,21 @@ def scan_lang_snippet(spark, sf):
 # --- URLs -----------------------------------------------------------------------------------
 @query
 def url_parts(spark, sf):
-    u = F.col("url")
+    parts = (U.scheme, U.netloc, U.path, U.query, U.fragment)
     return D.candidates(spark, sf).select(
-        "site", "pos", U.scheme(u).alias("scheme"), U.netloc(u).alias("netloc"),
-        U.path(u).alias("path"), U.query(u).alias("query"), U.fragment(u).alias("fragment"),
+        "site", "pos", *[F.expr(part("url")).alias(part.__name__) for part in parts]
     )
 
 
 @query
 def url_normalize(spark, sf):
-    return D.candidates(spark, sf).select("site", "pos", U.normalize(F.col("url")).alias("norm"))
+    return D.candidates(spark, sf).select("site", "pos", F.expr(U.normalize("url")).alias("norm"))
 
 
 @query
 def url_resolve(spark, sf):
     return D.hrefs(spark, sf).select(
-        "page_id", "href", U.resolve(F.col("url"), F.col("href")).alias("resolved")
+        "page_id", "href", F.expr(U.resolve("url", "href")).alias("resolved")
     )
 
 
@@ -89,9 +88,9 @@ def dropped_by_reason(spark, sf):
 
 @query
 def is_product_url(spark, sf):
+    found = U.is_product(f"lower({U.path('url')})")
     return D.candidates(spark, sf).select(
-        "site", "pos",
-        F.coalesce(U.is_product(F.lower(U.path(F.col("url")))), F.lit(False)).alias("is_product"),
+        "site", "pos", F.expr(f"coalesce({found}, false)").alias("is_product")
     )
 
 
@@ -158,17 +157,17 @@ def documents(spark, sf):
 
 @query
 def page_title(spark, sf):
-    return pages(spark, sf).select("page_id", T.page_title(F.col("html")).alias("title"))
+    return pages(spark, sf).select("page_id", F.expr(T.page_title("html")).alias("title"))
 
 
 @query
 def clean_text(spark, sf):
-    return pages(spark, sf).select("page_id", T.clean_text(F.col("html")).alias("text"))
+    return pages(spark, sf).select("page_id", F.expr(T.clean_text("html")).alias("text"))
 
 
 @query
 def plain_text(spark, sf):
-    return pages(spark, sf).select("page_id", T.plain_text(F.col("html")).alias("text"))
+    return pages(spark, sf).select("page_id", F.expr(T.plain_text("html")).alias("text"))
 
 
 @query
@@ -180,28 +179,30 @@ def main_content(spark, sf):
         F.when(pid % 3 == 0, html).when(pid % 3 == 1, plain)
         .otherwise(F.replace(plain, F.lit("<p>"), F.lit("<br>")))
     )
-    return pages(spark, sf).select("page_id", T.main_content(shaped).alias("chunk"))
+    return pages(spark, sf).select("page_id", shaped.alias("html")).select(
+        "page_id", F.expr(T.main_content("html")).alias("chunk")
+    )
 
 
 @query
 def strip_noise_html(spark, sf):
-    return pages(spark, sf).select("page_id", T.strip_noise_html(F.col("html")).alias("html"))
+    return pages(spark, sf).select("page_id", F.expr(T.strip_noise_html("html")).alias("html"))
 
 
 @query
 def token_count(spark, sf):
-    return documents(spark, sf).select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    return documents(spark, sf).select("doc_id", F.expr(T.tokens("text")).alias("tokens"))
 
 
 @query
 def detect_script_lang(spark, sf):
-    return D.script_texts(spark, sf).select("doc_id", G.script_language(F.col("text")).alias("lang"))
+    return D.script_texts(spark, sf).select("doc_id", F.expr(G.script_language("text")).alias("lang"))
 
 
 @query
 def detect_lang(spark, sf):
     return documents(spark, sf).select(
-        "doc_id", G.stopword_language(F.col("text")).alias("detected"), F.col("lang").alias("labelled")
+        "doc_id", F.expr(G.stopword_language("text")).alias("detected"), F.col("lang").alias("labelled")
     )
 
 
@@ -213,7 +214,7 @@ def language_name(spark, sf):
         .when(key == 3, None).when(key == 4, "fa").otherwise(lang)
     )
     return documents(spark, sf).select("doc_id", code.alias("code")).withColumn(
-        "name", G.language_name(F.col("code"))
+        "name", F.expr(G.language_name("code"))
     )
 
 
@@ -242,7 +243,7 @@ def site_colors(spark, sf):
 def page_section(spark, sf):
     good = S.fetched(D.crawl(spark, sf))
     return good.select(
-        "page_id", content.section_of(F.col("url"), T.page_title(F.col("html"))).alias("section")
+        "page_id", F.expr(content.section_of("url", T.page_title("html"))).alias("section")
     )
 
 
@@ -254,10 +255,8 @@ def page_chunks(spark, sf):
 @query
 def faq_pairs(spark, sf):
     """Document texts with a question line made of each clause that ends in a comma."""
-    lines = F.replace(
-        F.replace(F.col("text"), F.lit(", "), F.lit("?\n")), F.lit(". "), F.lit(".\n")
-    )
-    return documents(spark, sf).select("doc_id", F.inline(T.faq_pairs(lines)))
+    lines = "replace(replace(text, ', ', '?\\n'), '. ', '.\\n')"
+    return documents(spark, sf).select("doc_id", F.expr(f"inline({T.faq_pairs(lines)})"))
 
 
 # --- sections, documents, the full chain ----------------------------------------------------
@@ -294,7 +293,7 @@ def section_merge(spark, sf):
 @query
 def contact_context(spark, sf):
     return built(spark, sf).contacts.select(
-        "site", C.context(F.col("emails"), F.col("phones")).alias("block")
+        "site", F.expr(C.context("emails", "phones")).alias("block")
     )
 
 
@@ -305,7 +304,7 @@ def section_title(spark, sf):
     return documents(spark, sf).select(
         "doc_id", F.element_at(names, (key % 9 + 1).cast("int")).alias("section"),
         F.when(key % 3 == 0, "FA").otherwise(F.col("lang")).alias("lang"),
-    ).withColumn("title", document.section_title(F.col("section"), F.col("lang")))
+    ).withColumn("title", F.expr(document.section_title("section", "lang")))
 
 
 @query
@@ -444,8 +443,8 @@ def model_apply(spark, sf):
 @query
 def model_price(spark, sf):
     return D.usage(spark, sf).groupBy("model").agg(F.count(F.lit(1)).alias("n")).select(
-        "model", "n", P.price(F.col("model"), "input").alias("input"),
-        P.price(F.col("model"), "output").alias("output"),
+        "model", "n", F.expr(P.price("model", "input")).alias("input"),
+        F.expr(P.price("model", "output")).alias("output"),
     )
 
 
@@ -517,7 +516,7 @@ def job_latest(spark, sf):
 @query
 def progress_localise(spark, sf):
     return D.job_events(spark, sf).select(
-        "event_id", runs.localise_progress(F.col("progress")).alias("progress_fa")
+        "event_id", F.expr(runs.localise_progress("progress")).alias("progress_fa")
     )
 
 
@@ -568,7 +567,7 @@ def reports(spark, sf):
         kb.documents.join(kb.bases, "site").join(kb.audit(), "site").join(n, "site", "left")
         .withColumn("pages", F.coalesce("pages", F.lit(0)).cast("bigint"))
         .withColumn("job_id", F.md5("site")).withColumn("depth", F.lit("deep"))
-        .withColumn("cost", costs.usd(P.cost(F.lit(V.CHEAP_MODEL), F.col("final_doc_tokens"), F.lit(0))))
+        .withColumn("cost", F.expr(P.usd(P.flat_cost("final_doc_tokens", "0"))))
     )
 
 

@@ -6,7 +6,7 @@ extend the real rows; every one of them grows with the table it comes from.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitelore.functions import urls as U, vocab as V
 from sitelore.functions.scale import salted_join
@@ -17,20 +17,16 @@ SHOP = "shop.example.com"
 ROW = 1_000_000  # positions reserved per page
 
 
-def origin(url: Column) -> Column:
-    return F.concat(U.scheme(url), F.lit("://"), U.netloc(url))
-
-
 def crawl(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with response columns; every third page sits at one of the core paths of its site."""
     core = F.array(*[F.lit(p) for p in V.CORE_PATHS])
     pid, url = F.col("page_id"), F.col("url")
     core_url = F.concat(
-        origin(url), F.element_at(core, (F.floor(pid / 3) % len(V.CORE_PATHS) + 1).cast("int"))
+        F.expr(U.origin("url")), F.element_at(core, (F.floor(pid / 3) % len(V.CORE_PATHS) + 1).cast("int"))
     )
     return table(spark, sf, "pages").select(
         "page_id",
-        U.netloc(url).alias("site"),
+        F.expr(U.netloc("url")).alias("site"),
         F.when(pid % 3 == 0, core_url).otherwise(url).alias("url"),
         F.when(pid % 17 == 5, 404).otherwise(200).cast("bigint").alias("status"),
         F.when(pid % 19 == 7, "application/json").otherwise("text/html; charset=utf-8").alias("content_type"),
@@ -103,7 +99,7 @@ def hrefs(spark: SparkSession, sf: str) -> DataFrame:
 def link_graph(spark: SparkSession, sf: str) -> DataFrame:
     """Links by language section: start page -> first page of each section -> its pages."""
     pages = fetched(crawl(spark, sf)).select(
-        "site", "page_id", U.normalize(F.col("url")).alias("url"),
+        "site", "page_id", F.expr(U.normalize("url")).alias("url"),
         (F.col("page_id") % 4).alias("part"),
     )
     heads = pages.groupBy("site", "part").agg(F.min_by("url", "page_id").alias("src_url"))
@@ -278,7 +274,7 @@ def element_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('<textarea class="post-box wide"></textarea><form class="plain"></form><h2 title="More">View more</h2>'),
     )
     return table(spark, sf, "pages").select(
-        "page_id", U.netloc(F.col("url")).alias("site"),
+        "page_id", F.expr(U.netloc("url")).alias("site"),
         F.concat(F.col("html"), widgets).alias("html"),
     )
 

@@ -9,11 +9,10 @@ from sitelore.functions import urls as U, vocab as V
 CSV = {"header": "true", "escape": '"', "multiLine": "true", "emptyValue": ""}
 
 
-def report_name(base_url: Column, stamp: str, job_id: Column, kind: str, suffix: str) -> Column:
-    domain = F.replace(F.replace(U.netloc(base_url), F.lit("www."), F.lit("")), F.lit("."), F.lit("_"))
-    return F.concat(
-        F.lit(f"{kind}_"), domain, F.lit(f"_{stamp}_"), F.substring(job_id, 1, 8), F.lit(suffix)
-    )
+def report_name(stamp: str, kind: str, suffix: str) -> Column:
+    """File name from columns base_url and job_id."""
+    domain = f"replace(replace({U.netloc('base_url')}, 'www.', ''), '.', '_')"
+    return F.expr(f"concat('{kind}_', {domain}, '_{stamp}_', substring(job_id, 1, 8), '{suffix}')")
 
 
 def kb_markdown(reports: DataFrame, generated: str, stamp: str) -> DataFrame:
@@ -44,7 +43,7 @@ def kb_markdown(reports: DataFrame, generated: str, stamp: str) -> DataFrame:
             F.lit("present="), F.coalesce(F.nullif(flags, F.lit("")), F.lit("none")), F.coalesce(missing, F.lit("")))),
     )
     return reports.select(
-        "site", report_name(F.col("base_url"), stamp, F.col("job_id"), "knowledge_base", ".md").alias("name"),
+        "site", report_name(stamp, "knowledge_base", ".md").alias("name"),
         F.concat(header, F.lit("\n\n---\n\n"), F.col("document")).alias("content"),
     )
 
@@ -66,7 +65,7 @@ def kb_metadata(reports: DataFrame, generated: str, stamp: str) -> DataFrame:
     """(site, name, metadata) with nested statistics."""
     nested = F.struct(
         "job_id", F.col("base_url").alias("url"), F.lit(generated).alias("generated_at"),
-        report_name(F.col("base_url"), stamp, F.col("job_id"), "knowledge_base", ".md").alias("knowledge_base_file"),
+        report_name(stamp, "knowledge_base", ".md").alias("knowledge_base_file"),
         F.col("pages").alias("extracted_pages_count"), F.col("lang").alias("detected_target_language"),
         "depth",
         F.struct(
@@ -75,7 +74,7 @@ def kb_metadata(reports: DataFrame, generated: str, stamp: str) -> DataFrame:
         ).alias("quality_report"),
     )
     return reports.select(
-        "site", report_name(F.col("base_url"), stamp, F.col("job_id"), "metadata", ".json").alias("name"),
+        "site", report_name(stamp, "metadata", ".json").alias("name"),
         nested.alias("metadata"),
     )
 

@@ -46,7 +46,7 @@ def robots_sitemaps(robots: DataFrame, bases: DataFrame) -> DataFrame:
         F.explode(
             F.transform(
                 F.array(F.lit("/sitemap.xml"), F.lit("/sitemap_index.xml")),
-                lambda p: F.concat(U.scheme(F.col("base_url")), F.lit("://"), U.netloc(F.col("base_url")), p),
+                lambda p: F.concat(F.expr(U.scheme("base_url")), F.lit("://"), F.expr(U.netloc("base_url")), p),
             )
         ).alias("sitemap_url"),
     )

@@ -17,7 +17,7 @@ def latest_states(events: DataFrame) -> DataFrame:
     )
     return state.select(
         "job_id", "last_event", F.col("last.status").alias("status"),
-        localise_progress(F.col("last.progress")).alias("progress_fa"),
+        F.expr(localise_progress("last.progress")).alias("progress_fa"),
         F.concat_ws("/", F.col("done").cast("string"), F.col("last.total").cast("string")).alias("counter"),
     )
 

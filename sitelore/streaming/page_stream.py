@@ -21,11 +21,11 @@ def read_pages(spark: SparkSession, folder: str, name_filter: str = "*.parquet")
 def page_facts(pages: DataFrame) -> DataFrame:
     """Row-local facts; also usable on a batch table."""
     return pages.select(
-        "page_id", U.netloc(F.col("url")).alias("site"), U.normalize(F.col("url")).alias("url"),
-        T.page_title(F.col("html")).alias("title"), T.main_content(F.col("html")).alias("chunk"),
+        "page_id", F.expr(U.netloc("url")).alias("site"), F.expr(U.normalize("url")).alias("url"),
+        F.expr(T.page_title("html")).alias("title"), F.expr(T.main_content("html")).alias("chunk"),
     ).select(
-        "*", F.array_join(F.array_sort(C.emails(F.col("chunk"))), ", ").alias("emails"),
-        F.array_join(F.array_sort(C.phones(F.col("chunk"))), ", ").alias("phones"),
+        "*", F.array_join(F.array_sort(F.expr(C.emails("chunk"))), ", ").alias("emails"),
+        F.array_join(F.array_sort(F.expr(C.phones("chunk"))), ", ").alias("phones"),
     )
 
 
@@ -34,7 +34,7 @@ def first_arrivals(pages: DataFrame, keep: str = "1 day") -> DataFrame:
 
     The state holds addresses, never HTML, for ``keep`` after their arrival, so it stays bounded.
     """
-    arrived = pages.withColumn("norm_url", U.normalize(F.col("url"))).withColumn(
+    arrived = pages.withColumn("norm_url", F.expr(U.normalize("url"))).withColumn(
         "arrived_at", F.current_timestamp()
     )
     return arrived.withWatermark("arrived_at", keep).dropDuplicatesWithinWatermark(["norm_url"])
