@@ -6,6 +6,7 @@ from sitelore.functions import vocab as V
 from sitelore.functions.let import let, lit
 from sitelore.functions.text import strip
 
+PHONE_RUN_RE = r"[\p{Nd}\s\p{Z}()+-]{%d,}"
 NONE = "CAST(array() AS array<string>)"
 
 
@@ -18,7 +19,10 @@ def emails(text: str) -> str:
 def phones(text: str) -> str:
     """Distinct phone-like runs whose digit count is plausible."""
     low, high = V.PHONE_DIGITS
-    found = f"transform(regexp_extract_all({text}, {lit(V.PHONE_RE)}, 0), m -> {strip('m')})"
+    # a match lies inside a run of digits, blanks and phone signs: look there only
+    runs = f"regexp_extract_all({text}, {lit(PHONE_RUN_RE % low)}, 0)"
+    matches = f"flatten(transform({runs}, run -> regexp_extract_all(run, {lit(V.PHONE_RE)}, 0)))"
+    found = f"transform({matches}, m -> {strip('m')})"
     digits = rf"length(regexp_replace(m, '\\P{{Nd}}', ''))"
     return f"array_distinct(filter({found}, m -> {digits} BETWEEN {low} AND {high}))"
 

@@ -9,13 +9,12 @@ from sitelore.functions.text import cap
 
 def script_language(text: str, max_chars: int | None = None) -> str:
     """``fa`` or ``ar`` when enough letters are of Arabic script, else NULL."""
-    letters = f"""named_struct('arabic', regexp_count(sample, {lit(f'[{V.ARABIC_RANGES}]')}),
-        'latin', regexp_count(sample, '[A-Za-z]'))"""
-    enough = f"""n.arabic >= {V.SCRIPT_MIN_LETTERS}
-        AND n.arabic >= {V.SCRIPT_MIN_SHARE}D * (n.arabic + n.latin)"""
+    arabic = f"regexp_count(sample, {lit(f'[{V.ARABIC_RANGES}]')})"
+    latin = "length(regexp_replace(sample, '[^A-Za-z]+', ''))"  # only where needed
+    share = f"n >= {V.SCRIPT_MIN_SHARE}D * (n + {latin})"
     persian = f"CASE WHEN sample RLIKE {lit(f'[{V.PERSIAN_LETTERS}]')} THEN 'fa' ELSE 'ar' END"
-    return let("sample", cap(text, max_chars),
-               let("n", letters, f"CASE WHEN {enough} THEN {persian} END"))
+    decide = f"CASE WHEN n >= {V.SCRIPT_MIN_LETTERS} THEN CASE WHEN {share} THEN {persian} END END"
+    return let("sample", cap(text, max_chars), let("n", arabic, decide))
 
 
 def stopword_language(text: str, max_chars: int | None = None) -> str:

@@ -64,9 +64,10 @@ def unescape(x: str) -> str:
     return let("t", x, f"CASE WHEN contains(t, '&') THEN {amp} ELSE t END")
 
 
-def _elements_re(tags) -> str:
-    inner = "|".join(rf"{t}\b[^>]*>.*?</{t}" for t in tags)
-    return rf"(?is)<(?:{inner})\s*>"
+def _elements_re(tags, or_else: str = "") -> str:
+    """All alternatives share one leading ``<``, so other characters are passed over quickly."""
+    inner = "|".join(rf"{t}\b[^>]*>.*?</{t}\s*>" for t in tags)
+    return rf"(?is)<(?:{inner}{or_else})"
 
 
 def drop_elements(html: str, tags) -> str:
@@ -74,12 +75,12 @@ def drop_elements(html: str, tags) -> str:
 
 
 def without_scripts(html: str) -> str:
-    return replace_all(html, _elements_re(("script", "style")) + "|<!--.*?-->")
+    return replace_all(html, _elements_re(("script", "style"), "|!--.*?-->"))
 
 
 def body(html: str) -> str:
     """Inside of ``<body>``; the whole text when there is none."""
-    return replace_all(html, r"(?is)^.*?<body\b[^>]*>|</body\s*>.*$")
+    return replace_all(replace_all(html, r"(?is)^.*?<body\b[^>]*>"), r"(?is)</body\s*>.*$")
 
 
 def text_nodes(html: str) -> str:
@@ -155,7 +156,9 @@ def paragraphs(x: str) -> str:
 
 
 def paragraph_key(x: str) -> str:
-    return f"lower({replace_all(x, f'[{WS}]+', ' ')})"
+    """Lower case, blanks squeezed; single plain blanks are passed over."""
+    uneven = f"[{WS}&&[^ ]][{WS}]*| [{WS}]+"
+    return f"lower({replace_all(x, uneven, ' ')})"
 
 
 def leading_paragraphs(x: str, max_tokens: int) -> str:

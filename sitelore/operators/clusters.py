@@ -145,14 +145,14 @@ def cluster_assign(sample: DataFrame) -> DataFrame:
     tests = [f"CASE WHEN {contains_any('lower(url)', w)} THEN '{c}' END" for c, w in V.CLUSTER_WORDS.items()]
     labels = F.expr(f"array_compact(array({', '.join(tests)}))")
     rows = sample.select(
-        "site", F.explode(labels).alias("cluster"), F.col("rank").alias("ord"), "url"
+        "site", F.explode(labels).alias("cluster"), F.col("rank").alias("ord"), "url", "pos"
     )
     ranked = first_per_group(
         rows, ["site", "cluster"], _cols("ord", "url"), max(V.CLUSTER_LIMITS.values())
     )
     limit = F.create_map(*[F.lit(x) for p in V.CLUSTER_LIMITS.items() for x in p])
     return ranked.filter(F.col("rank") <= limit[F.col("cluster")]).select(
-        "site", "cluster", "rank", "url"
+        "site", "cluster", "rank", "url", "pos"
     )
 
 
@@ -187,17 +187,18 @@ def page_budget(requested: Column) -> Column:
 def select_pages(
     bases: DataFrame, kept: DataFrame, budget: int = V.PAGE_BUDGET_DEFAULT
 ) -> DataFrame:
-    """(site, rank, url, cluster): start page, then clusters in pick order, then kept order.
+    """(site, rank, url, cluster, pos): start page, then clusters in pick order, then kept order.
 
     The kept list starts with the start page.  All three sources are bounded per site (1,
     the cluster limits, and the budget plus what the others may repeat), so the final window
     never sees more rows of a site than that.
     """
     budget = max(1, min(budget or V.PAGE_BUDGET_DEFAULT, V.PAGE_BUDGET_MAX))
-    home = bases.select("site", F.col("base_url").alias("url"))
+    home = bases.select("site", F.col("base_url").alias("url"), F.col("page_id").alias("pos"))
+    front = F.lit(-1).cast("bigint")
     listed = (
         kept.select("site", "url", "pos", "tail")
-        .unionByName(home.withColumn("pos", F.lit(-1).cast("bigint")).withColumn("tail", F.lit(-1).cast("bigint")))
+        .unionByName(home.withColumn("pos", front).withColumn("tail", front))
         .groupBy("site", "url")
         # the start page keeps its own place when it is in the list, else it goes first
         .agg(
@@ -214,18 +215,18 @@ def select_pages(
     extra = sum(V.CLUSTER_LIMITS.values()) + 1
     backfill = first_per_group(listed, ["site"], _cols("tail", "pos", "url"), budget + extra)
     picks = (
-        home.select("site", "url", F.lit("company_information").alias("cluster"),
+        home.select("site", "url", "pos", F.lit("company_information").alias("cluster"),
                     F.lit(0).alias("source"), F.lit(0).cast("bigint").alias("ord"))
-        .unionByName(clusters.select("site", "url", "cluster", pick[F.col("cluster")].alias("source"),
+        .unionByName(clusters.select("site", "url", "pos", "cluster", pick[F.col("cluster")].alias("source"),
                                      F.col("rank").alias("ord")))
-        .unionByName(backfill.select("site", "url", F.lit("company_information").alias("cluster"),
+        .unionByName(backfill.select("site", "url", "pos", F.lit("company_information").alias("cluster"),
                                      F.lit(9).alias("source"), F.col("rank").alias("ord")))
         .groupBy("site", "url")
-        .agg(F.min(F.struct("source", "ord", "cluster")).alias("best"))
+        .agg(F.min(F.struct("source", "ord", "cluster", "pos")).alias("best"))
         .select("site", "url", "best.*")
     )
     return first_per_group(picks, ["site"], _cols("source", "ord", "url"), budget).select(
-        "site", "rank", "url", "cluster"
+        "site", "rank", "url", "cluster", "pos"
     )
 
 

@@ -36,17 +36,11 @@ def page_chunks(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
 def selected_chunks(
     pages: DataFrame, selected: DataFrame, max_chars: int | None = None
 ) -> DataFrame:
-    """Chunks of the selected pages; ``pos`` is the selection rank.
+    """Chunks of the selected pages (site, rank, url, cluster, page_id); ``pos`` is the rank.
 
-    Selection is joined to the pages' addresses first (narrow), then the text is taken by page
-    number, so HTML is never shuffled.
+    The text is taken by page number, so HTML is never shuffled.
     """
-    first_copy = pages.groupBy("site", F.expr(U.normalize("url")).alias("url")).agg(
-        F.min("page_id").alias("page_id")
-    )
-    wanted = selected.join(first_copy, ["site", "url"]).select(
-        "page_id", "site", F.col("rank").alias("pos"), "url", "cluster"
-    )
+    wanted = selected.select("page_id", "site", F.col("rank").alias("pos"), "url", "cluster")
     texts = lambda rows: rows.select(
         "page_id", *[c for c in wanted.columns if c != "page_id" and c in rows.columns],
         F.expr(T.page_title("html")).alias("title"),

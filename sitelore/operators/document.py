@@ -77,6 +77,7 @@ def compression_plan(sections: DataFrame, target: int = V.TARGET_TOKENS_DEFAULT)
     return sized.withColumn("compress", long & (left > target)).select(
         "site", "section", "tokens", "condensed_tokens", "compress",
         F.when(F.col("compress"), F.col("condensed")).otherwise(F.col("body")).alias("body"),
+        F.col("body").alias("whole_body"),
     )
 
 
@@ -91,13 +92,9 @@ def assemble_document(
 ) -> DataFrame:
     """One document per site: introduction, contents, then each section under its title."""
     present = sections.filter(~F.expr(T.is_blank("body")))
-    planned = compression_plan(present, target)
     both = F.col("section").isin("company_overview", "products_services")
     # the introduction is drawn from the sections before they are condensed
-    rows = planned.join(
-        present.select("site", "section", F.when(both, F.col("body")).alias("source")),
-        ["site", "section"],
-    )
+    rows = compression_plan(present, target).withColumn("source", F.when(both, F.col("whole_body")))
     parts = rows.groupBy("site").agg(
         F.array_sort(
             F.collect_list(

@@ -32,7 +32,7 @@ def same_site_links(links: DataFrame) -> DataFrame:
 
 def homepages(pages: DataFrame) -> DataFrame:
     """Start address per site: its root page, or its smallest page when the root is missing."""
-    not_root = (~F.expr(U.path("url")).isin("", "/")).cast("int")
-    return pages.groupBy("site").agg(
-        F.min_by(F.expr(U.normalize("url")), F.struct(not_root, F.col("page_id"))).alias("base_url")
+    first = f"min(struct(NOT {U.is_root('url')}, page_id, {U.normalize('url')} AS base_url))"
+    return pages.groupBy("site").agg(F.expr(first).alias("first")).select(
+        "site", "first.base_url", "first.page_id"
     )

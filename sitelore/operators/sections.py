@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sitelore.functions import contacts as C, text as T, vocab as V
+from sitelore.functions.let import lit
 
 RULE = "\n\n---\n\n"
 
@@ -62,18 +63,16 @@ def _merged_bodies(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, pos, no, para) -> body per key: first copy of each paragraph, in order.
 
     Copies meet in a partial aggregate, so a paragraph repeated on most pages moves once per input
-    partition.  Chunks are put back together first, then the groups.
+    partition.  Paragraphs of one chunk are joined by a newline, chunks by a rule.
     """
     firsts = paragraphs.groupBy(*keys, F.expr(T.paragraph_key("para")).alias("key")).agg(
         F.min(F.struct("pos", "no", "para")).alias("first")
     )
-    in_order = lambda items, text, sep: F.array_join(
-        F.transform(F.array_sort(F.collect_list(items)), lambda x: x[text]), sep
+    before = f"""CASE WHEN i = 0 THEN '' WHEN get(ps, i - 1).pos = p.pos THEN '\\n' ELSE {lit(RULE)} END"""
+    joined = f"array_join(transform(ps, (p, i) -> concat({before}, p.para)), '')"
+    return firsts.groupBy(*keys).agg(F.array_sort(F.collect_list("first")).alias("ps")).select(
+        *keys, F.expr(joined).alias("body")
     )
-    texts = firsts.groupBy(*keys, F.col("first.pos").alias("pos")).agg(
-        in_order(F.struct("first.no", "first.para"), "para", "\n").alias("text")
-    )
-    return texts.groupBy(*keys).agg(in_order(F.struct("pos", "text"), "text", RULE).alias("body"))
 
 
 def _paragraph_rows(rows: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -121,7 +121,7 @@ def url_category(spark, sf):
 
 @query
 def cluster_assign(spark, sf):
-    return clusters.cluster_assign(clusters.tier_quota_sample(kept(spark, sf)))
+    return clusters.cluster_assign(clusters.tier_quota_sample(kept(spark, sf))).drop("pos")
 
 
 @query
@@ -138,7 +138,7 @@ def page_budget(spark, sf):
 
 @query
 def select_pages(spark, sf):
-    return clusters.select_pages(D.bases(spark, sf), kept(spark, sf))
+    return clusters.select_pages(D.bases(spark, sf), kept(spark, sf)).drop("pos")
 
 
 @query
@@ -331,7 +331,7 @@ def target_tokens(spark, sf):
 
 @query
 def compression_plan(spark, sf):
-    return document.compression_plan(built(spark, sf).sections, target=2000).drop("body")
+    return document.compression_plan(built(spark, sf).sections, target=2000).drop("body", "whole_body")
 
 
 @query

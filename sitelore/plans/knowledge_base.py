@@ -46,7 +46,10 @@ def build(
     good = fetched(pages)
     bases = links.homepages(good)
     candidates = good.select("site", F.col("page_id").alias("pos"), "url")
-    selected = reused(clusters.select_pages(bases, prefilter.prefilter_urls(candidates), budget))
+    selected = reused(
+        clusters.select_pages(bases, prefilter.prefilter_urls(candidates), budget)
+        .withColumnRenamed("pos", "page_id")  # candidates stand at their page number
+    )
     chunks = reused(content.selected_chunks(good, selected, max_chars))
     contacts = content.site_contacts(chunks)
     languages = content.site_language(chunks)

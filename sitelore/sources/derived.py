@@ -37,7 +37,7 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
 def bases(spark: SparkSession, sf: str) -> DataFrame:
     """Start address per site, the shop included."""
     shop = table(spark, sf, "part").groupBy(F.lit(SHOP).alias("site")).agg(
-        F.first(F.lit(f"https://{SHOP}/")).alias("base_url")
+        F.first(F.lit(f"https://{SHOP}/")).alias("base_url"), F.lit(-1).cast("bigint").alias("page_id")
     )
     return L.homepages(fetched(crawl(spark, sf))).unionByName(shop)
 
