@@ -53,10 +53,10 @@ cte("answers", f"""SELECT conv_id || '-' || turn AS request_id, 'https://site.ex
 cte("first_good", f"SELECT site, {G.norm('url')} AS url, min(page_id) AS page_id FROM good GROUP BY 1, 2")
 FLAT = f"{G.strip(G.rep('t', G.WS + '+', ' '))}"
 DESCRIBE = f"""descr AS (SELECT c.site, c.rank, c.url, {G.strip("array_to_string(regexp_extract_all(" + FLAT + ", '[^.!?؟]+[.!?؟]*')[1:2], '')")} AS description
-  FROM ({CRAWLED}) c JOIN first_good f ON f.site = c.site AND f.url = c.url JOIN (SELECT page_id, {G.lines(G.body(G.no_scripts('html')))} AS t FROM good) USING (page_id) WHERE c.rank <= 10)"""
+  FROM ({CRAWLED}) c JOIN first_good f ON f.site = c.site AND f.url = c.url JOIN (SELECT page_id, {G.lines(G.body(G.no_scripts('html', '<br>')))} AS t FROM good) USING (page_id) WHERE c.rank <= 10)"""
 cte("asked_urls", "SELECT DISTINCT trim(url) AS url FROM crawl_raw")
 cte("prospect_texts", f"""SELECT a.url, t.text FROM asked_urls a LEFT JOIN (SELECT url, min(page_id) AS page_id FROM good GROUP BY url) g USING (url)
-  LEFT JOIN (SELECT page_id, {G.lines(G.body(G.no_scripts('html')))} AS text FROM good) t USING (page_id)""")
+  LEFT JOIN (SELECT page_id, {G.lines(G.body(G.no_scripts('html', '<br>')))} AS text FROM good) t USING (page_id)""")
 TERMS = "list_sort(list_distinct(regexp_extract_all(lower({}), '\\p{{L}}{{4,}}')))"
 cte("profile", f"SELECT item_id, {TERMS.format('text')} AS terms FROM benchmark")
 cte("known_pages", f"SELECT url, {TERMS.format('text')} AS terms FROM prospect_texts WHERE coalesce(text, '') <> ''")
@@ -222,7 +222,8 @@ ORACLES = {
       coalesce(reasoning_for, '') AS reasoning_for, coalesce(reasoning_against, '') AS reasoning_against, coalesce(error, '') AS error FROM prospect_states LEFT JOIN analysis USING (url)"""),
     "sink_run_csv": build(FLAT_RUN.format(n="VARCHAR")),
 }
-cte("stream_pages", f"SELECT page_id, url, html, {X.title('html')} AS title FROM pages")
+cte("stream_pages", f"""SELECT page_id, url, html, {X.title('html')} AS title FROM (
+  SELECT *, row_number() OVER (PARTITION BY {G.norm('url')} ORDER BY page_id) AS copy FROM pages) WHERE copy = 1""")
 cte("stream_chunks", X.main_content("stream_pages", "page_id, url, title"))
 cte("stream_contacts", X.contacts("stream_chunks", "page_id", "chunk"))
 ORACLES["page_stream"] = build(f"""

@@ -100,14 +100,14 @@ def unescape(x):
     return rep(out, "&amp([^A-Za-z0-9;]|$)", r"&\1")
 
 
-def drop(x, tags):
+def drop(x, tags, by=""):
     for t in tags:
-        x = rep(x, rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>")
+        x = rep(x, rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", by)
     return x
 
 
-def no_scripts(x):
-    return rep(drop(x, ["script", "style"]), "(?s)<!--.*?-->")
+def no_scripts(x, by=""):
+    return rep(drop(x, ["script", "style"], by), "(?s)<!--.*?-->", by)
 
 
 def body(x):
@@ -125,7 +125,7 @@ def lines(x):
 
 def clean(x):
     boiler = ["nav", "footer", "header", "noscript", "svg", "form", "iframe"]
-    return rep(lines(drop(body(no_scripts(x)), boiler)), r"\n{3,}", "\n\n")
+    return rep(lines(drop(body(no_scripts(x, "<br>")), boiler, "<br>")), r"\n{3,}", "\n\n")
 
 
 def toks(x):

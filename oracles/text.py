@@ -21,7 +21,7 @@ def main_content(source, keep, html="html"):
     return f"""SELECT {keep}, CASE WHEN length(art) > 40 THEN art WHEN length(blk) > 40 THEN blk ELSE {G.rep(G.lines('page'), chr(92) + 'n{3,}', chr(10) * 2)} END AS chunk
      FROM (SELECT *, {G.lines("array_to_string(regexp_extract_all(page, '(?is)<(?:article|main)" + chr(92) + "b[^>]*>(.*?)</(?:article|main)" + chr(92) + "s*>', 1), '<br>')")} AS art,
        {G.lines(f"array_to_string(list_filter(regexp_split_to_array(page, {q(blk)}), lambda b: regexp_matches({G.rep('b', tag)}, '[^' || {q(G.WS[1:-1])} || ']') AND 2 * length({G.rep(anchors, tag)}) < length({G.rep('b', tag)})), '<br>')")} AS blk
-      FROM (SELECT *, {G.drop(G.body(G.no_scripts(html)), BOILER)} AS page FROM {source}))"""
+      FROM (SELECT *, {G.drop(G.body(G.no_scripts(html, '<br>')), BOILER, '<br>')} AS page FROM {source}))"""
 
 
 def section(url, t):
@@ -90,7 +90,7 @@ QA_TEXT = "replace(replace(text, ', ', '?' || chr(10)), '. ', '.' || chr(10))"
 ORACLES = {
     "page_title": build(f"SELECT page_id, {title('html')} AS title FROM pages"),
     "clean_text": build(f"SELECT page_id, {G.clean('html')} AS text FROM pages"),
-    "plain_text": build(f"SELECT page_id, {G.lines(G.body(G.no_scripts('html')))} AS text FROM pages"),
+    "plain_text": build(f"SELECT page_id, {G.lines(G.body(G.no_scripts('html', '<br>')))} AS text FROM pages"),
     "main_content": build(main_content("shaped", "page_id")),
     "strip_noise_html": build(f"""SELECT page_id, {G.rep(G.drop(G.drop('html', ['script', 'style']), ['nav', 'footer', 'header', 'noscript', 'svg']), '(?i)<(?:meta|link)' + chr(92) + 'b[^>]*>')} AS html FROM pages"""),
     "token_count": build(f"SELECT doc_id, {G.toks('text')} AS tokens FROM documents"),

@@ -83,7 +83,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def project_wanted(
-    pages: DataFrame, wanted: DataFrame, key: str, project, broadcast_rows: int = 1_000_000
+    pages: DataFrame, wanted: DataFrame, key: str, project, broadcast_rows: int = 200_000
 ) -> DataFrame:
     """Wide rows named by a narrow table, projected without ever moving the wide columns.
 
@@ -98,4 +98,4 @@ def project_wanted(
 
 def reused(df: DataFrame) -> DataFrame:
     """Keep a result that several branches read; lost blocks are recomputed from lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -21,6 +21,7 @@ NAMED_ENTITIES = {  # fixed values
 ENTITY_RE = r"&([a-z]{2,6}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
 TAG_RE = r"<[/!?A-Za-z][^>]*>"
 BLOCK_TAG_RE = r"(?i)</?(?:p|li|td|h[1-6]|pre|blockquote)\b[^>]*>"
+GAP = "<br>"  # texts on both sides of a removed element stay two texts
 BODY_RE = r"(?i)<body\b"
 ANCHOR_RE = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
 REGION_RE = r"(?is)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)\s*>"
@@ -70,12 +71,13 @@ def _elements_re(tags, or_else: str = "") -> str:
     return rf"(?is)<(?:{inner}{or_else})"
 
 
-def drop_elements(html: str, tags) -> str:
-    return replace_all(html, _elements_re(tags))
+def drop_elements(html: str, tags, by: str = "") -> str:
+    return replace_all(html, _elements_re(tags), by)
 
 
-def without_scripts(html: str) -> str:
-    return replace_all(html, _elements_re(("script", "style"), "|!--.*?-->"))
+def without_scripts(html: str, by: str = "") -> str:
+    """HTML without scripts, styles and comments."""
+    return replace_all(html, _elements_re(("script", "style"), "|!--.*?-->"), by)
 
 
 def body(html: str) -> str:
@@ -93,11 +95,11 @@ def text_nodes(html: str) -> str:
 def plain_text(html: str, max_chars: int | None = None) -> str:
     """Body text without scripts and styles; empty when the page has no body."""
     text = f"CASE WHEN bare RLIKE {lit(BODY_RE)} THEN {text_nodes(body('bare'))} ELSE '' END"
-    return cap(let("bare", without_scripts(html), text), max_chars)
+    return cap(let("bare", without_scripts(html, GAP), text), max_chars)
 
 
 def _own_region(html: str) -> str:
-    return drop_elements(body(without_scripts(html)), BOILERPLATE)
+    return drop_elements(body(without_scripts(html, GAP)), BOILERPLATE, GAP)
 
 
 def _region_text(region: str) -> str:
@@ -126,9 +128,9 @@ def _mostly_text(block: str) -> str:
 def main_content(html: str, max_chars: int | None = None) -> str:
     """Article or main region; else text blocks that are not mostly links; else clean text."""
     regions = f"regexp_extract_all(page, {lit(REGION_RE)}, 1)"
-    article = text_nodes(f"array_join({regions}, '<br>')")
+    article = text_nodes(f"array_join({regions}, {lit(GAP)})")
     kept = f"filter(split(page, {lit(BLOCK_TAG_RE)}), block -> {_mostly_text('block')})"
-    blocks = text_nodes(f"array_join({kept}, '<br>')")
+    blocks = text_nodes(f"array_join({kept}, {lit(GAP)})")
     last = let("blocks", blocks, f"CASE WHEN length(blocks) > 40 THEN blocks ELSE {_region_text('page')} END")
     first = let("article", article, f"CASE WHEN length(article) > 40 THEN article ELSE {last} END")
     return cap(let("page", _own_region(html), first), max_chars)

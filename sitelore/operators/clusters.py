@@ -41,6 +41,7 @@ def tier_quota_sample(
     free places from medium, then low; medium and low are drawn in md5 order, the same on every
     cluster.
     """
+    kept = reused(kept)  # read by the pools and by the counts
     # Each row enters two pools, the whole list and its tier; one window cuts every pool to a
     # fixed size per site before the shuffle.
     ordered = F.col("pool").isin("all", "high")
@@ -85,6 +86,7 @@ def url_category_sample(
     priority_limit: int = V.CATEGORY_PRIORITY_LIMIT, total: int = V.CATEGORY_TOTAL,
 ) -> DataFrame:
     """Small sites keep all; large ones the first priority addresses, then regular ones by md5."""
+    kept = reused(kept)
     first = F.expr(contains_any("lower(url)", V.CATEGORY_PRIORITY))
     skipped = F.expr(contains_any("lower(url)", V.CATEGORY_SKIP))
     kind = F.when(first, "priority").when(~skipped, "regular")

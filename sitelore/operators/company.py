@@ -77,21 +77,21 @@ def prospect_score(
     distinct before they are split off, and matches of a page are counted in its own task first.
     """
     profile = personas.select("persona_id", terms("text").alias("persona_terms"))
-    by_term = profile.select("persona_id", F.explode("persona_terms").alias("term")).groupBy("term").agg(
-        F.collect_set("persona_id").alias("ids")
-    )
+    sized = profile.withColumn("n_terms", F.size("persona_terms").cast("bigint"))
+    by_term = sized.select(
+        F.struct("persona_id", "n_terms").alias("persona"), F.explode("persona_terms").alias("term")
+    ).groupBy("term").agg(F.collect_set("persona").alias("personas"))
     known = texts.filter(~F.expr(T.is_blank("text"))).select("url", terms("text").alias("page_terms"))
     words = known.select("url", F.explode("page_terms").alias("term"))
     if by_term.limit(broadcast_terms + 1).count() <= broadcast_terms:
         shared = words.join(F.broadcast(by_term), "term")
     else:
         shared = salted_join(words, by_term, ["term"])
-    matched = shared.select("url", F.explode("ids").alias("persona_id")).groupBy("url", "persona_id").agg(
+    matched = shared.select("url", F.inline("personas")).groupBy("url", "persona_id", "n_terms").agg(
         F.count(F.lit(1)).alias("hits")
     )
-    sizes = profile.select("persona_id", F.size("persona_terms").cast("bigint").alias("n_terms"))
     share = F.floor((200 * F.col("hits") + F.col("n_terms")) / (2 * F.col("n_terms")))
-    best = matched.join(sizes, "persona_id").groupBy("url").agg(
+    best = matched.groupBy("url").agg(
         F.max(F.struct(share.alias("confidence"), (-F.col("persona_id")).alias("neg"))).alias("top")
     ).select("url", "top.confidence", (-F.col("top.neg")).alias("best_id"))
     any_id = profile.select(F.min("persona_id")).scalar()  # no match: the first persona, 0 %

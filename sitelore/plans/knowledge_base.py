@@ -14,7 +14,7 @@ from sitelore.sources.tables import fetched
 
 @dataclass(frozen=True)
 class KnowledgeBase:
-    """Tables of one run; all lazy, each usable on its own."""
+    """Tables of one run, each usable on its own."""
 
     bases: DataFrame
     candidates: DataFrame
@@ -51,8 +51,8 @@ def build(
         .withColumnRenamed("pos", "page_id")  # candidates stand at their page number
     )
     chunks = reused(content.selected_chunks(good, selected, max_chars))
-    contacts = content.site_contacts(chunks)
+    contacts = reused(content.site_contacts(chunks))
     languages = content.site_language(chunks)
     bodies = sections.section_docs(sections.section_merge(chunks), contacts)
-    documents = document.assemble_document(bodies, languages, bases, target)
+    documents = reused(document.assemble_document(bodies, languages, bases, target))
     return KnowledgeBase(bases, candidates, selected, chunks, contacts, languages, bodies, documents)

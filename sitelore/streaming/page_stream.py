@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sitelore.functions import contacts as C, text as T, urls as U
+from sitelore.functions.scale import project_wanted
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
@@ -19,7 +20,7 @@ def read_pages(spark: SparkSession, folder: str, name_filter: str = "*.parquet")
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """Row-local facts; also usable on a batch table."""
+    """Row-local facts of pages (page_id, url, html); also usable on a batch table."""
     return pages.select(
         "page_id", F.expr(U.netloc("url")).alias("site"), F.expr(U.normalize("url")).alias("url"),
         F.expr(T.page_title("html")).alias("title"), F.expr(T.main_content("html")).alias("chunk"),
@@ -29,19 +30,31 @@ def page_facts(pages: DataFrame) -> DataFrame:
     )
 
 
-def first_arrivals(pages: DataFrame, keep: str = "1 day") -> DataFrame:
-    """Each normalised address once while it is remembered.
+def start(
+    pages: DataFrame, out: str, checkpoint: str, remember: int | None = None, **trigger
+) -> StreamingQuery:
+    """Append the facts of addresses not seen before to ``out``, one folder per micro-batch.
 
-    The state holds addresses, never HTML, for ``keep`` after their arrival, so it stays bounded.
+    Copies within a batch meet in a partial aggregate on narrow columns, so an address repeated
+    in a third of the rows is no hot task and its copies' HTML is never read for text.  What was
+    seen is the address column of the earlier folders (of the last ``remember`` batches, or all).
+    A repeated batch overwrites its own folder and looks at earlier ones only: exactly once.
     """
-    arrived = pages.withColumn("norm_url", F.expr(U.normalize("url"))).withColumn(
-        "arrived_at", F.current_timestamp()
-    )
-    return arrived.withWatermark("arrived_at", keep).dropDuplicatesWithinWatermark(["norm_url"])
-
 
-def start(pages: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write page facts as parquet; file sink plus checkpoint make the output exactly once."""
-    rows = page_facts(first_arrivals(pages))
-    writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    def save(batch: DataFrame, number: int) -> None:
+        url = F.expr(U.normalize("url")).alias("norm_url")
+        fresh = batch.select(url, "page_id").groupBy("norm_url").agg(F.min("page_id").alias("page_id"))
+        if number > 0:
+            oldest = 0 if remember is None else number - remember
+            seen = (
+                batch.sparkSession.read.option("basePath", out).parquet(out)
+                .filter((F.col("batch") < number) & (F.col("batch") >= oldest))
+                .select(F.col("url").alias("norm_url"))
+            )
+            fresh = fresh.join(seen, "norm_url", "left_anti")
+        wanted = fresh.select("page_id", F.lit(True).alias("_wanted"))
+        facts = project_wanted(batch.select("page_id", "url", "html"), wanted, "page_id", page_facts)
+        facts.drop("_wanted").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = pages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
