@@ -77,7 +77,7 @@ def plan(target):
 
 
 def documents(target):
-    intro = f"list_filter({G.paras('substring(src, 1, 6000)')}, lambda p: p <> '---')[1]"
+    intro = f"list_filter({G.paras('src')}, lambda p: p <> '---')[1]"
     return f"""SELECT site, lang, document, sections_present, compressed_sections, compressed_sections <> '' AS trimmed, {G.toks('document')} AS final_doc_tokens FROM (
   SELECT h.site, coalesce(l.lang, 'en') AS lang, coalesce(p.sp, '') AS sections_present, coalesce(p.cs, '') AS compressed_sections,
    CASE WHEN p.site IS NULL THEN '# Knowledge Base' || chr(10) || chr(10) || 'No extractable customer knowledge was found on ' || h.base_url || '.'
@@ -121,7 +121,7 @@ ORACLES = {
        CASE WHEN doc_id % 3 = 0 THEN 'FA' ELSE lang END AS lang FROM documents) LEFT JOIN section_dim USING (section)"""),
     "toc": build(f"""SELECT site, string_agg(section, ',' ORDER BY ord) AS sections_present, CASE WHEN any_value(lang) = 'fa' THEN {q(V.TOC_TITLE_FA)} ELSE {q(V.TOC_TITLE)} END AS heading,
       string_agg('- ' || CASE WHEN lang = 'fa' THEN fa ELSE en END, chr(10) ORDER BY ord) AS toc FROM kb_sections JOIN section_dim USING (section) JOIN kb_lang USING (site) GROUP BY site"""),
-    "overview_source": build("""SELECT site, substring(string_agg(body, chr(10) || chr(10) ORDER BY section), 1, 6000) AS overview FROM kb_sections
+    "overview_source": build("""SELECT site, string_agg(body, chr(10) || chr(10) ORDER BY section) AS overview FROM kb_sections
       WHERE section IN ('company_overview', 'products_services') GROUP BY site"""),
     "target_tokens": """SELECT o_orderkey, CAST(greatest(2000, least(coalesce(TRY_CAST(r AS BIGINT), 18000), 120000)) AS BIGINT) AS target FROM (
       SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'many' ELSE CAST((o_orderkey * 37) % 200000 - 500 AS VARCHAR) END AS r FROM orders)""",

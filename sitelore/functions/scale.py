@@ -21,6 +21,8 @@ def salted_join(
     adaptive execution turns this into a broadcast join by its measured size.
     """
     rest = [c for c in rows.columns if c not in keys]
+    if not rest:  # nothing but keys: distinct rows are one per key already
+        return rows.join(per_key, keys, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

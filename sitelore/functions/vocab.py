@@ -259,3 +259,15 @@ RUN_COLUMNS = (
     "knowledge_base_length"
 ).split()
 EMPTY_PAGE_ERROR = "Fetched content is empty."
+
+# --- text formats ---------------------------------------------------------------------------
+NO_CONTENT = "# Knowledge Base\n\nNo extractable customer knowledge was found on "
+SUMMARY_FORMAT = (
+    "Deep pipeline: discovered ~%d URLs, selected %d knowledge pages, extracted %d, synthesised %d sections."
+)
+COMPANY_HEAD, COMPANY_URL, COMPANY_TEXT = "Based on analyses of pages from ", "- URL: ", "\n  Summary: "
+LEGACY_HEAD, LEGACY_TITLE, LEGACY_TEXT = "--- Chunk from ", " ---\nTitle: ", "\nContent:\n"
+CHUNK_RULE = "\n\n---\n\n"
+START_TITLE, START_TYPE = "Main Page", "main_page"
+CORE_TYPE, GIVEN_TYPE, GIVEN_TITLE = "auto_discovered_core_page", "specified_core_page", "N/A"
+START_CLUSTER = "company_information"

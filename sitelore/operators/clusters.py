@@ -193,9 +193,11 @@ def select_pages(
 
     The kept list starts with the start page.  All three sources are bounded per site (1,
     the cluster limits, and the budget plus what the others may repeat), so the final window
-    never sees more rows of a site than that.
+    never sees more rows of a site than that.  A column ``budget`` in ``bases`` sets the budget of
+    each site instead.
     """
-    budget = max(1, min(budget or V.PAGE_BUDGET_DEFAULT, V.PAGE_BUDGET_MAX))
+    own = "budget" in bases.columns
+    budget = V.PAGE_BUDGET_MAX if own else max(1, min(budget or V.PAGE_BUDGET_DEFAULT, V.PAGE_BUDGET_MAX))
     home = bases.select("site", F.col("base_url").alias("url"), F.col("page_id").alias("pos"))
     front = F.lit(-1).cast("bigint")
     listed = (
@@ -217,19 +219,23 @@ def select_pages(
     extra = sum(V.CLUSTER_LIMITS.values()) + 1
     backfill = first_per_group(listed, ["site"], _cols("tail", "pos", "url"), budget + extra)
     picks = (
-        home.select("site", "url", "pos", F.lit("company_information").alias("cluster"),
+        home.select("site", "url", "pos", F.lit(V.START_CLUSTER).alias("cluster"),
                     F.lit(0).alias("source"), F.lit(0).cast("bigint").alias("ord"))
         .unionByName(clusters.select("site", "url", "pos", "cluster", pick[F.col("cluster")].alias("source"),
                                      F.col("rank").alias("ord")))
-        .unionByName(backfill.select("site", "url", "pos", F.lit("company_information").alias("cluster"),
+        .unionByName(backfill.select("site", "url", "pos", F.lit(V.START_CLUSTER).alias("cluster"),
                                      F.lit(9).alias("source"), F.col("rank").alias("ord")))
         .groupBy("site", "url")
         .agg(F.min(F.struct("source", "ord", "cluster", "pos")).alias("best"))
         .select("site", "url", "best.*")
     )
-    return first_per_group(picks, ["site"], _cols("source", "ord", "url"), budget).select(
+    chosen = first_per_group(picks, ["site"], _cols("source", "ord", "url"), budget).select(
         "site", "rank", "url", "cluster", "pos"
     )
+    if not own:
+        return chosen
+    limits = bases.select("site", page_budget(F.col("budget")).alias("budget"))
+    return chosen.join(limits, "site").filter("rank <= budget").drop("budget")
 
 
 def pages_by_cluster(selected: DataFrame) -> DataFrame:

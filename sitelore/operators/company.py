@@ -26,7 +26,7 @@ def company_pages(pages: DataFrame, reached: DataFrame) -> DataFrame:
 
 def company_summary(described: DataFrame, bases: DataFrame) -> DataFrame:
     """Roll-up of the page descriptions per site; the crawl limit bounds a site's rows."""
-    line = F.concat(F.lit("- URL: "), "url", F.lit("\n  Summary: "), "description")
+    line = F.concat(F.lit(V.COMPANY_URL), "url", F.lit(V.COMPANY_TEXT), "description")
     lines = F.transform(
         F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]
     )
@@ -35,7 +35,7 @@ def company_summary(described: DataFrame, bases: DataFrame) -> DataFrame:
     )
     return grouped.join(bases, "site").select(
         "site", "analyzed_pages",
-        F.concat(F.lit("Based on analyses of pages from "), "base_url", F.lit(":\n\n"), "lines").alias("summary"),
+        F.concat(F.lit(V.COMPANY_HEAD), "base_url", F.lit(":\n\n"), "lines").alias("summary"),
     )
 
 

@@ -132,7 +132,7 @@ def core_pages(bases: DataFrame, crawl: DataFrame) -> DataFrame:
     found = hits.join(bases, "site").filter(F.col("scheme") == F.expr(U.scheme("base_url"))).select(
         "site", order[F.col("path")].cast("bigint").alias("ord"), "url",
         F.initcap(F.replace(F.regexp_replace("path", "^/|/$", ""), F.lit("-"), F.lit(" "))).alias("title"),
-        F.lit("auto_discovered_core_page").alias("type"),
+        F.lit(V.CORE_TYPE).alias("type"),
     )
     return _start_rows(bases).unionByName(found)
 
@@ -140,7 +140,7 @@ def core_pages(bases: DataFrame, crawl: DataFrame) -> DataFrame:
 def _start_rows(bases: DataFrame) -> DataFrame:
     return bases.select(
         "site", F.lit(0).cast("bigint").alias("ord"), F.col("base_url").alias("url"),
-        F.lit("Main Page").alias("title"), F.lit("main_page").alias("type"),
+        F.lit(V.START_TITLE).alias("title"), F.lit(V.START_TYPE).alias("type"),
     )
 
 
@@ -149,7 +149,7 @@ def specified_pages(bases: DataFrame, requests: DataFrame, crawl: DataFrame) ->
     asked = requests.groupBy("site", "url").agg(F.min("pos").alias("ord"))
     alive = crawl.filter("status < 400").select("site", "url").distinct()
     kept = asked.join(alive, ["site", "url"], "left_semi").select(
-        "site", "ord", "url", F.lit("N/A").alias("title"), F.lit("specified_core_page").alias("type")
+        "site", "ord", "url", F.lit(V.GIVEN_TITLE).alias("title"), F.lit(V.GIVEN_TYPE).alias("type")
     )
     missing = _start_rows(bases.withColumnRenamed("base_url", "url").join(
         kept, ["site", "url"], "left_anti"

@@ -42,7 +42,7 @@ def toc(sections: DataFrame, languages: DataFrame) -> DataFrame:
     )
 
 
-def overview_source(sections: DataFrame, max_chars: int | None = V.OVERVIEW_CHARS) -> DataFrame:
+def overview_source(sections: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Text the introduction is drawn from: company overview, then products and services."""
     parts = sections.filter(F.col("section").isin("company_overview", "products_services"))
     ordered = F.array_sort(F.collect_list(F.struct("section", "body")))  # c before p
@@ -82,9 +82,7 @@ def compression_plan(sections: DataFrame, target: int = V.TARGET_TOKENS_DEFAULT)
 
 
 def no_content(base_url: Column) -> Column:
-    return F.concat(
-        F.lit("# Knowledge Base\n\nNo extractable customer knowledge was found on "), base_url, F.lit(".")
-    )
+    return F.concat(F.lit(V.NO_CONTENT), base_url, F.lit("."))
 
 
 def assemble_document(
@@ -107,7 +105,7 @@ def assemble_document(
     all_sites = bases.join(languages, "site", "left").withColumn(
         "lang", F.coalesce("lang", F.lit(V.DEFAULT_LANGUAGE))
     ).join(parts, "site", "left")
-    source = f"substring(array_join(transform(s, x -> x.source), '\\n\\n'), 1, {V.OVERVIEW_CHARS})"
+    source = "array_join(transform(s, x -> x.source), '\\n\\n')"
     intro = f"get(filter({T.paragraphs(source)}, line -> line <> '---'), 0)"
     heading = f"concat('## ', CASE WHEN lang = 'fa' THEN {lit(V.TOC_TITLE_FA)} ELSE {lit(V.TOC_TITLE)} END)"
     part = f"array(concat('## ', {section_title('x.section', 'lang')}), {T.strip('x.body')})"
@@ -182,7 +180,7 @@ def kb_summary(
         "sections_present", "compressed_sections", "final_doc_tokens",
         F.coalesce("emails", F.lit("")).alias("emails"), F.coalesce("phones", F.lit("")).alias("phones"),
         F.format_string(
-            "Deep pipeline: discovered ~%d URLs, selected %d knowledge pages, extracted %d, synthesised %d sections.",
+            V.SUMMARY_FORMAT,
             n("discovered"), n("total_pages_analyzed"), n("extracted_pages_count"), n_sections.cast("bigint"),
         ).alias("analysis_summary"),
     )

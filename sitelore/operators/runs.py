@@ -67,7 +67,7 @@ def runs(events: DataFrame) -> DataFrame:
         F.sum("done").alias("prompt_tokens"), F.count(F.lit(1)).alias("completion_tokens"),
     )
     status = F.when(F.col("state").isin("completed", "failed"), F.col("state")).otherwise("timeout")
-    micros = F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))
+    micros = F.expr("timestampdiff(MICROSECOND, `start`, `end`)")
     hex_byte = F.lpad(F.lower(F.hex(F.col("job_id") % 256)), 2, "0")
     color = F.concat(F.lit("#"), hex_byte, hex_byte, hex_byte)
     return latest.select(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from sitelore.functions import contacts as C, text as T, vocab as V
 from sitelore.functions.let import lit
 
-RULE = "\n\n---\n\n"
+RULE = V.CHUNK_RULE
 
 
 def section_chunks(chunks: DataFrame, contacts: DataFrame | None = None) -> DataFrame:
@@ -129,8 +129,8 @@ def legacy_compile(chunks: DataFrame) -> DataFrame:
         F.concat(F.upper(F.replace(F.col("cluster"), F.lit("_"), F.lit(" "))), F.lit(":\n"), F.col("text")).alias("text"),
     )
     listing = F.concat(
-        F.lit("--- Chunk from "), F.col("url"), F.lit(" ---\nTitle: "), F.col("title"),
-        F.lit("\nContent:\n"), F.col("chunk"),
+        F.lit(V.LEGACY_HEAD), F.col("url"), F.lit(V.LEGACY_TITLE), F.col("title"),
+        F.lit(V.LEGACY_TEXT), F.col("chunk"),
     )
     whole = chunks.groupBy("site").agg(F.array_join(ordered(listing), "\n\n").alias("text"))
     return by_cluster.unionByName(whole.withColumn("cluster", F.lit("(all)")))

@@ -182,6 +182,16 @@ def test_selection(spark, data, budget):
         assert got[site][0][0] == homes[site] and len(got[site]) <= budget
 
 
+def test_budget_per_site(spark, data):
+    df, kept, _ = data
+    asked = {"big.example": 3, "s0.example": 200, "s1.example": 0}
+    bases = spark.createDataFrame(
+        [(s, f"https://{s}/", -7, asked.get(s)) for s in kept], "site string, base_url string, page_id bigint, budget int")
+    got = Counter(r.site for r in clusters.select_pages(bases, prefilter.prefilter_urls(df)).collect())
+    limits = {s: {3: 3, 200: 80}.get(asked.get(s), 25) for s in kept}
+    assert got == {s: min(limits[s], len({f"https://{s}/", *(u for u, *_ in rs)})) for s, rs in kept.items()}
+
+
 def test_page_budget(spark):
     df = spark.createDataFrame([(None,), (0,), (-5,), (1,), (81,), (40,)], "n int")
     assert [r[0] for r in df.select(clusters.page_budget(F.col("n"))).collect()] == [25, 25, 1, 1, 80, 40]
