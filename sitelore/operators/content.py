@@ -117,11 +117,8 @@ def colors(html: str, max_chars: int | None = None) -> str:
 
 
 def site_colors(pages: DataFrame, bases: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """Colours of each site's start page, with the default descriptions where none was found."""
-    at_base = pages.select("page_id", "site", F.expr(U.normalize("url")).alias("base_url")).join(
-        bases, ["site", "base_url"], "left_semi"
-    )
-    wanted = at_base.groupBy("site").agg(F.min("page_id").alias("page_id"))
+    """Colours of each site's start page, the defaults where none was found."""
+    wanted = bases.select("site", "page_id")
     found = lambda rows: rows.withColumn("c", F.expr(colors("html", max_chars))).drop("html")
     got = project_wanted(pages.select("page_id", "html"), wanted, "page_id", found)
     out = bases.select("site").join(got, "site", "left")

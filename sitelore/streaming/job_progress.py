@@ -9,7 +9,11 @@ from sitelore.operators.runs import localise_progress
 
 
 def latest_states(events: DataFrame) -> DataFrame:
-    """Latest status and the progress counter ``n/total`` per job; batch or stream."""
+    """Latest status and the progress counter ``n/total`` per job; batch or stream.
+
+    The state is one narrow row per job; a job with very many events is combined per input
+    partition first.
+    """
     at = F.struct("ts", "event_id")
     state = events.groupBy("job_id").agg(
         F.max_by(F.struct("status", "progress", "total"), at).alias("last"),
