@@ -54,6 +54,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there, lost executors don't matter."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # Spark then deletes the shuffle files of the job
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

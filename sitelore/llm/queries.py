@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelore.llm import exact_dedup, packing, secrets, token_counts, token_files
+from sitelore.llm import (
+    exact_dedup, jaccard_join, language_id, lattice_dedup, mixing, packing, secrets, suffix_dedup, token_counts, token_files,
+)
 from sitelore.llm.common import new_path, table
 
 
@@ -14,12 +16,24 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents")).drop("set_id")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path)
     return token_files.read_tokens(spark, path)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op5_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -28,13 +42,26 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select(mixed["row.doc_id"].alias("doc_id"), "source", "n_tokens", "epoch", "block")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_versions(table(spark, sf_dir, "documents"), new_path(spark, "ledger"))
     return secrets.digest(found)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_token_files, op6_token_counts, op7_packing, op10_secrets)
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_jaccard_join, op3_token_files, op4_language_id, op5_lattice_dedup, op6_token_counts,
+        op7_packing, op8_suffix_dedup, op9_mixing, op10_secrets,
+    )
 }
 
 ORACLES = {
