@@ -20,8 +20,7 @@ cte("kb_listed", """
   SELECT site, url, pos, tail FROM kb_kept
   UNION ALL SELECT site, base_url, -1, -1 FROM home b
    WHERE NOT EXISTS (SELECT 1 FROM kb_kept k WHERE k.site = b.site AND k.url = b.base_url))""")
-cte("kb_sample", U.quota("kb_listed"))
-cte("kb_picked", U.selection("home", "kb_listed", "kb_sample", 25))
+cte("kb_picked", U.selection("home", "kb_listed", 25))
 cte("kb_chunks", """SELECT k.site, k.rank AS pos, k.url, k.cluster, c.title, c.section, c.chunk, c.tokens
   FROM kb_picked k JOIN (SELECT site, norm, pos AS page_id FROM kb_urls) u ON u.site = k.site AND u.norm = k.url
   JOIN (SELECT page_id, title, chunk, section, tokens FROM kb_rows) c ON c.page_id = u.page_id""")
@@ -32,8 +31,8 @@ cte("kb_rows", f"""SELECT page_id, title, chunk, {X.section(G.norm('url'), 'titl
 G.CTES["kb_chunks"] = G.CTES.pop("kb_chunks")
 cte("kb_found", X.contacts("kb_chunks", "site", "chunk"))
 cte("kb_contacts", X.contact_rows("kb_found"))
-cte("kb_lang", f"""SELECT site, coalesce(arg_min(lang, pos) FILTER (lang <> 'en'), 'en') AS lang
-  FROM (SELECT site, pos, coalesce({X.script_lang('chunk')}, {X.word_lang('chunk')}) AS lang FROM kb_chunks WHERE pos <= 4) GROUP BY site""")
+cte("kb_lang", f"""SELECT site, lang FROM (SELECT site, lang, row_number() OVER (PARTITION BY site ORDER BY lang = 'en', count(*) DESC, lang) AS r
+  FROM (SELECT site, coalesce({X.script_lang('chunk')}, {X.word_lang('chunk')}) AS lang FROM kb_chunks) GROUP BY site, lang) WHERE r = 1""")
 
 
 def merged(source, keys, text="chunk"):
@@ -91,7 +90,7 @@ def documents(target):
      FROM ({plan(target)}) p JOIN section_dim d USING (section) LEFT JOIN kb_lang l USING (site)) r GROUP BY r.site) p USING (site))"""
 
 
-cte("kb_docs", documents(18000))
+cte("kb_docs", documents(10**15))
 cte("kb_docs_small", documents(2000))
 AUDIT = f"""SELECT site, regexp_matches(document, {X.EMAIL}) OR coalesce(emails, '') <> '' AS has_email,
   regexp_matches(document, {q(V.DOC_PHONE_RE)}) OR coalesce(phones, '') <> '' AS has_phone, final_doc_tokens AS doc_tokens,
@@ -124,7 +123,7 @@ ORACLES = {
     "overview_source": build("""SELECT site, string_agg(body, chr(10) || chr(10) ORDER BY section) AS overview FROM kb_sections
       WHERE section IN ('company_overview', 'products_services') GROUP BY site"""),
     "target_tokens": """SELECT o_orderkey, CAST(greatest(2000, least(coalesce(TRY_CAST(r AS BIGINT), 18000), 120000)) AS BIGINT) AS target FROM (
-      SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'many' ELSE CAST((o_orderkey * 37) % 200000 - 500 AS VARCHAR) END AS r FROM orders)""",
+      SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'many' ELSE CASE WHEN o_orderkey % 8 = 2 THEN '99999999999' ELSE CAST((o_orderkey * 37) % 200000 - 500 AS VARCHAR) END END AS r FROM orders)""",
     "compression_plan": build(f"SELECT site, section, tokens, condensed_tokens, compress FROM ({plan(2000)})"),
     "assemble_document": build("SELECT * FROM kb_docs_small"),
     "completeness_audit": build(AUDIT),

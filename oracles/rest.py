@@ -7,29 +7,32 @@ from oracles.sqlgen import arr, build, cte, has, q
 NL = "chr(10)"
 cte("home_all", f"""SELECT site, arg_min({G.norm('url')}, (CASE WHEN {G.path('url')} IN ('', '/') THEN 0 ELSE 1 END) * 1000000000000 + page_id) AS base_url
   FROM crawl_raw GROUP BY site""")
-cte("robots", """SELECT DISTINCT site, 'User-agent: *' || chr(10) || ' SITEMAP: https://' || site || '/index-' || (page_id // 1000) || '.xml' || chr(10) || 'Disallow: /x' || chr(10) AS body FROM crawl_raw""")
-cte("sitemap_starts", f"""SELECT site, trim(regexp_replace(line, '^[^:]*:', '')) AS sitemap_url FROM (SELECT site, unnest(string_split(body, chr(10))) AS line FROM robots)
-   WHERE starts_with(lower(trim(line)), 'sitemap:')
+cte("robots", """SELECT DISTINCT site, 'User-agent: *' || chr(10) || chr(9) || ' SITEMAP:' || chr(9) || ' https://' || site || '/index-' || (page_id // 1000) || '.xml' || chr(10) || 'Disallow: /x' || chr(10) AS body FROM crawl_raw""")
+cte("sitemap_starts", f"""SELECT site, trim(regexp_replace(line, '^[^:]*:', ''), ' ' || chr(9)) AS sitemap_url FROM (SELECT site, unnest(string_split(body, chr(10))) AS line FROM robots)
+   WHERE starts_with(lower(trim(line, ' ' || chr(9))), 'sitemap:')
   UNION SELECT site, {G.scheme('base_url')} || '://' || {G.netloc('base_url')} || unnest(['/sitemap.xml', '/sitemap_index.xml']) FROM home_all""")
 cte("map_files", """SELECT site, page_id // 50 AS n, string_agg('<url><loc> ' || replace(url, '&', '&amp;') || ' </loc></url>', '' ORDER BY page_id) AS entries FROM crawl_raw GROUP BY 1, 2""")
 cte("sitemaps", """
   SELECT site, 'https://' || site || '/pages-' || n || '.xml' AS sitemap_url, CASE WHEN n % 5 = 4 THEN '<urlset>' || entries || '</url'
+   WHEN n % 5 = 3 THEN '<sm:urlset xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9">' || replace(replace(replace(replace(entries, '<url>', '<sm:url>'),
+     '</url>', '</sm:url>'), '<loc>', '<sm:loc>'), '</loc>', '</sm:loc>') || '</sm:urlset>'
    WHEN n % 2 = 0 THEN '<urlset>' || entries || '</urlset>'
    ELSE '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || entries || '</urlset>' END AS xml FROM map_files
   UNION ALL SELECT site, 'https://' || site || '/index-' || (n // 20) || '.xml', '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
    || string_agg('<sitemap><loc> https://' || site || '/pages-' || n || '.xml </loc></sitemap>', '' ORDER BY n) || '</sitemapindex>' FROM map_files GROUP BY site, n // 20""")
-cte("locs", f"""SELECT site, sitemap_url, replace(trim(unnest(regexp_extract_all(xml, '<loc>([^<]*)</loc>', 1))), '&amp;', '&') AS loc
-  FROM sitemaps WHERE ends_with(xml, '</urlset>') OR ends_with(xml, '</sitemapindex>')""")
+cte("locs", f"""SELECT site, sitemap_url, replace(trim(unnest(regexp_extract_all(xml, '<(?:sm:)?loc>([^<]*)</(?:sm:)?loc>', 1))), '&amp;', '&') AS loc
+  FROM sitemaps WHERE ends_with(xml, '</urlset>') OR ends_with(xml, '</sm:urlset>') OR ends_with(xml, '</sitemapindex>')""")
 REACHED = """reached AS (
   SELECT DISTINCT site, sitemap_url FROM sitemap_starts
   UNION SELECT l.site, l.loc FROM reached r JOIN locs l ON l.site = r.site AND l.sitemap_url = r.sitemap_url WHERE ends_with(l.loc, '.xml'))"""
 MAP_PAGES = "SELECT DISTINCT l.site, l.loc AS url FROM locs l JOIN reached r USING (site, sitemap_url) WHERE NOT ends_with(l.loc, '.xml')"
 cte("section_pages", f"SELECT site, page_id, {G.norm('url')} AS url, page_id % 4 AS part FROM good")
 cte("heads", "SELECT site, part, arg_min(url, page_id) AS head FROM section_pages GROUP BY 1, 2")
-cte("graph", """SELECT DISTINCT p.site, h.head AS src, p.url AS dst FROM section_pages p JOIN heads h USING (site, part)
+cte("chained", "SELECT *, lag(url) OVER (PARTITION BY site, part ORDER BY page_id) AS before FROM section_pages")
+cte("graph", """SELECT DISTINCT p.site, CASE WHEN part = 3 THEN coalesce(before, head) ELSE head END AS src, p.url AS dst FROM chained p JOIN heads h USING (site, part)
   UNION SELECT h.site, b.base_url, h.head FROM heads h JOIN home b USING (site)""")
 WALK = """walk AS (SELECT site, base_url AS url, 0 AS depth FROM home
-  UNION SELECT w.site, g.dst, w.depth + 1 FROM walk w JOIN graph g ON g.site = w.site AND g.src = w.url WHERE w.depth < 5)"""
+  UNION SELECT w.site, g.dst, w.depth + 1 FROM walk w JOIN graph g ON g.site = w.site AND g.src = w.url WHERE w.depth < 400)"""
 CRAWLED = """SELECT site, url, depth, row_number() OVER (PARTITION BY site ORDER BY depth, url) AS rank FROM (
    SELECT site, url, min(depth) AS depth FROM walk GROUP BY site, url)"""
 DISCOVERED = f"""counts AS (SELECT b.site, b.base_url, coalesce(n, 0) AS n FROM home b LEFT JOIN (SELECT site, count(*) AS n FROM ({MAP_PAGES}) GROUP BY site) USING (site))"""
@@ -64,8 +67,8 @@ cte("scored", """SELECT k.url, p.item_id, k.terms AS page, p.terms AS persona, (
    SELECT k.url, p.item_id, length(list_intersect(k.terms, p.terms)) AS h, length(p.terms) AS n FROM known_pages k, profile p) JOIN known_pages k USING (url) JOIN profile p USING (item_id)""")
 cte("best_persona", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY conf DESC, item_id) AS r FROM scored) WHERE r = 1")
 cte("analysis", """SELECT url, item_id AS persona_id, conf >= 50 AS is_potential_customer, conf AS confidence_score,
-   array_to_string(list_filter(persona, lambda w: list_contains(page, w))[1:10], ', ') AS reasoning_for,
-   array_to_string(list_filter(persona, lambda w: NOT list_contains(page, w))[1:10], ', ') AS reasoning_against FROM best_persona""")
+   array_to_string(list_filter(persona, lambda w: list_contains(page, w)), ', ') AS reasoning_for,
+   array_to_string(list_filter(persona, lambda w: NOT list_contains(page, w)), ', ') AS reasoning_against FROM best_persona""")
 cte("prospect_states", f"""SELECT url, CASE WHEN coalesce(text, '') = '' THEN 'failed' ELSE 'completed' END AS status,
    CASE WHEN coalesce(text, '') = '' THEN {q(V.EMPTY_PAGE_ERROR)} END AS error, {G.toks('text')} AS prompt_tokens FROM prospect_texts""")
 STATUS = "CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END"
@@ -126,7 +129,7 @@ def rule(tag, name, test, value):
 
 cte("inventory", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, sel_no ORDER BY no) AS r FROM (" + " UNION ALL ".join(
     f"SELECT *, {q(c)} AS category, {q(s)} AS selector, {i} AS sel_no FROM elements WHERE {rule(*r)}" for i, (c, s, *r) in enumerate(V.SELECTORS)
-) + ")) WHERE r <= 5")
+) + "))")
 NUM = lambda x: f"length(regexp_replace({x}, '\\P{{Nd}}', '', 'g'))"
 TEXT_OK = f"""length(text) > 1 AND length(text) < 30 AND {NUM('text')} = 0 AND NOT contains(text, '@') AND NOT {has('lower(text)', V.PERSONAL_TEXT_WORDS)} AND {has('lower(text)', V.ACTION_WORDS)}"""
 ESC = "replace(text, '''', chr(92) || '''')"
@@ -153,8 +156,7 @@ cte("located", f"SELECT page_id, site, category, selector, sel_no, no, tag, a_cl
 cte("located2", f"""SELECT page_id, site, category, selector, sel_no, no, CASE WHEN length(l) > 0 THEN l ELSE list_transform(
    list_filter(regexp_split_to_array(a_class, '\\s+'), lambda c: {has('lower(c)', V.CLASS_WORDS)} AND length(c) < 25)[1:1], lambda c: '//' || tag || '[contains(@class, ''' || c || ''')]') END AS l FROM located""")
 cte("xpaths", """SELECT page_id, site, category, selector, sel_no, no, x AS xpath, row_number() OVER (PARTITION BY page_id, sel_no, no ORDER BY i) AS xpath_no FROM (
-   SELECT page_id, site, category, selector, sel_no, no, x, min(i) AS i FROM (SELECT *, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM located2) GROUP BY ALL)
-  QUALIFY xpath_no <= 5""")
+   SELECT page_id, site, category, selector, sel_no, no, x, min(i) AS i FROM (SELECT *, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM located2) GROUP BY ALL)""")
 REPORT = """SELECT d.site, md5(d.site) AS job_id, b.base_url, d.lang, coalesce(n, 0) AS pages, printf('%.6f', d.final_doc_tokens / 1000000 * CAST(0.05 AS DOUBLE)) AS cost, d.document, a.*
  FROM kb_docs d JOIN home b USING (site) JOIN audit a USING (site) LEFT JOIN (SELECT site, count(*) AS n FROM kb_chunks GROUP BY site) USING (site)"""
 cte("audit", A.AUDIT)
@@ -166,12 +168,11 @@ ORACLES = {
     "sitemap_locs": build("SELECT site, sitemap_url, loc FROM locs"),
     "sitemap_expand": build(f"WITH RECURSIVE {REACHED} {MAP_PAGES}"),
     "crawl_reach": build(f"WITH RECURSIVE {WALK} SELECT site, rank, url, depth FROM ({CRAWLED}) WHERE rank <= 10"),
-    "discover_candidates": build(f"""WITH RECURSIVE {REACHED}, {WALK}, {DISCOVERED} SELECT site, pos, url FROM (
-      SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY src, ord, url) - 1 AS pos FROM (
-       SELECT site, base_url AS url, 0 AS src, 0 AS ord FROM home UNION ALL SELECT site, url, 1, 0 FROM ({MAP_PAGES})
-       UNION ALL SELECT site, url, 2, rank FROM ({CRAWLED}) JOIN counts USING (site) WHERE rank <= 30 AND n < 5)) WHERE pos < 5000"""),
+    "discover_candidates": build(f"""WITH RECURSIVE {REACHED}, {WALK}, {DISCOVERED} SELECT site, 0 AS source, 0 AS ord, base_url AS url FROM home
+       UNION ALL SELECT site, 1, 0, url FROM ({MAP_PAGES})
+       UNION ALL SELECT site, 2, rank, url FROM ({CRAWLED}) JOIN counts USING (site) WHERE rank <= 30 AND n < 5"""),
     "discovery_meta": build(f"""WITH RECURSIVE {REACHED}, {WALK}, {DISCOVERED} SELECT site, n AS sitemap_urls, crawled_urls,
-      CASE WHEN n < 5 THEN 'crawl' ELSE 'sitemap' END AS method, n + crawled_urls + 1 > 5000 AS capped FROM (
+      CASE WHEN n < 5 THEN 'crawl' ELSE 'sitemap' END AS method, false AS capped FROM (
        SELECT c.site, c.n, CASE WHEN c.n < 5 THEN coalesce(w.n, 0) ELSE 0 END AS crawled_urls FROM counts c
        LEFT JOIN (SELECT site, count(*) AS n FROM ({CRAWLED}) WHERE rank <= 30 GROUP BY site) w USING (site))"""),
     "core_pages": build(f"""SELECT site, 0 AS ord, base_url AS url, 'Main Page' AS title, 'main_page' AS type FROM home_all

@@ -58,7 +58,7 @@ def contacts(source, site, text):
 def contact_rows(found):
     return f"""SELECT site, coalesce(string_agg(value, ', ' ORDER BY value) FILTER (kind = 'email'), '') AS emails,
       coalesce(string_agg(value, ', ' ORDER BY value) FILTER (kind = 'phone'), '') AS phones
-     FROM (SELECT *, row_number() OVER (PARTITION BY site, kind ORDER BY value) AS r FROM {found}) WHERE r <= 30 GROUP BY site"""
+     FROM (SELECT *, row_number() OVER (PARTITION BY site, kind ORDER BY value) AS r FROM {found}) GROUP BY site"""
 
 
 cte("doc_contacts", contacts("documents", "source", "text"))

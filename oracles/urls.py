@@ -118,33 +118,28 @@ cte("listed", """
   SELECT site, url, pos, tail FROM kept
   UNION ALL SELECT site, base_url, -1, -1 FROM bases b
    WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.site = b.site AND k.url = b.base_url))""")
-cte("listed_sample", quota("listed"))
 
 
 def clusters(source):
-    parts = " UNION ALL ".join(
-        f"SELECT site, '{c}' AS cluster, rank, url FROM {source} WHERE {has(LU, w)}"
-        for c, w in V.CLUSTER_WORDS.items()
+    return " UNION ALL ".join(
+        f"SELECT site, '{c}' AS cluster, url, pos, tail FROM {source} WHERE {has(LU, w)}" for c, w in V.CLUSTER_WORDS.items()
     )
-    lim = " ".join(f"WHEN '{c}' THEN {n}" for c, n in V.CLUSTER_LIMITS.items())
-    return f"""SELECT site, cluster, r AS rank, url FROM (SELECT site, cluster, url,
-      row_number() OVER (PARTITION BY site, cluster ORDER BY rank) AS r FROM ({parts})) WHERE r <= CASE cluster {lim} END"""
 
 
-def selection(base, lst, sample, budget):
+def selection(base, lst, budget):
     """First-wins union of start page, clusters in pick order and the list; cut at the budget."""
     return f"""
  SELECT site, rank, url, cluster FROM (
-  SELECT *, row_number() OVER (PARTITION BY site ORDER BY src, ord) AS rank FROM (
-   SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY src, ord) AS seen FROM (
-    SELECT site, base_url AS url, 'company_information' AS cluster, 0 AS src, 0 AS ord FROM {base}
-    UNION ALL SELECT site, url, cluster, CASE cluster WHEN 'company_information' THEN 1 WHEN 'educational_content' THEN 2 ELSE 3 END, rank
-     FROM ({clusters(sample)})
-    UNION ALL SELECT site, url, 'company_information', 9, rn FROM {lst}))
+  SELECT *, row_number() OVER (PARTITION BY site ORDER BY src, tail, pos, url) AS rank FROM (
+   SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY src) AS seen FROM (
+    SELECT site, base_url AS url, 'company_information' AS cluster, 0 AS src, 0 AS tail, 0 AS pos FROM {base}
+    UNION ALL SELECT site, url, cluster, CASE cluster WHEN 'company_information' THEN 1 WHEN 'educational_content' THEN 2 ELSE 3 END, tail, pos
+     FROM ({clusters(lst)})
+    UNION ALL SELECT site, url, 'company_information', 9, tail, pos FROM {lst}))
   WHERE seen = 1) WHERE rank <= {budget}"""
 
 
-cte("picked", selection("bases", "listed", "listed_sample", 25))
+cte("picked", selection("bases", "listed", 25))
 
 ORACLES = {
     "scan_pages": build("SELECT page_id, url, status, length(html) AS n_chars, md5(html) AS html_md5 FROM crawl_raw WHERE status < 400"),
@@ -164,7 +159,7 @@ ORACLES = {
     "is_product_url": build(f"""SELECT site, pos, coalesce({has(f"lower({G.path('url')})", V.PRODUCT_PATHS)}, false) AS is_product FROM candidates"""),
     "product_sample": build("""SELECT site, norm AS url, row_number() OVER (PARTITION BY site ORDER BY pos) AS rank
       FROM sampled WHERE sampled"""),
-    "knowledge_tier": build(f"SELECT site, url, {TIER} AS tier FROM numbered WHERE n > 400"),
+    "knowledge_tier": build(f"SELECT site, url, {TIER} AS tier FROM numbered"),
     "tier_quota_sample": build("SELECT site, url, tier, rank FROM tiersample"),
     "url_category_sample": build(f"""
       SELECT site, url, kind FROM (SELECT *, least(np, 50) AS tp,
@@ -174,19 +169,19 @@ ORACLES = {
               WHEN NOT {has(LU, V.CATEGORY_SKIP)} THEN 'regular' END AS kind FROM numbered))
       WHERE CASE kind WHEN 'all' THEN true WHEN 'priority' THEN r <= tp WHEN 'regular' THEN r <= 250 - tp ELSE false END"""),
     "url_category": build(f"""
-      SELECT site, 'company_info_pages' AS category, url FROM numbered WHERE rn <= 20 AND {has(LU, V.CATEGORY_COMPANY)}
-      UNION ALL SELECT site, 'service_pages', url FROM numbered WHERE rn <= 20 AND {has(LU, V.CATEGORY_SERVICE)}
-      UNION ALL SELECT site, 'product_pages', url FROM numbered WHERE rn <= 15 AND NOT
+      SELECT site, 'company_info_pages' AS category, url FROM numbered WHERE {has(LU, V.CATEGORY_COMPANY)}
+      UNION ALL SELECT site, 'service_pages', url FROM numbered WHERE {has(LU, V.CATEGORY_SERVICE)}
+      UNION ALL SELECT site, 'product_pages', url FROM numbered WHERE NOT
         {has(LU, V.CATEGORY_NOT_PRODUCT + V.CATEGORY_COMPANY + V.CATEGORY_SERVICE)}
       UNION ALL SELECT site, CASE reason WHEN 'transactional' THEN 'technical_pages' WHEN 'asset' THEN 'asset_pages' ELSE 'other_pages' END, norm
        FROM labelled WHERE reason IN ('transactional', 'asset', 'archive', 'faceted')"""),
-    "cluster_assign": build(clusters("tiersample")),
+    "cluster_assign": build(clusters("kept")),
     "cluster_counts": build(
-        "SELECT site, cluster, least(n, lim) AS n, sum(n) OVER (PARTITION BY site) AS total_knowledge_pages FROM ("
+        "SELECT site, cluster, n, sum(n) OVER (PARTITION BY site) AS total_knowledge_pages FROM ("
         + " UNION ALL ".join(
             f"SELECT site, '{c}' AS cluster, "
-            + (f"count(*) FILTER ({has(LU, V.CLUSTER_WORDS[c])}) AS n, {V.CLUSTER_LIMITS[c]} AS lim" if c in V.CLUSTER_WORDS else "0 AS n, 0 AS lim")
-            + " FROM tiersample GROUP BY site"
+            + (f"count(*) FILTER ({has(LU, V.CLUSTER_WORDS[c])}) AS n" if c in V.CLUSTER_WORDS else "0 AS n")
+            + " FROM kept GROUP BY site"
             for c in V.CLUSTERS
         ) + ")"),
     "page_budget": """SELECT p_partkey, CAST(greatest(1, least(coalesce(nullif(requested, 0), 25), 80)) AS BIGINT) AS budget FROM (

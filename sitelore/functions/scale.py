@@ -84,18 +84,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def project_wanted(
-    pages: DataFrame, wanted: DataFrame, key: str, project, broadcast_rows: int = 200_000
-) -> DataFrame:
-    """Wide rows named by a narrow table, projected without ever moving the wide columns.
+def project_wanted(pages: DataFrame, wanted: DataFrame, key: str, project) -> DataFrame:
+    """Wide rows named by a narrow table: joined first, so only the named rows are projected.
 
-    When the narrow table is counted to be small it is broadcast, and only the named rows are
-    projected.  Otherwise all rows are projected first, so the shuffle carries the results only.
+    One plan for every size.  Spark broadcasts the narrow side where its bytes allow it; beyond
+    that, wide rows stay where they are if their table is bucketed by ``key``.
     """
-    wanted = reused(wanted)
-    if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return project(pages.join(F.broadcast(wanted), key))
-    return project(pages).join(wanted, key)
+    return project(pages.join(wanted, key))
 
 
 def reused(df: DataFrame) -> DataFrame:

@@ -51,9 +51,6 @@ CLUSTER_WORDS = {
         "help support faq troubleshoot solve fix error problem پشتیبانی راهنما"
     ).split(),
 }
-CLUSTER_LIMITS = {
-    "educational_content": 10, "company_information": 10, "troubleshooting_support": 5,
-}
 # every cluster name, and the order in which the keyword clusters are picked from
 CLUSTERS = (
     "educational_content buying_guides technical_explanations troubleshooting_support "
@@ -71,14 +68,14 @@ CORE_PATHS = (
 
 # --- limits ---------------------------------------------------------------------------------
 PRODUCT_SAMPLE = 15
-DISCOVERY_CAP = 5000
+DISCOVERY_CAP = 5000  # an option of the discovery, off by default
 CRAWL_FALLBACK_BELOW = 5
 CRAWL_FALLBACK_PAGES = 30
 COMPANY_CRAWL_PAGES = 10
 PAGE_BUDGET_DEFAULT, PAGE_BUDGET_MAX = 25, 80
 TIER_THRESHOLD, TIER_HIGH_LIMIT = 400, 150
 CATEGORY_THRESHOLD, CATEGORY_PRIORITY_LIMIT, CATEGORY_TOTAL = 300, 50, 250
-CONTACT_LIMIT = 30
+CONTACT_LIMIT = 30  # an option of the contact lists, off by default
 BATCH_TOKENS = 14000
 TARGET_TOKENS_MIN, TARGET_TOKENS_DEFAULT, TARGET_TOKENS_MAX = 2000, 18000, 120000
 CONDENSE_MIN_TOKENS, CONDENSE_TOKENS = 400, 4000

@@ -10,34 +10,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitelore.functions import urls as U, vocab as V
 from sitelore.functions.let import contains_any
-from sitelore.functions.scale import first_per_group, reused, salted_join
+from sitelore.functions.scale import first_per_group, reused
 
 
 def _cols(*names: str) -> list[Column]:
     return [F.col(n) for n in names]
 
 
-def large_sites(kept: DataFrame, threshold: int) -> DataFrame:
-    """Sites with more than ``threshold`` kept addresses, and how many."""
-    return kept.groupBy("site").agg(F.count(F.lit(1)).alias("n_urls")).filter(
-        F.col("n_urls") > threshold
-    )
-
-
-def knowledge_tier(kept: DataFrame, threshold: int = V.TIER_THRESHOLD) -> DataFrame:
-    """Tier per address of the sites that are large enough to need one."""
-    rows = kept.select("site", "url", "pos", "tail")
-    return salted_join(rows, large_sites(kept, threshold).select("site"), ["site"]).withColumn(
-        "tier", F.expr(U.knowledge_tier("url"))
-    )
+def knowledge_tier(kept: DataFrame) -> DataFrame:
+    """Tier of every kept address."""
+    return kept.select("site", "url", "pos", "tail").withColumn("tier", F.expr(U.knowledge_tier("url")))
 
 
 def tier_quota_sample(
     kept: DataFrame, threshold: int = V.TIER_THRESHOLD, high_limit: int = V.TIER_HIGH_LIMIT
 ) -> DataFrame:
-    """At most ``threshold`` addresses per site with their rank.
+    """At most ``threshold`` addresses per site with their rank, to fit a prompt.
 
-    Small sites keep every address.  Large ones take the first high ones, then up to half of the
+    A sampling operator of its own; the page selection does not go through it.  Small sites keep every address.  Large ones take the first high ones, then up to half of the
     free places from medium, then low; medium and low are drawn in md5 order, the same on every
     cluster.
     """
@@ -82,10 +72,15 @@ def tier_quota_sample(
 
 
 def url_category_sample(
-    kept: DataFrame, threshold: int = V.CATEGORY_THRESHOLD,
+    kept: DataFrame, threshold: int | None = None,
     priority_limit: int = V.CATEGORY_PRIORITY_LIMIT, total: int = V.CATEGORY_TOTAL,
 ) -> DataFrame:
-    """Small sites keep all; large ones the first priority addresses, then regular ones by md5."""
+    """All addresses; with a ``threshold``, sites above it keep a sample that fits a prompt.
+
+    The sample is the first priority addresses, then regular ones in md5 order.
+    """
+    if threshold is None:
+        return kept.select("site", "url", F.lit("all").alias("kind"))
     kept = reused(kept)
     first = F.expr(contains_any("lower(url)", V.CATEGORY_PRIORITY))
     skipped = F.expr(contains_any("lower(url)", V.CATEGORY_SKIP))
@@ -118,20 +113,22 @@ def url_category_sample(
     )
 
 
-def url_category(kept: DataFrame, classified: DataFrame) -> DataFrame:
-    """(site, category, url): keyword categories over the first pages, the rest by drop reason."""
-    first = first_per_group(
-        kept.select("site", "url", "pos", "tail"), ["site"], _cols("tail", "pos", "url"), 20
-    )
+def url_category(kept: DataFrame, classified: DataFrame, first_n: int | None = None) -> DataFrame:
+    """(site, category, url): keyword categories of the kept addresses, the rest by drop reason.
+
+    ``first_n`` limits the categories to the first addresses of each site; by default all are read.
+    """
+    rows = kept
+    if first_n is not None:
+        rows = first_per_group(kept.select("site", "url", "pos", "tail"), ["site"], _cols("tail", "pos", "url"), first_n)
     holds = lambda words: F.expr(contains_any("lower(url)", words))
     company, service = holds(V.CATEGORY_COMPANY), holds(V.CATEGORY_SERVICE)
-    other = ~holds(V.CATEGORY_NOT_PRODUCT + V.CATEGORY_COMPANY + V.CATEGORY_SERVICE)
-    product = other & (F.col("rank") <= 15)
+    product = ~holds(V.CATEGORY_NOT_PRODUCT + V.CATEGORY_COMPANY + V.CATEGORY_SERVICE)
     named = F.array(
         F.when(company, F.lit("company_info_pages")), F.when(service, F.lit("service_pages")),
         F.when(product, F.lit("product_pages")),
     )
-    by_word = first.select("site", F.explode(F.array_compact(named)).alias("category"), "url")
+    by_word = rows.select("site", F.explode(F.array_compact(named)).alias("category"), "url")
     reasons = {"transactional": "technical_pages", "asset": "asset_pages",
                "archive": "other_pages", "faceted": "other_pages"}
     by_reason = classified.filter(F.col("reason").isin(*reasons)).select(
@@ -142,35 +139,31 @@ def url_category(kept: DataFrame, classified: DataFrame) -> DataFrame:
     return by_word.unionByName(by_reason)
 
 
-def cluster_assign(sample: DataFrame) -> DataFrame:
-    """(site, cluster, rank, url): an address may be in several clusters; each has a limit."""
+def cluster_assign(kept: DataFrame, limit: int | None = None) -> DataFrame:
+    """(site, cluster, url, pos, tail): an address may be in several clusters.
+
+    With a ``limit``, the first of each cluster in list order, with their rank.
+    """
     tests = [f"CASE WHEN {contains_any('lower(url)', w)} THEN '{c}' END" for c, w in V.CLUSTER_WORDS.items()]
     labels = F.expr(f"array_compact(array({', '.join(tests)}))")
-    rows = sample.select(
-        "site", F.explode(labels).alias("cluster"), F.col("rank").alias("ord"), "url", "pos"
-    )
-    ranked = first_per_group(
-        rows, ["site", "cluster"], _cols("ord", "url"), max(V.CLUSTER_LIMITS.values())
-    )
-    limit = F.create_map(*[F.lit(x) for p in V.CLUSTER_LIMITS.items() for x in p])
-    return ranked.filter(F.col("rank") <= limit[F.col("cluster")]).select(
-        "site", "cluster", "rank", "url", "pos"
-    )
+    rows = kept.select("site", F.explode(labels).alias("cluster"), "url", "pos", "tail")
+    if limit is None:
+        return rows
+    return first_per_group(rows, ["site", "cluster"], _cols("tail", "pos", "url"), limit)
 
 
-def cluster_counts(sample: DataFrame) -> DataFrame:
-    """Addresses per (site, cluster), every cluster listed, and the total before the limits."""
+def cluster_counts(kept: DataFrame) -> DataFrame:
+    """Addresses per (site, cluster), every cluster listed, and the total."""
     hits = {
         c: F.expr(f"count_if({contains_any('lower(url)', w)})") for c, w in V.CLUSTER_WORDS.items()
     }
-    counts = sample.groupBy("site").agg(*[n.alias(c) for c, n in hits.items()])
+    counts = kept.groupBy("site").agg(*[n.alias(c) for c, n in hits.items()])
     total = sum((F.col(c) for c in V.CLUSTER_WORDS), F.lit(0))
     shown = F.array(
         *[
             F.struct(
                 F.lit(c).alias("cluster"),
-                (F.least(F.col(c), F.lit(V.CLUSTER_LIMITS[c])) if c in V.CLUSTER_WORDS else F.lit(0))
-                .cast("bigint").alias("n"),
+                (F.col(c) if c in V.CLUSTER_WORDS else F.lit(0)).cast("bigint").alias("n"),
             )
             for c in V.CLUSTERS
         ]
@@ -191,13 +184,13 @@ def select_pages(
 ) -> DataFrame:
     """(site, rank, url, cluster, pos): start page, then clusters in pick order, then kept order.
 
-    The kept list starts with the start page.  All three sources are bounded per site (1,
-    the cluster limits, and the budget plus what the others may repeat), so the final window
-    never sees more rows of a site than that.  A column ``budget`` in ``bases`` sets the budget of
-    each site instead.
+    The kept list starts with the start page; every kept address of a site takes part.  No source
+    can give more pages than the budget, so each is cut there before the shuffle (the list at
+    twice the budget, as the others may repeat some of it), and the final window sees no more rows
+    of a site than that.  A column ``budget`` in ``bases`` sets the budget of each site instead.
     """
     own = "budget" in bases.columns
-    budget = V.PAGE_BUDGET_MAX if own else max(1, min(budget or V.PAGE_BUDGET_DEFAULT, V.PAGE_BUDGET_MAX))
+    budget = V.PAGE_BUDGET_MAX if own else max(1, budget or V.PAGE_BUDGET_DEFAULT)
     home = bases.select("site", F.col("base_url").alias("url"), F.col("page_id").alias("pos"))
     front = F.lit(-1).cast("bigint")
     listed = (
@@ -213,11 +206,10 @@ def select_pages(
         )
         .select("site", "url", "place.tail", "place.pos")
     )
-    listed = reused(listed)  # read by the pools, the counts and the backfill
-    clusters = cluster_assign(tier_quota_sample(listed))
+    listed = reused(listed)  # read by the clusters and the backfill
+    clusters = cluster_assign(listed, budget)
     pick = F.create_map(*[F.lit(x) for i, c in enumerate(V.CLUSTER_PICK_ORDER, 1) for x in (c, i)])
-    extra = sum(V.CLUSTER_LIMITS.values()) + 1
-    backfill = first_per_group(listed, ["site"], _cols("tail", "pos", "url"), budget + extra)
+    backfill = first_per_group(listed, ["site"], _cols("tail", "pos", "url"), 2 * budget)
     picks = (
         home.select("site", "url", "pos", F.lit(V.START_CLUSTER).alias("cluster"),
                     F.lit(0).alias("source"), F.lit(0).cast("bigint").alias("ord"))

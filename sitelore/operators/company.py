@@ -64,30 +64,24 @@ def prospect_status(texts: DataFrame) -> DataFrame:
 
 
 def _reasons(words: Column) -> Column:
-    return F.array_join(F.slice(F.array_sort(words), 1, 10), ", ")
+    return F.array_join(F.array_sort(words), ", ")
 
 
-def prospect_score(
-    texts: DataFrame, personas: DataFrame, broadcast_terms: int = 200_000
-) -> DataFrame:
+def prospect_score(texts: DataFrame, personas: DataFrame) -> DataFrame:
     """Best persona per page by the share of its terms found on the page.
 
-    ``personas`` (persona_id, text) come with a request.  Their terms, one row per term, are
-    broadcast when they are counted to be few, else joined by salted term.  Pages' terms are
-    distinct before they are split off, and matches of a page are counted in its own task first.
+    ``personas`` (persona_id, text) come with a request.  Their terms, one row per persona and term,
+    are joined by salted term; adaptive execution broadcasts them where their bytes allow it.  Pages'
+    terms are distinct before they are split off, and matches of a page are counted in its own task
+    first.
     """
     profile = personas.select("persona_id", terms("text").alias("persona_terms"))
     sized = profile.withColumn("n_terms", F.size("persona_terms").cast("bigint"))
-    by_term = sized.select(
-        F.struct("persona_id", "n_terms").alias("persona"), F.explode("persona_terms").alias("term")
-    ).groupBy("term").agg(F.collect_set("persona").alias("personas"))
+    by_term = sized.select("persona_id", "n_terms", F.explode("persona_terms").alias("term"))
     known = texts.filter(~F.expr(T.is_blank("text"))).select("url", terms("text").alias("page_terms"))
     words = known.select("url", F.explode("page_terms").alias("term"))
-    if by_term.limit(broadcast_terms + 1).count() <= broadcast_terms:
-        shared = words.join(F.broadcast(by_term), "term")
-    else:
-        shared = salted_join(words, by_term, ["term"])
-    matched = shared.select("url", F.inline("personas")).groupBy("url", "persona_id", "n_terms").agg(
+    shared = salted_join(words, by_term, ["term"])
+    matched = shared.groupBy("url", "persona_id", "n_terms").agg(
         F.count(F.lit(1)).alias("hits")
     )
     share = F.floor((200 * F.col("hits") + F.col("n_terms")) / (2 * F.col("n_terms")))

@@ -60,34 +60,42 @@ def harvested(texts: DataFrame, site: str, text: str, kind: str) -> DataFrame:
     return texts.select(F.col(site).alias("site"), F.explode(F.expr(find(text))).alias(kind)).distinct()
 
 
-def site_contacts(
-    texts: DataFrame, site: str = "site", text: str = "chunk", limit: int = V.CONTACT_LIMIT
-) -> DataFrame:
-    """First contacts of each kind per site in sorted order, joined by ``, ``.
-
-    Distinct values are ranked, so a site never gathers more than ``limit`` of a kind.
-    """
+def contact_rows(texts: DataFrame, site: str = "site", text: str = "chunk") -> DataFrame:
+    """Distinct (site, kind, value) of all contacts."""
     tagged = lambda kind, found: (
         f"transform({found}, v -> named_struct('kind', '{kind}', 'value', v))"
     )
     both = f"concat({tagged('email', C.emails(text))}, {tagged('phone', C.phones(text))})"
-    values = texts.select(F.col(site).alias("site"), F.expr(f"inline({both})")).distinct()
-    ranked = first_per_group(values, ["site", "kind"], [F.col("value")], limit)
+    return texts.select(F.col(site).alias("site"), F.expr(f"inline({both})")).distinct()
+
+
+def site_contacts(
+    texts: DataFrame, site: str = "site", text: str = "chunk", limit: int | None = None
+) -> DataFrame:
+    """Contacts of each kind per site in sorted order, joined by ``, ``.
+
+    A view of ``contact_rows``; ``limit`` (``vocab.CONTACT_LIMIT``) keeps the first of each kind.
+    """
+    ranked = contact_rows(texts, site, text)
+    if limit is not None:
+        ranked = first_per_group(ranked, ["site", "kind"], [F.col("value")], limit)
     listed = lambda kind: F.array_join(
         F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))), ", "
     )
     return ranked.groupBy("site").agg(listed("email").alias("emails"), listed("phone").alias("phones"))
 
 
-def site_language(chunks: DataFrame, probes: int = 4) -> DataFrame:
-    """Language per site from its first pages: the first answer that is not the default wins."""
-    seen = chunks.filter(F.col("pos") <= probes).select(
-        "site", "pos", F.expr(G.detect_language("chunk")).alias("lang")
-    )
-    other = F.when(F.col("lang") != V.DEFAULT_LANGUAGE, F.col("pos"))
-    return seen.groupBy("site").agg(
-        F.coalesce(F.min_by("lang", other), F.lit(V.DEFAULT_LANGUAGE)).alias("lang")
+def site_language(chunks: DataFrame, probes: int | None = None) -> DataFrame:
+    """Language per site: most votes of its pages, the default only where no page says another.
+
+    Ties go to the first language in alphabetical order.  ``probes`` looks at the first pages only.
+    """
+    seen = chunks if probes is None else chunks.filter(F.col("pos") <= probes)
+    votes = seen.select("site", F.expr(G.detect_language("chunk")).alias("lang")).groupBy("site", "lang").agg(
+        F.count(F.lit(1)).alias("n")
     )
+    best = F.struct((F.col("lang") == V.DEFAULT_LANGUAGE).alias("default"), (-F.col("n")).alias("n"), "lang")
+    return votes.groupBy("site").agg(F.min(best)["lang"].alias("lang"))
 
 
 HEX_RE = r"(?i)#(?:[0-9a-f]{6}|[0-9a-f]{3})\b"

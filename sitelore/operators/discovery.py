@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitelore.functions import urls as U, vocab as V
@@ -11,10 +13,12 @@ from sitelore.functions.scale import (
 from sitelore.sources.tables import fetched
 
 
-def reachable(start: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+def reachable(
+    start: DataFrame, edges: DataFrame, max_depth: int | None = None, full: Callable | None = None
+) -> DataFrame:
     """(site, url, depth) reached from ``start`` (site, url) over ``edges`` (site, src_url, dst_url).
 
-    One join per level.  Each level is checkpointed, so the plan stays short and a lost executor
+    ``full`` names the sites, given all that was reached, whose search is over.  One join per level.  Each level is checkpointed, so the plan stays short and a lost executor
     costs one level at most.  A page with very many links is spread by the salted join; targets
     are made distinct by a partial aggregate before they are compared with what was seen.
     """
@@ -33,6 +37,8 @@ def reachable(start: DataFrame, edges: DataFrame, max_depth: int | None = None)
             .withColumn("depth", F.lit(depth).cast("bigint"))
         )
         seen = seen.unionByName(level)
+        if full is not None:
+            level = checkpointed(level.join(full(seen), "site", "left_anti"))
     edges.unpersist()
     return seen
 
@@ -55,13 +61,19 @@ def sitemap_expand(start: DataFrame, locs: DataFrame) -> DataFrame:
 
 
 def crawl_reach(
-    bases: DataFrame, links: DataFrame, pages: DataFrame, max_pages: int, max_depth: int = 5
+    bases: DataFrame, links: DataFrame, pages: DataFrame, max_pages: int, max_depth: int | None = None
 ) -> DataFrame:
-    """(site, rank, url, depth): first HTML pages per site by (depth, url) over same-site links."""
+    """(site, rank, url, depth): first HTML pages per site by (depth, url) over same-site links.
+
+    A site is left as soon as it has its pages, after the whole level that brought the last one.
+    """
     start = bases.select("site", F.col("base_url").alias("url"))
     same = links.filter(F.expr(U.netloc("dst_url")) == F.col("site"))
-    seen = reachable(start, same, max_depth)
-    html_pages = fetched(pages).select("site", F.expr(U.normalize("url")).alias("url")).distinct()
+    html_pages = reused(fetched(pages).select("site", F.expr(U.normalize("url")).alias("url")).distinct())
+    full = lambda seen: seen.join(html_pages, ["site", "url"]).groupBy("site").agg(
+        F.count(F.lit(1)).alias("n")
+    ).filter(F.col("n") >= max_pages).select("site")
+    seen = reachable(start, same, max_depth, full)
     found = seen.join(html_pages, ["site", "url"])
     return first_per_group(found, ["site"], [F.col("depth"), F.col("url")], max_pages).select(
         "site", "rank", "url", "depth"
@@ -80,9 +92,13 @@ def _needs_crawl(n: Column) -> Column:
 
 
 def discover_candidates(
-    bases: DataFrame, sitemap_urls: DataFrame, crawled: DataFrame, cap: int = V.DISCOVERY_CAP
+    bases: DataFrame, sitemap_urls: DataFrame, crawled: DataFrame, cap: int | None = None
 ) -> DataFrame:
-    """(site, pos, url): start page, sitemap addresses, and the crawl where those are few."""
+    """(site, source, ord, url[, pos]): start page, sitemap addresses, and the crawl where those are few.
+
+    The list of a site is ordered by source (0 start, 1 sitemap, 2 crawl), ``ord`` and url.  With a
+    ``cap`` (``vocab.DISCOVERY_CAP``) only its first addresses stay, with their place ``pos``.
+    """
     stage = _stage_counts(bases, sitemap_urls)
     few = stage.filter(_needs_crawl(F.col("sitemap_urls"))).select("site")
     first = bases.select(
@@ -94,16 +110,18 @@ def discover_candidates(
         "site", "url", F.lit(2).alias("source"), F.col("rank").alias("ord")
     )
     rows = first.unionByName(listed).unionByName(walked)
+    if cap is None:
+        return rows
     ranked = first_many_per_group(
         rows, ["site"], [F.col("source"), F.col("ord"), F.col("url")], cap, "pos"
     )
-    return ranked.select("site", (F.col("pos") - 1).alias("pos"), "url")
+    return ranked.select("site", "source", "ord", "url", (F.col("pos") - 1).alias("pos"))
 
 
 def discovery_meta(
-    bases: DataFrame, sitemap_urls: DataFrame, crawled: DataFrame, cap: int = V.DISCOVERY_CAP
+    bases: DataFrame, sitemap_urls: DataFrame, crawled: DataFrame, cap: int | None = None
 ) -> DataFrame:
-    """(site, sitemap_urls, crawled_urls, method, capped)"""
+    """(site, sitemap_urls, crawled_urls, method, capped); ``capped`` only ever true with a ``cap``."""
     stage = _stage_counts(bases, sitemap_urls)
     walked = crawled.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     crawls = _needs_crawl(F.col("sitemap_urls"))
@@ -111,7 +129,7 @@ def discovery_meta(
     return stage.join(walked, "site", "left").select(
         "site", "sitemap_urls", n_crawled.alias("crawled_urls"),
         F.when(crawls, "crawl").otherwise("sitemap").alias("method"),
-        (F.col("sitemap_urls") + n_crawled + 1 > cap).alias("capped"),
+        (F.lit(False) if cap is None else F.col("sitemap_urls") + n_crawled + 1 > cap).alias("capped"),
     )
 
 

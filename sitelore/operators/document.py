@@ -53,13 +53,18 @@ def overview_source(sections: DataFrame, max_chars: int | None = None) -> DataFr
 
 def target_tokens(requested: Column) -> Column:
     """Requested document size brought into range; no number means the default."""
-    asked = F.coalesce(F.try_to_number(requested, F.lit("S9999999999")).cast("bigint"),
-                       F.lit(V.TARGET_TOKENS_DEFAULT))
+    number = F.when(requested.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(requested))
+    # any number of digits: beyond eighteen it is out of range on either side anyway
+    far = F.when(number.startswith("-"), F.lit(V.TARGET_TOKENS_MIN)).otherwise(F.lit(V.TARGET_TOKENS_MAX))
+    asked = F.when(F.length(number) <= 18, F.expr("0L") + number.cast("bigint")).when(number.isNotNull(), far)
+    asked = F.coalesce(asked, F.lit(V.TARGET_TOKENS_DEFAULT))
     return F.greatest(F.lit(V.TARGET_TOKENS_MIN), F.least(asked, F.lit(V.TARGET_TOKENS_MAX))).cast("bigint")
 
 
-def compression_plan(sections: DataFrame, target: int = V.TARGET_TOKENS_DEFAULT) -> DataFrame:
-    """Which sections to condense, lowest priority first, until the section tokens fit.
+def compression_plan(sections: DataFrame, target: int | None = None) -> DataFrame:
+    """Which sections to condense, lowest priority first, until the section tokens fit ``target``.
+
+    Without a target nothing is condensed.  What condensing drops is in ``left_out``.
 
     What condensing a section saves does not depend on the others, so a running sum of the savings
     of lower-priority sections decides each one.
@@ -74,19 +79,34 @@ def compression_plan(sections: DataFrame, target: int = V.TARGET_TOKENS_DEFAULT)
     ).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("site")
     left = F.sum("tokens").over(whole) - F.coalesce(F.sum(saving).over(lowest_first), F.lit(0))
-    return sized.withColumn("compress", long & (left > target)).select(
+    fits = F.lit(False) if target is None else long & (left > target)
+    return sized.withColumn("compress", fits).select(
         "site", "section", "tokens", "condensed_tokens", "compress",
         F.when(F.col("compress"), F.col("condensed")).otherwise(F.col("body")).alias("body"),
         F.col("body").alias("whole_body"),
     )
 
 
+def left_out(sections: DataFrame, target: int) -> DataFrame:
+    """(site, section, no, para): the paragraphs that condensing to ``target`` tokens drops or cuts."""
+    plan = compression_plan(sections, target).filter("compress")
+    kept = F.expr(f"size({T.paragraphs('body')})").alias("_kept")
+    rows = plan.select(
+        "site", "section", "body", kept, F.posexplode(F.expr(T.paragraphs("whole_body"))).alias("no", "para")
+    )
+    # a first paragraph that was cut is left out in part, so it is listed whole
+    cut = (F.col("no") == 0) & ~F.expr("startswith(body, para)")
+    return rows.filter((F.col("no") >= F.col("_kept")) | cut).select(
+        "site", "section", F.col("no").cast("bigint").alias("no"), "para"
+    )
+
+
 def no_content(base_url: Column) -> Column:
     return F.concat(F.lit(V.NO_CONTENT), base_url, F.lit("."))
 
 
 def assemble_document(
-    sections: DataFrame, languages: DataFrame, bases: DataFrame, target: int = V.TARGET_TOKENS_DEFAULT
+    sections: DataFrame, languages: DataFrame, bases: DataFrame, target: int | None = None
 ) -> DataFrame:
     """One document per site: introduction, contents, then each section under its title."""
     present = sections.filter(~F.expr(T.is_blank("body")))

@@ -15,7 +15,7 @@ from sitelore.functions.urls import unquote_attribute
 
 ELEMENT_RE = r"<[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?>[^<]*"
 ATTRIBUTES = ("id", "class", "href", *V.ATTRIBUTE_VALUES)
-PER_SELECTOR, PER_ELEMENT = 5, 5
+PER_SELECTOR, PER_ELEMENT = 5, 5  # options of the inventory and the locators, off by default
 
 
 def _attribute(tag: str, name: str) -> str:
@@ -56,10 +56,14 @@ def _matches(tag, attribute, test, value) -> str:
     return " AND ".join(tests)
 
 
-def inventory_array(html: str, limit: int = PER_SELECTOR) -> str:
-    """Array of (category, selector, selector_no, element): first matches of each selector."""
+def _first(array: str, limit: int | None) -> str:
+    return array if limit is None else f"slice({array}, 1, {limit})"
+
+
+def inventory_array(html: str, limit: int | None = None) -> str:
+    """Array of (category, selector, selector_no, element): the matches of each selector."""
     groups = ", ".join(
-        f"""transform(slice(filter(els, e -> {_matches(*rule)}), 1, {limit}), e -> named_struct(
+        f"""transform({_first(f"filter(els, e -> {_matches(*rule)})", limit)}, e -> named_struct(
             'category', {lit(category)}, 'selector', {lit(selector)},
             'selector_no', CAST({number} AS BIGINT), 'element', e))"""
         for number, (category, selector, *rule) in enumerate(V.SELECTORS)
@@ -67,7 +71,7 @@ def inventory_array(html: str, limit: int = PER_SELECTOR) -> str:
     return let("els", page_elements(html), f"flatten(array({groups}))")
 
 
-def element_inventory(pages: DataFrame, limit: int = PER_SELECTOR) -> DataFrame:
+def element_inventory(pages: DataFrame, limit: int | None = None) -> DataFrame:
     keep = [c for c in pages.columns if c != "html"]
     return pages.select(*keep, F.expr(f"inline({inventory_array('html', limit)})"))
 
@@ -121,8 +125,8 @@ def _by_class() -> str:
     return f"""transform(slice({fits}, 1, 1), c -> {_locator("[contains(@class, '", "c", "')]")})"""
 
 
-def locators(element: str, limit: int = PER_ELEMENT) -> str:
-    """First distinct locators of an element; the class is used when nothing else is."""
+def locators(element: str, limit: int | None = None) -> str:
+    """Distinct locators of an element; the class is used when nothing else is."""
     personal = contains_any("lower(e.href)", V.PERSONAL_HREFS)
     by_href = f"""CASE WHEN e.href <> '' AND NOT {personal} THEN {_locator("[@href='", "e.href")} END"""
     tests = [_by_id(), *_by_text(), *[_by_attribute(a, v) for a, v in V.ATTRIBUTE_VALUES.items()], by_href]
@@ -130,7 +134,7 @@ def locators(element: str, limit: int = PER_ELEMENT) -> str:
         "found", f"array_compact(array({', '.join(tests)}))",
         f"CASE WHEN size(found) > 0 THEN found ELSE {_by_class()} END",
     )
-    return f"slice(array_distinct({let('e', element, found)}), 1, {limit})"
+    return _first(f"array_distinct({let('e', element, found)})", limit)
 
 
 def element_xpaths(pages: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from sitelore.functions import pricing as P, text as X, vocab as V
 from sitelore.functions.let import let, lit
 from sitelore.operators.sections import RULE, token_batches
 
-ANSWER = "url string, title_suggestion string, primary_category string, extracted_chunk string"
+ANSWER = "_bad string, url string, title_suggestion string, primary_category string, extracted_chunk string"
 
 
 def model_requests(chunks: DataFrame, batch_tokens: int = V.BATCH_TOKENS) -> DataFrame:
@@ -57,9 +57,11 @@ def model_responses(responses: DataFrame) -> DataFrame:
         "a",
         F.when(
             F.col("body").rlike(r"(?s)^\{.*\}$"),
-            F.from_json("body", ANSWER, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}),
+            F.from_json("body", ANSWER, {
+                "allowSingleQuotes": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad",
+            }),
         ),
-    )
+    ).withColumn("a", F.when(F.col("a._bad").isNull() & (F.json_array_length(F.concat(F.lit("["), "body", F.lit("]"))) == 1), F.col("a")))
     category = F.expr(f"lower({X.strip("coalesce(a.primary_category, '')")})")
     return parsed.select(
         "request_id",

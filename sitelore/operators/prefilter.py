@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sitelore.functions import urls as U, vocab as V
-from sitelore.functions.scale import first_per_group
+from sitelore.functions.scale import first_per_group, reused
 
 
 def classify_urls(candidates: DataFrame) -> DataFrame:
@@ -26,23 +26,25 @@ def classify_urls(candidates: DataFrame) -> DataFrame:
 
 def product_sample(candidates: DataFrame, limit: int = V.PRODUCT_SAMPLE) -> DataFrame:
     """First product addresses per site."""
-    products = classify_urls(candidates).filter("reason = 'product'").select("site", "url", "pos")
+    return _first_products(classify_urls(candidates), limit)
+
+
+def _first_products(classified: DataFrame, limit: int) -> DataFrame:
+    products = classified.filter("reason = 'product'").select("site", "url", "pos")
     return first_per_group(products, ["site"], [F.col("pos"), F.col("url")], limit)
 
 
 def prefilter_urls(candidates: DataFrame, keep_products: int = V.PRODUCT_SAMPLE) -> DataFrame:
     """Kept addresses in order (tail, pos): the product sample comes after all others.
 
-    The reason depends on the grouping keys only, so each branch's filter reaches the rows before
-    the shuffle and no dropped address is ever moved.
+    Candidates are read and classified once; the reason depends on the grouping keys only, so the
+    filter reaches the rows before the shuffle and no dropped address is ever moved.
     """
-    kept = classify_urls(candidates).filter("reason = 'kept'").select(
-        "site", "url", "pos", F.lit(0).cast("bigint").alias("tail")
-    )
-    sample = product_sample(candidates, keep_products).select(
+    rows = reused(classify_urls(candidates).filter("reason IN ('kept', 'product')"))
+    kept = rows.filter("reason = 'kept'").select("site", "url", "pos", F.lit(0).cast("bigint").alias("tail"))
+    return kept.unionByName(_first_products(rows, keep_products).select(
         "site", "url", "pos", F.lit(1).cast("bigint").alias("tail")
-    )
-    return kept.unionByName(sample)
+    ))
 
 
 def dropped_by_reason(candidates: DataFrame, keep_products: int = V.PRODUCT_SAMPLE) -> DataFrame:

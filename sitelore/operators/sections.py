@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sitelore.functions import contacts as C, text as T, vocab as V
-from sitelore.functions.let import lit
+from sitelore.functions.let import let, lit
 
 RULE = V.CHUNK_RULE
 
@@ -27,36 +27,28 @@ def section_chunks(chunks: DataFrame, contacts: DataFrame | None = None) -> Data
     )
 
 
-def token_batches(
-    chunks: DataFrame, budget: int = V.BATCH_TOKENS, max_chunks: int = V.PAGE_BUDGET_MAX
-) -> DataFrame:
+def token_batches(chunks: DataFrame, budget: int = V.BATCH_TOKENS) -> DataFrame:
     """(site, section, pos, tokens, batch): greedy packing in order under a token budget.
 
     A batch closes when the next text would exceed the budget; an oversize text stands alone.
-    The fold sees only (pos, tokens) pairs, of which a section has at most the page budget,
-    because its chunks are selected pages.  ``max_chunks`` asserts that bound.
+    Where a batch starts depends on all earlier ones, so the (pos, tokens) pairs of a section are
+    folded in one row; a section has at most the page budget of them.  The fold keeps the place of
+    each batch's first text only, so its state grows by one number per batch, and a text's batch is
+    the number of starts up to it.
     """
     weight = F.greatest("tokens", F.lit(1).cast("bigint"))
     lists = chunks.groupBy("site", "section").agg(
         F.array_sort(F.collect_list(F.struct("pos", weight.alias("tokens")))).alias("items")
     )
-    empty = F.array().cast("array<struct<pos:bigint,tokens:bigint,batch:bigint>>")
-    start = F.struct(F.lit(1).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("used"), empty.alias("out"))
-
-    def step(acc, item):
-        closes = (acc["used"] > 0) & (acc["used"] + item["tokens"] > budget)
-        batch = F.when(closes, acc["batch"] + 1).otherwise(acc["batch"])
-        placed = F.struct(item["pos"].alias("pos"), item["tokens"].alias("tokens"), batch.alias("batch"))
-        return F.struct(
-            batch.alias("batch"),
-            F.when(closes, item["tokens"]).otherwise(acc["used"] + item["tokens"]).alias("used"),
-            F.concat(acc["out"], F.array(placed)).alias("out"),
-        )
-
-    bounded = F.when(
-        F.size("items") > max_chunks, F.raise_error(F.lit("a section has more chunks than the page budget"))
-    ).otherwise(F.aggregate("items", start, step)["out"])
-    return lists.select("site", "section", F.inline(bounded))
+    closes = f"acc.used > 0 AND acc.used + item.tokens > {budget}"
+    starts = f"""aggregate(transform(items, (x, i) -> named_struct('i', i, 'tokens', x.tokens)),
+        named_struct('used', 0L, 'starts', CAST(array() AS ARRAY<INT>)),
+        (acc, item) -> named_struct(
+          'used', CASE WHEN {closes} THEN item.tokens ELSE acc.used + item.tokens END,
+          'starts', CASE WHEN {closes} THEN array_append(acc.starts, item.i) ELSE acc.starts END)).starts"""
+    placed = """transform(items, (x, i) -> named_struct(
+        'pos', x.pos, 'tokens', x.tokens, 'batch', CAST(size(filter(starts, s -> s <= i)) + 1 AS BIGINT)))"""
+    return lists.select("site", "section", F.expr(f"inline({let('starts', starts, placed)})"))
 
 
 def _merged_bodies(paragraphs: DataFrame, keys: list[str]) -> DataFrame:

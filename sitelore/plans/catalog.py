@@ -111,7 +111,7 @@ def tier_quota_sample(spark, sf):
 
 @query
 def url_category_sample(spark, sf):
-    return clusters.url_category_sample(kept(spark, sf))
+    return clusters.url_category_sample(kept(spark, sf), V.CATEGORY_THRESHOLD)
 
 
 @query
@@ -121,12 +121,12 @@ def url_category(spark, sf):
 
 @query
 def cluster_assign(spark, sf):
-    return clusters.cluster_assign(clusters.tier_quota_sample(kept(spark, sf))).drop("pos")
+    return clusters.cluster_assign(kept(spark, sf))
 
 
 @query
 def cluster_counts(spark, sf):
-    return clusters.cluster_counts(clusters.tier_quota_sample(kept(spark, sf)))
+    return clusters.cluster_counts(kept(spark, sf))
 
 
 @query
@@ -321,7 +321,7 @@ def overview_source(spark, sf):
 @query
 def target_tokens(spark, sf):
     key = F.col("o_orderkey")
-    asked = F.when(key % 4 == 0, None).when(key % 4 == 1, "many").otherwise(
+    asked = F.when(key % 4 == 0, None).when(key % 4 == 1, "many").when(key % 8 == 2, "99999999999").otherwise(
         ((key * 37) % 200000 - 500).cast("string")
     )
     return S.table(spark, sf, "orders").select(
@@ -395,7 +395,7 @@ def discovered(spark, sf):
 
 @query
 def discover_candidates(spark, sf):
-    return discovery.discover_candidates(*discovered(spark, sf))
+    return discovery.discover_candidates(*discovered(spark, sf)).select("site", "source", "ord", "url")
 
 
 @query

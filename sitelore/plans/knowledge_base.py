@@ -35,7 +35,7 @@ class KnowledgeBase:
 
 
 def build(
-    pages: DataFrame, budget: int = V.PAGE_BUDGET_DEFAULT, target: int = V.TARGET_TOKENS_DEFAULT,
+    pages: DataFrame, budget: int = V.PAGE_BUDGET_DEFAULT, target: int | None = None,
     max_chars: int | None = None,
 ) -> KnowledgeBase:
     """Knowledge bases of every site in ``pages`` (page_id, site, url, html[, status, content_type]).

@@ -6,7 +6,7 @@ extend the real rows; every one of them grows with the table it comes from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sitelore.functions import urls as U, vocab as V
 from sitelore.functions.scale import salted_join
@@ -97,13 +97,20 @@ def hrefs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def link_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Links by language section: start page -> first page of each section -> its pages."""
+    """Links by section: start page -> first page of each section -> its pages.
+
+    The last section is a chain, each page linking to the next one only, so a site goes deep.
+    """
     pages = fetched(crawl(spark, sf)).select(
         "site", "page_id", F.expr(U.normalize("url")).alias("url"),
         (F.col("page_id") % 4).alias("part"),
     )
     heads = pages.groupBy("site", "part").agg(F.min_by("url", "page_id").alias("src_url"))
-    down = salted_join(pages.select("site", "part", "url", "page_id"), heads, ["site", "part"])
+    chain = Window.partitionBy("site", "part").orderBy("page_id")
+    listed = pages.select("site", "part", "url", "page_id", F.lag("url").over(chain).alias("before"))
+    down = salted_join(listed, heads, ["site", "part"]).withColumn(
+        "src_url", F.when(F.col("part") == 3, F.coalesce("before", "src_url")).otherwise(F.col("src_url"))
+    )
     top = L.homepages(fetched(crawl(spark, sf)))
     across = heads.join(top, "site").select(
         "site", F.col("base_url").alias("src_url"), F.col("src_url").alias("dst_url")
@@ -127,7 +134,7 @@ def robots(spark: SparkSession, sf: str) -> DataFrame:
     key = F.floor(F.col("page_id") / 1000).cast("string")
     index_url = F.concat(F.lit("https://"), F.col("site"), F.lit("/index-"), key, F.lit(".xml"))
     return crawl(spark, sf).select(
-        "site", F.concat(F.lit("User-agent: *\n SITEMAP: "), index_url, F.lit("\nDisallow: /x\n")).alias("body")
+        "site", F.concat(F.lit("User-agent: *\n\t SITEMAP:\t "), index_url, F.lit("\nDisallow: /x\n")).alias("body")
     ).distinct()
 
 
@@ -155,9 +162,13 @@ def sitemaps(spark: SparkSession, sf: str) -> DataFrame:
         F.col("entries"), F.lit("</urlset>"),
     )
     broken = F.concat(F.lit("<urlset>"), F.col("entries"), F.lit("</url"))
+    prefixed = F.concat(
+        F.lit('<sm:urlset xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9">'),
+        F.regexp_replace("entries", "(</?)(url|loc)>", "$1sm:$2>"), F.lit("</sm:urlset>"),
+    )
     leaf = files.select(
         "site", address("pages", F.col("n")).alias("sitemap_url"),
-        F.when(F.col("n") % 5 == 4, broken).when(F.col("n") % 2 == 0, plain).otherwise(spaced).alias("xml"),
+        F.when(F.col("n") % 5 == 4, broken).when(F.col("n") % 5 == 3, prefixed).when(F.col("n") % 2 == 0, plain).otherwise(spaced).alias("xml"),
     )
     index = files.groupBy("site", F.floor(F.col("n") / 20).alias("m")).agg(
         F.array_join(
@@ -210,6 +221,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         .when(key % 7 == 2, F.concat(F.lit("```\n"), full, F.lit("\n```")))
         .when(key % 7 == 3, F.concat(F.lit("{broken "), full))
         .when(key % 7 == 4, F.lit('{"primary_category": "faq"}'))
+        .when(key % 14 == 5, F.concat(full, F.lit(' {"x":1}')))
         .when(key % 7 == 5, F.lit(""))
         .otherwise(F.concat(F.lit("```json\n"), full))
     )

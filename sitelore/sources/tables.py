@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitelore.functions import urls as U, vocab as V
-from sitelore.functions.text import cap
+from sitelore.functions.text import cap, strip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +38,9 @@ def robots_sitemaps(robots: DataFrame, bases: DataFrame) -> DataFrame:
     line = F.explode(F.split("body", r"\R")).alias("line")
     declared = (
         robots.select("site", line)
-        .filter(F.lower(F.trim("line")).startswith("sitemap:"))
-        .select("site", F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("sitemap_url"))
+        .withColumn("line", F.expr(strip("line")))
+        .filter(F.lower("line").startswith("sitemap:"))
+        .select("site", F.expr(strip("regexp_replace(line, '^[^:]*:', '')")).alias("sitemap_url"))
     )
     usual = bases.select(
         "site",
@@ -54,18 +55,20 @@ def robots_sitemaps(robots: DataFrame, bases: DataFrame) -> DataFrame:
 
 
 def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
-    """Trimmed ``loc`` texts per sitemap; a document that is not well-formed gives no rows."""
+    """Trimmed ``loc`` texts per sitemap; a document that is not well-formed gives no rows.
+
+    Names count without their prefix, so any prefix of the namespace is read.
+    """
     schema = (
         "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, _corrupt_record string"
     )
     parsed = sitemaps.withColumn(
         "doc", F.from_xml("xml", schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
     ).filter("doc._corrupt_record IS NULL")
-    empty = F.array().cast("array<struct<loc:string>>")
-    both = F.concat(F.coalesce("doc.url", empty), F.coalesce("doc.sitemap", empty))
+    found = F.xpath("xml", F.lit("/*/*[local-name()='url' or local-name()='sitemap']/*[local-name()='loc']/text()"))
     return (
-        parsed.select("site", "sitemap_url", F.explode(both).alias("entry"))
-        .select("site", "sitemap_url", F.trim("entry.loc").alias("loc"))
+        parsed.select("site", "sitemap_url", F.explode(found).alias("loc"))
+        .select("site", "sitemap_url", F.expr(strip("loc")).alias("loc"))
         .filter("loc <> ''")
     )
 
@@ -73,5 +76,5 @@ def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
 def prospect_list(urls: DataFrame) -> DataFrame:
     """Prospect addresses: trimmed, empty ones dropped, each once."""
     return (
-        urls.select(F.trim("url").alias("url")).filter("url <> ''").distinct()
+        urls.select(F.expr(strip("url")).alias("url")).filter("url <> ''").distinct()
     )

@@ -37,12 +37,14 @@ def test_first_many_per_group_of_a_hot_group(spark):
     assert {(r.g, r.o, r["rank"]) for r in got} == want
 
 
-def test_both_ways_of_reading_wanted_rows_agree(spark):
-    pages = spark.range(100).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>"), "id").alias("html"))
-    wanted = spark.range(0, 100, 3).select(F.col("id").alias("page_id"), (F.col("id") + 1).alias("rank"))
-    read = lambda rows: rows.withColumn("n", F.length("html")).drop("html")
-    a, b = (project_wanted(pages, wanted, "page_id", read, limit) for limit in (1000, 5))
-    assert sorted(a.select(*sorted(a.columns)).collect()) == sorted(b.select(*sorted(b.columns)).collect())
+def test_only_wanted_rows_are_projected(spark):
+    pages = spark.range(300_000).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>"), "id").alias("html"))
+    wanted = spark.range(0, 300_000, 1).filter("id <> 7").select(F.col("id").alias("page_id"), (F.col("id") + 1).alias("rank"))
+    read = lambda rows: rows.withColumn("n", F.expr("length(html)")).drop("html")
+    got = project_wanted(pages, wanted, "page_id", read)
+    assert got.count() == 299_999 and got.filter("rank <> page_id + 1 OR n <> length(page_id) + 3").count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("length(html") < plan.index("Join")  # the projection stands above the join
 
 
 # --- candidates -----------------------------------------------------------------------------
@@ -140,7 +142,7 @@ def brute_sample(urls):
 
 
 def brute_clusters(urls):
-    return {c: [u for u in urls if any(w in u.lower() for w in ws)][:V.CLUSTER_LIMITS[c]] for c, ws in V.CLUSTER_WORDS.items()}
+    return {c: [u for u in urls if any(w in u.lower() for w in ws)]for c, ws in V.CLUSTER_WORDS.items()}
 
 
 def test_tier_sample_and_clusters(spark, data):
@@ -153,12 +155,19 @@ def test_tier_sample_and_clusters(spark, data):
     want = {s: brute_sample([u for u, *_ in rs]) for s, rs in kept.items()}
     assert got == want
     assigned = defaultdict(list)
-    for r in clusters.cluster_assign(sample).orderBy("site", "cluster", "rank").collect():
+    every = prefilter.prefilter_urls(df)
+    for r in clusters.cluster_assign(every).orderBy("site", "cluster", "tail", "pos", "url").collect():
         assigned[r.site, r.cluster].append(r.url)
-    assert assigned == {(s, c): us for s, urls in want.items() for c, us in brute_clusters(urls).items() if us}
+    full = {(s, c): us for s, rs in kept.items() for c, us in brute_clusters([u for u, *_ in rs]).items() if us}
+    assert assigned == full and max(map(len, full.values())) > 10
+    limited = clusters.cluster_assign(every, 3).groupBy("site", "cluster").count().collect()
+    assert {(r.site, r.cluster): r["count"] for r in limited} == {k: min(3, len(us)) for k, us in full.items()}
+    counts = {(r.site, r.cluster): r.n for r in clusters.cluster_counts(every).collect()}
+    assert {k: n for k, n in counts.items() if n} == {k: len(us) for k, us in full.items()}
+    assert clusters.knowledge_tier(every).count() == sum(map(len, kept.values()))
 
 
-@pytest.mark.parametrize("budget", [1, 25, 80])
+@pytest.mark.parametrize("budget", [1, 25, 80, 300])
 def test_selection(spark, data, budget):
     df, kept, _ = data
     homes = {s: f"https://{s}/" for s in kept}
@@ -171,7 +180,7 @@ def test_selection(spark, data, budget):
         urls = [u for u, *_ in rows]
         if homes[site] not in urls:
             urls.insert(0, homes[site])
-        found = brute_clusters(brute_sample(urls))
+        found = brute_clusters(urls)
         order = [(homes[site], "company_information")]
         order += [(u, c) for c in V.CLUSTER_PICK_ORDER for u in found[c]] + [(u, "company_information") for u in urls]
         first = {}
@@ -204,15 +213,28 @@ def test_sitemaps(spark):
         ("s", "https://s/sitemap.xml", f"<sitemapindex {ns}><sitemap><loc> https://s/a.xml </loc></sitemap><sitemap><loc>https://s/sitemap.xml</loc></sitemap></sitemapindex>"),
         ("s", "https://s/a.xml", "<urlset><url><loc>https://s/p?a=1&amp;b=2</loc></url><url><loc> </loc></url><url><loc>https://s/b.xml</loc></url></urlset>"),
         ("s", "https://s/b.xml", "<urlset><url><loc>https://s/q</loc></url"),
+        ("s", "https://s/extra.xml", '<sm:urlset xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9"><sm:url><sm:loc>\thttps://s/r\n</sm:loc></sm:url></sm:urlset>'),
         ("s", "https://s/c.xml", "<urlset><url><loc>https://s/never</loc></url></urlset>"),
     ]
     files = spark.createDataFrame(rows, "site string, sitemap_url string, xml string")
-    robots = spark.createDataFrame([("s", "x\r\n  SiteMap:  https://s/extra.xml \nDisallow: /")], "site string, body string")
+    robots = spark.createDataFrame([("s", "x\r\n \tSiteMap:\t https://s/extra.xml \t\nDisallow: /")], "site string, body string")
     bases = spark.createDataFrame([("s", "https://s/", 1)], "site string, base_url string, page_id bigint")
     start = tables.robots_sitemaps(robots, bases)
     assert {r.sitemap_url for r in start.collect()} == {"https://s/extra.xml", "https://s/sitemap.xml", "https://s/sitemap_index.xml"}
     found = discovery.sitemap_expand(start, tables.sitemap_locs(files))
-    assert [tuple(r) for r in found.collect()] == [("s", "https://s/p?a=1&b=2")]
+    assert sorted(tuple(r) for r in found.collect()) == [("s", "https://s/p?a=1&b=2"), ("s", "https://s/r")]
+
+
+def test_crawl_goes_deep_and_stops_where_a_site_is_full(spark):
+    chain = [("a", f"https://a/{i}", f"https://a/{i + 1}") for i in range(12)] + [("b", "https://b/0", f"https://b/{i}") for i in range(1, 30)]
+    chain += [("b", f"https://b/{i}", "https://b/deep") for i in range(1, 30)]
+    edges = spark.createDataFrame(chain, "site string, src_url string, dst_url string")
+    bases = spark.createDataFrame([(s, f"https://{s}/0", 0) for s in "ab"], "site string, base_url string, page_id bigint")
+    urls = {(s, u) for s, *us in chain for u in us}
+    pages = spark.createDataFrame([(s, u) for s, u in urls], "site string, url string")
+    got = discovery.crawl_reach(bases, edges, pages, 10).collect()
+    assert sorted(r.depth for r in got if r.site == "a") == list(range(10))
+    assert sorted(r.depth for r in got if r.site == "b") == [0] + [1] * 9
 
 
 def test_reach_has_shortest_depths_and_ends_on_cycles(spark):
@@ -234,7 +256,7 @@ def test_discovery_uses_the_crawl_only_where_sitemaps_are_thin(spark):
     maps = spark.createDataFrame([("a", f"u{i}") for i in range(5)] + [("b", "m")], "site string, url string")
     walk = spark.createDataFrame([("a", 1, "w"), ("b", 1, "B"), ("b", 2, "w")], "site string, rank bigint, url string")
     got = discovery.discover_candidates(bases, maps, walk, cap=4).orderBy("site", "pos").collect()
-    assert [tuple(r) for r in got] == [("a", 0, "A"), ("a", 1, "u0"), ("a", 2, "u1"), ("a", 3, "u2"), ("b", 0, "B"), ("b", 1, "m"), ("b", 2, "B"), ("b", 3, "w")]
+    assert [(r.site, r.pos, r.url) for r in got] == [("a", 0, "A"), ("a", 1, "u0"), ("a", 2, "u1"), ("a", 3, "u2"), ("b", 0, "B"), ("b", 1, "m"), ("b", 2, "B"), ("b", 3, "w")]
     meta = {r.site: tuple(r)[1:] for r in discovery.discovery_meta(bases, maps, walk, cap=4).collect()}
     assert meta == {"a": (5, 0, "sitemap", True), "b": (1, 2, "crawl", False)}
 
@@ -283,9 +305,29 @@ def test_token_batches(chunks):
     assert got == want and max(want.values()) > 2
 
 
-def test_token_batches_refuse_a_group_beyond_the_bound(chunks):
-    with pytest.raises(Exception, match="page budget"):
-        sections.token_batches(chunks, 60, max_chunks=3).collect()
+def test_token_batches_of_a_section_of_thousands(spark):
+    rows = spark.range(5000).select(F.lit("s").alias("site"), F.lit("faq").alias("section"), F.col("id").alias("pos"), (F.col("id") % 90).alias("tokens"))
+    got = [(r.pos, r.batch) for r in sections.token_batches(rows, 700).orderBy("pos").collect()]
+    batch, used, want = 1, 0, []
+    for pos in range(5000):
+        t = max(1, pos % 90)
+        if used and used + t > 700:
+            batch, used = batch + 1, 0
+        used += t
+        want.append((pos, batch))
+    assert got == want
+
+
+def test_left_out_paragraphs_complete_the_condensed_text(spark):
+    from sitelore.functions import text as T
+
+    body = "\n".join(f"p{i} " + "x" * 3000 for i in range(40))
+    df = spark.createDataFrame([("s", "faq", body), ("s", "contact", "short")], "site string, section string, body string")
+    df = df.withColumn("tokens", F.expr(T.tokens("body")))
+    kept = document.compression_plan(df, 2000).filter("compress").first()
+    rest = [r.para for r in document.left_out(df, 2000).orderBy("no").collect()]
+    assert kept.body.split("\n") + rest == body.split("\n") and rest
+    assert not document.compression_plan(df).filter("compress").count()
 
 
 def brute_merge(rows):
@@ -374,22 +416,24 @@ def test_document_and_audit(spark):
 
 
 def test_target_tokens(spark):
-    df = spark.createDataFrame([("5",), ("30000",), ("999999",), ("x",), (None,), ("-7",)], "x string")
-    assert [r[0] for r in df.select(document.target_tokens(F.col("x"))).collect()] == [2000, 30000, 120000, 18000, 18000, 2000]
+    df = spark.createDataFrame([("5",), ("30000",), ("999999",), ("x",), (None,), ("-7",), ("99999999999",), ("9" * 40,), ("-" + "9" * 40,)], "x string")
+    assert [r[0] for r in df.select(document.target_tokens(F.col("x"))).collect()] == [2000, 30000, 120000, 18000, 18000, 2000, 120000, 120000, 2000]
 
 
-def test_site_language_prefers_the_first_answer_that_is_not_english(spark):
+def test_site_language_is_the_vote_of_all_pages(spark):
     rows = [("a", 1, "the cat and the dog"), ("a", 2, "le chat et les chiens"), ("a", 3, "der Hund und die Katze"),
-            ("b", 1, "the cat"), ("b", 5, "le chat et les chiens"), ("c", 1, "این یک متن فارسی است و گچ پژ دارد")]
+            ("a", 9, "le chien et les chats"), ("b", 1, "the cat"), ("b", 50, "le chat et les chiens"), ("d", 1, "the cat and"), ("c", 1, "این یک متن فارسی است و گچ پژ دارد")]
     df = spark.createDataFrame(rows, "site string, pos bigint, chunk string")
-    assert {r.site: r.lang for r in content.site_language(df).collect()} == {"a": "fr", "b": "en", "c": "fa"}
+    assert {r.site: r.lang for r in content.site_language(df).collect()} == {"a": "fr", "b": "fr", "c": "fa", "d": "en"}
+    assert {r.site: r.lang for r in content.site_language(df, 4).collect()} == {"a": "de", "b": "en", "c": "fa", "d": "en"}
 
 
-def test_contacts_are_sorted_and_limited(spark):
+def test_contacts_are_sorted_and_whole_unless_limited(spark):
     rows = [("s", f"u{i % 50:02d}@x.org") for i in range(400)] + [("s", "+1 202 555 0199"), ("t", "none")]
     df = spark.createDataFrame(rows, "site string, chunk string").repartition(6)
     got = {r.site: r for r in content.site_contacts(df).collect()}
-    assert got["s"].emails.split(", ") == [f"u{i:02d}@x.org" for i in range(30)]
+    assert got["s"].emails.split(", ") == [f"u{i:02d}@x.org" for i in range(50)]
+    assert content.site_contacts(df, limit=30).first().emails.split(", ") == [f"u{i:02d}@x.org" for i in range(30)]
     assert got["s"].phones == "+1 202 555 0199" and "t" not in got
 
 
@@ -406,9 +450,8 @@ def test_costs(spark):
 def test_prospects(spark, tmp_path):
     texts = spark.createDataFrame([("u1", "Maps maps ATLAS printing shop"), ("u2", "nothing"), ("u3", None), ("u4", " ")], "url string, text string")
     personas = spark.createDataFrame([(1, "printing atlas"), (2, "printing atlas cheap globes")], "persona_id bigint, text string")
-    for limit in (100, 0):  # broadcast and salted
-        got = {r.url: tuple(r)[1:] for r in company.prospect_score(texts, personas, limit).collect()}
-        assert got == {"u1": (1, True, 100, "atlas, printing", ""), "u2": (1, False, 0, "", "atlas, printing")}
+    got = {r.url: tuple(r)[1:] for r in company.prospect_score(texts, personas).collect()}
+    assert got == {"u1": (1, True, 100, "atlas, printing", ""), "u2": (1, False, 0, "", "atlas, printing")}
     path = str(tmp_path / "p")
     sinks.write_csv(sinks.prospect_rows(company.prospect_report(texts, personas)), path)
     rows = {r.website: r for r in sinks.read_csv(spark, path, V.PROSPECT_COLUMNS).collect()}
@@ -459,10 +502,12 @@ def test_locators(spark):
     assert not [x for c, x in got if c == "forms"]
 
 
-def test_inventory_takes_the_first_five_per_selector(spark):
+def test_inventory_takes_all_or_the_first_of_each_selector(spark):
     html = "".join(f'<a href="/{i}">x</a>' for i in range(9)) + '<p data-testid="LikeBox" aria-label="LIKE it"></p><a>no href</a><a href="">e</a>'
     df = spark.createDataFrame([(1, html)], "page_id bigint, html string")
-    rows = elements.element_inventory(df).select("category", "selector", "element.no").collect()
+    every = elements.element_inventory(df).select("category", "element.no").collect()
+    assert [r.no for r in every if r.category == "links"] == [*range(1, 10), 12]
+    rows = elements.element_inventory(df, 5).select("category", "selector", "element.no").collect()
     assert [r.no for r in rows if r.category == "links"] == [1, 2, 3, 4, 5]
     assert [(r.selector, r.no) for r in rows if r.category == "like_buttons"] == [('[aria-label*="like" i]', 10)]
 

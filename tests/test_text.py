@@ -154,7 +154,7 @@ def test_answers(spark):
         good: ("u", "t", "faq", "c"), f"x\n```json\n{good}\n```\ny": ("u", "t", "faq", "c"), f"```\n{good}\n```": ("u", "t", "faq", "c"),
         f"```json\n{good}": ("page", "title", "additional", ""), "{bad": ("page", "title", "additional", ""), "": ("page", "title", "additional", ""),
         '{"primary_category": "nope"}': ("page", "title", "additional", ""), '{"extracted_chunk": "only"}': ("page", "title", "additional", "only"),
-        "{'url': 'single quotes'}": ("page", "title", "additional", ""),
+        "{'url': 'single quotes'}": ("page", "title", "additional", ""), good + ' {"x": 1}': ("page", "title", "additional", ""),
     }
     rows = [(str(i), "page", "title", c) for i, c in enumerate([*cases, None])]
     df = spark.createDataFrame(rows, "request_id string, page_url string, page_title string, content string")
