@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5, name2codepoint
+
 from sitelore.functions.let import let, lit, mapping
 
 # Blanks as Python's strip() sees them; \s and plain trim miss no-break and other Unicode spaces.
@@ -12,20 +14,17 @@ BLANKS = (
 )
 WS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 SEP = "\u0001"
-NAMED_ENTITIES = {  # fixed values
-    "nbsp": "\xa0", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
-    "laquo": "«", "raquo": "»", "ndash": "–", "mdash": "—", "hellip": "…", "lsquo": "‘",
-    "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€", "pound": "£", "deg": "°",
-    "times": "×", "quot": '"', "apos": "'", "lt": "<", "gt": ">",
-}
-ENTITY_RE = r"&([a-z]{2,6}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
-TAG_RE = r"<[/!?A-Za-z][^>]*>"
-BLOCK_TAG_RE = r"(?i)</?(?:p|li|td|h[1-6]|pre|blockquote)\b[^>]*>"
+# The entities of HTML 4, and those names of HTML that browsers read without the semicolon.
+NAMED_ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+BARE_ENTITIES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+WINDOWS_1252 = {str(c): sign for c in range(0x80, 0xA0) if (sign := bytes([c]).decode("cp1252", "ignore"))}
+ATTRIBUTES_RE = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+"""  # quoted values may hold >
+TAG_RE = rf"<[/!?A-Za-z]{ATTRIBUTES_RE}>"
+BLOCK_TAG_RE = rf"(?i)</?(?:p|li|td|h[1-6]|pre|blockquote)\b{ATTRIBUTES_RE}>"
 GAP = "<br>"  # texts on both sides of a removed element stay two texts
 BODY_RE = r"(?i)<body\b"
-ANCHOR_RE = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
-REGION_RE = r"(?is)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)\s*>"
-TITLE_RE = r"(?is)<title\b[^>]*>([^<]*)</title\s*>"
+ANCHOR_RE = rf"(?is)<a\b{ATTRIBUTES_RE}>(.*?)</a\s*>"
+TITLE_RE = rf"(?is)<title\b{ATTRIBUTES_RE}>([^<]*)</title\s*>"
 BOILERPLATE = ("nav", "footer", "header", "noscript", "svg", "form", "iframe")
 
 
@@ -46,43 +45,65 @@ def replace_all(x: str, pattern: str, by: str = "") -> str:
     return f"regexp_replace({x}, {lit(pattern)}, {lit(by)})"
 
 
-def _entity(code: str) -> str:
-    """Character of an entity; NULL when there is no such character (``&amp;`` is left for last)."""
-    digits = f"""CASE WHEN {code} RLIKE '^#[xX]' THEN conv(substring({code}, 3), 16, 10)
-        WHEN startswith({code}, '#') THEN substring({code}, 2) END"""
-    char = """CASE WHEN point BETWEEN 1 AND 55295 OR point BETWEEN 57344 AND 1114111
-        THEN decode(unhex(lpad(hex(point), 8, '0')), 'UTF-32') END"""
-    numeric = let("point", f"CAST({digits} AS BIGINT)", char)
-    return f"coalesce(try_element_at({mapping(NAMED_ENTITIES)}, {code}), {numeric})"
+def _number(digits: str) -> str:
+    """Character of a numeric reference as browsers read it; NULL for far too many digits."""
+    return let("point", f"CAST({digits} AS BIGINT)", f"""CASE
+        WHEN point BETWEEN 128 AND 159 THEN coalesce(try_element_at({mapping(WINDOWS_1252)}, CAST(point AS STRING)), decode(unhex(lpad(hex(point), 8, '0')), 'UTF-32'))
+        WHEN point = 0 OR point BETWEEN 55296 AND 57343 OR point > 1114111 THEN decode(unhex('0000FFFD'), 'UTF-32')
+        WHEN point = 13 THEN chr(13)
+        WHEN point BETWEEN 1 AND 8 OR point IN (11, 127) OR point BETWEEN 14 AND 31 OR point BETWEEN 64976 AND 65007 OR point % 65536 >= 65534 THEN ''
+        ELSE decode(unhex(lpad(hex(point), 8, '0')), 'UTF-32') END""")
 
 
 def unescape(x: str) -> str:
-    """Decode HTML entities, each distinct one once; ``&amp;`` last so nothing is decoded twice."""
-    known = f"""aggregate(array_distinct(regexp_extract_all(t, {lit(ENTITY_RE)}, 1)), t,
-        (acc, code) -> CASE WHEN code = 'amp' THEN acc ELSE
-          coalesce(replace(acc, concat('&', code, ';'), {_entity('code')}), acc) END)"""
-    amp = replace_all(f"replace({known}, '&amp;', '&')", "&amp([^A-Za-z0-9;]|$)", "&$1")
-    return let("t", x, f"CASE WHEN contains(t, '&') THEN {amp} ELSE t END")
+    """Decode HTML entities from left to right, each once: a text is cut at ``&``, each piece read by itself."""
+    bare = f"^({'|'.join(BARE_ENTITIES)})"
+    piece = f"""CASE
+        WHEN p RLIKE '^#[xX][0-9a-fA-F]' THEN concat({_number("conv(right(concat('0', regexp_extract(p, '^#[xX]([0-9a-fA-F]+)', 1)), 15), 16, 10)")},
+          regexp_replace(p, '^#[xX][0-9a-fA-F]+;?', ''))
+        WHEN p RLIKE '^#[0-9]' THEN concat({_number("right(regexp_extract(p, '^#([0-9]+)', 1), 18)")}, regexp_replace(p, '^#[0-9]+;?', ''))
+        ELSE coalesce(
+          concat(try_element_at({mapping(NAMED_ENTITIES)}, regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)), regexp_replace(p, '^[A-Za-z0-9]+;', '')),
+          concat(try_element_at({mapping(NAMED_ENTITIES)}, regexp_extract(p, {lit(bare)}, 1)), regexp_replace(p, {lit(bare)}, '')),
+          concat('&', p)) END"""
+    decoded = f"array_join(transform(split(t, '&'), (p, i) -> CASE WHEN i = 0 THEN p ELSE {piece} END), '')"
+    return let("t", x, f"CASE WHEN contains(t, '&') THEN {decoded} ELSE t END")
+
+
+def _innermost_re(tags) -> str:
+    """Elements without an element of their own kind inside; one leading ``<`` passes other text quickly."""
+    inner = "|".join(rf"{t}\b{ATTRIBUTES_RE}>[^<]*+(?:<(?!/?{t}\b)[^<]*+)*+</{t}\s*+>" for t in tags)
+    return rf"(?is)<(?:{inner})"
 
 
-def _elements_re(tags, or_else: str = "") -> str:
-    """All alternatives share one leading ``<``, so other characters are passed over quickly."""
-    inner = "|".join(rf"{t}\b[^>]*>.*?</{t}\s*>" for t in tags)
-    return rf"(?is)<(?:{inner}{or_else})"
+def drop_elements(html: str, tags, by: str = "") -> str:
+    """Without the elements of these kinds, whatever their nesting: innermost ones first, again while any is left."""
+    pattern = _innermost_re(tags)
+    ends = rf"(?i)</(?:{'|'.join(tags)})\s*>"
+    again = f"aggregate(sequence(1, regexp_count(once, {lit(ends)})), once, (acc, i) -> {replace_all('acc', pattern, by)})"
+    return let("once", replace_all(html, pattern, by), f"CASE WHEN once RLIKE {lit(ends)} THEN {again} ELSE once END")
 
 
-def drop_elements(html: str, tags, by: str = "") -> str:
-    return replace_all(html, _elements_re(tags), by)
+def region(html: str, tag: str) -> str:
+    """Inside of all elements of a kind, outermost ones once; pieces between the tags at a depth above 0."""
+    tag_re = rf"(?i)</?{tag}\b{ATTRIBUTES_RE}>"
+    return let("marks", f"regexp_extract_all({html}, {lit(tag_re)}, 0)", f"""CASE WHEN size(marks) = 0 THEN '' ELSE array_join(aggregate(
+        slice(split({html}, {lit(tag_re)}), 2, size(marks)),
+        named_struct('depth', 0, 'i', 0, 'out', CAST(array() AS ARRAY<STRING>)),
+        (acc, piece) -> transform(array(CASE WHEN startswith(marks[acc.i], '</') THEN greatest(acc.depth - 1, 0) ELSE acc.depth + 1 END),
+          depth -> named_struct('depth', depth, 'i', acc.i + 1,
+            'out', CASE WHEN depth > 0 THEN array_append(acc.out, piece) ELSE acc.out END))[0]).out, {lit(GAP)}) END""")
 
 
 def without_scripts(html: str, by: str = "") -> str:
-    """HTML without scripts, styles and comments."""
-    return replace_all(html, _elements_re(("script", "style"), "|!--.*?-->"), by)
+    """HTML without scripts, styles and comments; an unclosed script swallows the rest, as in a browser."""
+    parts = "|".join(rf"{t}\b{ATTRIBUTES_RE}>.*?(?:</{t}\s*>|\z)" for t in ("script", "style"))
+    return replace_all(html, rf"(?is)<(?:{parts}|!--.*?-->)", by)
 
 
 def body(html: str) -> str:
     """Inside of ``<body>``; the whole text when there is none."""
-    return replace_all(replace_all(html, r"(?is)^.*?<body\b[^>]*>"), r"(?is)</body\s*>.*$")
+    return replace_all(replace_all(html, rf"(?is)^.*?<body\b{ATTRIBUTES_RE}>"), r"(?is)</body\s*>.*$")
 
 
 def text_nodes(html: str) -> str:
@@ -126,20 +147,19 @@ def _mostly_text(block: str) -> str:
 
 
 def main_content(html: str, max_chars: int | None = None) -> str:
-    """Article or main region; else text blocks that are not mostly links; else clean text."""
-    regions = f"regexp_extract_all(page, {lit(REGION_RE)}, 1)"
-    article = text_nodes(f"array_join({regions}, {lit(GAP)})")
+    """Main region, else articles, else text blocks that are not mostly links, else clean text."""
     kept = f"filter(split(page, {lit(BLOCK_TAG_RE)}), block -> {_mostly_text('block')})"
     blocks = text_nodes(f"array_join({kept}, {lit(GAP)})")
     last = let("blocks", blocks, f"CASE WHEN length(blocks) > 40 THEN blocks ELSE {_region_text('page')} END")
-    first = let("article", article, f"CASE WHEN length(article) > 40 THEN article ELSE {last} END")
+    article = let("article", text_nodes(region("page", "article")), f"CASE WHEN length(article) > 40 THEN article ELSE {last} END")
+    first = let("main", text_nodes(region("page", "main")), f"CASE WHEN length(main) > 40 THEN main ELSE {article} END")
     return cap(let("page", _own_region(html), first), max_chars)
 
 
 def strip_noise_html(html: str, max_chars: int | None = None) -> str:
     """HTML without nine noise tag kinds; the other markup stays."""
     out = drop_elements(drop_elements(html, ("script", "style")), ("nav", "footer", "header", "noscript", "svg"))
-    return cap(replace_all(out, r"(?i)<(?:meta|link)\b[^>]*>"), max_chars)
+    return cap(replace_all(out, rf"(?i)<(?:meta|link)\b{ATTRIBUTES_RE}>"), max_chars)
 
 
 def page_title(html: str) -> str:

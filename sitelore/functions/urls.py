@@ -10,7 +10,7 @@ URL_RE = (
 )
 SCHEME_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 TAIL_RE = r"(?s)\??(?:#.*)?\z"
-LINK_RE = r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+HREF_RE = r"""(?is)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
 def _part(url: str, number: int) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sitelore.functions import urls as U
 from sitelore.functions.let import lit
-from sitelore.functions.text import unescape, without_scripts
+from sitelore.functions.text import ATTRIBUTES_RE, unescape, without_scripts
 
 
 def extract_links(pages: DataFrame, base: str | None = None) -> DataFrame:
@@ -15,7 +15,9 @@ def extract_links(pages: DataFrame, base: str | None = None) -> DataFrame:
     Relative links are resolved against the page's own address, or against column ``base``.
     No shuffle: links are split off inside the task that reads the page.
     """
-    hrefs = F.expr(f"regexp_extract_all({without_scripts('html')}, {lit(U.LINK_RE)}, 1)")
+    anchors = f"regexp_extract_all({without_scripts('html')}, {lit(rf'(?is)<a\b{ATTRIBUTES_RE}>')}, 0)"
+    found = f"transform({anchors}, tag -> regexp_extract(tag, {lit(U.HREF_RE)}, 1))"
+    hrefs = F.expr(f"filter({found}, href -> href <> '')")
     found = pages.select(
         "page_id", "site", F.col("url").alias("src_url"),
         F.col(base or "url").alias("_base"), F.posexplode(hrefs).alias("link_no", "raw"),

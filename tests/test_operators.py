@@ -513,7 +513,7 @@ def test_inventory_takes_all_or_the_first_of_each_selector(spark):
 
 
 def test_links(spark):
-    html = """<!-- <a href="/no">x</a> --><a class=x href="/a?x=1&amp;y=2#f">1</a><A HREF='../b'>2</A><a href=c>3</a><a name="n">4</a><abbr href="/no">5</abbr>"""
+    html = """<!-- <a href="/no">x</a> --><a title="a>b" class=x href="/a?x=1&amp;y=2#f">1</a><A HREF='../b'>2</A><a href=c>3</a><a name="n">4</a><abbr href="/no">5</abbr>"""
     df = spark.createDataFrame([(1, "s", "https://s/d/e/f", html)], "page_id bigint, site string, url string, html string")
     assert [r.dst_url for r in links.extract_links(df).orderBy("link_no").collect()] == ["https://s/a?x=1&y=2", "https://s/d/b", "https://s/d/e/c"]
     base = df.withColumn("root", F.lit("https://s/"))
