@@ -16,29 +16,47 @@ COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 
 
+#: Bits of each number below 65,536.
+_SMALL = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bits that each id needs."""
+    if not len(ids) or ids.max() < 1 << 16:
+        return _SMALL[ids.astype(np.uint16)]
+    out = np.zeros(len(ids), np.uint8)
+    for part in range(4):
+        digits = _SMALL[((ids >> np.uint64(16 * part)) & np.uint64(0xFFFF)).astype(np.uint16)]
+        out = np.where(digits > 0, digits + np.uint8(16 * part), out)
+    return out
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, end of each block in words, and the places of the raw words after escapes."""
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    here = np.arange(n, dtype=np.int32)
-    end = np.minimum((here // BLOCK + 1) * BLOCK, n).astype(np.int32)
+    here = np.arange(n)
+    end = np.minimum((here // BLOCK + 1) * BLOCK, n)
     # the selector with the most ids that fits from each place on; a block's end counts as fitting
-    selector = np.zeros(n, np.uint8)
+    need = _widths(ids)
+    blocks = -(-n // BLOCK)
+    wide = np.zeros((blocks, BLOCK + int(COUNTS.max())), np.uint8)
+    wide[:, :BLOCK] = np.pad(need, (0, blocks * BLOCK - n)).reshape(blocks, BLOCK)
+    selector = np.zeros((blocks, BLOCK), np.uint8)
     for s in range(len(COUNTS) - 1, 0, -1):
-        fits = ids < (np.uint64(1) << np.uint64(BITS[s]))
-        found = np.count_nonzero(fits)
-        if found < n // 64:
-            break  # hardly any id is so small, and the next selectors need smaller ones
-        if found == n:
-            selector[:] = s if COUNTS[s] == 1 else selector
-        if COUNTS[s] == 1:
-            selector[fits] = s
-            continue
-        misfit = np.where(fits, np.int32(n), here)
-        misfit = np.minimum.accumulate(misfit[::-1])[::-1]
-        selector[misfit >= np.minimum(here + np.int32(COUNTS[s]), end)] = s
+        fits = wide <= BITS[s]
+        count, span = int(COUNTS[s]), 1
+        while span < count:  # fits[i] says that the next ``span`` ids fit
+            more = min(span, count - span)
+            fits = fits[:, :-more] & fits[:, more:]
+            span += more
+        fits = fits[:, :BLOCK]
+        if not fits.any():
+            break  # the next selectors need more ids that are smaller still
+        selector[fits] = s
+    selector = selector.ravel()
     # follow the words of all blocks side by side
     place = np.arange(0, n, BLOCK)
     stop = np.minimum(place + BLOCK, n)
