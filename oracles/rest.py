@@ -103,20 +103,22 @@ cte("element_pages", f"""SELECT page_id, {G.netloc('url')} AS site, html || '<bu
   || '<input type="' || {pick(["submit", "button", "search", "text"])} || '" name="q" placeholder="Search ' || {pick(["here", "2024"])} || '">'
   || '<img alt="' || {pick(["Profile picture of A", "logo", "a@b"])} || '" src="/i.png">'
   || '<a href="' || {pick(["/user/", "/x/followers", "/x/following", "/@me", "/plain"])} || '">' || {pick(["followers", "Home", "About us"])} || '</a>'
+  || '<input type=submit name=q2><my-widget role="button" aria-label="a > b">w</my-widget>'
   || '<textarea class="post-box wide"></textarea><form class="plain"></form><h2 title="More">View more</h2>' AS html FROM pages""")
+OPENING = r"""<[a-zA-Z][a-zA-Z0-9-]*[^>=]*(?:=\s*(?:"[^"]*"|'[^']*')?[^>=]*)*>"""
 cte("tags_found", f"""SELECT page_id, site, unnest(f) AS raw, generate_subscripts(f, 1) AS no FROM (
-   SELECT page_id, site, regexp_extract_all({G.no_scripts('html')}, '<[a-zA-Z][a-zA-Z0-9]*(?:\\s[^<>]*)?>[^<]*') AS f FROM element_pages)""")
+   SELECT page_id, site, regexp_extract_all({G.no_scripts('html')}, {q(OPENING + '[^<]*')}) AS f FROM element_pages)""")
 
 
 def attribute(name):
-    return f"""regexp_extract(open, '(?is)\\s{name}\\s*=\\s*("[^"]*"|''[^'']*'')', 1)"""
+    return f"""regexp_extract(open, '(?is)\\s{name}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''=<>`]+)', 1)"""
 
 
 NAMES = ["id", "class", "href", "role", "type", "aria-label", "data-testid", "name", "placeholder", "alt", "title"]
 ident = lambda n: "a_" + n.replace("-", "_")
 cte("elements", f"""SELECT page_id, site, no, tag, text, open, {attribute('href')} <> '' AS has_href, {", ".join(f"{G.unescape(G.rep(attribute(n), '^[' + chr(34) + chr(39) + ']|[' + chr(34) + chr(39) + ']$'))} AS {ident(n)}" for n in NAMES)}
-  FROM (SELECT *, regexp_extract(raw, '^<[^>]*>') AS open, lower(regexp_extract(raw, '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag,
-   {G.strip(G.unescape("regexp_replace(raw, '^<[^>]*>', '')"))} AS text FROM tags_found)""")
+  FROM (SELECT *, regexp_extract(raw, {q('^' + OPENING)}) AS open, lower(regexp_extract(raw, '^<([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag,
+   {G.strip(G.unescape(f"regexp_replace(raw, {q('^' + OPENING)}, '')"))} AS text FROM tags_found)""")
 
 
 def rule(tag, name, test, value):

@@ -13,23 +13,23 @@ from sitelore.functions.let import contains_any, let, lit, one_of
 from sitelore.functions.scale import salted_join
 from sitelore.functions.urls import unquote_attribute
 
-ELEMENT_RE = r"<[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?>[^<]*"
+OPENING_RE = rf"<[a-zA-Z][a-zA-Z0-9-]*{T.ATTRIBUTES_RE}>"
 ATTRIBUTES = ("id", "class", "href", *V.ATTRIBUTE_VALUES)
 PER_SELECTOR, PER_ELEMENT = 5, 5  # options of the inventory and the locators, off by default
 
 
 def _attribute(tag: str, name: str) -> str:
-    """Attribute as quoted in the tag; '' when absent."""
-    pattern = rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*')"""
+    """Attribute as written in the tag, with its quotes if any; '' when absent."""
+    pattern = rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+)"""
     return f"regexp_extract({tag}, {lit(pattern)}, 1)"
 
 
 def _element(raw: str, number: str) -> str:
     value = lambda name: T.unescape(unquote_attribute(_attribute("opening", name)))
     attributes = ", ".join(f"'{a}', {value(a)}" for a in ATTRIBUTES)
-    return let("opening", f"regexp_extract({raw}, '^<[^>]*>', 0)", f"""named_struct(
+    return let("opening", f"regexp_extract({raw}, {lit('^' + OPENING_RE)}, 0)", f"""named_struct(
         'no', CAST({number} + 1 AS BIGINT),
-        'tag', lower(regexp_extract(opening, '^<([a-zA-Z][a-zA-Z0-9]*)', 1)),
+        'tag', lower(regexp_extract(opening, '^<([a-zA-Z][a-zA-Z0-9-]*)', 1)),
         'text', {T.strip(T.unescape(f"substring({raw}, length(opening) + 1)"))},
         'has_href', {_attribute('opening', 'href')} <> '',
         {attributes})""")
@@ -37,7 +37,7 @@ def _element(raw: str, number: str) -> str:
 
 def page_elements(html: str) -> str:
     """Array of elements: number, tag, the text right after the tag, attributes."""
-    found = f"regexp_extract_all({T.without_scripts(html)}, {lit(ELEMENT_RE)}, 0)"
+    found = f"regexp_extract_all({T.without_scripts(html)}, {lit(OPENING_RE + '[^<]*')}, 0)"
     return f"transform({found}, (raw, i) -> {_element('raw', 'i')})"
 
 

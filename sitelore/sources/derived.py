@@ -283,6 +283,7 @@ def element_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('<img alt="'), pick(["Profile picture of A", "logo", "a@b"]), F.lit('" src="/i.png">'),
         F.lit('<a href="'), pick(["/user/", "/x/followers", "/x/following", "/@me", "/plain"]), F.lit('">'),
         pick(["followers", "Home", "About us"]), F.lit("</a>"),
+        F.lit('<input type=submit name=q2><my-widget role="button" aria-label="a > b">w</my-widget>'),
         F.lit('<textarea class="post-box wide"></textarea><form class="plain"></form><h2 title="More">View more</h2>'),
     )
     return table(spark, sf, "pages").select(
