@@ -83,7 +83,7 @@ cte("found_colors", f"""
   SELECT site, role, CASE WHEN length(c) = 4 THEN regexp_replace(c, '([0-9a-f])', '\\1\\1', 'g') ELSE c END AS c FROM (
    SELECT s.site, 'bg' AS role, lower(unnest(regexp_extract_all(p.html, {q(BG)}, 1))) AS c FROM styled p JOIN start_pages s USING (page_id)
    UNION ALL SELECT s.site, 'brand', lower(unnest(regexp_extract_all(regexp_replace(p.html, {q(BG)}, '', 'g'), {q(HEX6)}))) FROM styled p JOIN start_pages s USING (page_id))""")
-cte("top_colors", """SELECT site, role, c FROM (SELECT site, role, c, row_number() OVER (PARTITION BY site, role ORDER BY count(*) DESC, c) AS r
+cte("top_colors", """SELECT site, role, c, n FROM (SELECT site, role, c, count(*) AS n, row_number() OVER (PARTITION BY site, role ORDER BY count(*) DESC, c) AS r
   FROM found_colors GROUP BY site, role, c) WHERE r = 1""")
 
 QA_TEXT = "replace(replace(text, ', ', '?' || chr(10)), '. ', '.' || chr(10))"
@@ -102,7 +102,9 @@ ORACLES = {
     "harvest_emails": build("SELECT site, value AS email FROM doc_contacts WHERE kind = 'email'"),
     "harvest_phones": build("SELECT site, value AS phone FROM doc_contacts WHERE kind = 'phone'"),
     "site_contacts": build(contact_rows("doc_contacts")),
-    "site_colors": build("""SELECT h.site, coalesce(b.c, '#ffffff') AS main_background_color, coalesce(d.c, '#000000') AS primary_brand_color
+    "site_colors": build("""SELECT h.site, coalesce(b.c, '#ffffff') AS main_background_color, coalesce(d.c, '#000000') AS primary_brand_color,
+       CASE WHEN b.c IS NULL THEN 'Default white background (fallback)' ELSE 'Set as a background ' || b.n || ' times on the start page' END AS background_color_description,
+       CASE WHEN d.c IS NULL THEN 'Default black text (fallback)' ELSE 'Used ' || d.n || ' times besides backgrounds on the start page' END AS brand_color_description
       FROM home h LEFT JOIN top_colors b ON b.site = h.site AND b.role = 'bg' LEFT JOIN top_colors d ON d.site = h.site AND d.role = 'brand'"""),
     "page_section": build(f"SELECT page_id, {section('url', 'title')} AS section FROM titled"),
     "page_chunks": build("SELECT page_id, site, url, title, section, chunk, tokens FROM allchunks"),

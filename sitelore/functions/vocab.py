@@ -171,6 +171,12 @@ PRICES = {
 
 # --- colours --------------------------------------------------------------------------------
 DEFAULT_BACKGROUND, DEFAULT_BRAND = "#ffffff", "#000000"
+# fixed values: descriptions of the defaults
+BACKGROUND_FALLBACK = "Default white background (fallback)"
+BRAND_FALLBACK = "Default black text (fallback)"
+# our own descriptions of colours that were found
+BACKGROUND_FORMAT = "Set as a background %d times on the start page"
+BRAND_FORMAT = "Used %d times besides backgrounds on the start page"
 
 # --- page elements --------------------------------------------------------------------------
 STABLE_IDS = "react-root app main header footer content nav menu".split()

@@ -107,31 +107,36 @@ def _long_hex(code: str) -> str:
         ELSE lower({code}) END"""
 
 
-def _most_frequent(codes: str, default: str) -> str:
-    """Most frequent value of an array, the smallest one on a tie."""
+def _most_frequent(codes: str) -> str:
+    """Most frequent value of an array and minus its number, the smallest one on a tie; NULL if empty."""
     tally = f"""transform(array_distinct({codes}), c -> named_struct(
         'n', -size(filter({codes}, x -> x = c)), 'code', c))"""
-    return f"coalesce(array_min({tally}).code, {lit(default)})"
+    return f"array_min({tally})"
 
 
 def colors(html: str, max_chars: int | None = None) -> str:
-    """struct(background, brand): most frequent background colour and most frequent other one."""
+    """struct(background, brand): most frequent background colour and most frequent other one, as (n, code)."""
     behind = f"transform(regexp_extract_all(css, {lit(BACKGROUND_RE)}, 1), h -> {_long_hex('h')})"
     rest = T.replace_all("css", BACKGROUND_RE)
     others = f"transform(regexp_extract_all({rest}, {lit(HEX_RE)}, 0), h -> {_long_hex('h')})"
-    background = let("found", behind, _most_frequent("found", V.DEFAULT_BACKGROUND))
-    brand = let("found", others, _most_frequent("found", V.DEFAULT_BRAND))
+    background = let("found", behind, _most_frequent("found"))
+    brand = let("found", others, _most_frequent("found"))
     return let("css", T.cap(html, max_chars), f"named_struct('background', {background}, 'brand', {brand})")
 
 
 def site_colors(pages: DataFrame, bases: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """Colours of each site's start page, the defaults where none was found."""
+    """Colours of each site's start page with a description, the defaults where none was found."""
     wanted = bases.select("site", "page_id")
     found = lambda rows: rows.withColumn("c", F.expr(colors("html", max_chars))).drop("html")
     got = project_wanted(pages.select("page_id", "html"), wanted, "page_id", found)
     out = bases.select("site").join(got, "site", "left")
+    told = lambda c, text, default: F.when(
+        F.col(f"{c}.n").isNotNull(), F.format_string(text, (-F.col(f"{c}.n")).cast("bigint"))
+    ).otherwise(default)
     return out.select(
         "site",
-        F.coalesce("c.background", F.lit(V.DEFAULT_BACKGROUND)).alias("main_background_color"),
-        F.coalesce("c.brand", F.lit(V.DEFAULT_BRAND)).alias("primary_brand_color"),
+        F.coalesce("c.background.code", F.lit(V.DEFAULT_BACKGROUND)).alias("main_background_color"),
+        F.coalesce("c.brand.code", F.lit(V.DEFAULT_BRAND)).alias("primary_brand_color"),
+        told("c.background", V.BACKGROUND_FORMAT, V.BACKGROUND_FALLBACK).alias("background_color_description"),
+        told("c.brand", V.BRAND_FORMAT, V.BRAND_FALLBACK).alias("brand_color_description"),
     )

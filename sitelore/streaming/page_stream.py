@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sitelore.functions import contacts as C, text as T, urls as U
-from sitelore.functions.scale import project_wanted
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_pages(spark: SparkSession, folder: str, name_filter: str = "*.parquet") -> DataFrame:
@@ -30,31 +30,17 @@ def page_facts(pages: DataFrame) -> DataFrame:
     )
 
 
-def start(
-    pages: DataFrame, out: str, checkpoint: str, remember: int | None = None, **trigger
-) -> StreamingQuery:
-    """Append the facts of addresses not seen before to ``out``, one folder per micro-batch.
+def start(pages: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append the facts of addresses not seen before to ``out``.
 
-    Copies within a batch meet in a partial aggregate on narrow columns, so an address repeated
-    in a third of the rows is no hot task and its copies' HTML is never read for text.  What was
-    seen is the address column of the earlier folders (of the last ``remember`` batches, or all).
-    A repeated batch overwrites its own folder and looks at earlier ones only: exactly once.
+    Facts are taken where pages are read, so no HTML is shuffled.  Spark's own de-duplication keeps
+    the addresses seen in its state store (RocksDB, unless the session names another one): a batch
+    reads no earlier output, and the file sink commits each batch exactly once.  Of copies in one
+    batch, one stays; of copies over time, the first.
     """
-
-    def save(batch: DataFrame, number: int) -> None:
-        url = F.expr(U.normalize("url")).alias("norm_url")
-        fresh = batch.select(url, "page_id").groupBy("norm_url").agg(F.min("page_id").alias("page_id"))
-        if number > 0:
-            oldest = 0 if remember is None else number - remember
-            seen = (
-                batch.sparkSession.read.option("basePath", out).parquet(out)
-                .filter((F.col("batch") < number) & (F.col("batch") >= oldest))
-                .select(F.col("url").alias("norm_url"))
-            )
-            fresh = fresh.join(seen, "norm_url", "left_anti")
-        wanted = fresh.select("page_id", F.lit(True).alias("_wanted"))
-        facts = project_wanted(batch.select("page_id", "url", "html"), wanted, "page_id", page_facts)
-        facts.drop("_wanted").write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    writer = pages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    session, provider = pages.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (session.conf.get(provider, None) or ""):
+        session.conf.set(provider, ROCKSDB)
+    fresh = page_facts(pages).dropDuplicates(["url"])
+    writer = fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return writer.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()

@@ -13,8 +13,12 @@ def test_pages_arrive_in_parts(spark, tmp_path):
     folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     for part in range(3):  # the third part repeats the first
         pages.filter(F.col("page_id") % 2 == part % 2).write.mode("append").parquet(folder)
-        page_stream.start(page_stream.read_pages(spark, folder), out, state).awaitTermination()
-    got = spark.read.parquet(out).drop("batch")
+        query = page_stream.start(page_stream.read_pages(spark, folder), out, state)
+        query.awaitTermination()
+        # what was seen is state; no batch reads more than its own files
+        assert query.lastProgress["stateOperators"][0]["operatorName"] == "dedupe"
+        assert query.lastProgress["numInputRows"] <= 25
+    got = spark.read.parquet(out)
     batch = page_stream.page_facts(pages)
     assert got.select("url").distinct().count() == got.count() == batch.select("url").distinct().count()
     assert got.exceptAll(batch.select(got.columns)).isEmpty()

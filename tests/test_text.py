@@ -134,7 +134,8 @@ def test_sections(ev):
 def test_colors(ev):
     css = "a{background:#FFF}b{background-color: #ffffff}c{background:#000}d{color:#Abc;border:#aabbcc}e{color:#123456}"
     got = ev(colors("x"), [css, "nothing", "body{background:#112233}"])
-    assert [tuple(r) for r in got] == [("#ffffff", "#aabbcc"), ("#ffffff", "#000000"), ("#112233", "#000000")]
+    pair = lambda x: x and (-x.n, x.code)
+    assert [(pair(r.background), pair(r.brand)) for r in got] == [((2, "#ffffff"), (2, "#aabbcc")), (None, None), ((1, "#112233"), None)]
 
 
 def test_prices(ev):
