@@ -22,7 +22,7 @@ cte("kb_listed", """
    WHERE NOT EXISTS (SELECT 1 FROM kb_kept k WHERE k.site = b.site AND k.url = b.base_url))""")
 cte("kb_picked", U.selection("home", "kb_listed", 25))
 cte("kb_chunks", """SELECT k.site, k.rank AS pos, k.url, k.cluster, c.title, c.section, c.chunk, c.tokens
-  FROM kb_picked k JOIN (SELECT site, norm, pos AS page_id FROM kb_urls) u ON u.site = k.site AND u.norm = k.url
+  FROM kb_picked k JOIN (SELECT site, norm, pos % 1000000000000 AS page_id FROM kb_urls) u ON u.site = k.site AND u.norm = k.url
   JOIN (SELECT page_id, title, chunk, section, tokens FROM kb_rows) c ON c.page_id = u.page_id""")
 # the section of a selected page is read off its normalised address
 cte("kb_rows", f"""SELECT page_id, title, chunk, {X.section(G.norm('url'), 'title')} AS section, {G.toks('chunk')} AS tokens
@@ -64,7 +64,7 @@ cte("section_dim", "SELECT * FROM (VALUES " + ", ".join(
 ) + ") d(section, ord, prio, en, fa)")
 cte("lead_paras", f"""SELECT site, section, i, para, sum({G.toks('para')}) OVER (PARTITION BY site, section ORDER BY i) AS used FROM (
   SELECT site, section, unnest(ps) AS para, generate_subscripts(ps, 1) AS i FROM (SELECT site, section, {G.paras('body')} AS ps FROM kb_sections))""")
-cte("condensed", f"""SELECT site, section, coalesce(string_agg(para, chr(10) ORDER BY i) FILTER (used <= 4000),
+cte("condensed_bodies", f"""SELECT site, section, coalesce(string_agg(para, chr(10) ORDER BY i) FILTER (used <= 4000),
    substring(max(para) FILTER (i = 1), 1, 16000)) AS condensed FROM lead_paras GROUP BY site, section""")
 
 
@@ -72,7 +72,7 @@ def plan(target):
     return f"""SELECT site, section, ord, tokens, ct AS condensed_tokens, tokens >= 400 AND total - coalesce(prior, 0) > {target} AS compress, body, condensed FROM (
    SELECT *, sum(tokens) OVER (PARTITION BY site) AS total,
     sum(CASE WHEN tokens >= 400 THEN tokens - ct ELSE 0 END) OVER (PARTITION BY site ORDER BY prio DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
-   FROM (SELECT s.*, d.prio, d.ord, c.condensed, {G.toks('c.condensed')} AS ct FROM kb_sections s JOIN condensed c USING (site, section) JOIN section_dim d USING (section)))"""
+   FROM (SELECT s.*, d.prio, d.ord, c.condensed, {G.toks('c.condensed')} AS ct FROM kb_sections s JOIN condensed_bodies c USING (site, section) JOIN section_dim d USING (section)))"""
 
 
 def documents(target):

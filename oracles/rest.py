@@ -165,7 +165,23 @@ cte("audit", A.AUDIT)
 NAME = "replace(replace(" + G.netloc("base_url") + ", 'www.', ''), '.', '_') || '_20240101_000000_' || substring(job_id, 1, 8)"
 FLAGS = "concat_ws(', ', " + ", ".join(f"CASE WHEN {f} THEN '{f}' END" for f in ("has_contact", "has_email", "has_phone", "has_policies", "has_faq", "has_services")) + ")"
 
+# the full chain over other candidates and other ways to pick pages
+cte("disc", f"""WITH RECURSIVE {REACHED}, {WALK}, {DISCOVERED} SELECT site, 0 AS source, base_url AS url FROM home
+  UNION ALL SELECT site, 1, url FROM ({MAP_PAGES}) UNION ALL SELECT site, 2, url FROM ({CRAWLED}) JOIN counts USING (site) WHERE rank <= 30 AND n < 5""")
+G.variant("d_", {"kb_urls": f"""SELECT a.site, min(a.pos + d.source * 1000000000000) AS pos, a.norm
+  FROM (SELECT site, min(page_id) AS pos, {G.norm('url')} AS norm FROM good GROUP BY ALL) a JOIN (SELECT site, source, {G.norm('url')} AS norm FROM disc) d USING (site, norm) GROUP BY a.site, a.norm"""})
+ORDERED = "SELECT site, row_number() OVER (PARTITION BY site ORDER BY ord, url) AS rank, url, 'company_information' AS cluster FROM ({}) WHERE (site, url) IN (SELECT site, norm FROM kb_urls)"
+G.variant("c_", {"kb_picked": ORDERED.format(f"""SELECT site, {G.norm('url')} AS url, min(ord) AS ord FROM (SELECT site, 0 AS ord, base_url AS url FROM home
+  UNION ALL SELECT c.site, d.ord, c.url FROM good c JOIN home b USING (site) JOIN core_dim d ON c.url = {G.scheme('b.base_url')} || '://' || c.site || d.path) GROUP BY 1, 2""")})
+cte("asked_quarter", "SELECT site, min(page_id) AS ord, url FROM crawl_raw WHERE page_id % 4 = 1 GROUP BY site, url")
+G.variant("s_", {"kb_picked": ORDERED.format(f"""SELECT site, {G.norm('url')} AS url, min(ord) AS ord FROM (
+  SELECT site, ord, url FROM asked_quarter a WHERE EXISTS (SELECT 1 FROM good g WHERE g.site = a.site AND g.url = a.url)
+  UNION ALL SELECT site, 0, base_url FROM home b WHERE NOT EXISTS (SELECT 1 FROM asked_quarter a JOIN good g ON g.site = a.site AND g.url = a.url WHERE a.site = b.site AND a.url = b.base_url)) GROUP BY 1, 2""")})
+
 ORACLES = {
+    "knowledge_base_discovered": build("SELECT * FROM d_kb_docs"),
+    "knowledge_base_core": build("SELECT * FROM c_kb_docs"),
+    "knowledge_base_specified": build("SELECT * FROM s_kb_docs"),
     "scan_robots_sitemaps": build("SELECT * FROM sitemap_starts"),
     "sitemap_locs": build("SELECT site, sitemap_url, loc FROM locs"),
     "sitemap_expand": build(f"WITH RECURSIVE {REACHED} {MAP_PAGES}"),

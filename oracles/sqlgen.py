@@ -11,6 +11,21 @@ def cte(name: str, sql: str) -> None:
     CTES[name] = sql
 
 
+def variant(prefix: str, roots: dict[str, str]) -> None:
+    """Copies, under prefixed names, of all CTEs that depend on those in ``roots``, which get new SQL."""
+    renamed: dict[str, str] = {}
+    for name, text in list(CTES.items()):
+        new = roots.get(name)
+        if new is None:
+            new = text
+            for old in renamed:
+                new = re.sub(rf"\b{old}\b", prefix + old, new)
+            if new == text:
+                continue
+        renamed[name] = new
+        CTES[prefix + name] = new
+
+
 def build(sql: str, recursive: bool = False) -> str:
     """Put the CTEs a statement needs in front of it, in the order they were declared."""
     needed, stack = set(), [sql]

@@ -355,6 +355,24 @@ def knowledge_base(spark, sf):
     return built(spark, sf).documents
 
 
+@query
+def knowledge_base_discovered(spark, sf):
+    """Documents over the addresses that discovery found."""
+    return built(spark, sf, discovered=discovery.discover_candidates(*discovered(spark, sf))).documents
+
+
+@query
+def knowledge_base_core(spark, sf):
+    return built(spark, sf, mode="core").documents
+
+
+@query
+def knowledge_base_specified(spark, sf):
+    """Documents of every fourth crawled address of each site."""
+    asked = D.crawl(spark, sf).filter("page_id % 4 = 1").select("site", F.col("page_id").alias("pos"), "url")
+    return built(spark, sf, mode="specified", requests=asked).documents
+
+
 @query
 def legacy_compile(spark, sf):
     return sections.legacy_compile(built(spark, sf).chunks)
