@@ -4,67 +4,86 @@ They are data, not logic: each list is stated plainly in its natural order.
 """
 
 # --- URL rules (all matched as substrings of lower-cased text unless noted) -----------------
-ASSET_SUFFIXES = (  # suffix of the path
-    ".jpg .jpeg .png .gif .webp .svg .ico .bmp .tiff .css .js .mjs .json .xml .rss .atom "
-    ".pdf .zip .rar .gz .tar .7z .mp4 .mp3 .avi .mov .wmv .webm .wav .ogg "
-    ".woff .woff2 .ttf .eot .otf .webmanifest .map"
-).split()
+ASSET_SUFFIXES = (
+    ".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".ico", ".bmp", ".tiff", ".css", ".js",
+    ".mjs", ".json", ".xml", ".rss", ".atom", ".pdf", ".zip", ".rar", ".gz", ".tar", ".7z", ".mp4",
+    ".mp3", ".avi", ".mov", ".wmv", ".webm", ".wav", ".ogg", ".woff", ".woff2", ".ttf", ".eot",
+    ".otf", ".webmanifest", ".map",
+)
 TRANSACTIONAL_PATHS = (
-    "/cart /checkout /basket /account /my-account /login /logout /signin /sign-in /signup "
-    "/sign-up /register /wishlist /compare /admin /wp-admin /wp-login /wp-json "
-    "/order-tracking /track-order /payment /سبد-خرید /تسویه /ورود /ثبت-نام /حساب-کاربری"
-).split()
-ARCHIVE_PATHS = "/tag/ /tags/ /author/ /feed/ /page/ /comment /برچسب/ /نویسنده/".split()
+    "/cart", "/checkout", "/basket", "/account", "/my-account", "/login", "/logout", "/signin",
+    "/sign-in", "/signup", "/sign-up", "/register", "/wishlist", "/compare", "/admin", "/wp-admin",
+    "/wp-login", "/wp-json", "/order-tracking", "/track-order", "/payment", "/سبد-خرید", "/تسویه",
+    "/ورود", "/ثبت-نام", "/حساب-کاربری",
+)
+ARCHIVE_PATHS = (
+    "/tag/", "/tags/", "/author/", "/feed/", "/page/", "/comment", "/برچسب/", "/نویسنده/",
+)
 FACET_QUERIES = (
-    "add-to-cart orderby= filter_ filter= replytocom= add_to_wishlist compare= paged= page= "
-    "sort= pagenum"
-).split()
-PRODUCT_PATHS = "/product/ /products/ /dp/ /item/ /sku/ /-p- /buy/ /محصول/ /کالا/".split()
+    "add-to-cart", "orderby=", "filter_", "filter=", "replytocom=", "add_to_wishlist", "compare=",
+    "paged=", "page=", "sort=", "pagenum",
+)
+PRODUCT_PATHS = (
+    "/product/", "/products/", "/dp/", "/item/", "/sku/", "/-p-", "/buy/", "/محصول/", "/کالا/",
+)
 
-TIER_SKIP = "wp-admin wp-content assets css js images cache login register cart checkout".split()
+TIER_SKIP = (
+    "wp-admin", "wp-content", "assets", "css", "js", "images", "cache", "login", "register", "cart",
+    "checkout",
+)
 TIER_HIGH = (
-    "how-to guide tutorial tips best- what-is vs- comparison install setup troubleshoot solve "
-    "fix error problem about contact policy terms faq help support service branch location "
-    "درباره تماس راهنما آموزش نصب حل"
-).split()
-TIER_MEDIUM = "category brand tag archive".split()
+    "how-to", "guide", "tutorial", "tips", "best-", "what-is", "vs-", "comparison", "install",
+    "setup", "troubleshoot", "solve", "fix", "error", "problem", "about", "contact", "policy",
+    "terms", "faq", "help", "support", "service", "branch", "location", "درباره", "تماس", "راهنما",
+    "آموزش", "نصب", "حل",
+)
+TIER_MEDIUM = ("category", "brand", "tag", "archive")
 TIER_LOW = ["product"]
 
-CATEGORY_PRIORITY = "about contact home index service policy help faq support terms privacy".split()
+CATEGORY_PRIORITY = (
+    "about", "contact", "home", "index", "service", "policy", "help", "faq", "support", "terms",
+    "privacy",
+)
 CATEGORY_SKIP = (
-    "wp-content assets css js images uploads cache admin login register cart checkout"
-).split()
+    "wp-content", "assets", "css", "js", "images", "uploads", "cache", "admin", "login", "register",
+    "cart", "checkout",
+)
 CATEGORY_COMPANY = (
-    "about contact home index درباره تماس قوانین شرایط privacy policy terms faq help support"
-).split()
-CATEGORY_SERVICE = "service support help خدمات پشتیبانی راهنما".split()
+    "about", "contact", "home", "index", "درباره", "تماس", "قوانین", "شرایط", "privacy", "policy",
+    "terms", "faq", "help", "support",
+)
+CATEGORY_SERVICE = ("service", "support", "help", "خدمات", "پشتیبانی", "راهنما")
 CATEGORY_NOT_PRODUCT = (
-    "login register cart checkout wp-admin wp-content assets css js images"
-).split()
+    "login", "register", "cart", "checkout", "wp-admin", "wp-content", "assets", "css", "js",
+    "images",
+)
 
 CLUSTER_WORDS = {
-    "educational_content": "how-to tutorial guide install setup آموزش نصب".split(),
+    "educational_content": ("how-to", "tutorial", "guide", "install", "setup", "آموزش", "نصب"),
     "company_information": (
-        "about contact policy terms branch location درباره تماس قوانین شرایط"
-    ).split(),
+        "about", "contact", "policy", "terms", "branch", "location", "درباره", "تماس", "قوانین",
+        "شرایط",
+    ),
     "troubleshooting_support": (
-        "help support faq troubleshoot solve fix error problem پشتیبانی راهنما"
-    ).split(),
+        "help", "support", "faq", "troubleshoot", "solve", "fix", "error", "problem", "پشتیبانی",
+        "راهنما",
+    ),
 }
 # every cluster name, and the order in which the keyword clusters are picked from
 CLUSTERS = (
-    "educational_content buying_guides technical_explanations troubleshooting_support "
-    "company_information service_information"
-).split()
-CLUSTER_PICK_ORDER = "company_information educational_content troubleshooting_support".split()
+    "educational_content", "buying_guides", "technical_explanations", "troubleshooting_support",
+    "company_information", "service_information",
+)
+CLUSTER_PICK_ORDER = ("company_information", "educational_content", "troubleshooting_support")
 
 CORE_PATHS = (
-    "/about/ /about-us/ /درباره-ما/ /contact/ /contact-us/ /تماس-با-ما/ /تماس/ /terms/ "
-    "/terms-and-conditions/ /قوانین/ /شرایط/ /قوانین-شرایط/ /privacy/ /privacy-policy/ "
-    "/حریم-خصوصی/ /faq/ /faqs/ /سوالات-متداول/ /پرسش-های-متداول/ /help/ /support/ /پشتیبانی/ "
-    "/راهنما/ /services/ /خدمات/ /returns/ /return-policy/ /بازگشت-کالا/ /shipping/ /delivery/ "
-    "/ارسال/ /installments-rules/ /اقساط/"
-).split()
+    "/about/", "/about-us/", "/درباره-ما/", "/contact/", "/contact-us/", "/تماس-با-ما/", "/تماس/",
+    "/terms/", "/terms-and-conditions/", "/قوانین/", "/شرایط/", "/قوانین-شرایط/", "/privacy/",
+    "/privacy-policy/", "/حریم-خصوصی/", "/faq/", "/faqs/", "/سوالات-متداول/", "/پرسش-های-متداول/",
+    "/help/", "/support/", "/پشتیبانی/", "/راهنما/", "/services/", "/خدمات/", "/returns/",
+    "/return-policy/", "/بازگشت-کالا/", "/shipping/", "/delivery/", "/ارسال/",
+    "/installments-rules/", "/اقساط/",
+)
 
 # --- limits ---------------------------------------------------------------------------------
 PRODUCT_SAMPLE = 15
@@ -112,10 +131,10 @@ SECTIONS_FA = {
     "support_howto": "پشتیبانی، راهنما و عیب‌یابی",
     "additional": "اطلاعات تکمیلی",
 }
-SECTION_PRIORITY = (  # highest first
-    "contact policies company_overview ordering_payment faq support_howto products_services "
-    "additional"
-).split()
+SECTION_PRIORITY = (
+    "contact", "policies", "company_overview", "ordering_payment", "faq", "support_howto",
+    "products_services", "additional",
+)
 REQUIRED_SECTIONS = {  # audit name -> section
     "contact": "contact", "policies": "policies", "faq": "faq", "services": "products_services",
 }
@@ -147,10 +166,22 @@ ARABIC_RANGES = "؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿"
 PERSIAN_LETTERS = "پچژکگی"
 SCRIPT_MIN_LETTERS, SCRIPT_MIN_SHARE = 20, 0.15
 STOPWORDS = {  # common function words, our own choice
-    "en": "the and of to in is that it for with on as are this be by at from or an".split(),
-    "fr": "le la les de des du et un une est que qui dans pour sur au avec pas ne ce".split(),
-    "de": "der die das und ist von zu den mit nicht ein eine im auf für dem sich des als auch".split(),
-    "es": "el los las del y un una es que en por con para se su al lo como más pero".split(),
+    "en": (
+        "the", "and", "of", "to", "in", "is", "that", "it", "for", "with", "on", "as", "are",
+        "this", "be", "by", "at", "from", "or", "an",
+    ),
+    "fr": (
+        "le", "la", "les", "de", "des", "du", "et", "un", "une", "est", "que", "qui", "dans",
+        "pour", "sur", "au", "avec", "pas", "ne", "ce",
+    ),
+    "de": (
+        "der", "die", "das", "und", "ist", "von", "zu", "den", "mit", "nicht", "ein", "eine", "im",
+        "auf", "für", "dem", "sich", "des", "als", "auch",
+    ),
+    "es": (
+        "el", "los", "las", "del", "y", "un", "una", "es", "que", "en", "por", "con", "para", "se",
+        "su", "al", "lo", "como", "más", "pero",
+    ),
 }
 
 # --- contacts -------------------------------------------------------------------------------
@@ -179,23 +210,26 @@ BACKGROUND_FORMAT = "Set as a background %d times on the start page"
 BRAND_FORMAT = "Used %d times besides backgrounds on the start page"
 
 # --- page elements --------------------------------------------------------------------------
-STABLE_IDS = "react-root app main header footer content nav menu".split()
-DYNAMIC_ID_WORDS = "random temp gen auto".split()
-PERSONAL_ID_WORDS = "username user_ profile_".split()
+STABLE_IDS = ("react-root", "app", "main", "header", "footer", "content", "nav", "menu")
+DYNAMIC_ID_WORDS = ("random", "temp", "gen", "auto")
+PERSONAL_ID_WORDS = ("username", "user_", "profile_")
 ACTION_WORDS = (
-    "follow following unfollow like share comment login sign submit home profile search menu "
-    "save edit delete add create more view show hide close open next previous back forward up "
-    "down settings options message send posts story stories reels tagged"
-).split()
-PERSONAL_TEXT_WORDS = "followers following posts".split()
-CLASS_WORDS = "btn button nav menu header footer post like share follow".split()
+    "follow", "following", "unfollow", "like", "share", "comment", "login", "sign", "submit",
+    "home", "profile", "search", "menu", "save", "edit", "delete", "add", "create", "more", "view",
+    "show", "hide", "close", "open", "next", "previous", "back", "forward", "up", "down",
+    "settings", "options", "message", "send", "posts", "story", "stories", "reels", "tagged",
+)
+PERSONAL_TEXT_WORDS = ("followers", "following", "posts")
+CLASS_WORDS = (
+    "btn", "button", "nav", "menu", "header", "footer", "post", "like", "share", "follow",
+)
 ATTRIBUTE_VALUES = {  # None: any value
-    "role": "button link menu dialog tab navigation main".split(),
-    "type": "button submit search".split(),
+    "role": ("button", "link", "menu", "dialog", "tab", "navigation", "main"),
+    "type": ("button", "submit", "search"),
     "aria-label": None, "data-testid": None, "name": None, "placeholder": None, "alt": None,
     "title": None,
 }
-PERSONAL_HREFS = "/@ /user/ /profile/".split()
+PERSONAL_HREFS = ("/@", "/user/", "/profile/")
 # (category, selector, tag or None, attribute or None, test, value)
 SELECTORS = [
     ("buttons", "button", "button", None, None, None),
@@ -253,14 +287,15 @@ PAGE_PROGRESS_FA = "استخراج از صفحه "
 
 # --- sinks ----------------------------------------------------------------------------------
 PROSPECT_COLUMNS = (
-    "website status is_potential_customer confidence_score reasoning_for reasoning_against error"
-).split()
+    "website", "status", "is_potential_customer", "confidence_score", "reasoning_for",
+    "reasoning_against", "error",
+)
 RUN_COLUMNS = (
-    "url status job_id start_time end_time duration_seconds pages_processed "
-    "main_background_color primary_brand_color background_color_description "
-    "brand_color_description total_cost_usd prompt_tokens completion_tokens error "
-    "knowledge_base_length"
-).split()
+    "url", "status", "job_id", "start_time", "end_time", "duration_seconds", "pages_processed",
+    "main_background_color", "primary_brand_color", "background_color_description",
+    "brand_color_description", "total_cost_usd", "prompt_tokens", "completion_tokens", "error",
+    "knowledge_base_length",
+)
 EMPTY_PAGE_ERROR = "Fetched content is empty."
 
 # --- text formats ---------------------------------------------------------------------------

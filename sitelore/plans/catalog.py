@@ -593,7 +593,7 @@ def reports(spark, sf):
 def sink_kb_markdown(spark, sf):
     path = new_shared_path(spark, "kb_markdown")
     sinks.write_kb_markdown(sinks.kb_markdown(reports(spark, sf), GENERATED, STAMP), path)
-    return spark.read.schema("site string, name string, content string").json(path)
+    return sinks.read_kb_markdown(spark, path)
 
 
 @query

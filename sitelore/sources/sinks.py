@@ -48,17 +48,23 @@ def kb_markdown(reports: DataFrame, generated: str, stamp: str) -> DataFrame:
     )
 
 
-def write_kb_markdown(markdown: DataFrame, path: str, per_site: bool = False) -> None:
-    """Documents as JSON lines (site, name, content), or as text in one folder per site.
+def write_kb_markdown(markdown: DataFrame, path: str, packed: bool = False) -> None:
+    """Documents as Markdown text, each in a folder of its site and file name.
 
-    The folder form is for few sites; millions of folders would burden any file system.
+    Millions of folders would burden any file system; ``packed`` writes JSON lines (site, name,
+    content) instead.
     """
-    if per_site:
-        markdown.select("site", F.col("content").alias("value")).write.mode("overwrite").partitionBy(
-            "site"
-        ).text(path)
-    else:
+    if packed:
         markdown.write.mode("overwrite").json(path)
+    else:
+        rows = markdown.select("site", "name", F.col("content").alias("value"))
+        rows.write.mode("overwrite").partitionBy("site", "name").text(path)
+
+
+def read_kb_markdown(spark, path: str) -> DataFrame:
+    """(site, name, content) of the Markdown files that ``write_kb_markdown`` wrote."""
+    files = spark.read.schema("value string, site string, name string").text(path, wholetext=True)
+    return files.select("site", "name", F.expr("substring(value, 1, length(value) - 1)").alias("content"))
 
 
 def kb_metadata(reports: DataFrame, generated: str, stamp: str) -> DataFrame:

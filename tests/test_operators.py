@@ -467,9 +467,12 @@ def test_csv_keeps_quotes_and_lines(spark, tmp_path):
 
 def test_markdown_per_site(spark, tmp_path):
     df = spark.createDataFrame([("a.example", "n", "# one\n\ntext"), ("b.example", "m", "two")], "site string, name string, content string")
-    sinks.write_kb_markdown(df, str(tmp_path / "md"), per_site=True)
-    files = list((tmp_path / "md" / "site=a.example").glob("*.txt"))
+    sinks.write_kb_markdown(df, str(tmp_path / "md"))
+    files = list((tmp_path / "md" / "site=a.example" / "name=n").glob("*.txt"))
     assert "".join(f.read_text() for f in files) == "# one\n\ntext\n"
+    assert sorted(sinks.read_kb_markdown(spark, str(tmp_path / "md")).collect()) == sorted(df.collect())
+    sinks.write_kb_markdown(df, str(tmp_path / "packed"), packed=True)
+    assert sorted(spark.read.schema(df.schema).json(str(tmp_path / "packed")).collect()) == sorted(df.collect())
 
 
 def test_progress_messages(ev):
