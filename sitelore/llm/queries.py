@@ -1,4 +1,4 @@
-"""The registered queries of the operators, with production parameters, and their checking SQL."""
+"""The registered queries of the operators, with production parameters; their checking SQL is in ``checks``."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sitelore.llm import (
     exact_dedup, jaccard_join, language_id, lattice_dedup, mixing, packing, secrets, suffix_dedup, token_counts, token_files,
 )
+from sitelore.llm.checks import ORACLES  # noqa: F401  (read with the queries)
 from sitelore.llm.common import new_path, table
 
 
@@ -63,17 +64,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_packing, op8_suffix_dedup, op9_mixing, op10_secrets,
     )
 }
-
-ORACLES = {
-    "op1_exact_dedup": r"""
-WITH rows AS (
-  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
-  FROM documents
-), best AS (
-  SELECT *, count(*) OVER (PARTITION BY norm) AS group_size,
-         first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id
-  FROM rows
-)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM best
-""",
-}
