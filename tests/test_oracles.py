@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle_check import compare, connect
+from oracles import all_oracles
+from sitelore.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +18,7 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(SQL) <= set(entry.oracle_sql()) and set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", QUERIES)
