@@ -57,19 +57,20 @@ cte("first_good", f"SELECT site, {G.norm('url')} AS url, min(page_id) AS page_id
 FLAT = f"{G.strip(G.rep('t', G.WS + '+', ' '))}"
 DESCRIBE = f"""descr AS (SELECT c.site, c.rank, c.url, {G.strip("array_to_string(regexp_extract_all(" + FLAT + ", '[^.!?؟]+[.!?؟]*')[1:2], '')")} AS description
   FROM ({CRAWLED}) c JOIN first_good f ON f.site = c.site AND f.url = c.url JOIN (SELECT page_id, {G.lines(G.body(G.no_scripts('html', '<br>')))} AS t FROM good) USING (page_id) WHERE c.rank <= 10)"""
-cte("asked_urls", "SELECT DISTINCT trim(url) AS url FROM crawl_raw")
-cte("prospect_texts", f"""SELECT a.url, t.text FROM asked_urls a LEFT JOIN (SELECT url, min(page_id) AS page_id FROM good GROUP BY url) g USING (url)
+cte("asked_urls", "SELECT page_id % 3 AS request_id, trim(url) AS url FROM crawl_raw UNION SELECT (page_id + 1) % 3, trim(url) FROM crawl_raw WHERE page_id % 5 = 0")
+cte("prospect_texts", f"""SELECT a.request_id, a.url, t.text FROM asked_urls a LEFT JOIN (SELECT url, min(page_id) AS page_id FROM good GROUP BY url) g USING (url)
   LEFT JOIN (SELECT page_id, {G.lines(G.body(G.no_scripts('html', '<br>')))} AS text FROM good) t USING (page_id)""")
 TERMS = "list_sort(list_distinct(regexp_extract_all(lower({}), '\\p{{L}}{{4,}}')))"
-cte("profile", f"SELECT item_id, {TERMS.format('text')} AS terms FROM benchmark")
-cte("known_pages", f"SELECT url, {TERMS.format('text')} AS terms FROM prospect_texts WHERE coalesce(text, '') <> ''")
-cte("scored", """SELECT k.url, p.item_id, k.terms AS page, p.terms AS persona, (200 * h + n) // (2 * n) AS conf FROM (
-   SELECT k.url, p.item_id, length(list_intersect(k.terms, p.terms)) AS h, length(p.terms) AS n FROM known_pages k, profile p) JOIN known_pages k USING (url) JOIN profile p USING (item_id)""")
-cte("best_persona", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY conf DESC, item_id) AS r FROM scored) WHERE r = 1")
-cte("analysis", """SELECT url, item_id AS persona_id, conf >= 50 AS is_potential_customer, conf AS confidence_score,
+cte("profile", f"SELECT item_id % 3 AS request_id, item_id, {TERMS.format('text')} AS terms FROM benchmark")
+cte("known_pages", f"SELECT request_id, url, {TERMS.format('text')} AS terms FROM prospect_texts WHERE coalesce(text, '') <> ''")
+cte("scored", """SELECT request_id, url, item_id, page, persona, (200 * h + n) // (2 * n) AS conf FROM (
+   SELECT k.request_id, k.url, p.item_id, k.terms AS page, p.terms AS persona, length(list_intersect(k.terms, p.terms)) AS h, length(p.terms) AS n
+   FROM known_pages k JOIN profile p ON p.request_id = k.request_id)""")
+cte("best_persona", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, url ORDER BY conf DESC, item_id) AS r FROM scored) WHERE r = 1")
+cte("analysis", """SELECT request_id, url, item_id AS persona_id, conf >= 50 AS is_potential_customer, conf AS confidence_score,
    array_to_string(list_filter(persona, lambda w: list_contains(page, w)), ', ') AS reasoning_for,
    array_to_string(list_filter(persona, lambda w: NOT list_contains(page, w)), ', ') AS reasoning_against FROM best_persona""")
-cte("prospect_states", f"""SELECT url, CASE WHEN coalesce(text, '') = '' THEN 'failed' ELSE 'completed' END AS status,
+cte("prospect_states", f"""SELECT request_id, url, CASE WHEN coalesce(text, '') = '' THEN 'failed' ELSE 'completed' END AS status,
    CASE WHEN coalesce(text, '') = '' THEN {q(V.EMPTY_PAGE_ERROR)} END AS error, {G.toks('text')} AS prompt_tokens FROM prospect_texts""")
 STATUS = "CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END"
 MESSAGES = ["Detecting language...", "Extracting from page 3/20: https://x.example.org/a:b", "Extracting knowledge 4/9 pages...",
@@ -214,9 +215,9 @@ ORACLES = {
     "company_pages": build(f"WITH RECURSIVE {WALK}, {DESCRIBE} SELECT site, rank, url, description FROM descr WHERE description <> ''"),
     "company_summary": build(f"""WITH RECURSIVE {WALK}, {DESCRIBE} SELECT d.site, count(*) AS analyzed_pages, 'Based on analyses of pages from ' || any_value(base_url) || ':' || {NL} || {NL}
       || string_agg('- URL: ' || url || {NL} || '  Summary: ' || description, {NL} ORDER BY rank) AS summary FROM descr d JOIN home USING (site) WHERE description <> '' GROUP BY d.site"""),
-    "scan_prospect_list": build("SELECT url FROM asked_urls"),
+    "scan_prospect_list": build("SELECT request_id, url FROM asked_urls"),
     "prospect_score": build("SELECT * FROM analysis"),
-    "prospect_status": build("SELECT url, status, error, prompt_tokens FROM prospect_states"),
+    "prospect_status": build("SELECT request_id, url, status, error, prompt_tokens FROM prospect_states"),
     "jobs_list": build(f"""SELECT j.job_id, e.job_type, e.status, {TS.format('c')} AS created_at, CASE WHEN e.status IN ('completed', 'failed') THEN {TS.format('l')} END AS finished_at
       FROM (SELECT job_id, min(ts) AS c, max(ts) AS l FROM job_events GROUP BY job_id) j JOIN job_events e ON e.job_id = j.job_id AND e.back = 1"""),
     "job_latest": build("""SELECT e.job_id, status, progress, progress_fa, substring(d.document, 1, 500) || '...' AS preview, CASE WHEN status = 'completed' THEN d.document END AS document
@@ -237,8 +238,8 @@ ORACLES = {
       || {NL} || {NL} || '---' || {NL} || {NL} || document AS content FROM ({REPORT.replace('a.*', 'a.* EXCLUDE (site)')})"""),
     "sink_kb_metadata": build(f"""SELECT site, 'metadata_' || {NAME} || '.json' AS name, job_id, base_url AS url, 'knowledge_base_' || {NAME} || '.md' AS knowledge_base_file, pages AS extracted_pages_count,
       lang AS detected_target_language, has_email, doc_tokens, missing FROM ({REPORT.replace('a.*', 'a.* EXCLUDE (site)')})"""),
-    "sink_prospect_csv": build("""SELECT url AS website, status, coalesce(CAST(is_potential_customer AS VARCHAR), '') AS is_potential_customer, coalesce(CAST(confidence_score AS VARCHAR), '') AS confidence_score,
-      coalesce(reasoning_for, '') AS reasoning_for, coalesce(reasoning_against, '') AS reasoning_against, coalesce(error, '') AS error FROM prospect_states LEFT JOIN analysis USING (url)"""),
+    "sink_prospect_csv": build("""SELECT request_id, url AS website, status, coalesce(CAST(is_potential_customer AS VARCHAR), '') AS is_potential_customer, coalesce(CAST(confidence_score AS VARCHAR), '') AS confidence_score,
+      coalesce(reasoning_for, '') AS reasoning_for, coalesce(reasoning_against, '') AS reasoning_against, coalesce(error, '') AS error FROM prospect_states LEFT JOIN analysis USING (request_id, url)"""),
     "sink_run_csv": build(FLAT_RUN.format(n="VARCHAR")),
 }
 cte("stream_pages", f"""SELECT page_id, url, html, {X.title('html')} AS title FROM (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitelore.functions import text as T, urls as U, vocab as V
 from sitelore.functions.let import lit
-from sitelore.functions.scale import project_wanted, salted_join
+from sitelore.functions.scale import project_wanted, reused, salted_join
 
 TERM_RE = r"\p{L}{4,}"
 
@@ -45,18 +45,18 @@ def terms(text: str) -> Column:
 
 
 def prospect_texts(prospects: DataFrame, pages: DataFrame) -> DataFrame:
-    """(url, text): page text per prospect address; NULL when the page was not fetched."""
+    """(request_id, url, text): page text per request and address; NULL when the page was not fetched."""
     first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    wanted = prospects.join(first, "url").select("page_id", "url")
+    wanted = prospects.select("url").distinct().join(first, "url").select("page_id", "url")
     read = lambda rows: rows.withColumn("text", F.expr(T.plain_text("html"))).drop("html")
     got = project_wanted(pages.select("page_id", "html"), wanted, "page_id", read)
-    return prospects.join(got.select("url", "text"), "url", "left")
+    return prospects.select("request_id", "url").join(got.select("url", "text"), "url", "left")
 
 
 def prospect_status(texts: DataFrame) -> DataFrame:
     empty = F.expr(T.is_blank("text"))
     return texts.select(
-        "url",
+        "request_id", "url",
         F.when(empty, "failed").otherwise("completed").alias("status"),
         F.when(empty, V.EMPTY_PAGE_ERROR).alias("error"),
         F.when(empty, 0).otherwise(F.expr(T.tokens("text"))).cast("bigint").alias("prompt_tokens"),
@@ -68,33 +68,33 @@ def _reasons(words: Column) -> Column:
 
 
 def prospect_score(texts: DataFrame, personas: DataFrame) -> DataFrame:
-    """Best persona per page by the share of its terms found on the page.
+    """Best persona of a page's own request by the share of its terms found on the page.
 
-    ``personas`` (persona_id, text) come with a request.  Their terms, one row per persona and term,
-    are joined by salted term; adaptive execution broadcasts them where their bytes allow it.  Pages'
-    terms are distinct before they are split off, and matches of a page are counted in its own task
-    first.
+    ``personas`` (request_id, persona_id, text) come with a request, and pages meet those of their
+    request only.  Persona terms, one row per term, are joined by request and salted term.  Pages'
+    terms are read and made distinct once, and matches of a page are counted in its own task first.
     """
-    profile = personas.select("persona_id", terms("text").alias("persona_terms"))
+    page, mine = ["request_id", "url"], ["request_id", "persona_id"]
+    profile = personas.select(*mine, terms("text").alias("persona_terms"))
     sized = profile.withColumn("n_terms", F.size("persona_terms").cast("bigint"))
-    by_term = sized.select("persona_id", "n_terms", F.explode("persona_terms").alias("term"))
-    known = texts.filter(~F.expr(T.is_blank("text"))).select("url", terms("text").alias("page_terms"))
-    words = known.select("url", F.explode("page_terms").alias("term"))
-    shared = salted_join(words, by_term, ["term"])
-    matched = shared.groupBy("url", "persona_id", "n_terms").agg(
+    by_term = sized.select(*mine, "n_terms", F.explode("persona_terms").alias("term"))
+    known = reused(texts.filter(~F.expr(T.is_blank("text"))).select(*page, terms("text").alias("page_terms")))
+    words = known.select(*page, F.explode("page_terms").alias("term"))
+    matched = salted_join(words, by_term, ["request_id", "term"]).groupBy(*page, "persona_id", "n_terms").agg(
         F.count(F.lit(1)).alias("hits")
     )
     share = F.floor((200 * F.col("hits") + F.col("n_terms")) / (2 * F.col("n_terms")))
-    best = matched.groupBy("url").agg(
+    best = matched.groupBy(*page).agg(
         F.max(F.struct(share.alias("confidence"), (-F.col("persona_id")).alias("neg"))).alias("top")
-    ).select("url", "top.confidence", (-F.col("top.neg")).alias("best_id"))
-    any_id = profile.select(F.min("persona_id")).scalar()  # no match: the first persona, 0 %
-    chosen = known.join(best, "url", "left").select(
-        "url", "page_terms", F.coalesce("confidence", F.lit(0)).cast("bigint").alias("confidence_score"),
-        F.coalesce("best_id", any_id).alias("persona_id"),
+    ).select(*page, "top.confidence", (-F.col("top.neg")).alias("best_id"))
+    # no match: the first persona of the request, 0 %
+    any_id = profile.groupBy("request_id").agg(F.min("persona_id").alias("any_id"))
+    chosen = salted_join(known.join(best, page, "left"), any_id, ["request_id"]).select(
+        *page, "page_terms", F.coalesce("confidence", F.lit(0)).cast("bigint").alias("confidence_score"),
+        F.coalesce("best_id", "any_id").alias("persona_id"),
     )
-    return salted_join(chosen, profile, ["persona_id"]).select(
-        "url", "persona_id", (F.col("confidence_score") >= 50).alias("is_potential_customer"),
+    return salted_join(chosen, profile, mine).select(
+        *page, "persona_id", (F.col("confidence_score") >= 50).alias("is_potential_customer"),
         "confidence_score",
         _reasons(F.array_intersect("persona_terms", "page_terms")).alias("reasoning_for"),
         _reasons(F.array_except("persona_terms", "page_terms")).alias("reasoning_against"),
@@ -103,4 +103,4 @@ def prospect_score(texts: DataFrame, personas: DataFrame) -> DataFrame:
 
 def prospect_report(texts: DataFrame, personas: DataFrame) -> DataFrame:
     """Status and analysis per prospect; failed rows have no analysis."""
-    return prospect_status(texts).join(prospect_score(texts, personas), "url", "left")
+    return prospect_status(texts).join(prospect_score(texts, personas), ["request_id", "url"], "left")

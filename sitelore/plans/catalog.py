@@ -499,7 +499,12 @@ def company_summary(spark, sf):
 
 @query
 def scan_prospect_list(spark, sf):
-    return S.prospect_list(D.crawl(spark, sf).select(F.concat(F.lit(" "), "url", F.lit(" ")).alias("url")))
+    """Three requests; every fifth page is asked for by a second one."""
+    pid = F.col("page_id")
+    asked = F.array_compact(F.array(pid % 3, F.when(pid % 5 == 0, (pid + 1) % 3)))
+    return S.prospect_list(D.crawl(spark, sf).select(
+        F.explode(asked).alias("request_id"), F.concat(F.lit(" \t"), "url", F.lit(" ")).alias("url")
+    ))
 
 
 def prospects(spark, sf):
@@ -507,7 +512,9 @@ def prospects(spark, sf):
 
 
 def personas(spark, sf):
-    return S.table(spark, sf, "benchmark").select(F.col("item_id").alias("persona_id"), "text")
+    return S.table(spark, sf, "benchmark").select(
+        (F.col("item_id") % 3).alias("request_id"), F.col("item_id").alias("persona_id"), "text"
+    )
 
 
 @query
@@ -614,9 +621,10 @@ def sink_kb_metadata(spark, sf):
 def sink_prospect_csv(spark, sf):
     path = new_shared_path(spark, "prospects")
     sinks.write_csv(
-        sinks.prospect_rows(company.prospect_report(prospects(spark, sf), personas(spark, sf))), path
+        sinks.prospect_rows(company.prospect_report(prospects(spark, sf), personas(spark, sf))), path,
+        by=["request_id"],
     )
-    return sinks.read_csv(spark, path, V.PROSPECT_COLUMNS)
+    return sinks.read_csv(spark, path, V.PROSPECT_COLUMNS, "request_id bigint")
 
 
 @query

@@ -90,17 +90,19 @@ def write_kb_metadata(metadata: DataFrame, path: str) -> None:
 
 
 def prospect_rows(report: DataFrame) -> DataFrame:
-    """Seven flat columns; a prospect without analysis has empty fields."""
+    """Seven flat columns and the request; a prospect without analysis has empty fields."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     source = {"website": "url"}
-    return report.select(*[text(source.get(c, c)).alias(c) for c in V.PROSPECT_COLUMNS])
+    return report.select(*[text(source.get(c, c)).alias(c) for c in V.PROSPECT_COLUMNS], "request_id")
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").options(**{k: v for k, v in CSV.items() if k != "multiLine"}).csv(path)
+def write_csv(rows: DataFrame, path: str, by: list[str] = ()) -> None:
+    """CSV files; with ``by``, in one folder per value."""
+    writer = rows.write.mode("overwrite").options(**{k: v for k, v in CSV.items() if k != "multiLine"})
+    writer.partitionBy(*by).csv(path)
 
 
-def read_csv(spark, path: str, columns) -> DataFrame:
+def read_csv(spark, path: str, columns, by: str | None = None) -> DataFrame:
     """What ``write_csv`` wrote; empty fields come back as empty text."""
-    schema = ", ".join(f"{c} string" for c in columns)
+    schema = ", ".join([*(f"{c} string" for c in columns), *([by] if by else [])])
     return spark.read.schema(schema).options(**CSV).csv(path).fillna("")

@@ -74,7 +74,7 @@ def sitemap_locs(sitemaps: DataFrame) -> DataFrame:
 
 
 def prospect_list(urls: DataFrame) -> DataFrame:
-    """Prospect addresses: trimmed, empty ones dropped, each once."""
+    """Prospect addresses (request_id, url): trimmed, empty ones dropped, each once in its request."""
     return (
-        urls.select(F.expr(strip("url")).alias("url")).filter("url <> ''").distinct()
+        urls.select("request_id", F.expr(strip("url")).alias("url")).filter("url <> ''").distinct()
     )

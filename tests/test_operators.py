@@ -448,15 +448,20 @@ def test_costs(spark):
 
 
 def test_prospects(spark, tmp_path):
-    texts = spark.createDataFrame([("u1", "Maps maps ATLAS printing shop"), ("u2", "nothing"), ("u3", None), ("u4", " ")], "url string, text string")
-    personas = spark.createDataFrame([(1, "printing atlas"), (2, "printing atlas cheap globes")], "persona_id bigint, text string")
-    got = {r.url: tuple(r)[1:] for r in company.prospect_score(texts, personas).collect()}
-    assert got == {"u1": (1, True, 100, "atlas, printing", ""), "u2": (1, False, 0, "", "atlas, printing")}
+    texts = spark.createDataFrame([(1, "u1", "Maps maps ATLAS printing shop"), (1, "u2", "nothing"), (1, "u3", None), (1, "u4", " "),
+                                   (2, "u1", "Maps maps ATLAS printing shop")], "request_id bigint, url string, text string")
+    personas = spark.createDataFrame([(1, 1, "printing atlas"), (1, 2, "printing atlas cheap globes"), (2, 3, "a1 " + " ".join(f"atlas{c * 4}" for c in "abcdefghijklmnop"))],
+                                     "request_id bigint, persona_id bigint, text string")
+    got = {(r.request_id, r.url): tuple(r)[2:] for r in company.prospect_score(texts, personas).collect()}
+    against = got.pop((2, "u1"))
+    assert got == {(1, "u1"): (1, True, 100, "atlas, printing", ""), (1, "u2"): (1, False, 0, "", "atlas, printing")}
+    assert against[:4] == (3, False, 0, "") and len(against[4].split(", ")) == 16  # its own request's persona, all reasons
     path = str(tmp_path / "p")
-    sinks.write_csv(sinks.prospect_rows(company.prospect_report(texts, personas)), path)
-    rows = {r.website: r for r in sinks.read_csv(spark, path, V.PROSPECT_COLUMNS).collect()}
-    assert (rows["u1"].is_potential_customer, rows["u1"].confidence_score, rows["u1"].error) == ("true", "100", "")
-    assert (rows["u3"].status, rows["u3"].confidence_score, rows["u3"].error) == ("failed", "", V.EMPTY_PAGE_ERROR)
+    sinks.write_csv(sinks.prospect_rows(company.prospect_report(texts, personas)), path, by=["request_id"])
+    rows = {(r.request_id, r.website): r for r in sinks.read_csv(spark, path, V.PROSPECT_COLUMNS, "request_id bigint").collect()}
+    assert len(rows) == 5
+    assert (rows[1, "u1"].is_potential_customer, rows[1, "u1"].confidence_score, rows[1, "u1"].error) == ("true", "100", "")
+    assert (rows[1, "u3"].status, rows[1, "u3"].confidence_score, rows[1, "u3"].error) == ("failed", "", V.EMPTY_PAGE_ERROR)
 
 
 def test_csv_keeps_quotes_and_lines(spark, tmp_path):
