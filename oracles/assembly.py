@@ -99,11 +99,15 @@ AUDIT = f"""SELECT site, regexp_matches(document, {X.EMAIL}) OR coalesce(emails,
   concat_ws(',', CASE WHEN NOT list_contains(s, 'contact') THEN 'contact' END, CASE WHEN NOT list_contains(s, 'policies') THEN 'policies' END,
    CASE WHEN NOT list_contains(s, 'faq') THEN 'faq' END, CASE WHEN NOT list_contains(s, 'products_services') THEN 'services' END) AS missing
  FROM (SELECT *, string_split(sections_present, ',') AS s FROM kb_docs LEFT JOIN kb_contacts USING (site))"""
-SUMMARY = """SELECT h.site, d.lang, coalesce(f.n, 0) AS discovered, coalesce(t.n, 0) AS total_pages_analyzed, coalesce(e.n, 0) AS extracted_pages_count,
+DROPPED = """SELECT site, sum(n) AS n, string_agg(reason || '=' || n, ',' ORDER BY reason) AS why FROM (
+  SELECT site, reason, CASE WHEN reason = 'product' THEN count(*) - 15 ELSE count(*) END AS n FROM kb_labelled WHERE reason <> 'kept' GROUP BY 1, 2
+  UNION ALL SELECT g.site, 'duplicate', g.n - u.n FROM (SELECT site, count(*) AS n FROM good GROUP BY site) g JOIN (SELECT site, count(*) AS n FROM kb_urls GROUP BY site) u USING (site))
+ WHERE n > 0 GROUP BY site"""
+SUMMARY = f"""SELECT h.site, d.lang, coalesce(f.n, 0) AS discovered, coalesce(f.n, 0) - coalesce(r.n, 0) AS kept, coalesce(r.why, '') AS dropped_by_reason, coalesce(t.n, 0) AS total_pages_analyzed, coalesce(e.n, 0) AS extracted_pages_count,
   coalesce(t.types, '') AS pages_by_type, sections_present, compressed_sections, final_doc_tokens, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones,
   'Deep pipeline: discovered ~' || coalesce(f.n, 0) || ' URLs, selected ' || coalesce(t.n, 0) || ' knowledge pages, extracted ' || coalesce(e.n, 0)
    || ', synthesised ' || CASE WHEN sections_present = '' THEN 0 ELSE length(string_split(sections_present, ',')) END || ' sections.' AS analysis_summary
- FROM home h LEFT JOIN (SELECT site, count(*) AS n FROM good GROUP BY site) f USING (site)
+ FROM home h LEFT JOIN (SELECT site, count(*) AS n FROM good GROUP BY site) f USING (site) LEFT JOIN ({DROPPED}) r USING (site)
  LEFT JOIN (SELECT site, sum(n) AS n, string_agg(cluster || '=' || n, ',' ORDER BY cluster) AS types FROM (SELECT site, cluster, count(*) AS n FROM kb_picked GROUP BY 1, 2) GROUP BY site) t USING (site)
  LEFT JOIN (SELECT site, count(*) AS n FROM kb_chunks GROUP BY site) e USING (site) JOIN kb_docs d USING (site) LEFT JOIN kb_contacts USING (site)"""
 ORACLES = {

@@ -237,7 +237,8 @@ ORACLES = {
       '**Models:** cheap=gpt-5-nano / strong=gpt-5-nano', '**Completeness:** present=' || coalesce(nullif({FLAGS}, ''), 'none') || CASE WHEN missing <> '' THEN '; missing=' || replace(missing, ',', ', ') ELSE '' END)
       || {NL} || {NL} || '---' || {NL} || {NL} || document AS content FROM ({REPORT.replace('a.*', 'a.* EXCLUDE (site)')})"""),
     "sink_kb_metadata": build(f"""SELECT site, 'metadata_' || {NAME} || '.json' AS name, job_id, base_url AS url, 'knowledge_base_' || {NAME} || '.md' AS knowledge_base_file, pages AS extracted_pages_count,
-      lang AS detected_target_language, has_email, doc_tokens, missing FROM ({REPORT.replace('a.*', 'a.* EXCLUDE (site)')})"""),
+      lang AS detected_target_language, cost AS total_cost_usd, analysis_summary, has_email, doc_tokens, missing
+      FROM ({REPORT.replace('a.*', 'a.* EXCLUDE (site)')}) JOIN (SELECT site, analysis_summary FROM ({A.SUMMARY})) USING (site)"""),
     "sink_prospect_csv": build("""SELECT request_id, url AS website, status, coalesce(CAST(is_potential_customer AS VARCHAR), '') AS is_potential_customer, coalesce(CAST(confidence_score AS VARCHAR), '') AS confidence_score,
       coalesce(reasoning_for, '') AS reasoning_for, coalesce(reasoning_against, '') AS reasoning_against, coalesce(error, '') AS error FROM prospect_states LEFT JOIN analysis USING (request_id, url)"""),
     "sink_run_csv": build(FLAT_RUN.format(n="VARCHAR")),

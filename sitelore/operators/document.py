@@ -169,9 +169,22 @@ def completeness_audit(documents: DataFrame, contacts: DataFrame) -> DataFrame:
 
 def kb_summary(
     bases: DataFrame, candidates: DataFrame, selected: DataFrame, chunks: DataFrame,
-    documents: DataFrame, contacts: DataFrame,
+    documents: DataFrame, contacts: DataFrame, dropped: DataFrame,
 ) -> DataFrame:
-    """Counts of every stage per site and the summary sentence."""
+    """Counts of every stage per site, what was dropped by reason, and the summary sentence.
+
+    ``dropped``: (site, reason, n), see ``prefilter.dropped_by_reason``; a site has a row per reason.
+    """
+    reasons = dropped.groupBy("site").agg(
+        F.sum("n").alias("n_dropped"),
+        F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("reason", "n"))),
+                lambda x: F.concat_ws("=", x["reason"], x["n"].cast("string")),
+            ),
+            ",",
+        ).alias("dropped_by_reason"),
+    )
     found = candidates.groupBy("site").agg(F.count(F.lit(1)).alias("discovered"))
     by_type = selected.groupBy("site", "cluster").agg(F.count(F.lit(1)).alias("n"))
     types = by_type.groupBy("site").agg(
@@ -186,7 +199,7 @@ def kb_summary(
     )
     extracted = chunks.groupBy("site").agg(F.count(F.lit(1)).alias("extracted_pages_count"))
     out = bases.select("site")
-    for part in (found, types, extracted, documents.drop("document"), contacts):
+    for part in (found, reasons, types, extracted, documents.drop("document"), contacts):
         out = out.join(part, "site", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     n_sections = F.when(F.col("sections_present") == "", 0).otherwise(
@@ -194,6 +207,8 @@ def kb_summary(
     )
     return out.select(
         "site", "lang", n("discovered").alias("discovered"),
+        (n("discovered") - n("n_dropped")).alias("kept"),
+        F.coalesce("dropped_by_reason", F.lit("")).alias("dropped_by_reason"),
         n("total_pages_analyzed").alias("total_pages_analyzed"),
         n("extracted_pages_count").alias("extracted_pages_count"),
         F.coalesce("pages_by_type", F.lit("")).alias("pages_by_type"),

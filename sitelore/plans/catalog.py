@@ -593,6 +593,7 @@ def reports(spark, sf):
         .withColumn("pages", F.coalesce("pages", F.lit(0)).cast("bigint"))
         .withColumn("job_id", F.md5("site")).withColumn("depth", F.lit("deep"))
         .withColumn("cost", F.expr(P.usd(P.flat_cost("final_doc_tokens", "0"))))
+        .join(kb.summary().select("site", "analysis_summary"), "site")
     )
 
 
@@ -612,7 +613,7 @@ def sink_kb_metadata(spark, sf):
     return spark.read.schema(rows.schema).json(path).select(
         "site", "name", f"{m}.job_id", f"{m}.url", f"{m}.knowledge_base_file",
         f"{m}.extracted_pages_count", f"{m}.detected_target_language",
-        f"{m}.quality_report.has_email", f"{m}.quality_report.doc_tokens",
+        f"{m}.cost_estimation.total_cost_usd", f"{m}.analysis_summary", f"{m}.quality_report.has_email", f"{m}.quality_report.doc_tokens",
         F.array_join(f"{m}.quality_report.missing", ",").alias("missing"),
     )
 

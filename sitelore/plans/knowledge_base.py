@@ -27,7 +27,8 @@ class KnowledgeBase:
 
     def summary(self) -> DataFrame:
         return document.kb_summary(
-            self.bases, self.candidates, self.selected, self.chunks, self.documents, self.contacts
+            self.bases, self.candidates, self.selected, self.chunks, self.documents, self.contacts,
+            prefilter.dropped_by_reason(self.candidates),
         )
 
     def audit(self) -> DataFrame:

@@ -73,7 +73,7 @@ def kb_metadata(reports: DataFrame, generated: str, stamp: str) -> DataFrame:
         "job_id", F.col("base_url").alias("url"), F.lit(generated).alias("generated_at"),
         report_name(stamp, "knowledge_base", ".md").alias("knowledge_base_file"),
         F.col("pages").alias("extracted_pages_count"), F.col("lang").alias("detected_target_language"),
-        "depth",
+        "depth", F.struct(F.col("cost").alias("total_cost_usd")).alias("cost_estimation"), "analysis_summary",
         F.struct(
             "has_email", "has_phone", "doc_tokens", "has_contact", "has_policies", "has_faq",
             "has_services", F.filter(F.split("missing", ","), lambda m: m != "").alias("missing"),
