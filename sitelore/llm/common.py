@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -54,10 +55,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there, lost executors don't matter."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # Spark then deletes the shuffle files of the job
+    _free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: its cleaner waits for a collection."""
+    for pause in (0.3, 0.3):  # what the first collection finds, the second one gives to the cleaner
+        time.sleep(pause)
+        spark.sparkContext._jvm.System.gc()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -129,17 +137,24 @@ def find(parent: np.ndarray, x: int) -> int:
     return x
 
 
+def skew_join(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join many rows per key with a narrow table of one row per key.
+
+    The narrow side is written first: its size is then known, so Spark broadcasts it where its bytes
+    allow, and both sides are shuffled right below the join, so adaptive execution splits a hot key.
+    """
+    return rows.join(written(per_key, "keys"), on, how)
+
+
 def in_blocks(members: DataFrame, key: list[str], size: int, by: str) -> DataFrame:
     """Deal the members of each key into blocks of about ``size`` and name the pairs of blocks.
 
     Any two members of a key meet in at least one (key, block_i, block_j); a member of a key with k
     blocks is copied k times.  Members carry ``side`` = 0 (block_i), 1 (block_j) or 2 (both).
     """
-    from sitelore.functions.scale import salted_join
-
     counts = members.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     sized = counts.select(*key, F.ceil(F.col("_n") / size).cast("int").alias("_k"))
-    dealt = salted_join(members, sized, key).withColumn(
+    dealt = skew_join(members, sized, key).withColumn(
         "_b", F.pmod(F.xxhash64(F.col(by), F.lit(7)), F.col("_k")).cast("int")
     )
     other = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))

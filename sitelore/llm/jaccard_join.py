@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sitelore.functions.scale import salted_join
 from sitelore.llm.common import (
-    byte_slices, find, grouped, in_blocks, keys64, mix, ragged, small_batches, text_buffers, written,
+    byte_slices, find, grouped, in_blocks, keys64, mix, ragged, skew_join, small_batches, text_buffers, written,
 )
 from sitelore.llm.components import components
 from sitelore.llm.shingles import shingle_sets
@@ -28,7 +27,7 @@ WORDS, PERCENT = 3, 90
 COUNTED = 2.2
 #: Documents that are verified at once, on each side.
 BLOCK = 128
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def prefix_size(n, percent: int):
@@ -234,7 +233,7 @@ def link_documents(
     sets = named.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"))
     prefixes = written(_prefixes(rows.select("text"), words, percent), "prefixes")
     same = prefixes.groupBy("n", "prefix").agg(F.min("c").alias("g"))
-    groups = written(salted_join(prefixes, same, ["n", "prefix"]), "groups")
+    groups = written(skew_join(prefixes, same, ["n", "prefix"]), "groups")
     # sizes that allow the similarity lie in the same or in neighbouring classes
     step = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9
     leaders = groups.filter("c = g").withColumn("size", F.floor(F.log("n") / F.lit(step)))
@@ -242,7 +241,7 @@ def link_documents(
         "g", "token", F.explode(F.array("size", F.col("size") + 1)).alias("size")
     )
     heads = spots.groupBy("token", "size").agg(F.min("g").alias("head"), F.max("g").alias("last")).filter("head < last")
-    pairs = salted_join(spots, heads.select("token", "size", "head"), ["token", "size"])
+    pairs = skew_join(spots, heads.select("token", "size", "head"), ["token", "size"])
     same_prefix = groups.filter("c <> g").select(F.col("c").alias("u"), F.col("g").alias("v"))
     candidates = components(pairs.select(F.col("g").alias("u"), F.col("head").alias("v")).union(same_prefix))
     wanted = candidates.select(F.col("node").alias("c"), F.col("component").alias("key"))
@@ -258,8 +257,8 @@ def link_documents(
     linked = components(dealt.mapInArrow(_verify(percent), "u bigint, v bigint"))
     roots = sets.join(linked, sets["c"] == linked["node"], "left").select("c", "rep", F.coalesce("component", "c").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("least"))
-    per_set = salted_join(roots.select("c", "root"), least, ["root"]).select("c", "least")
-    known = salted_join(named.select("doc_id", "n", "c"), per_set, ["c"], "left")
+    per_set = skew_join(roots.select("c", "root"), least, ["root"]).select("c", "least")
+    known = skew_join(named.select("doc_id", "n", "c"), per_set, ["c"], "left")
     return known.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),

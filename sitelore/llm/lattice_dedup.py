@@ -8,8 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sitelore.functions.scale import salted_join
-from sitelore.llm.common import find, grouped, in_blocks, mix, small_batches, written
+from sitelore.llm.common import find, grouped, in_blocks, mix, skew_join, small_batches, written
 from sitelore.llm.components import components
 
 #: Least cosine of a link.
@@ -206,7 +205,7 @@ def link_vectors(
             F.coalesce("component", "rep").alias("component_id"),
         )
     )
-    joined = salted_join(rows.select("vec_id", "_k1", "_k2"), per_class, ["_k1", "_k2"], "left")
+    joined = skew_join(rows.select("vec_id", "_k1", "_k2"), per_class, ["_k1", "_k2"], "left")
     return joined.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),

@@ -14,8 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelore.llm.common import small_batches
-from sitelore.functions.scale import salted_join
+from sitelore.llm.common import skew_join, small_batches
 
 _VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _NAMES = ("password", "passwd", "secret", "token", "api_?key")
@@ -100,7 +99,7 @@ def scan_versions(
         _ledger(spark, ledger, "findings", FINDINGS).filter(F.col("rules") == version)
         .groupBy("blob").agg(F.max("spans").alias("spans"))
     )
-    return salted_join(paths, findings, ["blob"], "left").select(
+    return skew_join(paths, findings, ["blob"], "left").select(
         "doc_id", "blob", F.coalesce("spans", F.expr("cast(array() as array<struct<kind:int,start:bigint,end:bigint>>)")).alias("spans")
     )
 

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sitelore.functions.scale import salted_join
-from sitelore.llm.common import byte_slices, grouped, keys64, mix, ragged, runs, small_batches, text_buffers, written
+from sitelore.llm.common import (
+    byte_slices, grouped, keys64, mix, ragged, runs, skew_join, small_batches, text_buffers, written,
+)
 
 LENGTH, GRAM = 100, 32
 #: Distinct segments of an anchor that are sorted at once.
@@ -391,10 +392,10 @@ def remove_repeats(
         found.groupBy(*same).agg(F.min(F.struct("doc", "at")).alias("_f"), F.count(F.lit(1)).alias("_n"))
         .select(*same, F.col("_f.doc").alias("first_doc"), F.col("_f.at").alias("first_at"), "_n"), "distinct",
     )
-    whole = salted_join(found, distinct.filter("_n > 1").drop("_n"), same).filter("doc <> first_doc or at <> first_at")
+    whole = found.join(distinct.filter("_n > 1").drop("_n"), same).filter("doc <> first_doc or at <> first_at")
     mixed = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
     mixed = mixed.select("h", F.ceil(F.col("_k") / BLOCK).cast("int").alias("_k"))
-    sort_these = salted_join(distinct.select("h", F.col("first_doc").alias("doc"), F.col("first_at").alias("at")), mixed, ["h"])
+    sort_these = skew_join(distinct.select("h", F.col("first_doc").alias("doc"), F.col("first_at").alias("at")), mixed, ["h"])
     items = whole.select(
         "doc", F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("block"), F.lit(False).alias("split"), "at"
     ).union(sort_these.select(
@@ -419,7 +420,7 @@ def remove_repeats(
     small_batches(spark)
     firsts = sorted_.filter("window is not null")
     earliest = firsts.groupBy("window").agg(F.min(F.struct("doc", "lo")).alias("_f"), F.count(F.lit(1)).alias("_n"))
-    again = salted_join(firsts, earliest.filter("_n > 1").drop("_n"), ["window"]).filter(
+    again = skew_join(firsts, earliest.filter("_n > 1").drop("_n"), ["window"]).filter(
         "doc <> _f.doc or lo <> _f.lo"
     )
     spans = sorted_.filter("window is null").select("doc", "lo", "hi").union(again.select("doc", "lo", "hi"))
