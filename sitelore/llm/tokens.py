@@ -9,6 +9,7 @@ once and keeps its ids in a table of bounded size.
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
@@ -18,9 +19,9 @@ import pyarrow as pa
 from sitelore.llm.common import byte_slices, ragged, text_buffers
 
 #: Pieces that a worker remembers; the table starts anew beyond that.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Bytes of text that are handled at once, and of pieces that are encoded at once.
-SLICE_BYTES, ENCODE_BYTES = 4_000_000, 1_000_000
+SLICE_BYTES, ENCODE_BYTES = 2_000_000, 500_000
 
 
 STOP, LETTER, LATIN = (np.zeros(256, bool) for _ in range(3))
@@ -69,6 +70,14 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model, self.blank, self.folds = self.tokenizer.model, None, False
+        plan = json.loads(self.tokenizer.to_str())
+        split, form = plan["pre_tokenizer"] or {}, plan["normalizer"] or {}
+        if split.get("type") == "ByteLevel" and split["use_regex"] and not form:
+            self.blank = "\u0120"  # how the model writes the blank before a word
+        elif [p.get("behavior") for p in split.get("pretokenizers", [])] == ["Removed", None]:
+            self.folds = {"type": "Lowercase"} in form.get("normalizers", [])
+            self.blank = "" if self.folds else None
         self.forget()
 
     def forget(self) -> None:
@@ -110,12 +119,36 @@ class Coder:
                 size += len(pieces[end])
                 end += 1
             part = pieces[done:end]
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            encoded = self._encode(part)
             counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
             flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(counts.sum()))
             self._store(part, counts, flat)
             done = end
 
+    def _encode(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece; a lone word of ASCII letters goes straight to the library's model."""
+        out, rest = [], []
+        for k, piece in enumerate(pieces):
+            word = piece[1:] if piece[0] == " " else piece
+            if self.blank is None or not (word.isascii() and word.isalpha()):
+                rest.append(k)
+                out.append(None)
+                continue
+            word = word.lower() if self.folds else word
+            before = self.blank if piece[0] == " " else ""
+            out.append([t.id for t in self.model.tokenize(before + word)])
+        if rest:
+            encoded = self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)
+            for k, e in zip(rest, encoded):
+                out[k] = e.ids
+        return out
+
+    def _fold(self, words: list[str]) -> list[str]:
+        """Words that differ in case or in blanks before them only, where the vocabulary drops both, as one."""
+        if not self.folds:
+            return words
+        return [w.strip(" \t\n\r\x0b\x0c").lower() or w if w.isascii() and "<" not in w else w for w in words]
+
     def _pieces(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces in the table, in order; first piece of each text, and the end."""
         starts = piece_starts(body, offsets)
@@ -123,12 +156,12 @@ class Coder:
         pieces = pa.LargeStringArray.from_buffers(
             len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(body))
         ).dictionary_encode()
-        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        words = self._fold(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         if len(self.index) + len(words) > REMEMBERED or self.used > 8 * REMEMBERED:
             self.prune()
         numbers = list(map(self.index.get, words))
         if None in numbers:
-            self._learn([w for w, n in zip(words, numbers) if n is None])
+            self._learn(list(dict.fromkeys(w for w, n in zip(words, numbers) if n is None)))
             numbers = list(map(self.index.get, words))
         numbers = np.array(numbers, np.int64)
         self.seen[numbers] += self.seen[numbers] < 255
