@@ -25,7 +25,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = salted_join(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_join(large, low, ["u"]).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")

@@ -9,13 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitelore.llm.common import mix, runs, ship, small_batches, text_buffers, written
+from sitelore.llm.common import byte_slices, mix, runs, ship, small_batches, text_buffers, written
 
 #: n-grams in a profile; labelled documents read for a language, about; languages learned, the most frequent.
 TOP, SAMPLE_DOCS, MAX_LANGS = 300, 2000, 200
 #: An n-gram below this share of a language's n-grams is never among its first ``TOP``.
 LEAST_SHARE = 1 / 4000
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are held at once; a longer text is held whole.
+SLICE_BYTES = 400_000
 _BITS, _MASK = np.uint64(44), np.uint64((1 << 44) - 1)
 
 
@@ -90,6 +92,14 @@ class Profiles:
 
     def predict(self, column) -> tuple[list[str], np.ndarray]:
         """Language with the least out-of-place distance, and 1 minus that distance by the largest one."""
+        langs, scores = [], []
+        for i, j in byte_slices(text_buffers(column)[1], SLICE_BYTES):
+            lang, score = self._predict(column.slice(i, j - i))
+            langs += lang
+            scores.append(score)
+        return langs, np.concatenate(scores) if scores else np.zeros(0)
+
+    def _predict(self, column) -> tuple[list[str], np.ndarray]:
         n = len(column)
         text, gram, rank = ranked(column, self.top)
         grams = np.bincount(text, minlength=n)
@@ -142,10 +152,11 @@ def learn(
         number = {x: k for k, x in enumerate(langs)}
         for batch in batches:
             group = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
-            g, gram, count = gram_counts(batch.column(1), group)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g), pa.array(gram.astype(np.int64)), pa.array(count)], ["lang", "gram", "n"]
-            )
+            for i, j in byte_slices(text_buffers(batch.column(1))[1], SLICE_BYTES):
+                g, gram, count = gram_counts(batch.column(1).slice(i, j - i), group[i:j])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g), pa.array(gram.astype(np.int64)), pa.array(count)], ["lang", "gram", "n"]
+                )
 
     grams = picked.select("_lang", "_text").mapInArrow(run, "lang bigint, gram bigint, n bigint")
     grams = written(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")

@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sitelore.llm.common import (
@@ -28,7 +29,7 @@ from sitelore.llm.common import (
 LENGTH, GRAM = 100, 32
 #: Distinct segments of an anchor that are sorted at once.
 BLOCK = 512
-SLICE_BYTES, CHUNK = 2_000_000, 1 << 23
+SLICE_BYTES, CHUNK = 1_000_000, 1 << 23
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = keys64(256, 41)
 
@@ -215,32 +216,50 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 14, (at >> 7) & 127, at & 127
 
 
-def merge_spans(lo: np.ndarray, hi: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(lo.tolist(), hi.tolist())):
-        a, b = min(a, size), min(b, size)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        elif a < b:
-            out.append((a, b))
-    return out
+def merge_spans(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: np.ndarray):
+    """(text, start, end) of the maximal runs of covered bytes of all texts, in order."""
+    lo, hi = np.minimum(lo, size[owner]), np.minimum(hi, size[owner])
+    keep = lo < hi
+    order = np.lexsort((lo[keep], owner[keep]))
+    owner, lo, hi = owner[keep][order], lo[keep][order], hi[keep][order]
+    if not len(owner):
+        return owner, lo, hi
+    base = np.concatenate(([0], np.cumsum(size + 1)))[owner]  # each text in a range of its own
+    ends = np.maximum.accumulate(hi + base)
+    first = np.flatnonzero(np.concatenate(([True], (lo + base)[1:] > ends[:-1])))
+    last = np.append(first[1:], len(owner)) - 1
+    return owner[first], lo[first], (ends - base)[last]
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """Row of each item, and the items of all rows one after another; a null list has none."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten()
+
+
+def _numbers(items: pa.StructArray, name: str) -> np.ndarray:
+    return items.field(name).to_numpy(zero_copy_only=False)
 
 
 RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text binary"
 
 
-def _result(ids, texts, spans, keep_text: bool):
-    rows = []
-    for data, cut in zip(texts, spans):
-        at, kept = 0, []
-        for a, b in cut:
-            kept.append(data[at:a])
-            at = b
+def _result(ids, body: np.ndarray, offsets: np.ndarray, rows: np.ndarray, runs_of, keep_text: bool):
+    """Result columns of some rows, given the runs to remove of all rows."""
+    owner, lo, hi = runs_of
+    first, last = np.searchsorted(owner, rows), np.searchsorted(owner, rows, "right")
+    out = []
+    for row, a, b in zip(rows.tolist(), first.tolist(), last.tolist()):
+        data = body[offsets[row] : offsets[row + 1]].tobytes()
+        at, kept, gone = 0, [], 0
+        for x, y in zip(lo[a:b].tolist(), hi[a:b].tolist()):
+            kept.append(data[at:x])
+            at, gone = y, gone + y - x
         kept = b"".join([*kept, data[at:]])
-        rows.append((len(data), sum(b - a for a, b in cut), len(cut), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-    n, removed, count, sha, kept = zip(*rows) if rows else ((),) * 5
-    return [ids, *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(sha, pa.string()), pa.array(kept, pa.binary())]
+        out.append((len(data), gone, b - a, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+    n, removed, count, sha, kept = zip(*out) if out else ((),) * 5
+    return [ids.take(pa.array(rows)), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(sha, pa.string()),
+            pa.array(kept, pa.binary())]
 
 
 _NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
@@ -251,18 +270,16 @@ def _finish_or_keep(length: int, keep_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = batch.column(2).to_pylist()
-            open_ = np.array([any(x["h"] is not None for x in (row or ())) for row in items], bool)
-            done = np.flatnonzero(~open_)
-            spans = []
-            for k in done.tolist():
-                lo, m, _ = _unpack(np.array([x["at"] for x in items[k] or ()], np.int64))
-                spans.append(merge_spans(lo, lo + m + length - 1, 1 << 62))
-            texts = [batch.column(1)[k].as_py().encode() for k in done.tolist()]
-            out = _result(batch.column(0).take(pa.array(done)), texts, spans, keep_text)
-            nothing = [pa.nulls(len(done), batch.schema.field(c).type) for c in (1, 2)]
+            owner, items = _flat(batch.column(2))
+            to_sort = items.field("h").is_valid().to_numpy(zero_copy_only=False)
+            waits = np.bincount(owner[to_sort], minlength=batch.num_rows) > 0
+            body, offsets = text_buffers(batch.column(1))
+            lo, m, _ = _unpack(_numbers(items, "at")[~to_sort])
+            spans = merge_spans(owner[~to_sort], lo, lo + m + length - 1, np.diff(offsets))
+            out = _result(batch.column(0), body, offsets, np.flatnonzero(~waits), spans, keep_text)
+            nothing = [pa.nulls(len(out[0]), batch.schema.field(c).type) for c in (1, 2)]
             yield pa.RecordBatch.from_arrays([*out, *nothing], [*_NAMES, "text", "items"])
-            rest = batch.take(pa.array(np.flatnonzero(open_)))
+            rest = batch.take(pa.array(np.flatnonzero(waits)))
             empty = [pa.nulls(rest.num_rows, x.type) for x in out[1:]]
             yield pa.RecordBatch.from_arrays(
                 [rest.column(0), *empty, rest.column(1), rest.column(2)], [*_NAMES, "text", "items"]
@@ -274,17 +291,20 @@ def _finish_or_keep(length: int, keep_text: bool):
 def _extract(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text, items in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                data = text.encode()
-                for x in items:
-                    if x["h"] is not None:
-                        lo, m = x["at"] >> 14, (x["at"] >> 7) & 127
-                        rows.append((x["h"], x["block"], x["split"], doc, x["at"], data[lo : lo + m + length - 1]))
-            columns = zip(*rows) if rows else ((),) * 6
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+            owner, items = _flat(batch.column(2))
+            pick = np.flatnonzero(items.field("h").is_valid().to_numpy(zero_copy_only=False))
+            body, offsets = text_buffers(batch.column(1))
+            lo, m, _ = _unpack(_numbers(items, "at")[pick])
+            # another text with the same id may be too short for a segment
+            fits = lo + m + length - 1 <= np.diff(offsets)[owner[pick]]
+            pick, lo, size = pick[fits], lo[fits], (m + length - 1)[fits]
+            owner, items = owner[pick], items.take(pa.array(pick))
+            data = np.ascontiguousarray(body[ragged(offsets[owner] + lo, size)])
+            ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            data = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(columns, kinds)], ["h", "block", "split", "doc", "at", "bytes"]
+                [*(items.field(c) for c in ("h", "block", "split")), batch.column(0).take(pa.array(owner)), items.field("at"), data],
+                ["h", "block", "split", "doc", "at", "bytes"],
             )
 
     return run
@@ -347,15 +367,17 @@ def _sort_segments(length: int):
 def _remove(length: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            spans = []
-            for items, found, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), texts):
-                lo, m, _ = _unpack(np.array([x["at"] for x in items if x["h"] is None], np.int64))
-                lo, hi = lo.tolist(), (lo + m + length - 1).tolist()
-                lo += [x["lo"] for x in found or ()]
-                hi += [x["hi"] for x in found or ()]
-                spans.append(merge_spans(np.array(lo, np.int64), np.array(hi, np.int64), len(data)))
-            yield pa.RecordBatch.from_arrays(_result(batch.column(0), texts, spans, keep_text), _NAMES)
+            owner, items = _flat(batch.column(2))
+            whole = ~items.field("h").is_valid().to_numpy(zero_copy_only=False)
+            lo, m, _ = _unpack(_numbers(items, "at")[whole])
+            who, found = _flat(batch.column(3))
+            body, offsets = text_buffers(batch.column(1))
+            spans = merge_spans(
+                np.concatenate((owner[whole], who)), np.concatenate((lo, _numbers(found, "lo"))),
+                np.concatenate((lo + m + length - 1, _numbers(found, "hi"))), np.diff(offsets),
+            )
+            rows = np.arange(batch.num_rows)
+            yield pa.RecordBatch.from_arrays(_result(batch.column(0), body, offsets, rows, spans, keep_text), _NAMES)
 
     return run
 

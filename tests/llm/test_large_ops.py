@@ -226,6 +226,9 @@ def test_repeats_odd_rows(docs):
     assert Counter((r.doc_id, r.n_removed) for r in got) == Counter({(None, 0): 2, (3, 0): 1, (4, len(text)): 2})
     assert {bytes(r.kept_text).decode() for r in got} == {text, ""}
     assert suffix_dedup.remove_repeats(docs([])).count() == 0
+    # other texts under one id
+    mixed = [(1, text), (2, "new words " + text[40:400] + " end"), (2, "short"), (2, text[300:]), (3, "tail " + text[:200])]
+    assert suffix_dedup.remove_repeats(docs(mixed)).count() == 5
 
 
 def test_a_lying_hash_is_found_out(monkeypatch):
