@@ -61,8 +61,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, those of small sources up to twice, by temperature."""
-    return mixing.mix_sources(docs).select("row.*")
+    """Every document once, those of small sources up to twice, by temperature of the shares of tokens."""
+    tokens = _free_name(docs, "n_tokens")
+    mixed = mixing.mix_sources(mixing.with_tokens(docs, docs.columns, tokens), tokens=tokens)
+    return mixed.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sitelore.functions.scale import salted_join
-from sitelore.llm.common import written
+from sitelore.llm.common import small_batches, written
+from sitelore.llm.token_counts import VOCABULARY
+from sitelore.llm.tokens import coder
 
 #: Entropy to reach, as a share of that of equal weights; most passes over a source.
 ENTROPY, MAX_REPEATS = 0.9, 2.0
@@ -26,6 +30,26 @@ def about_tokens(text: str = "text") -> Column:
     return F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce(F.col(text), F.lit(""))) / 4)).cast("long")
 
 
+def with_tokens(
+    docs: DataFrame, columns: list[str], name: str = "n_tokens", vocabulary: str = VOCABULARY, text: str = "text"
+) -> DataFrame:
+    """``columns`` of every row and, as ``name``, the tokens of its text; written once, no shuffle.
+
+    The tokens are those of ``token_counts``: null and empty texts have none.
+    """
+    small_batches(docs.sparkSession)
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = coder(vocabulary)
+        for batch in batches:
+            own, n = batch.columns[1:], code.counts_of(batch.column(0))
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n)], [*columns, name])
+
+    read = docs.select(F.col(f"`{text}`").alias("\x00text"), *[F.col(f"`{c}`") for c in columns])
+    return written(read.mapInArrow(run, f"{fields}, `{name}` bigint"), "counted")
+
+
 def place(id_col: str, seed: int) -> Column:
     """A document's place in its source's permutation: ``_KEY_BITS`` bits."""
     return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 64 - _KEY_BITS)
@@ -91,7 +115,8 @@ def plan_mix(
     """
     tokens = about_tokens() if tokens is None else tokens
     rows = docs.select(F.col(source).cast("string").alias("source"), tokens.alias("tokens"), place(id_col, seed).alias("place"))
-    sources = written(rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "sources")
+    size = F.greatest(F.lit(1), F.sum("tokens")).cast("long")  # no source is without size
+    sources = written(rows.groupBy("source").agg(size.alias("tokens"), F.count(F.lit(1)).alias("docs")), "sources")
     found = find_exponent(sources, entropy, most)
     if found is None:
         return sources.select(
@@ -140,6 +165,7 @@ def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text",
     entropy: float = ENTROPY, most: float = MAX_REPEATS, budget: float | None = None, seed: int = 9,
+    tokens: str | None = None,
 ) -> DataFrame:
     """The rows of the mix: struct ``row`` with a document's own columns, source, n_tokens, epoch, block.
 
@@ -147,13 +173,17 @@ def mix_sources(
     the part pass; ``epoch`` counts them.  Reading the rows by epoch, block and place gives the order of
     the permutations.  Without a budget every document is in the mix at least once.
 
+    ``tokens`` names the column with the tokens of each row, as ``with_tokens`` adds it; without it, shares
+    and ``n_tokens`` are an estimate, ``about_tokens``, in which null and empty texts count as one token.
+
     A null source is a source of its own.  Rows with null or repeated ids share a place and are in or out
-    together.  Null and empty texts count as one token.  An empty table gives no rows.
+    together.  A source without any token counts as one token.  An empty table gives no rows.
     """
-    plan = written(plan_mix(docs, id_col, source, about_tokens(text), entropy, most, budget, seed), "plan")
+    size = about_tokens(text) if tokens is None else F.col(f"`{tokens}`").cast("long")
+    plan = written(plan_mix(docs, id_col, source, size, entropy, most, budget, seed), "plan")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).cast("string").alias("source"),
-        about_tokens(text).alias("n_tokens"), place(id_col, seed).alias("place"),
+        size.alias("n_tokens"), place(id_col, seed).alias("place"),
     )
     chosen = _with_plan(rows, plan.select(F.col("source").alias("_s"), "passes", "last", "blocks"))
     copies = F.col("passes") + F.when(F.col("place") <= F.col("last"), 1).otherwise(0)

@@ -48,7 +48,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    counted = mixing.with_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    mixed = mixing.mix_sources(counted, tokens="n_tokens")
     return mixed.select(mixed["row.doc_id"].alias("doc_id"), "source", "n_tokens", "epoch", "block")
 
 

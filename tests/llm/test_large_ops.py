@@ -295,6 +295,30 @@ def test_mixing_budget_and_odd_rows(docs):
     assert mixed(docs([])) == []
 
 
+def test_mixing_counts_tokens(spark, docs, tmp_path):
+    from sitelore.llm import queries, token_counts
+
+    # as many bytes a source, but different numbers of tokens
+    rows = [(i, "the house of the people " * 20, "en", "a") for i in range(40)]
+    rows += [(100 + i, "qzxj 7#k vwpq ~^x 0zq&j " * 20, "xx", "b") for i in range(40)]
+    rows += [(200, "", "en", "c"), (201, None, "en", "c"), (None, "one", "en", None), (0, "other text", "en", "a")]
+    table = docs(rows)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(table).collect())
+    got = queries.op9_mixing(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got if r.epoch == 0) == want
+    counted = mixing.with_tokens(table, ["doc_id", "source"])
+    plan = {r.source: r for r in mixing.plan_mix(counted, tokens=counted["n_tokens"]).collect()}
+    own = Counter()
+    for r in counted.collect():
+        own[r.source] += r.n_tokens
+    assert {s: r.tokens for s, r in plan.items()} == {s: max(1, n) for s, n in own.items()}
+    assert plan["b"].passes == 1 and plan["a"].weight < plan["b"].weight
+    stage = corpus_pipeline.mix(spark, table.withColumn("N_tokens", table["text"]), "")
+    assert stage.columns == [*table.columns, "N_tokens"]
+    assert Counter(r.doc_id for r in stage.collect()) == Counter(r.doc_id for r in got)
+
+
 def test_pipeline_takes_effect(spark, docs):
     rng = random.Random(12)
     words = vocabulary(rng, 2000)
