@@ -368,8 +368,8 @@ def knowledge_base_core(spark, sf):
 
 @query
 def knowledge_base_specified(spark, sf):
-    """Documents of every fourth crawled address of each site."""
-    asked = D.crawl(spark, sf).filter("page_id % 4 = 1").select("site", F.col("page_id").alias("pos"), "url")
+    """Documents of every crawled address of each site, asked for beside addresses that were not crawled."""
+    asked = asked_pages(D.crawl(spark, sf))
     return built(spark, sf, mode="specified", requests=asked).documents
 
 
@@ -427,14 +427,18 @@ def core_pages(spark, sf):
     return discovery.core_pages(links.homepages(pages_), pages_)
 
 
-@query
-def specified_pages(spark, sf):
-    pages_ = D.crawl(spark, sf)
+def asked_pages(pages_):
+    """Requests for every crawled address, and for as many that were not crawled."""
     pid = F.col("page_id")
-    asked = pages_.select("site", pid.alias("pos"), "url").unionByName(
+    return pages_.select("site", pid.alias("pos"), "url").unionByName(
         pages_.select("site", pid.alias("pos"), F.concat("url", F.lit("-missing")).alias("url"))
     )
-    return discovery.specified_pages(links.homepages(pages_), asked, pages_)
+
+
+@query
+def specified_pages(spark, sf):
+    pages_ = D.crawl(spark, sf)
+    return discovery.specified_pages(links.homepages(pages_), asked_pages(pages_), pages_)
 
 
 # --- models and costs -----------------------------------------------------------------------
