@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitelore.llm.common import byte_slices, mix, runs, ship, small_batches, text_buffers, written
+from sitelore.functions.scale import first_many_per_group
+from sitelore.llm.common import byte_slices, mix, ragged, runs, ship, skew_join, small_batches, text_buffers, written
 
-#: n-grams in a profile; labelled documents read for a language, about; languages learned, the most frequent.
-TOP, SAMPLE_DOCS, MAX_LANGS = 300, 2000, 200
-#: An n-gram below this share of a language's n-grams is never among its first ``TOP``.
-LEAST_SHARE = 1 / 4000
+#: n-grams in a profile; labelled documents read for a language, about.
+TOP, SAMPLE_DOCS = 300, 2000
+#: (text, language) cells, or n-grams of texts met in profiles, that are held at once; one text may have more.
+CELLS = 2_000_000
 UNKNOWN = "und"
 #: Bytes of text whose n-grams are held at once; a longer text is held whole.
 SLICE_BYTES = 400_000
@@ -80,15 +81,22 @@ def ranked(column, top: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Profiles:
-    """Ranks of the n-grams of each language; a missing n-gram has the rank ``top``."""
+    """Ranks of the n-grams of each language; a missing n-gram has the rank ``top``.
+
+    ``lang`` and ``rank`` list the languages that have an n-gram, one n-gram of ``grams`` after another.
+    """
 
     def __init__(self, counts: dict[str, list[tuple[int, int]]], top: int = TOP):
         self.langs, self.top = sorted(counts), top
-        first = {lang: [g for g, _ in sorted(counts[lang], key=lambda x: (-x[1], x[0]))[:top]] for lang in self.langs}
-        self.grams = np.array(sorted({g for grams in first.values() for g in grams}), np.uint64)
-        self.rank = np.full((len(self.langs), len(self.grams) + 1), top, np.int32)
-        for k, lang in enumerate(self.langs):
-            self.rank[k, np.searchsorted(self.grams, np.array(first[lang], np.uint64))] = np.arange(len(first[lang]))
+        first = [[g for g, _ in sorted(counts[lang], key=lambda x: (-x[1], x[0]))[:top]] for lang in self.langs]
+        sizes = np.array([len(grams) for grams in first], np.int64)
+        gram = np.array([g for grams in first for g in grams], np.uint64)
+        order = np.argsort(gram, kind="stable")
+        self.lang = np.repeat(np.arange(len(first)), sizes)[order]
+        self.rank = ragged(np.zeros(len(first), np.int64), sizes)[order]
+        gram = gram[order]
+        at = runs(gram)
+        self.grams, self.starts, self.sizes = gram[at[:-1]], at[:-1], np.diff(at)
 
     def predict(self, column) -> tuple[list[str], np.ndarray]:
         """Language with the least out-of-place distance, and 1 minus that distance by the largest one."""
@@ -106,18 +114,23 @@ class Profiles:
         if not self.langs:
             return [UNKNOWN] * n, np.zeros(n)
         at = np.searchsorted(self.grams, gram)
-        at[at < len(self.grams)] = np.where(
-            self.grams[at[at < len(self.grams)]] == gram[at < len(self.grams)], at[at < len(self.grams)], len(self.grams)
-        )
-        least, best = np.full(n, np.inf), np.zeros(n, np.int64)
-        for k in range(len(self.langs)):
-            there = self.rank[k, at]
-            away = np.where(there < self.top, np.abs(there - rank), self.top)
-            total = np.bincount(text, weights=away, minlength=n)
-            nearer = total < least
-            least[nearer], best[nearer] = total[nearer], k
-        score = np.where(grams > 0, 1 - least / np.maximum(1, grams * self.top), 0.0)
-        return [self.langs[b] if g else UNKNOWN for b, g in zip(best, grams)], np.clip(score, 0, 1)
+        known = at < len(self.grams)
+        known[known] = self.grams[at[known]] == gram[known]
+        text, at, rank = text[known], at[known], rank[known]
+        met = np.bincount(text, weights=self.sizes[at], minlength=n).astype(np.int64)
+        first = np.searchsorted(text, np.arange(n + 1))
+        nearness, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for i, j in byte_slices(np.concatenate(([0], np.cumsum(np.maximum(met, len(self.langs))))), CELLS):
+            own = slice(first[i], first[j])
+            sizes = self.sizes[at[own]]
+            there = ragged(self.starts[at[own]], sizes)
+            cell = np.repeat(text[own] - i, sizes) * len(self.langs) + self.lang[there]
+            near = self.top - np.abs(self.rank[there] - np.repeat(rank[own], sizes))
+            total = np.bincount(cell, weights=near, minlength=(j - i) * len(self.langs)).reshape(j - i, len(self.langs))
+            best[i:j] = total.argmax(axis=1)
+            nearness[i:j] = total[np.arange(j - i), best[i:j]]
+        score = np.where(grams > 0, 1 - (grams * self.top - nearness) / np.maximum(1, grams * self.top), 0.0)
+        return [self.langs[b] if g else UNKNOWN for b, g in zip(best.tolist(), grams)], np.clip(score, 0, 1)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -127,46 +140,39 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def learn(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", top: int = TOP,
-    sample_docs: int = SAMPLE_DOCS, max_langs: int = MAX_LANGS,
+    sample_docs: int = SAMPLE_DOCS,
 ) -> Profiles:
-    """Profiles from about ``sample_docs`` labelled documents of each of the ``max_langs`` most frequent languages.
+    """Profiles of all labelled languages, from about ``sample_docs`` documents of each.
 
     Labels are counted over all rows.  A language's documents are then picked by a hash of the id below
-    a threshold, where they are read; only n-gram counts are shuffled, and what reaches the driver is
-    bounded: languages, and n-grams with at least ``LEAST_SHARE`` of their language.
+    a threshold, where they are read; only n-gram counts are shuffled, and cut to the first ``top`` of
+    each language before they reach the driver.
     """
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col(id_col).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text"))
     own = own.filter(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out("_id"))
-    sizes = own.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_langs).collect()
-    if not sizes:
-        return Profiles({}, top)
-    langs = [r["_lang"] for r in sizes]
-    share = F.element_at(
-        F.create_map(*[x for r in sizes for x in (F.lit(r["_lang"]), F.lit(min(1.0, sample_docs / r["count"])))]), F.col("_lang")
-    )
-    picked = own.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.coalesce(share, F.lit(0.0)) * (1 << 30))
+    sizes = own.groupBy("_lang").count().filter(F.col("count") > sample_docs)
+    share = sizes.select("_lang", (F.lit(float(sample_docs)) / F.col("count")).alias("_share"))
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+    picked = skew_join(own, share, ["_lang"], "left").filter(place < F.coalesce("_share", F.lit(1.0)) * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {x: k for k, x in enumerate(langs)}
         for batch in batches:
-            group = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
+            names = batch.column(0).cast(pa.string()).dictionary_encode()
+            group = names.indices.to_numpy().astype(np.int64)
             for i, j in byte_slices(text_buffers(batch.column(1))[1], SLICE_BYTES):
                 g, gram, count = gram_counts(batch.column(1).slice(i, j - i), group[i:j])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g), pa.array(gram.astype(np.int64)), pa.array(count)], ["lang", "gram", "n"]
+                    [names.dictionary.take(pa.array(g)), pa.array(gram.astype(np.int64)), pa.array(count)],
+                    ["lang", "gram", "n"],
                 )
 
-    grams = picked.select("_lang", "_text").mapInArrow(run, "lang bigint, gram bigint, n bigint")
+    grams = picked.select("_lang", "_text").mapInArrow(run, "lang string, gram bigint, n bigint")
     grams = written(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
-        return Profiles({}, top)
-    least = F.element_at(F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(n * LEAST_SHARE))]), F.col("lang"))
     counts: dict[str, list[tuple[int, int]]] = {}
-    for r in grams.filter(F.col("n") >= least).collect():
-        counts.setdefault(langs[r["lang"]], []).append((r["gram"], r["n"]))
+    for r in first_many_per_group(grams, ["lang"], [F.desc("n"), F.col("gram")], top).collect():
+        counts.setdefault(r["lang"], []).append((r["gram"], r["n"]))
     return Profiles(counts, top)
 
 

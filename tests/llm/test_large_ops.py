@@ -123,6 +123,49 @@ def test_languages(docs):
     assert {r.lang_pred for r in language_id.predict_languages(docs([(1, "abc", None)])).collect()} == {"und"}
 
 
+def test_every_label_is_learned(docs):
+    # 260 languages of three letters each; the last ones are the rarest
+    def words(k, i):
+        own = [chr(0x4E00 + 3 * k + j) for j in range(3)]
+        return " ".join(own[(i + j) % 3] + own[(i * j) % 3] for j in range(12))
+
+    rows = [(1000 * k + i, words(k, i), f"l{k:03}") for k in range(260) for i in range(9 if k < 200 else 6)]
+    got = {r.doc_id: r for r in language_id.predict_languages(docs(rows)).collect()}
+    assert all(got[i].lang_pred == lang and got[i].score > 0 for i, _, lang in rows)
+
+
+def test_profiles_against_plain_distances():
+    import pyarrow as pa
+
+    rng, top = random.Random(5), 8
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", "é é", None]
+    counts = {}
+    for k in range(7):
+        g, gram, n = language_id.gram_counts(pa.array(["".join(rng.choice("abcde "[k % 3 :]) for _ in range(60))]))
+        counts[f"l{k}"] = list(zip(gram.tolist(), n.tolist()))
+    order = {lang: [g for g, _ in sorted(c, key=lambda x: (-x[1], x[0]))[:top]] for lang, c in counts.items()}
+    text, gram, rank = language_id.ranked(pa.array(texts), top)
+    langs, scores = language_id.Profiles(counts, top).predict(pa.array(texts))
+    for i in range(len(texts)):
+        own = [(g, r) for g, r in zip(gram[text == i].tolist(), rank[text == i].tolist())]
+        away = {lang: sum(abs(o.index(g) - r) if g in o else top for g, r in own) for lang, o in order.items()}
+        least = min(away.values())
+        assert langs[i] == (min(x for x in away if away[x] == least) if own else "und")
+        assert abs(scores[i] - (1 - least / (len(own) * top) if own else 0)) < 1e-12
+
+
+def test_a_long_tail_of_ngrams_is_learned(docs):
+    # 5,000 letters, each about as rare as the others: no n-gram has a share of 1/4000
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + k) for k in range(5000)]
+    rows = []
+    for i in range(40):
+        rng.shuffle(letters)
+        rows.append((i, " ".join(letters[:1500]), "zz"))
+    profiles = language_id.learn(docs(rows + [(100 + i, "abc abd", "aa") for i in range(20)]), top=100)
+    assert profiles.langs == ["aa", "zz"] and np.bincount(profiles.lang)[1] == 100
+
+
 def test_out_of_place_distance():
     import pyarrow as pa
 
