@@ -3,7 +3,7 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which
 is written as Parquet and read again as the next one's documents.  All stages but the last return the
 columns of their documents.  No stage drops a clean document: the language stage drops texts without
-letters and texts far from every profile, the next two leave one document of each group of copies, the
+letters and texts without an n-gram of a profile, the next two leave one document of each group of copies, the
 mix reads every source at least once.
 """
 
@@ -16,8 +16,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sitelore.llm import exact_dedup, jaccard_join, language_id, mixing, packing
 from sitelore.llm.common import shared_dir
 
-#: Below this score a text is no text of any learned language.
-LEAST_SCORE = 0.15
 #: Near copies: shingles of five words, similarity of 0.8 or more.
 WORDS, PERCENT = 5, 80
 
@@ -29,16 +27,17 @@ def _free_name(docs: DataFrame, name: str) -> str:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the labelled ones; the rest go.
+    """Documents that share an n-gram with a language learned from the labelled ones; the rest go.
 
-    Null, empty and letterless texts go.  Where nothing is labelled nothing can be judged, and all
+    The score is 0 where no n-gram of the text is in any profile, and above 0 elsewhere.  Null, empty and
+    letterless texts go.  Where nothing is labelled nothing can be judged, and all
     documents with a text stay.
     """
     profiles = language_id.learn(docs)
     names = _free_name(docs, "lang_pred"), _free_name(docs, "score")
     rated = language_id.identify(docs, profiles, names=names)
     if profiles.langs:
-        rated = rated.filter((F.col(names[0]) != language_id.UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE))
+        rated = rated.filter((F.col(names[0]) != language_id.UNKNOWN) & (F.col(names[1]) > 0))
     else:
         rated = rated.filter(F.length("text") > 0)
     return rated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -383,6 +383,20 @@ def test_pipeline_takes_effect(spark, docs):
     assert kept["mix"] == kept["near_copies"] == {r.doc_id for r in table.collect()}
 
 
+def test_pipeline_keeps_short_texts_of_large_scripts(spark, docs):
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + k) for k in range(3500)]
+    weights = [1 / (k + 20) for k in range(3500)]
+    rows = [(i, "".join(rng.choices(letters, weights, k=rng.choice((8, 30, 400)))), "zz", "s") for i in range(400)]
+    rows += [(1000, "abc def", None, "s"), (1001, "12 34", "zz", "s")]
+    profiles = language_id.learn(docs(rows))
+    scores = {r.doc_id: r.rate for r in language_id.identify(docs(rows), profiles, names=("found", "rate")).collect()}
+    assert any(0 < x < 0.15 for x in scores.values())
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs(rows), "").collect()}
+    assert kept == {i for i, x in scores.items() if x > 0} and not kept & {1000, 1001}
+    assert len(kept) >= 395
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None)], [(None, "", None, None)]])
 def test_pipeline_on_next_to_nothing(spark, docs, rows):
     table = docs(rows)
