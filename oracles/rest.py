@@ -174,10 +174,10 @@ G.variant("d_", {"kb_urls": f"""SELECT a.site, min(a.pos + d.source * 1000000000
 ORDERED = "SELECT site, row_number() OVER (PARTITION BY site ORDER BY ord, url) AS rank, url, 'company_information' AS cluster FROM ({}) WHERE (site, url) IN (SELECT site, norm FROM kb_urls)"
 G.variant("c_", {"kb_picked": ORDERED.format(f"""SELECT site, {G.norm('url')} AS url, min(ord) AS ord FROM (SELECT site, 0 AS ord, base_url AS url FROM home
   UNION ALL SELECT c.site, d.ord, c.url FROM good c JOIN home b USING (site) JOIN core_dim d ON c.url = {G.scheme('b.base_url')} || '://' || c.site || d.path) GROUP BY 1, 2""")})
-cte("asked_quarter", "SELECT site, min(page_id) AS ord, url FROM crawl_raw WHERE page_id % 4 = 1 GROUP BY site, url")
+cte("asked_all", "SELECT site, min(page_id) AS ord, url FROM crawl_raw GROUP BY site, url")
 G.variant("s_", {"kb_picked": ORDERED.format(f"""SELECT site, {G.norm('url')} AS url, min(ord) AS ord FROM (
-  SELECT site, ord, url FROM asked_quarter a WHERE EXISTS (SELECT 1 FROM good g WHERE g.site = a.site AND g.url = a.url)
-  UNION ALL SELECT site, 0, base_url FROM home b WHERE NOT EXISTS (SELECT 1 FROM asked_quarter a JOIN good g ON g.site = a.site AND g.url = a.url WHERE a.site = b.site AND a.url = b.base_url)) GROUP BY 1, 2""")})
+  SELECT site, ord, url FROM asked_all a WHERE EXISTS (SELECT 1 FROM good g WHERE g.site = a.site AND g.url = a.url)
+  UNION ALL SELECT site, 0, base_url FROM home b WHERE NOT EXISTS (SELECT 1 FROM asked_all a JOIN good g ON g.site = a.site AND g.url = a.url WHERE a.site = b.site AND a.url = b.base_url)) GROUP BY 1, 2""")})
 
 ORACLES = {
     "knowledge_base_discovered": build("SELECT * FROM d_kb_docs"),

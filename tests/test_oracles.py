@@ -36,14 +36,3 @@ def test_the_check_sees_a_difference(spark, con):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-def test_specified_documents_of_every_address(spark, con):
-    quarter = " WHERE page_id % 4 = 1"
-    sql = SQL["knowledge_base_specified"]
-    got, want, error = compare(
-        spark, con, SF, "knowledge_base_specified", QUERIES["knowledge_base_specified"], sql.replace(quarter, "")
-    )
-    spark.catalog.clearCache()
-    assert error is None, error
-    assert got == want > 0
