@@ -116,6 +116,43 @@ FROM p GROUP BY conv_id
 """
 
 
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), o AS (
+  SELECT r, lang, source, unnest(ws) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 3
+), v AS (
+  SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL
+), full_ AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n::HUGEINT AS lang_n
+  FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT f.lang, f.source, f.term, f.n, 1 + 1000000000::HUGEINT * (f.n + 1) // (sum(f.n) OVER (PARTITION BY f.lang, f.source) + v.v)::HUGEINT AS p,
+    1 + 1000000000::HUGEINT * (f.lang_n + 1) // (v.total + v.v) AS q
+  FROM full_ f JOIN v ON v.lang = f.lang
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 ORACLES = {
     "op1_exact_dedup": EXACT,
     "op2_jaccard_join": JACCARD,
@@ -123,4 +160,5 @@ ORACLES = {
     "op8_suffix_dedup": REPEATS,
     "op10_secrets": _secrets(),
     "op11_chat_format": CHAT,
+    "op12_source_divergence": DIVERGENCE,
 }

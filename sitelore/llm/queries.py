@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitelore.llm import (
-    chat_format, exact_dedup, jaccard_join, language_id, lattice_dedup, mixing, packing, secrets, suffix_dedup,
+    chat_format, divergence, exact_dedup, jaccard_join, language_id, lattice_dedup, mixing, packing, secrets, suffix_dedup,
     token_counts, token_files,
 )
 from sitelore.llm.checks import ORACLES  # noqa: F401  (read with the queries)
@@ -74,10 +74,15 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.read_examples(spark, path))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_jaccard_join, op3_token_files, op4_language_id, op5_lattice_dedup, op6_token_counts,
         op7_packing, op8_suffix_dedup, op9_mixing, op10_secrets, op11_chat_format,
+        op12_source_divergence,
     )
 }
