@@ -153,6 +153,43 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), spots AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM pieces
+), found AS (
+  SELECT lang, i, ws, unnest(range(1, least(5, len(ws) - i + 1) + 1)) AS k FROM spots
+), grams AS MATERIALIZED (
+  SELECT lang, phrase, k, count(*) AS a FROM (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM found) GROUP BY ALL
+  HAVING count(*) >= 100
+), totals AS (
+  SELECT lang, sum(len(ws))::HUGEINT AS n FROM pieces GROUP BY lang
+), cand AS MATERIALIZED (
+  SELECT *, string_split(phrase, ' ') AS ws FROM grams WHERE k > 1
+), parts AS (
+  SELECT lang, a, ws, k, i, unnest(range(2, k - i + 2)) AS m FROM (SELECT *, unnest(range(1, k)) AS i FROM cand)
+), inside AS MATERIALIZED (
+  SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(ws[i : i + m - 1], ' ') AS phrase FROM parts WHERE m < k) GROUP BY ALL
+), halves AS MATERIALIZED (
+  SELECT lang, phrase, a, cut, array_to_string(ws[1 : cut], ' ') AS first, array_to_string(ws[cut + 1 : k], ' ') AS rest
+  FROM (SELECT c.*, unnest(range(1, c.k)) AS cut FROM cand c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase
+    WHERE i.longer IS NULL OR 100 * i.longer < 100 * c.a)
+), cuts AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS lowest FROM (
+    SELECT h.*, x.a AS l, y.a AS r, n, 1000 * h.a::HUGEINT * n // (x.a::HUGEINT * y.a) AS score
+    FROM halves h JOIN grams x ON x.lang = h.lang AND x.phrase = h.first JOIN grams y ON y.lang = h.lang AND y.phrase = h.rest
+    JOIN totals t ON t.lang = h.lang)
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+    CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM cuts WHERE lowest = 1
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
 ORACLES = {
     "op1_exact_dedup": EXACT,
     "op2_jaccard_join": JACCARD,
@@ -161,4 +198,5 @@ ORACLES = {
     "op10_secrets": _secrets(),
     "op11_chat_format": CHAT,
     "op12_source_divergence": DIVERGENCE,
+    "op13_collocations": COLLOCATIONS,
 }

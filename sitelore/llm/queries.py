@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitelore.llm import (
-    chat_format, divergence, exact_dedup, jaccard_join, language_id, lattice_dedup, mixing, packing, secrets, suffix_dedup,
-    token_counts, token_files,
+    chat_format, collocations, divergence, exact_dedup, jaccard_join, language_id, lattice_dedup, mixing, packing, secrets,
+    suffix_dedup, token_counts, token_files,
 )
 from sitelore.llm.checks import ORACLES  # noqa: F401  (read with the queries)
 from sitelore.llm.common import new_path, table
@@ -78,11 +78,15 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_jaccard_join, op3_token_files, op4_language_id, op5_lattice_dedup, op6_token_counts,
         op7_packing, op8_suffix_dedup, op9_mixing, op10_secrets, op11_chat_format,
-        op12_source_divergence,
+        op12_source_divergence, op13_collocations,
     )
 }
