@@ -36,6 +36,8 @@ FILTER_BITS, BITS_EACH = 28, 6
 TRIE_PHRASES = 500_000
 #: Bytes of text at once, and keys that a task gathers before it counts them.
 SLICE_BYTES, KEYS_AT_ONCE = 8_000_000, 3_000_000
+#: Counts of phrases that leave a task in one row.
+PIECE = 2048
 
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -277,17 +279,15 @@ def candidates(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, Da
     phrases = written(phrases.select(
         *[F.expr(_symbol(c, h)).alias(f"s{k}") for k, (c, h) in enumerate(symbols)], F.expr(_symbol("c", False)).alias("k")
     ), "runs")
-    of = lambda k: known.select("lang", F.col("symbol").alias(f"s{k}"), F.col("word").alias(f"w{k}"))
-    named = phrases.join(of(0), "s0").join(of(1), ["lang", "s1"])
-    for k in range(2, 5):
-        named = _named(named, of(k), k)
-    return words, named.select("lang", F.expr("array_compact(array(w0, w1, w2, w3, w4))").alias("words"))
-
-
-def _named(phrases: DataFrame, words: DataFrame, k: int) -> DataFrame:
-    """Word ``k`` of the phrases that have one."""
-    longer = phrases.filter(F.col("k") > k).join(words, ["lang", f"s{k}"])
-    return longer.unionByName(phrases.filter(F.col("k") <= k).withColumn(f"w{k}", F.lit(None).cast("string")))
+    ids = [f"s{k}" for k in range(5)] + ["k"]
+    spelt = phrases.select(*ids, F.posexplode(F.expr("slice(array(s0, s1, s2, s3, s4), 1, cast(k as int))")).alias("pos", "symbol")).join(
+        known.select("symbol", "lang", "word"), "symbol"
+    ).groupBy(*ids, "lang").agg(F.collect_list(F.struct("pos", "word")).alias("w"))
+    # a symbol with several words stands for each of them; a place without a word of the language for none
+    each = "transform(sequence(0, cast(k as int) - 1), p -> transform(filter(w, x -> x.pos = p), x -> x.word))"
+    every = f"""aggregate({each}, array(cast(array() as array<string>)), (acc, ws) ->
+        flatten(transform(acc, a -> transform(ws, x -> array_append(a, x)))))"""
+    return words, spelt.select("lang", F.explode(F.expr(every)).alias("words"))
 
 
 @dataclass
@@ -326,19 +326,46 @@ class Tries:
 
 
 def _count_in(tries):
-    """Numbers of phrases and how often they occur in the rows of a task."""
+    """How often each phrase occurs in the rows of a task, as pieces of a vector by the numbers of the phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Tries = tries.value
         met = np.zeros(len(own.trie.check), np.int64)
         for part in word_slices(batches):
             met += count_phrases(own.trie, own.symbols(part), part.left, own.longest)
-        states = np.flatnonzero(met)
-        yield pa.RecordBatch.from_arrays([pa.array(own.trie.accepts[states]), pa.array(met[states])], ["number", "a"])
+        states = np.flatnonzero(own.trie.accepts >= 0)
+        counts = np.zeros(-(-max(1, len(states)) // PIECE) * PIECE, np.int64)
+        counts[own.trie.accepts[states]] = met[states]
+        pieces = counts.reshape(-1, PIECE)
+        found = np.flatnonzero(pieces.any(axis=1))
+        flat = pa.array(pieces[found].ravel())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * PIECE, pa.int32()), flat)],
+            ["piece", "counts"],
+        )
 
     return run
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the pieces of all tasks, from rows in order of the piece; one sum is held at a time."""
+    piece, total = None, None
+
+    def out() -> pa.RecordBatch:
+        met = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(piece * PIECE + met), pa.array(total[met])], ["number", "a"])
+
+    for batch in batches:
+        for p, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if p != piece:
+                if piece is not None:
+                    yield out()
+                piece, total = p, np.zeros(PIECE, np.int64)
+            total += counts.values.to_numpy()
+    if piece is not None:
+        yield out()
+
+
 def count_in_tries(docs: DataFrame, phrases: DataFrame, least: int, per_trie: int = TRIE_PHRASES) -> DataFrame:
     """lang, words, a: exact counts of those phrases that reach ``least``, by one scan for each trie."""
     spark = docs.sparkSession
@@ -351,11 +378,12 @@ def count_in_tries(docs: DataFrame, phrases: DataFrame, least: int, per_trie: in
     for t in range(tries):
         own = rows.filter(F.col("trie") == t).orderBy("number").select("lang", "words").collect()  # about per_trie rows
         sent = spark.sparkContext.broadcast(Tries.of([(r.lang, r.words) for r in own]))
-        met = docs.mapInArrow(_count_in(sent), "number bigint, a bigint").groupBy("number").agg(F.sum("a").alias("a"))
+        pieces = docs.mapInArrow(_count_in(sent), "piece bigint, counts array<bigint>")
+        met = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(_add_up, "number bigint, a bigint")
         found = written(met.filter(F.col("a") >= least).withColumn("trie", F.lit(t)), "counts")
         sent.destroy()
         counts = found if counts is None else counts.union(found)
-    return rows.join(counts, ["trie", "number"]).select("lang", "words", "a")
+    return written(rows.join(counts, ["trie", "number"]).select("lang", "words", "a"), "phrases")
 
 
 def score_phrases(words: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Bases tried at once when the children of a node look for room.
-TRIES = 64
+#: Bases tried at once when the children of a node look for room, and rounds over random bases before a search.
+TRIES, ROUNDS, FEW = 64, 4, 6
 
 
 @dataclass
@@ -33,40 +33,51 @@ class DoubleArray:
 def build(phrases: list[tuple[int, ...]]) -> DoubleArray:
     """The trie of some phrases, each a tuple of symbols from 0 on; its size is a few places a phrase.
 
-    Nodes with many children are placed first, each at the first base where all its children find room.
+    The nodes of a level with most children are placed first, each at the first base where all its
+    children find room.  Those with ``FEW`` children try random bases in a table that is at most half full.
     """
     children: dict[tuple[int, ...], set[int]] = defaultdict(set)
     for phrase in phrases:
         for k in range(len(phrase)):
             children[phrase[:k]].add(phrase[k])
-    size = 1024
+    total = sum(map(len, children.values()))
+    widest = max((max(c) for c in children.values()), default=0) + 1
+    size = 1 << (2 * total + widest + TRIES).bit_length()
     base, check = np.zeros(size, np.int64), np.full(size, -2, np.int64)
     check[0] = -1
+    rng = np.random.default_rng(1)
+
+    def room(tried: np.ndarray, own: np.ndarray) -> int:
+        free = (check[tried[:, None] + own[None, :]] == -2).all(axis=1)
+        return int(tried[np.argmax(free)]) if free.any() else -1
+
+    def place(own: np.ndarray) -> int:
+        if len(own) <= FEW:
+            for _ in range(ROUNDS):
+                if (found := room(rng.integers(0, size - widest, TRIES), own)) >= 0:
+                    return found
+        first = 0
+        while True:
+            tried = np.arange(first, min(first + 16 * TRIES, size - widest))
+            if not len(tried):
+                return -1
+            # bases are thinned out by the first children before all are looked at
+            for some in (own[:1], own[:8]):
+                tried = tried[(check[tried[:, None] + some[None, :]] == -2).all(axis=1)]
+            if len(tried) and (found := room(tried, own)) >= 0:
+                return found
+            first += 16 * TRIES
 
-    def grow(least: int) -> None:
-        nonlocal size, base, check
-        while size < least:
-            base = np.concatenate((base, np.zeros(size, np.int64)))
-            check = np.concatenate((check, np.full(size, -2, np.int64)))
-            size *= 2
-
-    # places of children are known before their own children are placed: level by level
     places: dict[tuple[int, ...], int] = {(): 0}
     level = [()]
-    free = 1  # all places below are taken
     while level:
         following = []
         for node in sorted((n for n in level if n in children), key=lambda n: (-len(children[n]), n)):
             own = np.array(sorted(children[node]), np.int64)
-            while free < size and check[free] != -2:
-                free += 1
-            first, found = max(0, free - int(own[0])), -1
-            while found < 0:
-                tried = first + np.arange(TRIES)
-                grow(int(tried[-1] + own[-1]) + 1)
-                room = (check[tried[:, None] + own[None, :]] == -2).all(axis=1)
-                found = int(tried[np.argmax(room)]) if room.any() else -1
-                first += TRIES
+            while (found := place(own)) < 0:
+                base = np.concatenate((base, np.zeros(size, np.int64)))
+                check = np.concatenate((check, np.full(size, -2, np.int64)))
+                size *= 2
             base[places[node]] = found
             check[found + own] = places[node]
             for symbol in own.tolist():
