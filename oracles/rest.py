@@ -106,9 +106,21 @@ cte("element_pages", f"""SELECT page_id, {G.netloc('url')} AS site, html || '<bu
   || '<a href="' || {pick(["/user/", "/x/followers", "/x/following", "/@me", "/plain"])} || '">' || {pick(["followers", "Home", "About us"])} || '</a>'
   || '<input type=submit name=q2><my-widget role="button" aria-label="a > b">w</my-widget>'
   || '<textarea class="post-box wide"></textarea><form class="plain"></form><h2 title="More">View more</h2>' AS html FROM pages""")
-OPENING = r"""<[a-zA-Z][a-zA-Z0-9-]*[^>=]*(?:=\s*(?:"[^"]*"|'[^']*')?[^>=]*)*>"""
-cte("tags_found", f"""SELECT page_id, site, unnest(f) AS raw, generate_subscripts(f, 1) AS no FROM (
-   SELECT page_id, site, regexp_extract_all({G.no_scripts('html')}, {q(OPENING + '[^<]*')}) AS f FROM element_pages)""")
+TAG = r"""<[/!?A-Za-z][^>=]*(?:=\s*(?:"[^"]*"|'[^']*')?[^>=]*)*>"""
+cte("tags_found", f"""SELECT page_id, site, pl, regexp_extract(raw, {q('^' + TAG)}) AS tag, {G.unescape(f"regexp_replace(raw, {q('^' + TAG)}, '')")} AS txt FROM (
+   SELECT page_id, site, unnest(f) AS raw, generate_subscripts(f, 1) AS pl FROM (
+    SELECT page_id, site, regexp_extract_all({G.no_scripts('html')}, {q(TAG + '(?:[^<]|<[^/!?A-Za-z<])*')}) AS f FROM element_pages))""")
+EMPTY = "name IN (" + ", ".join(map(q, V.EMPTY_TAGS)) + ") OR ends_with(tag, '/>')"
+cte("tag_lists", f"""SELECT page_id, list(CASE WHEN starts_with(tag, '</') THEN '/' || name WHEN {EMPTY} THEN '' ELSE name END ORDER BY pl) AS signs,
+   list(txt ORDER BY pl) AS texts, list({G.strip('txt')} ORDER BY pl) AS stripped
+  FROM (SELECT *, lower(regexp_extract(tag, '^</?([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS name FROM tags_found) GROUP BY page_id""")
+LAST = "len(stack) - list_position(list_reverse(list_transform(stack, lambda x: x.n)), sign[2:]) + 1"
+cte("tag_walk", f"""SELECT page_id, 0 AS pl, CAST([] AS STRUCT(n VARCHAR, p BIGINT)[]) AS stack, CAST([] AS BIGINT[]) AS shut FROM tag_lists
+  UNION ALL SELECT page_id, pl, CASE WHEN last > 0 THEN stack[1 : last - 1] WHEN sign = '' OR sign[1] = '/' THEN stack ELSE list_append(stack, {{'n': sign, 'p': CAST(pl AS BIGINT)}}) END,
+    CASE WHEN last > 0 THEN list_transform(stack[last : len(stack)], lambda x: x.p) ELSE [] END
+   FROM (SELECT *, CASE WHEN sign[1] = '/' AND list_contains(list_transform(stack, lambda x: x.n), sign[2:]) THEN {LAST} ELSE 0 END AS last
+    FROM (SELECT w.page_id, w.pl + 1 AS pl, w.stack, t.signs[w.pl + 1] AS sign FROM tag_walk w JOIN tag_lists t USING (page_id) WHERE w.pl < len(t.signs)))""")
+cte("tag_ends", "SELECT page_id, unnest(shut) AS pl, pl AS until FROM tag_walk")
 
 
 def attribute(name):
@@ -117,16 +129,18 @@ def attribute(name):
 
 NAMES = ["id", "class", "href", "role", "type", "aria-label", "data-testid", "name", "placeholder", "alt", "title"]
 ident = lambda n: "a_" + n.replace("-", "_")
-cte("elements", f"""SELECT page_id, site, no, tag, text, open, {attribute('href')} <> '' AS has_href, {", ".join(f"{G.unescape(G.rep(attribute(n), '^[' + chr(34) + chr(39) + ']|[' + chr(34) + chr(39) + ']$'))} AS {ident(n)}" for n in NAMES)}
-  FROM (SELECT *, regexp_extract(raw, {q('^' + OPENING)}) AS open, lower(regexp_extract(raw, '^<([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag,
-   {G.strip(G.unescape(f"regexp_replace(raw, {q('^' + OPENING)}, '')"))} AS text FROM tags_found)""")
+cte("elements", f"""SELECT page_id, site, no, tag, open, texts, stripped, pl, until, array_to_string(stripped[pl : until - 1], '') AS text, array_to_string(texts[pl : until - 1], '') AS whole,
+   {attribute('href')} <> '' AS has_href, {", ".join(f"{G.unescape(G.rep(attribute(n), '^[' + chr(34) + chr(39) + ']|[' + chr(34) + chr(39) + ']$'))} AS {ident(n)}" for n in NAMES)}
+  FROM (SELECT f.page_id, f.site, f.pl, f.tag AS open, row_number() OVER (PARTITION BY f.page_id ORDER BY f.pl) AS no, lower(regexp_extract(f.tag, '^<([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag,
+    t.texts, t.stripped, CASE WHEN t.signs[f.pl] = '' THEN f.pl ELSE coalesce(e.until, len(t.signs) + 1) END AS until
+   FROM tags_found f JOIN tag_lists t USING (page_id) LEFT JOIN tag_ends e ON e.page_id = f.page_id AND e.pl = f.pl WHERE regexp_matches(f.tag, '^<[a-zA-Z]'))""")
 
 
 def rule(tag, name, test, value):
     parts = [f"tag = {q(tag)}"] if tag else []
     a = ident(name) if name else None
     parts += {None: [], "present": ["has_href"], "equals": [f"{a} = {q(value or '')}"], "contains": [f"contains({a}, {q(value or '')})"],
-              "icontains": [f"contains(lower({a}), {q(value or '')})"], "text": [f"contains(text, {q(value or '')})"]}[test]
+              "icontains": [f"contains(lower({a}), {q(value or '')})"], "text": [f"contains(whole, {q(value or '')})"]}[test]
     return " AND ".join(parts)
 
 
@@ -226,11 +240,11 @@ ORACLES = {
     "run_flatten": build(FLAT_RUN.format(n="BIGINT")),
     "run_summary": build("""SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'timeout') AS timed_out,
       CAST(sum(epoch_us(f) - epoch_us(s)) AS BIGINT) / 1000000 AS total_duration_seconds FROM run_rows"""),
-    "element_inventory": build("SELECT page_id, category, selector, no AS element_no, tag, text FROM inventory"),
-    "element_xpaths": build("SELECT page_id, category, selector, no AS element_no, xpath_no, xpath FROM xpaths"),
-    "page_xpaths": build("""SELECT page_id, category, xpath, sel_no AS selector_no, no AS element_no FROM (
+    "element_inventory": build("WITH RECURSIVE one AS (SELECT 1) SELECT page_id, category, selector, no AS element_no, tag, text FROM inventory"),
+    "element_xpaths": build("WITH RECURSIVE one AS (SELECT 1) SELECT page_id, category, selector, no AS element_no, xpath_no, xpath FROM xpaths"),
+    "page_xpaths": build("""WITH RECURSIVE one AS (SELECT 1) SELECT page_id, category, xpath, sel_no AS selector_no, no AS element_no FROM (
       SELECT *, row_number() OVER (PARTITION BY page_id, category, xpath ORDER BY sel_no, no, xpath_no) AS first FROM xpaths) WHERE first = 1"""),
-    "selector_coverage": build("""SELECT site, category, xpath, n_pages, site_pages, n_pages / site_pages AS share FROM (SELECT site, category, xpath, count(DISTINCT page_id) AS n_pages FROM xpaths GROUP BY 1, 2, 3)
+    "selector_coverage": build("""WITH RECURSIVE one AS (SELECT 1) SELECT site, category, xpath, n_pages, site_pages, n_pages / site_pages AS share FROM (SELECT site, category, xpath, count(DISTINCT page_id) AS n_pages FROM xpaths GROUP BY 1, 2, 3)
       JOIN (SELECT site, count(*) AS site_pages FROM element_pages GROUP BY site) USING (site)"""),
     "sink_kb_markdown": build(f"""SELECT site, 'knowledge_base_' || {NAME} || '.md' AS name, concat_ws({NL}, '# Knowledge Base Report' || {NL}, '**Generated:** 2024-01-01 00:00:00', '**Job ID:** ' || job_id,
       '**Source URL:** ' || base_url, '**Language:** ' || lang, '**Pages Processed:** ' || pages, '**Screenshot Captured:** False', '**Total Cost:** $' || cost, '**Depth:** deep',
@@ -244,7 +258,7 @@ ORACLES = {
     "sink_run_csv": build(FLAT_RUN.format(n="VARCHAR")),
 }
 cte("stream_pages", f"""SELECT page_id, url, html, {X.title('html')} AS title FROM (
-  SELECT *, row_number() OVER (PARTITION BY {G.norm('url')} ORDER BY page_id) AS copy FROM pages) WHERE copy = 1""")
+  SELECT *, row_number() OVER (PARTITION BY {G.norm('url')}, html ORDER BY page_id) AS copy FROM pages) WHERE copy = 1""")
 cte("stream_chunks", X.main_content("stream_pages", "page_id, url, title"))
 cte("stream_contacts", X.contacts("stream_chunks", "page_id", "chunk"))
 ORACLES["page_stream"] = build(f"""

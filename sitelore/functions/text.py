@@ -25,6 +25,7 @@ GAP = "<br>"  # texts on both sides of a removed element stay two texts
 BODY_RE = r"(?i)<body\b"
 ANCHOR_RE = rf"(?is)<a\b{ATTRIBUTES_RE}>(.*?)</a\s*>"
 TITLE_RE = rf"(?is)<title\b{ATTRIBUTES_RE}>([^<]*)</title\s*>"
+RUN = 512  # signs of one run, whose depths are gathered before those of the next
 BOILERPLATE = ("nav", "footer", "header", "noscript", "svg", "form", "iframe")
 
 
@@ -76,23 +77,64 @@ def _innermost_re(tags) -> str:
     return rf"(?is)<(?:{inner})"
 
 
+def _marks_re(tag: str) -> str:
+    return rf"(?i)</?{tag}\b{ATTRIBUTES_RE}>"
+
+
+def _signs(marks: str) -> str:
+    """1 for each opening tag, -1 for each closing one."""
+    return f"transform({marks}, mark -> CASE WHEN startswith(mark, '</') THEN -1 ELSE 1 END)"
+
+
+def depths(signs: str) -> str:
+    """Running sums that never fall below 0, one for each sign.
+
+    An array that grows by one is copied each time, so the sums are gathered in runs of ``RUN`` and the
+    runs afterwards: time is in proportion to the signs.
+    """
+    runs = f"transform(sequence(0, greatest(size({signs}) - 1, 0) DIV {RUN}), run -> slice({signs}, run * {RUN} + 1, {RUN}))"
+    one = let("depth", "greatest(here.depth + sign, 0)", "named_struct('depth', depth, 'out', array_append(here.out, depth))")
+    part = f"aggregate(signs_of, named_struct('depth', acc.depth, 'out', CAST(array() AS ARRAY<INT>)), (here, sign) -> {one})"
+    step = let("part", part, "named_struct('depth', part.depth, 'out', array_append(acc.out, part.out))")
+    start = "named_struct('depth', 0, 'out', CAST(array() AS ARRAY<ARRAY<INT>>))"
+    return f"flatten(aggregate({runs}, {start}, (acc, signs_of) -> {step}).out)"
+
+
+def _drop_nested(html: str, marks_re: str, by: str) -> str:
+    """Without the elements of one kind, from the depths to the left and to the right of each piece between tags.
+
+    A piece is inside an element if an opening tag to its left is still open and a closing one to its
+    right still lacks its opening one.  Tags without a partner stay.
+    """
+    # dark[i]: whether the piece after tag i is inside; the piece before the first tag never is
+    dark = "transform(fore, (depth, i) -> depth > 0 AND coalesce(get(aft, i + 1), 0) > 0)"
+    kept = f"""array_join(transform(marks, (mark, i) -> concat(
+        CASE WHEN NOT (dark[i] OR (i > 0 AND dark[greatest(i - 1, 0)])) THEN mark WHEN NOT dark[i] THEN {lit(by)} ELSE '' END,
+        CASE WHEN dark[i] THEN '' ELSE pieces[i + 1] END)), '')"""
+    body = let("dark", dark, f"concat(pieces[0], {kept})")
+    body = let("fore", depths("signs"), let("back", "reverse(transform(signs, sign -> -sign))", let("aft", f"reverse({depths('back')})", body)))
+    return let("marks", f"regexp_extract_all({html}, {marks_re}, 0)",
+               let("pieces", f"split({html}, {marks_re}, -1)", let("signs", _signs("marks"), body)))
+
+
 def drop_elements(html: str, tags, by: str = "") -> str:
-    """Without the elements of these kinds, whatever their nesting: innermost ones first, again while any is left."""
-    pattern = _innermost_re(tags)
+    """Without the elements of these kinds, whatever their nesting, in time in proportion to the text.
+
+    One pass takes the innermost ones, which is all on most pages.  Where closing tags are left, one kind
+    after another is dropped by its depths.
+    """
     ends = rf"(?i)</(?:{'|'.join(tags)})\s*>"
-    again = f"aggregate(sequence(1, regexp_count(once, {lit(ends)})), once, (acc, i) -> {replace_all('acc', pattern, by)})"
-    return let("once", replace_all(html, pattern, by), f"CASE WHEN once RLIKE {lit(ends)} THEN {again} ELSE once END")
+    kinds = ", ".join(f"named_struct('ends', {lit(rf'(?i)</{t}{chr(92)}s*>')}, 'marks', {lit(_marks_re(t))})" for t in tags)
+    again = f"""aggregate(array({kinds}), rest, (left_over, kind) -> CASE WHEN left_over RLIKE kind.ends
+        THEN {_drop_nested('left_over', 'kind.marks', by)} ELSE left_over END)"""
+    return let("rest", replace_all(html, _innermost_re(tags), by), f"CASE WHEN rest RLIKE {lit(ends)} THEN {again} ELSE rest END")
 
 
 def region(html: str, tag: str) -> str:
     """Inside of all elements of a kind, outermost ones once; pieces between the tags at a depth above 0."""
-    tag_re = rf"(?i)</?{tag}\b{ATTRIBUTES_RE}>"
-    return let("marks", f"regexp_extract_all({html}, {lit(tag_re)}, 0)", f"""CASE WHEN size(marks) = 0 THEN '' ELSE array_join(aggregate(
-        slice(split({html}, {lit(tag_re)}), 2, size(marks)),
-        named_struct('depth', 0, 'i', 0, 'out', CAST(array() AS ARRAY<STRING>)),
-        (acc, piece) -> transform(array(CASE WHEN startswith(marks[acc.i], '</') THEN greatest(acc.depth - 1, 0) ELSE acc.depth + 1 END),
-          depth -> named_struct('depth', depth, 'i', acc.i + 1,
-            'out', CASE WHEN depth > 0 THEN array_append(acc.out, piece) ELSE acc.out END))[0]).out, {lit(GAP)}) END""")
+    inside = f"filter(slice(split({html}, {lit(_marks_re(tag))}, -1), 2, size(marks)), (piece, i) -> within[i] > 0)"
+    found = let("signs", _signs("marks"), let("within", depths("signs"), f"array_join({inside}, {lit(GAP)})"))
+    return let("marks", f"regexp_extract_all({html}, {lit(_marks_re(tag))}, 0)", f"CASE WHEN size(marks) = 0 THEN '' ELSE {found} END")
 
 
 def without_scripts(html: str, by: str = "") -> str:
@@ -150,10 +192,10 @@ def main_content(html: str, max_chars: int | None = None) -> str:
     """Main region, else articles, else text blocks that are not mostly links, else clean text."""
     kept = f"filter(split(page, {lit(BLOCK_TAG_RE)}), block -> {_mostly_text('block')})"
     blocks = text_nodes(f"array_join({kept}, {lit(GAP)})")
-    last = let("blocks", blocks, f"CASE WHEN length(blocks) > 40 THEN blocks ELSE {_region_text('page')} END")
-    article = let("article", text_nodes(region("page", "article")), f"CASE WHEN length(article) > 40 THEN article ELSE {last} END")
-    first = let("main", text_nodes(region("page", "main")), f"CASE WHEN length(main) > 40 THEN main ELSE {article} END")
-    return cap(let("page", _own_region(html), first), max_chars)
+    # one beside the other, not one inside the other: each level of bindings costs the analyzer a pass
+    long = lambda x: let("some", x, "CASE WHEN length(some) > 40 THEN some END")
+    regions = ", ".join(long(text_nodes(region("page", tag))) for tag in ("main", "article"))
+    return cap(let("page", _own_region(html), f"coalesce({regions}, {long(blocks)}, {_region_text('page')})"), max_chars)
 
 
 def strip_noise_html(html: str, max_chars: int | None = None) -> str:

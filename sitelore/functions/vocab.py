@@ -230,6 +230,11 @@ ATTRIBUTE_VALUES = {  # None: any value
     "title": None,
 }
 PERSONAL_HREFS = ("/@", "/user/", "/profile/")
+# fixed values: tags without content
+EMPTY_TAGS = (
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param", "source",
+    "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer",
+)
 # (category, selector, tag or None, attribute or None, test, value)
 SELECTORS = [
     ("buttons", "button", "button", None, None, None),

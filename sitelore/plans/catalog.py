@@ -647,7 +647,7 @@ def page_stream(spark, sf):
     out = new_shared_path(spark, "page_stream")
     source = stream_pages.read_pages(spark, sf, "pages.parquet")
     stream_pages.start(source, out, out + "-state").awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("content_hash", "seen_at")
 
 
 @query

@@ -1,7 +1,11 @@
-"""Streams give what a batch over all files gives, also when files arrive one by one."""
+"""Streams give what a batch over all files gives, also when files arrive one by one; their states stay bounded."""
+
+import datetime as dt
 
 from pyspark.sql import functions as F
 
+from sitelore.functions import urls as U
+
 from sitelore.sources import derived as D
 from sitelore.streaming import job_progress, page_stream
 
@@ -16,11 +20,11 @@ def test_pages_arrive_in_parts(spark, tmp_path):
         query = page_stream.start(page_stream.read_pages(spark, folder), out, state)
         query.awaitTermination()
         # what was seen is state; no batch reads more than its own files
-        assert query.lastProgress["stateOperators"][0]["operatorName"] == "dedupe"
+        assert query.lastProgress["stateOperators"][0]["operatorName"] == "dedupeWithinWatermark"
         assert query.lastProgress["numInputRows"] <= 25
-    got = spark.read.parquet(out)
+    got = spark.read.parquet(out).drop("content_hash", "seen_at")
     batch = page_stream.page_facts(pages)
-    assert got.select("url").distinct().count() == got.count() == batch.select("url").distinct().count()
+    assert got.count() == pages.select(F.expr(U.normalize("url")), "html").distinct().count()
     assert got.exceptAll(batch.select(got.columns)).isEmpty()
 
 
@@ -30,7 +34,68 @@ def test_job_states_equal_the_batch(spark, tmp_path):
     for part in range(3):
         events.filter(F.col("event_id") % 3 == part).write.mode("append").parquet(folder)
         raw = spark.readStream.schema(events.schema).parquet(folder)
-        job_progress.start(D.as_job_events(raw), out, state).awaitTermination()
+        job_progress.start(D.as_job_events(raw), out, state, lateness="10000 days").awaitTermination()
     got = job_progress.current(spark, out)
     want = job_progress.latest_states(D.as_job_events(events)).drop("last_event").select(got.columns)
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+DAY = dt.datetime(2024, 1, 1)
+
+
+def test_a_changed_page_comes_again_and_versions_are_forgotten(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "page_id bigint, url string, html string, seen_at timestamp"
+    kept = []
+    for day in range(8):
+        rows = [
+            (1, "http://s/same", "<p>same</p>"), (2, "http://s/changes", f"<p>{day // 2}</p>"), (3, "http://s/none", None),
+            *[(100 * day + k, f"http://s/{day}/{k}", "<p>x</p>") for k in range(20)],
+        ]
+        spark.createDataFrame([(*r, DAY + dt.timedelta(days=day)) for r in rows], schema).repartition(1).write.mode("append").parquet(folder)
+        query = page_stream.start(spark.readStream.schema(schema).parquet(folder), out, state, remembered="2 days")
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = spark.read.parquet(out)
+    seen = {u: got.filter(F.col("url") == u).count() for u in ("http://s/same", "http://s/changes", "http://s/none")}
+    assert seen["http://s/changes"] >= 4  # each of the four versions
+    assert 2 <= seen["http://s/same"] == seen["http://s/none"] <= 4  # anew when it was forgotten, not on each day
+    assert got.filter("page_id between 100 and 199").count() == 20
+    assert max(kept) <= 4 * 23 and kept[-1] < 8 * 20  # versions of the last days, not of all
+
+
+def job(spark, rows):
+    schema = "job_id bigint, event_id bigint, ts timestamp, status string, progress string, done bigint, total bigint"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_jobs_retire_late_events_are_counted_and_few_folders_are_read(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    at = lambda hour, minute=0: DAY + dt.timedelta(hours=hour, minutes=minute)
+    schema, kept, late = None, [], []
+    for n in range(9):
+        rows = [(n, 10 * n, at(n), "running", "p", n, 9), (n, 10 * n + 1, at(n, 5), "completed", None, None, 9)]
+        if n == 4:
+            rows.append((0, 999, at(0, 1), "failed", "late", 50, 9))  # older than the watermark
+        if n == 8:
+            rows.append((1, 1000, at(8, 1), "running", "again", 2, 9))  # goes on after it retired
+        job(spark, rows).repartition(1).write.mode("append").parquet(folder)
+        schema = schema or spark.read.parquet(folder).schema
+        query = job_progress.start(
+            spark.readStream.schema(schema).parquet(folder), out, state, "30 minutes", 2 * 3600, compact_every=3
+        )
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        late.append(job_progress.late_events(query))
+        assert len(job_progress.folders_of_current(spark, out)) <= 3
+    assert max(kept) <= 5 and kept[-1] <= 5  # not nine
+    jobs = {r.job_id: r for r in job_progress.jobs(spark, out).collect()}
+    assert len(jobs) == 9 and late == [0, 0, 0, 0, 1, 0, 0, 0, 0]
+    assert (jobs[0].status, jobs[0].done, jobs[0].retired) == ("completed", 0, True)
+    assert (jobs[1].status, jobs[1].progress, jobs[1].done, jobs[1].retired) == ("running", "again", 2, False)
+    assert jobs[8].retired is False
+    shown = {r.job_id: r.counter for r in job_progress.current(spark, out).collect()}
+    assert shown[3] == "3/9" and len(shown) == 9
+    # a batch that runs again changes nothing
+    before = sorted(map(str, job_progress.jobs(spark, out).collect()))
+    assert before == sorted(map(str, job_progress.merged(job_progress.jobs(spark, out)).collect()))
