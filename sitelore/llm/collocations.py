@@ -1,18 +1,18 @@
 """Phrase collocation mining: frequent phrases of each language, counted by tries, scored by their weakest cut.
 
-Four scans of the texts, each in tasks that see bounded slices of bytes:
+Five scans of the texts (two for step 3), each in tasks that see bounded slices of bytes:
 
 1. words by language; those below the least count are in no frequent phrase;
 2. pairs of neighbouring words that are both frequent, as pairs of 32-bit hashes;
-3. runs of frequent pairs: 3 to 5 words all of whose pairs are frequent, as hashes;
+3. three words both of whose pairs are frequent, then four and five words all of whose threes are, as hashes;
 4. the candidates so found, as words, in double-array tries: all positions of a text walk down at once, level by level, and
    the states that accept a phrase are counted and added up over tasks.
 
-Scans 2 and 3 only propose.  A hash that stands for two words can make a count too large and never too small,
+Steps 2 and 3 only propose.  A hash that stands for two words can make a count too large and never too small,
 every part of a frequent phrase is as frequent, so no frequent phrase is missed, and the counts returned are those of
-scan 4.  Joining frequent pairs on their common word would propose ten times more than what occurs.
+step 4.  Joining frequent pairs on their common word would propose ten times more than what occurs.
 
-What is sent to all executors is bounded: the filters of scans 2 and 3 are bitmaps of at most ``2 ** FILTER_BITS``
+What is sent to all executors is bounded: the filters of steps 2 and 3 are bitmaps of at most ``2 ** FILTER_BITS``
 bits, and a trie holds about ``TRIE_PHRASES`` phrases; more phrases make more tries, each with a scan of its own.
 """
 
@@ -158,15 +158,21 @@ def places(keys: np.ndarray, bits: int) -> np.ndarray:
     return (mix(keys.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _one_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a.astype(np.uint64)) ^ b.astype(np.uint64)
+
+
 def filter_of(keys: DataFrame, n: int, most_bits: int = FILTER_BITS) -> Filter:
-    """The filter of the column ``key`` with ``n`` rows, put together on the executors in pieces of 4 KB."""
+    """The filter of ``n`` rows of one or two columns, put together on the executors in pieces of 4 KB."""
     bits = min(most_bits, max(15, int(n).bit_length() + BITS_EACH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(places(batch.column(0).to_numpy(), bits) + 1)], ["place"])
+            columns = [c.to_numpy() for c in batch.columns]
+            key = columns[0] if len(columns) == 1 else _one_key(*columns)
+            yield pa.RecordBatch.from_arrays([pa.array(places(key, bits) + 1)], ["place"])
 
-    pieces = keys.select("key").mapInArrow(run, "place bigint").groupBy(
+    pieces = keys.mapInArrow(run, "place bigint").groupBy(
         F.expr("bitmap_bucket_number(place)").alias("piece")
     ).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits"))
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
@@ -210,40 +216,51 @@ def _propose(propose: Callable[[Words], list[list[np.ndarray]]], names: list[str
     return run
 
 
-def _next_to(symbols: np.ndarray, left: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of neighbouring words, and where both pass a filter of words."""
-    good = words(symbols)
-    two = (left[:-1] > 1) & good[:-1] & good[1:]
-    return (symbols[:-1] << np.uint64(32)) | symbols[1:], two
+def _alive(symbols: np.ndarray, left: np.ndarray, filters: list) -> list[np.ndarray]:
+    """Where one word, two and three words pass their filters; as many as there are filters, padded at the end."""
+    pad = np.zeros(LONGEST, bool)
+    alive = [np.append(filters[0].value(symbols), pad)]
+    if len(filters) > 1:
+        at = np.flatnonzero(alive[0][:-1] & alive[0][1:] & np.append(left > 1, pad[1:]))
+        alive.append(_marked(len(alive[0]), at[filters[1].value(symbols[at] << np.uint64(32) | symbols[at + 1])]))
+    if len(filters) > 2:
+        at = np.flatnonzero(alive[1][:-1] & alive[1][1:])
+        key = _one_key(symbols[at] << np.uint64(32) | symbols[at + 1], symbols[at + 2] << np.uint64(32))
+        alive.append(_marked(len(alive[0]), at[filters[2].value(key)]))
+    return alive
+
+
+def _marked(size: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(size, bool)
+    out[at] = True
+    return out
 
 
 def _pairs(words) -> Callable[[Words], list[list[np.ndarray]]]:
     def propose(part: Words) -> list[list[np.ndarray]]:
         if len(part.number) < 2:
             return []
-        keys, two = _next_to(part.symbols(), part.left, words.value)
-        return [[keys[two]]]
+        symbols = part.symbols()
+        good = words.value(symbols)
+        at = np.flatnonzero((part.left[:-1] > 1) & good[:-1] & good[1:])
+        return [[symbols[at] << np.uint64(32) | symbols[at + 1]]]
 
     return propose
 
 
-def _runs(words, pairs, longest: int) -> Callable[[Words], list[list[np.ndarray]]]:
-    """Three words and more, each pair of which passes: words 1 and 2, 3 and 4, 5 and the length."""
+def _longer(filters: list, longest: int) -> Callable[[Words], list[list[np.ndarray]]]:
+    """Phrases that are longer than what the filters know and all parts of which pass: words 1 and 2, 3 and 4, 5 and the length."""
 
     def propose(part: Words) -> list[list[np.ndarray]]:
-        out = []
-        if len(part.number) < 3:
+        out, known, high = [], len(filters), np.uint64(32)
+        if len(part.number) <= known:
             return out
         symbols = part.symbols()
-        keys, two = _next_to(symbols, part.left, words.value)
-        two[two] = pairs.value(keys[two])
-        at = np.flatnonzero(two)
-        padded = np.concatenate((symbols, np.zeros(longest, np.uint64)))
-        two = np.append(two, np.zeros(longest, bool))
-        for k in range(3, longest + 1):
-            at = at[two[at + k - 2]]
-            s = [padded[at + d] if d < k else np.zeros(len(at), np.uint64) for d in range(5)]
-            high = np.uint64(32)
+        alive = _alive(symbols, part.left, filters)[-1]
+        at = np.flatnonzero(alive)
+        for k in range(known + 1, longest + 1):
+            at = at[alive[at + k - known]]
+            s = [symbols[at + d] if d < k else np.zeros(len(at), np.uint64) for d in range(5)]
             out.append([s[0] << high | s[1], s[2] << high | s[3], s[4] << high | np.uint64(k)])
         return out
 
@@ -269,11 +286,15 @@ def candidates(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, Da
     frequent = send(filter_of(known.select(F.col("symbol").alias("key")), known.count()))
     enough = lambda df, keys: df.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select(*keys)
     pairs = written(enough(docs.mapInArrow(_propose(_pairs(frequent), ["key"]), "key bigint, n bigint"), ["key"]), "pairs")
-    filled = send(filter_of(pairs, pairs.count()))
-    kept = ["a", "b", "c"]
-    runs = enough(
-        docs.mapInArrow(_propose(_runs(frequent, filled, longest), kept), "a bigint, b bigint, c bigint, n bigint"), kept
-    ) if longest > 2 else spark.createDataFrame([], "a bigint, b bigint, c bigint")
+    kept, nothing = ["a", "b", "c"], spark.createDataFrame([], "a bigint, b bigint, c bigint")
+    longer = lambda filters, most: written(enough(
+        docs.mapInArrow(_propose(_longer(filters, most), kept), "a bigint, b bigint, c bigint, n bigint"), kept
+    ), "longer")
+    filters = [frequent, send(filter_of(pairs, pairs.count()))]
+    threes = longer(filters, 3) if longest > 2 else nothing
+    if longest > 3:
+        filters.append(send(filter_of(threes.select("a", "b"), threes.count())))
+    runs = threes.union(longer(filters, longest)) if longest > 3 else threes
     symbols = [("a", True), ("a", False), ("b", True), ("b", False), ("c", True)]
     phrases = pairs.select(F.col("key").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(2).cast("bigint").alias("c")).union(runs)
     phrases = written(phrases.select(
