@@ -197,6 +197,7 @@ ORACLES = {
     "knowledge_base_discovered": build("SELECT * FROM d_kb_docs"),
     "knowledge_base_core": build("SELECT * FROM c_kb_docs"),
     "knowledge_base_specified": build("SELECT * FROM s_kb_docs"),
+    "document_parts": build(f"SELECT site, part, substring(document, part * {V.PART_CHARS} + 1, {V.PART_CHARS}) AS text FROM (SELECT site, document, unnest(range((length(document) + {V.PART_CHARS} - 1) // {V.PART_CHARS})) AS part FROM s_kb_docs)"),
     "scan_robots_sitemaps": build("SELECT * FROM sitemap_starts"),
     "sitemap_locs": build("SELECT site, sitemap_url, loc FROM locs"),
     "sitemap_expand": build(f"WITH RECURSIVE {REACHED} {MAP_PAGES}"),

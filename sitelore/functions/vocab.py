@@ -96,6 +96,7 @@ TIER_THRESHOLD, TIER_HIGH_LIMIT = 400, 150
 CATEGORY_THRESHOLD, CATEGORY_PRIORITY_LIMIT, CATEGORY_TOTAL = 300, 50, 250
 CONTACT_LIMIT = 30  # an option of the contact lists, off by default
 BATCH_TOKENS = 14000
+PART_CHARS = 8_192  # of a part of a long document
 TARGET_TOKENS_MIN, TARGET_TOKENS_DEFAULT, TARGET_TOKENS_MAX = 2000, 18000, 120000
 CONDENSE_MIN_TOKENS, CONDENSE_TOKENS = 400, 4000
 OVERVIEW_CHARS = 6000

@@ -11,6 +11,7 @@ from sitelore.functions import text as T, vocab as V
 from sitelore.functions.let import let, lit, mapping
 
 ORDER = {k: i for i, k in enumerate(V.SECTIONS)}
+BOTH = ("company_overview", "products_services")  # the sections that the introduction is drawn from
 PRIORITY = {k: i for i, k in enumerate(V.SECTION_PRIORITY)}
 
 
@@ -44,7 +45,7 @@ def toc(sections: DataFrame, languages: DataFrame) -> DataFrame:
 
 def overview_source(sections: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Text the introduction is drawn from: company overview, then products and services."""
-    parts = sections.filter(F.col("section").isin("company_overview", "products_services"))
+    parts = sections.filter(F.col("section").isin(*BOTH))
     ordered = F.array_sort(F.collect_list(F.struct("section", "body")))  # c before p
     return parts.groupBy("site").agg(
         F.array_join(F.transform(ordered, lambda x: x["body"]), "\n\n").alias("overview")
@@ -110,7 +111,7 @@ def assemble_document(
 ) -> DataFrame:
     """One document per site: introduction, contents, then each section under its title."""
     present = sections.filter(~F.expr(T.is_blank("body")))
-    both = F.col("section").isin("company_overview", "products_services")
+    both = F.col("section").isin(*BOTH)
     # the introduction is drawn from the sections before they are condensed
     rows = compression_plan(present, target).withColumn("source", F.when(both, F.col("whole_body")))
     parts = rows.groupBy("site").agg(

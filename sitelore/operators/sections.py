@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sitelore.functions import contacts as C, text as T, vocab as V
-from sitelore.functions.let import let, lit
+from sitelore.functions.let import lit
+from sitelore.functions.ranges import in_ranges, running
+from sitelore.functions.scale import checkpointed
 
 RULE = V.CHUNK_RULE
 
@@ -31,24 +33,53 @@ def token_batches(chunks: DataFrame, budget: int = V.BATCH_TOKENS) -> DataFrame:
     """(site, section, pos, tokens, batch): greedy packing in order under a token budget.
 
     A batch closes when the next text would exceed the budget; an oversize text stands alone.
-    Where a batch starts depends on all earlier ones, so the (pos, tokens) pairs of a section are
-    folded in one row; a section has at most the page budget of them.  The fold keeps the place of
-    each batch's first text only, so its state grows by one number per batch, and a text's batch is
-    the number of starts up to it.
+    Texts lie on a line of tokens; a batch that starts with text i is followed by one that starts with
+    the text over the place ``budget`` behind i's, which is found among the texts of one stretch of the
+    line.  The starts are those that are reached from a section's first text; jumps over 1, 2, 4 … batches
+    find them in as many rounds as the logarithm of the batches.  No section is gathered in a row or task.
     """
+    keys = ["site", "section"]
     weight = F.greatest("tokens", F.lit(1).cast("bigint"))
-    lists = chunks.groupBy("site", "section").agg(
-        F.array_sort(F.collect_list(F.struct("pos", weight.alias("tokens")))).alias("items")
+    ranged = in_ranges(chunks.select(*keys, "pos", weight.alias("tokens")), keys, ["pos"])
+    line = running(ranged, keys, ["pos"], {"end": F.col("tokens"), "no": F.lit(1).cast("bigint")})
+    # two neighbouring batches hold more than a budget
+    most = ranged.groupBy(*keys).agg((F.sum("tokens") * 2 / budget).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= 1:
+        return line.select(*keys, "pos", "tokens", F.lit(1).cast("bigint").alias("batch"))
+    line = checkpointed(line)
+    jumps = [checkpointed(_next_starts(line, keys, budget))]
+    while 2 ** len(jumps) <= most:
+        far = jumps[-1].select(*keys, F.col("no").alias("to"), F.col("to").alias("further"))
+        jumps.append(checkpointed(jumps[-1].join(far, [*keys, "to"]).select(*keys, "no", F.col("further").alias("to"))))
+    starts = line.filter("no = 1").select(*keys, "no")
+    for jump in reversed(jumps):
+        reached = starts.join(jump, [*keys, "no"]).select(*keys, F.col("to").alias("no"))
+        starts = checkpointed(starts.union(reached))
+    marked = line.join(starts.withColumn("first", F.lit(1).cast("bigint")), [*keys, "no"], "left").fillna(0, ["first"])
+    return running(marked, keys, ["pos"], {"batch": F.col("first")}).select(*keys, "pos", "tokens", "batch")
+
+
+def _next_starts(line: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """(keys, no, to): the text that would start the next batch if ``no`` started one.
+
+    The line is cut into stretches of one budget; a text is listed in each stretch that it touches.  Each
+    text has a token, so a stretch has at most a budget of texts.
+    """
+    begin = F.col("end") - F.col("tokens")
+    stretch = lambda place: F.floor(place / budget).cast("bigint")
+    texts = line.select(
+        *keys, F.explode(F.sequence(stretch(begin), stretch(F.col("end") - 1))).alias("stretch"),
+        begin.alias("place"), F.lit(0).alias("asks"), "no", "end",
+    )
+    asked = line.select(
+        *keys, stretch(begin + budget).alias("stretch"), (begin + budget).alias("place"), F.lit(1).alias("asks"), "no", "end"
+    )
+    up_to = Window.partitionBy(*keys, "stretch").orderBy("place", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    over = F.last(F.when(F.col("asks") == 0, F.struct("no", "end")), ignorenulls=True).over(up_to)
+    # behind the last text of a section there is none; an oversize text lies over its own place
+    return texts.union(asked).withColumn("over", over).filter("asks = 1 AND place < over.end").select(
+        *keys, "no", F.greatest(F.col("over.no"), F.col("no") + 1).alias("to")
     )
-    closes = f"acc.used > 0 AND acc.used + item.tokens > {budget}"
-    starts = f"""aggregate(transform(items, (x, i) -> named_struct('i', i, 'tokens', x.tokens)),
-        named_struct('used', 0L, 'starts', CAST(array() AS ARRAY<INT>)),
-        (acc, item) -> named_struct(
-          'used', CASE WHEN {closes} THEN item.tokens ELSE acc.used + item.tokens END,
-          'starts', CASE WHEN {closes} THEN array_append(acc.starts, item.i) ELSE acc.starts END)).starts"""
-    placed = """transform(items, (x, i) -> named_struct(
-        'pos', x.pos, 'tokens', x.tokens, 'batch', CAST(size(filter(starts, s -> s <= i)) + 1 AS BIGINT)))"""
-    return lists.select("site", "section", F.expr(f"inline({let('starts', starts, placed)})"))
 
 
 def _merged_bodies(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,9 +88,7 @@ def _merged_bodies(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
     Copies meet in a partial aggregate, so a paragraph repeated on most pages moves once per input
     partition.  Paragraphs of one chunk are joined by a newline, chunks by a rule.
     """
-    firsts = paragraphs.groupBy(*keys, F.expr(T.paragraph_key("para")).alias("key")).agg(
-        F.min(F.struct("pos", "no", "para")).alias("first")
-    )
+    firsts = _first_copies(paragraphs, keys)
     before = f"""CASE WHEN i = 0 THEN '' WHEN get(ps, i - 1).pos = p.pos THEN '\\n' ELSE {lit(RULE)} END"""
     joined = f"array_join(transform(ps, (p, i) -> concat({before}, p.para)), '')"
     return firsts.groupBy(*keys).agg(F.array_sort(F.collect_list("first")).alias("ps")).select(
@@ -67,6 +96,17 @@ def _merged_bodies(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _first_copies(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
+    return paragraphs.groupBy(*keys, F.expr(T.paragraph_key("para")).alias("key")).agg(
+        F.min(F.struct("pos", "no", "para")).alias("first")
+    )
+
+
+def first_paragraphs(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, no, para): the first copy of each paragraph, as rows."""
+    return _first_copies(_paragraph_rows(chunks, keys, "chunk"), keys).select(*keys, "first.*")
+
+
 def _paragraph_rows(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return rows.select(*keys, "pos", F.posexplode(F.expr(T.paragraphs(text))).alias("no", "para"))
 

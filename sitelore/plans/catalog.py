@@ -373,6 +373,12 @@ def knowledge_base_specified(spark, sf):
     return built(spark, sf, mode="specified", requests=asked).documents
 
 
+@query
+def document_parts(spark, sf):
+    """The documents of ``knowledge_base_specified`` in parts, without a row for a whole site."""
+    return built(spark, sf, mode="specified", requests=asked_pages(D.crawl(spark, sf))).parts()
+
+
 @query
 def legacy_compile(spark, sf):
     return sections.legacy_compile(built(spark, sf).chunks)

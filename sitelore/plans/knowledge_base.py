@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sitelore.functions import urls as U, vocab as V
+from sitelore.functions.ranges import in_ranges, running
 from sitelore.functions.scale import reused, salted_join
-from sitelore.operators import clusters, content, discovery, document, links, prefilter, sections
+from sitelore.operators import clusters, content, discovery, document, links, parts, prefilter, sections
 from sitelore.sources.tables import fetched
 
 
@@ -31,6 +32,10 @@ class KnowledgeBase:
             prefilter.dropped_by_reason(self.candidates),
         )
 
+    def parts(self, size: int = V.PART_CHARS) -> DataFrame:
+        """The documents in parts of ``size`` characters, uncondensed; for sites of any length."""
+        return parts.parts_of(parts.document_pieces(self.chunks, self.contacts, self.languages, self.bases), size)
+
     def audit(self) -> DataFrame:
         return document.completeness_audit(self.documents, self.contacts)
 
@@ -72,10 +77,9 @@ def build(
             discovery.core_pages(bases, good) if mode == "core" else discovery.specified_pages(bases, requests, good)
         ).select("site", "ord", F.expr(U.normalize("url")).alias("url"))
         once = rows.groupBy("site", "url").agg(F.min("ord").alias("ord"))
-        in_order = Window.partitionBy("site").orderBy("ord", "url")
-        picked = once.join(addresses, ["site", "url"]).select(
-            "site", F.row_number().over(in_order).cast("bigint").alias("rank"), "url",
-            F.lit(V.START_CLUSTER).alias("cluster"), "page_id",
+        found = in_ranges(once.join(addresses, ["site", "url"]), ["site"], ["ord", "url"])  # no limit on a site's addresses
+        picked = running(found, ["site"], ["ord", "url"], {"rank": F.lit(1).cast("bigint")}).select(
+            "site", "rank", "url", F.lit(V.START_CLUSTER).alias("cluster"), "page_id"
         )
     else:
         raise ValueError(f"unknown mode {mode!r}")

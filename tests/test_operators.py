@@ -5,12 +5,13 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sitelore.functions import vocab as V
 from sitelore.functions.scale import first_many_per_group, project_wanted, salted_join
 from sitelore.operators import (
-    clusters, company, content, costs, discovery, document, elements, links, prefilter, runs, sections,
+    clusters, company, content, costs, discovery, document, elements, links, parts, prefilter, runs, sections,
 )
 from sitelore.sources import sinks, tables
 
@@ -318,6 +319,38 @@ def test_token_batches_of_a_section_of_thousands(spark):
     assert got == want
 
 
+def test_parts_put_together_are_the_documents(spark, chunks):
+    bases = spark.createDataFrame([(s, f"http://{s}/") for s in [*{r.site for r in chunks.select("site").collect()}, "bare", "only"]], "site string, base_url string")
+    contacts = spark.createDataFrame([("only", "a@b.co", "+98 21 8877 6655"), ("bare", "", "")], "site string, emails string, phones string")
+    first = chunks.agg(F.min("site")).first()[0]
+    contacts = contacts.unionByName(spark.createDataFrame([(first, "x@y.zz", "")], contacts.schema))
+    languages = spark.createDataFrame([(first, "fa"), ("only", "en")], "site string, lang string")
+    bodies = sections.section_docs(sections.section_merge(chunks), contacts)
+    whole = {r.site: r.document for r in document.assemble_document(bodies, languages, bases).collect()}
+    pieces = parts.document_pieces(chunks, contacts, languages, bases)
+    for size in (7, 1000):
+        got = defaultdict(str)
+        rows = parts.parts_of(pieces, size).orderBy("site", "part").collect()
+        for r in rows:
+            got[r.site] += r.text
+            assert len(r.text) <= size
+        assert dict(got) == whole
+
+
+def test_parts_of_a_site_with_very_many_pages(spark):
+    chunk = F.concat(F.lit("Page "), F.col("id").cast("string"), F.lit("\nsaid everywhere\nsecond line "), (F.col("id") % 1000).cast("string"))
+    rows = spark.range(40_000).select(
+        F.lit("hot").alias("site"), F.lit("faq").alias("section"), F.col("id").alias("pos"), chunk.alias("chunk")
+    )
+    none = spark.createDataFrame([], "site string, emails string, phones string, lang string")
+    bases = spark.createDataFrame([("hot", "http://hot/")], "site string, base_url string")
+    made = parts.parts_of(parts.document_pieces(rows, none, none, bases), 5000).cache()
+    text = "".join(r.text for r in made.orderBy("part").collect())
+    assert made.agg(F.max(F.length("text"))).first()[0] == 5000
+    assert text.count("said everywhere") == 1 and text.count("Page ") == 40_000 and text.count("second line") == 1000
+    assert text.index("Page 39999") > text.index("Page 39998") > text.index("second line 999") > text.index("Page 0")
+
+
 def test_left_out_paragraphs_complete_the_condensed_text(spark):
     from sitelore.functions import text as T
 
@@ -510,6 +543,27 @@ def test_locators(spark):
     assert not [x for c, x in got if c == "forms"]
 
 
+def test_texts_of_nested_and_broken_markup(spark):
+    html = """<button id="a"><span>Fol</span> <b>low</b></button><button id="b">Save<i>it<p>now</button>after
+      <div role="button" id="c">x < y<div>in<br>ner</div> end</div></div><div role="button" id="d"/>out
+      <a href="/l"><img alt="logo"><!-- no --><script>no</script>Home</a></i></p><BUTTON id="e">open <em>more"""
+    df = spark.createDataFrame([(1, html)], "page_id bigint, html string")
+    rows = elements.element_inventory(df).select("category", "selector", "element.*").collect()
+    texts = {r.id: r.text for r in rows if r.category in ("buttons",)}
+    assert texts == {"a": "Follow", "b": "Saveitnow", "c": "x < yinnerend", "d": "", "e": "openmore"}
+    assert [r.text for r in rows if r.category == "links"] == ["Home"]
+    # the test of a selector sees the text as it stands, with its blanks
+    assert not [r for r in rows if r.selector == 'button:contains("Follow")']
+    whole = df.withColumn("html", F.replace("html", F.lit("</span> <b>"), F.lit("</span><b>")))
+    assert [r.id for r in elements.element_inventory(whole).filter("selector LIKE '%Follow%'").select("element.id").collect()] == ["a"]
+
+
+def test_ends_of_tags_take_time_in_proportion_to_the_tags(spark):
+    signs = ["div"] * 100_000 + ["/p"] * 100_000 + ["/div"] * 50_000
+    got = elements.tag_ends.func(pd.Series([signs, [], None]))
+    assert got[0][99_999] == 200_000 and got[0][50_000] == 249_999 and got[0][0] == len(signs) and got[1] == [] and got[2] is None
+
+
 def test_inventory_takes_all_or_the_first_of_each_selector(spark):
     html = "".join(f'<a href="/{i}">x</a>' for i in range(9)) + '<p data-testid="LikeBox" aria-label="LIKE it"></p><a>no href</a><a href="">e</a>'
     df = spark.createDataFrame([(1, html)], "page_id bigint, html string")

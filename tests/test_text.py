@@ -1,4 +1,5 @@
 import html as pyhtml
+import time
 
 from sitelore.functions import contacts as C, language as G, pricing as P, text as T
 from sitelore.operators import models
@@ -35,6 +36,23 @@ def test_clean_text(ev):
     assert ev(T.clean_text("x"), list(cases)) == list(cases.values())
 
 
+def test_elements_are_dropped_whatever_their_nesting(ev):
+    cases = {
+        "a<nav>b<nav>c</nav>d</nav>e": "a|e", "a</form>b</form>c": "a</form>b</form>c", "<form>1<form>2</form>3": "<form>1|3",
+        "<form>b</form></form>x": "|</form>x", "<nav><nav><nav>x</nav></nav>": "<nav>|", "p<nav>q<form>r</nav>s</form>t": "p|s</form>t",
+        "a<nav>1<nav>2</nav>3<form>4<form>5</form>6</form>7</nav>8</nav>9": "a|8</nav>9", "": "", "x": "x", None: None,
+        "<NAV a='>'>1<nav>2</NAV >3</nav>4": "|4", "<navy>1</navy><nav>2</nav>": "<navy>1</navy>|",
+    }
+    assert ev(T.drop_elements("x", T.BOILERPLATE, "|"), list(cases)) == list(cases.values())
+
+
+def test_long_pages_of_tags_without_partners(ev):
+    stray, deep = "<p>t</p></form>" * 60_000, "<form>" * 30_000 + "x" + "</form>" * 29_999
+    start = time.perf_counter()
+    assert ev(f"length({T.clean_text('x')})", [page(stray), page(deep)]) == [119_999, 0]
+    assert time.perf_counter() - start < 60  # quadratic, it would take many minutes
+
+
 def test_plain_text_keeps_navigation_and_needs_a_body(ev):
     got = ev(T.plain_text("x"), [page("<nav>n</nav><style>s</style>a"), "<p>x</p>"])
     assert got == ["n\na", ""]
