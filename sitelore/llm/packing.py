@@ -88,15 +88,16 @@ def pack(
     """Where each piece of each document lies: doc_id, start, length, crc, doc_tokens, sequence, offset.
 
     Documents are tokenised where they are read and cut into pieces; only the narrow piece rows are
-    shuffled.  Pieces are dealt by a hash into groups of about ``group_rows`` documents, whatever their
-    number, and each group is packed by itself: the longest piece first, into the first sequence with
-    room, found by a tournament tree.  A group wastes little more than its last sequence.  The hash
+    shuffled.  Pieces are dealt by a hash into groups of about ``group_rows`` documents, or of as many bytes as
+    ``group_rows`` sequences have ids where documents are long, and each group is packed by itself: the longest
+    piece first, into the first sequence with room, found by a tournament tree.  A group wastes little more than its last sequence.  The hash
     takes in the start, so a very long document is spread over groups as well.
 
     Null and empty texts are the end id alone.  Null ids, repeated ids and repeated rows are packed like
     any others, row by row.  Other columns are not read.  An empty table gives no rows.
     """
-    groups = max(1, -(-docs.count() // group_rows))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(docs[text])), F.lit(0)).alias("b")).first()
+    groups = max(1, -(-size["n"] // group_rows), -(-size["b"] // (group_rows * length)))
     pieces = cut(docs, vocabulary, length, end_id, id_col, text).withColumn(
         "_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from sitelore.llm.common import byte_slices, ragged, text_buffers
 
 #: Pieces that a worker remembers; the table starts anew beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Bytes of text that are handled at once, and of pieces that are encoded at once.
 SLICE_BYTES, ENCODE_BYTES = 2_000_000, 500_000
 
@@ -89,9 +89,12 @@ class Coder:
         self.used = 0
 
     def prune(self) -> None:
-        """Keep the pieces met in at least two slices since the last time, if those are not too many."""
-        words, keep = list(self.index), np.flatnonzero(self.seen[: len(self.index)] > 1)
-        if len(keep) > REMEMBERED // 2:
+        """Keep the pieces met in most slices since the last time, at most half of what is remembered."""
+        seen, least = self.seen[: len(self.index)], 2
+        while np.count_nonzero(seen >= least) > REMEMBERED // 2 and least < 255:
+            least += 1
+        words, keep = list(self.index), np.flatnonzero(seen >= least)[: REMEMBERED // 2]
+        if self.counts[keep].sum() > 4 * REMEMBERED:
             return self.forget()
         counts, starts, ids = self.counts[keep], self.starts[keep], self.ids
         self.forget()
@@ -184,11 +187,15 @@ class Coder:
         for i, j in byte_slices(offsets, SLICE_BYTES):
             order, first = self._pieces(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             counts = self.counts[order]
-            ids = self.ids[ragged(self.starts[order], counts)]
             bounds = np.concatenate(([0], np.cumsum(counts)))[first]
+            ids = self.ids[ragged(self.starts[order], counts)]
             if end_id is not None:
-                ids = np.insert(ids, bounds[1:], np.uint32(end_id))
                 bounds = bounds + np.arange(len(bounds))
+                own = np.ones(bounds[-1], bool)
+                own[bounds[1:] - 1] = False
+                ended = np.full(bounds[-1], end_id, np.uint32)
+                ended[own] = ids
+                ids = ended
             yield i, j, ids, bounds
 
 
