@@ -1,10 +1,11 @@
 """Phrase collocation mining: frequent phrases of each language, counted by tries, scored by their weakest cut.
 
-Five scans of the texts (two for step 3), each in tasks that see bounded slices of bytes:
+Six scans of the texts (three for step 3), each in tasks that see bounded slices of bytes:
 
 1. words by language; those below the least count are in no frequent phrase;
 2. pairs of neighbouring words that are both frequent, as pairs of 32-bit hashes;
-3. three words both of whose pairs are frequent, then four and five words all of whose threes are, as hashes;
+3. three words both of whose pairs are frequent and that fall into a bucket that is full enough (a scan counts
+   the buckets), then four and five words all of whose threes are frequent, as hashes;
 4. the candidates so found, as words, in double-array tries: all positions of a text walk down at once, level by level, and
    the states that accept a phrase are counted and added up over tasks.
 
@@ -38,6 +39,9 @@ TRIE_PHRASES = 500_000
 SLICE_BYTES, KEYS_AT_ONCE = 8_000_000, 3_000_000
 #: Counts of phrases that leave a task in one row.
 PIECE = 2048
+VECTOR = "piece bigint, counts array<bigint>"
+#: Buckets, as a power of two, that threes are counted in before they are proposed one by one.
+BUCKET_BITS = 21
 
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -172,9 +176,14 @@ def filter_of(keys: DataFrame, n: int, most_bits: int = FILTER_BITS) -> Filter:
             key = columns[0] if len(columns) == 1 else _one_key(*columns)
             yield pa.RecordBatch.from_arrays([pa.array(places(key, bits) + 1)], ["place"])
 
-    pieces = keys.mapInArrow(run, "place bigint").groupBy(
-        F.expr("bitmap_bucket_number(place)").alias("piece")
-    ).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits"))
+    return _bitmap(keys.mapInArrow(run, "place bigint"), bits)
+
+
+def _bitmap(places_: DataFrame, bits: int) -> Filter:
+    """The filter of some places, numbered from 1."""
+    pieces = places_.groupBy(F.expr("bitmap_bucket_number(place)").alias("piece")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits")
+    )
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     for piece, content in pieces.collect():
         bitmap[(piece - 1) * 4096 : piece * 4096] = np.frombuffer(content, np.uint8)
@@ -248,7 +257,30 @@ def _pairs(words) -> Callable[[Words], list[list[np.ndarray]]]:
     return propose
 
 
-def _longer(filters: list, longest: int) -> Callable[[Words], list[list[np.ndarray]]]:
+def _three_keys(filters: list, part: Words) -> np.ndarray:
+    """Keys of three words both of whose pairs pass."""
+    if len(part.number) < 3:
+        return np.zeros(0, np.uint64)
+    symbols = part.symbols()
+    pairs = _alive(symbols, part.left, filters)[1]
+    at = np.flatnonzero(pairs[:-1] & pairs[1:])
+    return _one_key(symbols[at] << np.uint64(32) | symbols[at + 1], symbols[at + 2] << np.uint64(32))
+
+
+def _count_buckets(filters: list):
+    """How many threes of a task fall into each bucket of keys, as pieces of a vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for part in word_slices(batches):
+            at, n = np.unique(places(_three_keys(filters, part), BUCKET_BITS), return_counts=True)
+            counts[at] += n
+        yield _pieces(counts)
+
+    return run
+
+
+def _longer(filters: list, longest: int, buckets=None) -> Callable[[Words], list[list[np.ndarray]]]:
     """Phrases that are longer than what the filters know and all parts of which pass: words 1 and 2, 3 and 4, 5 and the length."""
 
     def propose(part: Words) -> list[list[np.ndarray]]:
@@ -261,6 +293,9 @@ def _longer(filters: list, longest: int) -> Callable[[Words], list[list[np.ndarr
         for k in range(known + 1, longest + 1):
             at = at[alive[at + k - known]]
             s = [symbols[at + d] if d < k else np.zeros(len(at), np.uint64) for d in range(5)]
+            if buckets is not None and k == 3:
+                passes = buckets.value(_one_key(s[0] << high | s[1], s[2] << high))
+                at, s = at[passes], [c[passes] for c in s]
             out.append([s[0] << high | s[1], s[2] << high | s[3], s[4] << high | np.uint64(k)])
         return out
 
@@ -287,11 +322,15 @@ def candidates(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, Da
     enough = lambda df, keys: df.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select(*keys)
     pairs = written(enough(docs.mapInArrow(_propose(_pairs(frequent), ["key"]), "key bigint, n bigint"), ["key"]), "pairs")
     kept, nothing = ["a", "b", "c"], spark.createDataFrame([], "a bigint, b bigint, c bigint")
-    longer = lambda filters, most: written(enough(
-        docs.mapInArrow(_propose(_longer(filters, most), kept), "a bigint, b bigint, c bigint, n bigint"), kept
+    longer = lambda filters, most, buckets=None: written(enough(
+        docs.mapInArrow(_propose(_longer(filters, most, buckets), kept), "a bigint, b bigint, c bigint, n bigint"), kept
     ), "longer")
     filters = [frequent, send(filter_of(pairs, pairs.count()))]
-    threes = longer(filters, 3) if longest > 2 else nothing
+    threes = nothing
+    if longest > 2:
+        full = _summed(docs.mapInArrow(_count_buckets(filters), VECTOR)).filter(F.col("a") >= least)
+        buckets = send(_bitmap(full.select((F.col("number") + 1).alias("place")), BUCKET_BITS))
+        threes = longer(filters, 3, buckets)
     if longest > 3:
         filters.append(send(filter_of(threes.select("a", "b"), threes.count())))
     runs = threes.union(longer(filters, longest)) if longest > 3 else threes
@@ -357,17 +396,24 @@ def _count_in(tries):
         states = np.flatnonzero(own.trie.accepts >= 0)
         counts = np.zeros(-(-max(1, len(states)) // PIECE) * PIECE, np.int64)
         counts[own.trie.accepts[states]] = met[states]
-        pieces = counts.reshape(-1, PIECE)
-        found = np.flatnonzero(pieces.any(axis=1))
-        flat = pa.array(pieces[found].ravel())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * PIECE, pa.int32()), flat)],
-            ["piece", "counts"],
-        )
+        yield _pieces(counts)
 
     return run
 
 
+def _pieces(counts: np.ndarray) -> pa.RecordBatch:
+    """A vector in pieces of ``PIECE`` numbers, without those that are all 0."""
+    pieces = counts.reshape(-1, PIECE)
+    found = np.flatnonzero(pieces.any(axis=1))
+    ends = pa.array(np.arange(len(found) + 1) * PIECE, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(found), pa.ListArray.from_arrays(ends, pa.array(pieces[found].ravel()))], ["piece", "counts"])
+
+
+def _summed(pieces: DataFrame) -> DataFrame:
+    """(number, a): the sums of the vectors of all tasks where they are not 0."""
+    return pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(_add_up, "number bigint, a bigint")
+
+
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the pieces of all tasks, from rows in order of the piece; one sum is held at a time."""
     piece, total = None, None
@@ -399,9 +445,8 @@ def count_in_tries(docs: DataFrame, phrases: DataFrame, least: int, per_trie: in
     for t in range(tries):
         own = rows.filter(F.col("trie") == t).orderBy("number").select("lang", "words").collect()  # about per_trie rows
         sent = spark.sparkContext.broadcast(Tries.of([(r.lang, r.words) for r in own]))
-        pieces = docs.mapInArrow(_count_in(sent), "piece bigint, counts array<bigint>")
-        met = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(_add_up, "number bigint, a bigint")
-        found = written(met.filter(F.col("a") >= least).withColumn("trie", F.lit(t)), "counts")
+        pieces = docs.mapInArrow(_count_in(sent), VECTOR)
+        found = written(_summed(pieces).filter(F.col("a") >= least).withColumn("trie", F.lit(t)), "counts")
         sent.destroy()
         counts = found if counts is None else counts.union(found)
     return written(rows.join(counts, ["trie", "number"]).select("lang", "words", "a"), "phrases")
