@@ -45,6 +45,11 @@ def title_case(x):
 
 cte("usage", """SELECT o_custkey AS run_id, list_extract(['gpt-5-nano', 'gpt-5-mini', 'gpt-5-mini-2025-08-07', 'gpt-4o', 'other-model', NULL, '', 'gpt-5-2025', 'gpt-4o-mini'], CAST(o_orderkey % 9 + 1 AS INT)) AS model,
   o_orderkey % 5000 + 100 AS p, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 700 END AS c FROM orders""")
+cte("dated_usage", """SELECT o_custkey AS run_id, list_extract(['gpt-5-nano', 'gpt-5-mini', 'gpt-5-mini-2025-08-07', 'gpt-4o', 'other-model', NULL, '', 'gpt-5-2025', 'gpt-4o-mini'], CAST(o_orderkey % 9 + 1 AS INT)) AS model,
+  o_orderkey % 5000 + 100 AS p, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 700 END AS c, CAST(o_orderdate AS DATE) AS day FROM orders""")
+cte("priced_days", "SELECT DISTINCT model, day FROM dated_usage")
+cte("dated_prices", "SELECT name, i + y % 5 AS i, o + y % 3 AS o, y, make_date(y, 7, 1) AS valid_from FROM (SELECT DISTINCT CAST(year(o_orderdate) AS BIGINT) AS y FROM orders), (VALUES "
+    + ", ".join(f"({q(m)}, CAST({i} AS DOUBLE), CAST({o} AS DOUBLE))" for m, (i, o) in [*V.PRICES.items(), ("gpt", (9, 9)), ("gpt-5-mini-2025", (0.3, 2.5)), ("other-model-x", (1, 1))]) + ") t(name, i, o) WHERE name <> 'gpt-4o' OR y % 2 = 0")
 cte("prices", "SELECT * FROM (VALUES " + ", ".join(f"({q(m)}, CAST({i} AS DOUBLE), CAST({o} AS DOUBLE))" for m, (i, o) in V.PRICES.items()) + ") t(name, inp, outp)")
 cte("priced_models", """SELECT m.model, coalesce(arg_max(inp, length(name)), CAST(0.05 AS DOUBLE)) AS inp, coalesce(arg_max(outp, length(name)), CAST(0.4 AS DOUBLE)) AS outp
   FROM (SELECT DISTINCT model FROM usage UNION SELECT 'gpt-5-nano') m LEFT JOIN prices ON starts_with(m.model, name) GROUP BY m.model""")
@@ -53,6 +58,17 @@ cte("model_costs", "SELECT run_id, s.model, p, c, p / 1000000 * inp + c / 100000
 cte("answers", f"""SELECT conv_id || '-' || turn AS request_id, 'https://site.example.org/' || conv_id AS page_url, 'Title ' || role AS page_title, (conv_id * 3 + turn) % 7 AS form,
    'https://x.example.org/' || conv_id AS url, role, list_extract(['contact', 'faq', 'policies', 'additional'], CAST((conv_id * 3 + turn) % 4 + 1 AS INT)) AS category,
    regexp_replace(regexp_replace(text, '["' || chr(92) || chr(92) || ']', '', 'g'), '\\s+', ' ', 'g') AS chunk FROM conversations""")
+cte("kinds", f"""SELECT conv_id || '-' || turn AS request_id, role, text, conv_id * 8 + turn AS key, (conv_id * 8 + turn) % 4 AS form, list_extract(['prospect', 'colors', 'audit', 'categories', 'clusters', 'introduction'],
+   CAST((conv_id * 8 + turn) % 6 + 1 AS INT)) AS kind, regexp_replace(regexp_replace(coalesce(text, ''), '["' || chr(92) || chr(92) || ']', '', 'g'), '\\s+', ' ', 'g') AS said FROM conversations""")
+LINK = "'https://x.example.org/' || (key + {})"
+ITEMS = [
+    ("categories", "form < 2", [("company_info_pages", [LINK.format(1), LINK.format(2)]), ("other_pages", [LINK.format(3)])]),
+    ("categories", "form = 3", [("product_pages", ["'a'", "'b'"])]),
+    ("clusters", "form < 2", [("educational_content", [LINK.format(1), LINK.format(2), LINK.format(3)]), ("company_information", [LINK.format(4)]),
+                              ("priority_extraction_order", ["'company_information'", "'educational_content'"])]),
+    ("clusters", "form = 3", [("buying_guides", ["'b'"])]),
+    ("audit", "form < 2", [("missing", ["'policies'", "role"])]),
+]
 cte("first_good", f"SELECT site, {G.norm('url')} AS url, min(page_id) AS page_id FROM good GROUP BY 1, 2")
 FLAT = f"{G.strip(G.rep('t', G.WS + '+', ' '))}"
 DESCRIBE = f"""descr AS (SELECT c.site, c.rank, c.url, {G.strip("array_to_string(regexp_extract_all(" + FLAT + ", '[^.!?؟]+[.!?؟]*')[1:2], '')")} AS description
@@ -222,8 +238,25 @@ ORACLES = {
         FROM kb_chunks JOIN packed USING (site, section, pos) GROUP BY site, section, batch)"""),
     "model_responses": build("""SELECT request_id, CASE WHEN form IN (0, 1, 2) THEN url ELSE page_url END AS url, CASE WHEN form IN (0, 1, 2) THEN role ELSE page_title END AS title_suggestion,
       CASE WHEN form IN (0, 1, 2) THEN category WHEN form = 4 THEN 'faq' ELSE 'additional' END AS primary_category, CASE WHEN form IN (0, 1, 2) THEN chunk ELSE '' END AS extracted_chunk FROM answers"""),
+    "model_answers_prospect": build("""SELECT request_id, form <> 2 AS readable, form < 2 AND key % 2 = 0 AS is_potential_customer, CASE WHEN form < 2 THEN CAST(key % 101 AS INTEGER) ELSE 0 END AS confidence_score,
+      CASE WHEN form < 2 THEN said ELSE '' END AS reasoning_for, CASE WHEN form < 2 THEN role WHEN form = 3 THEN 'r' ELSE '' END AS reasoning_against FROM kinds WHERE kind = 'prospect'"""),
+    "model_answers_colors": build(f"""SELECT request_id, form < 2 AS readable, CASE WHEN form < 2 THEN '#' || lpad(CAST(key % 1000000 AS VARCHAR), 6, '0') ELSE '#ffffff' END AS main_background_color,
+      CASE WHEN form < 2 THEN '#123456' ELSE '#000000' END AS primary_brand_color, CASE WHEN form < 2 THEN said ELSE {q(V.BACKGROUND_FALLBACK)} END AS background_color_description,
+      {q(V.BRAND_FALLBACK)} AS brand_color_description FROM kinds WHERE kind = 'colors'"""),
+    "model_answers_audit": build("""SELECT request_id, form <> 2 AS readable, form < 2 AND key % 3 = 0 AS has_contact, false AS has_policies, form <> 2 AS has_faq, false AS has_services,
+      CASE WHEN form < 2 THEN said ELSE '' END AS notes FROM kinds WHERE kind = 'audit'"""),
+    "model_answer_items": build(" UNION ALL ".join(
+        f"SELECT request_id, '{kind}' AS kind, '{name}' AS list, CAST({n} AS BIGINT) AS item_no, {item} AS item FROM kinds WHERE kind = '{kind}' AND {form}"
+        for kind, form, lists in ITEMS for name, items in lists for n, item in enumerate(items, 1))),
+    "model_answer_texts": build(f"SELECT request_id, kind, {G.strip("coalesce(text, '')")} AS text FROM kinds WHERE kind = 'introduction'"),
     "model_apply": "SELECT doc_id, length(text) AS score FROM documents",
     "model_price": build("SELECT u.model, count(*) AS n, any_value(inp) AS input, any_value(outp) AS output FROM usage u JOIN priced_models p ON u.model IS NOT DISTINCT FROM p.model GROUP BY u.model"),
+    "model_price_table": build("""SELECT c.model, CAST(CAST(day AS DATE) AS VARCHAR) AS called_at, coalesce(arg_max(p.i, rank), CAST(0.05 AS DOUBLE)) AS input, coalesce(arg_max(p.o, rank), CAST(0.4 AS DOUBLE)) AS output
+      FROM priced_days c LEFT JOIN (SELECT *, length(name) * 10000 + y AS rank FROM dated_prices) p ON starts_with(c.model, p.name) AND p.valid_from <= c.day GROUP BY c.model, c.day"""),
+    "cost_at_prices": build("""SELECT run_id, model, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens, CAST(sum(p * CAST(round(inp * 1000000) AS HUGEINT) + c * CAST(round(outp * 1000000) AS HUGEINT)) AS DOUBLE) / CAST(1e12 AS DOUBLE) AS cost_usd FROM (
+      SELECT s.run_id, s.model, s.day, any_value(s.p) AS p, any_value(s.c) AS c, coalesce(arg_max(d.i, rank), CAST(0.05 AS DOUBLE)) AS inp, coalesce(arg_max(d.o, rank), CAST(0.4 AS DOUBLE)) AS outp
+      FROM (SELECT run_id, coalesce(nullif(model, ''), 'gpt-5-nano') AS model, day, CAST(sum(p) AS BIGINT) AS p, CAST(coalesce(sum(c), 0) AS BIGINT) AS c FROM dated_usage GROUP BY ALL) s
+      LEFT JOIN (SELECT *, length(name) * 10000 + y AS rank FROM dated_prices) d ON starts_with(s.model, d.name) AND d.valid_from <= s.day GROUP BY s.run_id, s.model, s.day) GROUP BY run_id, model"""),
     "cost_by_model": build("SELECT run_id, model, p AS prompt_tokens, c AS completion_tokens, CAST(printf('%.6f', cost) AS DOUBLE) AS cost_usd FROM model_costs"),
     "cost_estimate": build("SELECT run_id, printf('%.6f', list_reduce(list(cost ORDER BY model), lambda a, b: a + b, CAST(0 AS DOUBLE))) AS total_cost_usd, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens FROM model_costs GROUP BY run_id"),
     "cost_flat": build("SELECT run_id, p AS prompt_tokens, c AS completion_tokens, printf('%.6f', p / 1000000 * CAST(0.05 AS DOUBLE) + c / 1000000 * CAST(0.4 AS DOUBLE)) AS total_cost_usd FROM (SELECT run_id, CAST(sum(p) AS BIGINT) AS p, CAST(coalesce(sum(c), 0) AS BIGINT) AS c FROM usage GROUP BY run_id)"),
@@ -241,6 +274,8 @@ ORACLES = {
     "run_flatten": build(FLAT_RUN.format(n="BIGINT")),
     "run_summary": build("""SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'timeout') AS timed_out,
       CAST(sum(epoch_us(f) - epoch_us(s)) AS BIGINT) / 1000000 AS total_duration_seconds FROM run_rows"""),
+    "run_totals": build("""SELECT day, status, count(*) AS runs, CAST(sum(n) AS BIGINT) AS pages, CAST(sum(epoch_us(f) - epoch_us(s)) AS BIGINT) / 1000000 AS seconds, CAST(grouping(day, status) AS INTEGER) AS level
+      FROM (SELECT *, CAST(CAST(s AS DATE) AS VARCHAR) AS day FROM run_rows) GROUP BY ROLLUP (day, status)"""),
     "element_inventory": build("WITH RECURSIVE one AS (SELECT 1) SELECT page_id, category, selector, no AS element_no, tag, text FROM inventory"),
     "element_xpaths": build("WITH RECURSIVE one AS (SELECT 1) SELECT page_id, category, selector, no AS element_no, xpath_no, xpath FROM xpaths"),
     "page_xpaths": build("""WITH RECURSIVE one AS (SELECT 1) SELECT page_id, category, xpath, sel_no AS selector_no, no AS element_no FROM (

@@ -156,6 +156,8 @@ ORACLES = {
     "prefilter_urls": build("SELECT site, url, pos, tail FROM kept"),
     "dropped_by_reason": build("""SELECT site, reason, count(*) AS n FROM sampled WHERE reason <> 'kept' AND NOT sampled
       GROUP BY site, reason"""),
+    "dropped_totals": build("""SELECT site, reason, count(*) AS n, CAST(grouping(site, reason) AS INTEGER) AS level FROM sampled
+      WHERE reason <> 'kept' AND NOT sampled GROUP BY ROLLUP (site, reason)"""),
     "is_product_url": build(f"""SELECT site, pos, coalesce({has(f"lower({G.path('url')})", V.PRODUCT_PATHS)}, false) AS is_product FROM candidates"""),
     "product_sample": build("""SELECT site, norm AS url, row_number() OVER (PARTITION BY site ORDER BY pos) AS rank
       FROM sampled WHERE sampled"""),

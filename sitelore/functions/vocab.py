@@ -70,6 +70,10 @@ CLUSTER_WORDS = {
     ),
 }
 # every cluster name, and the order in which the keyword clusters are picked from
+# fixed values: lists of an answer that sorts addresses
+ANSWER_CATEGORIES = (
+    "company_info_pages", "product_pages", "service_pages", "technical_pages", "asset_pages", "other_pages",
+)
 CLUSTERS = (
     "educational_content", "buying_guides", "technical_explanations", "troubleshooting_support",
     "company_information", "service_information",

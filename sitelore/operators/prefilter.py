@@ -66,3 +66,12 @@ def dropped_by_reason(candidates: DataFrame, keep_products: int = V.PRODUCT_SAMP
     )
     less = F.when(F.col("reason") == "product", keep_products).otherwise(0)
     return counted.withColumn("n", F.col("n") - less).filter("n > 0")
+
+
+def dropped_totals(candidates: DataFrame, keep_products: int = V.PRODUCT_SAMPLE) -> DataFrame:
+    """``dropped_by_reason`` with a total per site and per all sites, from one aggregate.
+
+    ``level`` is 0 for a reason of a site, 1 for a site (``reason`` is null) and 3 for all sites (both are).
+    """
+    rows = dropped_by_reason(candidates, keep_products)
+    return rows.rollup("site", "reason").agg(F.sum("n").alias("n"), F.grouping_id().cast("int").alias("level"))

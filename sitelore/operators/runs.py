@@ -118,3 +118,14 @@ def run_summary(runs: DataFrame) -> DataFrame:
         count("failed").alias("failed"), count("timeout").alias("timed_out"),
         (whole / F.lit(1_000_000)).alias("total_duration_seconds"),
     )
+
+
+def run_totals(runs: DataFrame) -> DataFrame:
+    """Runs, pages and seconds per (day, status), per day and in all; ``level`` 0, 1 and 3."""
+    micros = F.sum(F.round(F.col("duration_seconds") * 1_000_000).cast("bigint"))
+    return runs.select(F.substring("start_time", 1, 10).alias("day"), "status", "duration_seconds", "pages_processed").rollup(
+        "day", "status"
+    ).agg(
+        F.count(F.lit(1)).alias("runs"), F.sum(F.coalesce("pages_processed", F.lit(0))).cast("bigint").alias("pages"),
+        (micros / F.lit(1_000_000)).alias("seconds"), F.grouping_id().cast("int").alias("level"),
+    )

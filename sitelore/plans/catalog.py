@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sitelore.functions import contacts as C, language as G, pricing as P, text as T, urls as U, vocab as V
 from sitelore.functions.scale import new_shared_path
 from sitelore.operators import (
-    clusters, company, content, costs, discovery, document, elements, links, models, prefilter, runs,
+    answers, clusters, company, content, costs, discovery, document, elements, links, models, prefilter, runs,
     sections,
 )
 from sitelore.plans import knowledge_base as knowledge
@@ -86,6 +86,11 @@ def dropped_by_reason(spark, sf):
     return prefilter.dropped_by_reason(D.candidates(spark, sf))
 
 
+@query
+def dropped_totals(spark, sf):
+    return prefilter.dropped_totals(D.candidates(spark, sf))
+
+
 @query
 def is_product_url(spark, sf):
     found = U.is_product(f"lower({U.path('url')})")
@@ -458,6 +463,33 @@ def model_responses(spark, sf):
     return models.model_responses(D.responses(spark, sf))
 
 
+@query
+def model_answers_prospect(spark, sf):
+    return answers.answer_objects(answers.parsed(D.kind_answers(spark, sf)), "prospect")
+
+
+@query
+def model_answers_colors(spark, sf):
+    return answers.answer_objects(answers.parsed(D.kind_answers(spark, sf)), "colors")
+
+
+@query
+def model_answers_audit(spark, sf):
+    return answers.answer_objects(answers.parsed(D.kind_answers(spark, sf)), "audit")
+
+
+@query
+def model_answer_items(spark, sf):
+    rows = answers.parsed(D.kind_answers(spark, sf))
+    found = [answers.answer_items(rows, kind).withColumn("kind", F.lit(kind)) for kind in answers.LISTS]
+    return found[0].union(found[1]).union(found[2]).withColumnRenamed("group", "list")
+
+
+@query
+def model_answer_texts(spark, sf):
+    return answers.answer_texts(D.kind_answers(spark, sf))
+
+
 @query
 def model_apply(spark, sf):
     def score(frame):
@@ -476,6 +508,20 @@ def model_price(spark, sf):
     )
 
 
+@query
+def model_price_table(spark, sf):
+    """Prices of the day from a table, per model and day of a call."""
+    calls = D.dated_usage(spark, sf).select("model", "called_at").distinct()
+    return costs.price_of(calls, D.price_table(spark, sf), at="called_at").withColumn(
+        "called_at", F.date_format("called_at", "yyyy-MM-dd")
+    )
+
+
+@query
+def cost_at_prices(spark, sf):
+    return costs.cost_at_prices(D.dated_usage(spark, sf), D.price_table(spark, sf), at="called_at")
+
+
 @query
 def cost_by_model(spark, sf):
     return costs.cost_by_model(D.usage(spark, sf))
@@ -565,6 +611,11 @@ def run_summary(spark, sf):
     return runs.run_summary(runs.runs(D.job_events(spark, sf)))
 
 
+@query
+def run_totals(spark, sf):
+    return runs.run_totals(runs.runs(D.job_events(spark, sf)))
+
+
 # --- page elements --------------------------------------------------------------------------
 @query
 def element_inventory(spark, sf):

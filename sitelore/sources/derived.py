@@ -188,7 +188,7 @@ def sitemaps(spark: SparkSession, sf: str) -> DataFrame:
     return leaf.unionByName(index)
 
 
-def usage(spark: SparkSession, sf: str) -> DataFrame:
+def usage(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     """Model calls, one per order; the run is the customer."""
     key = F.col("o_orderkey")
     models = F.array(
@@ -199,7 +199,7 @@ def usage(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_custkey").alias("run_id"),
         F.element_at(models, (key % 9 + 1).cast("int")).alias("model"),
         (key % 5000 + 100).alias("prompt_tokens"),
-        F.when(key % 11 == 0, None).otherwise(key % 700).alias("completion_tokens"),
+        F.when(key % 11 == 0, None).otherwise(key % 700).alias("completion_tokens"), *more,
     )
 
 
@@ -233,6 +233,70 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def dated_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """The calls of ``usage`` with the day of their order."""
+    day = F.col("o_orderdate").cast("date").cast("timestamp").alias("called_at")
+    own = table(spark, sf, "orders").select(F.col("o_orderkey").alias("_k"), day)
+    calls = usage(spark, sf, "o_orderkey")
+    return calls.join(own, calls["o_orderkey"] == own["_k"]).drop("_k", "o_orderkey")
+
+
+def price_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices that change with the year, one set for each year with orders; names are models and prefixes of them."""
+    years = table(spark, sf, "orders").select(F.year("o_orderdate").alias("y")).distinct()
+    names = [*V.PRICES.items(), ("gpt", (9.0, 9.0)), ("gpt-5-mini-2025", (0.3, 2.5)), ("other-model-x", (1.0, 1.0))]
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("i"), F.lit(o).alias("o")) for n, (i, o) in names])
+    changed = years.select("y", F.inline(rows)).filter("name <> 'gpt-4o' OR y % 2 = 0")
+    return changed.select(
+        "name", (F.col("i") + F.col("y") % 5).alias("input"), (F.col("o") + F.col("y") % 3).alias("output"),
+        F.make_date("y", F.lit(7), F.lit(1)).cast("timestamp").alias("valid_from"),
+    )
+
+
+ANSWER_KINDS = ("prospect", "colors", "audit", "categories", "clusters", "introduction")
+
+
+def kind_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """(request_id, kind, content): answers of six kinds from conversation turns; plain, fenced, broken, of wrong types."""
+    key = F.col("conv_id") * 8 + F.col("turn")
+    link = lambda k: F.concat(F.lit("https://x.example.org/"), (key + k).cast("string"))
+    said = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r'["\\]', ""), r"\s+", " ")
+    urls = lambda *ks: F.array(*[link(k) for k in ks])
+    full = {
+        "prospect": F.struct(
+            (key % 2 == 0).alias("is_potential_customer"), (key % 101).alias("confidence_score"), said.alias("reasoning_for"),
+            F.col("role").alias("reasoning_against")),
+        "colors": F.struct(
+            F.concat(F.lit("#"), F.lpad((key % 1000000).cast("string"), 6, "0")).alias("main_background_color"),
+            F.lit("#123456").alias("primary_brand_color"), said.alias("background_color_description")),
+        "audit": F.struct(
+            (key % 3 == 0).alias("has_contact"), F.lit(True).alias("has_faq"), F.array(F.lit("policies"), F.col("role")).alias("missing"),
+            said.alias("notes")),
+        "categories": F.struct(urls(1, 2).alias("company_info_pages"), urls(3).alias("other_pages"), urls(4).alias("no_such_pages")),
+        "clusters": F.struct(
+            F.struct(urls(1, 2, 3).alias("urls"), said.alias("description")).alias("educational_content"),
+            F.struct(urls(4).alias("urls")).alias("company_information"),
+            F.array(F.lit("company_information"), F.lit("educational_content")).alias("priority_extraction_order")),
+    }
+    wrong = {
+        "prospect": '{"is_potential_customer": "maybe", "confidence_score": "high", "reasoning_against": "r"}', "colors": "[1, 2]",
+        "audit": '{"missing": "faq", "has_faq": true, "has_contact": null}',
+        "categories": '{"company_info_pages": {"urls": ["u"]}, "product_pages": ["a", null, "b"]}',
+        "clusters": '{"educational_content": ["a"], "buying_guides": {"urls": ["b"]}}',
+    }
+    kind = F.element_at(F.array(*[F.lit(k) for k in ANSWER_KINDS]), (key % 6 + 1).cast("int"))
+    content = F.when(kind == "introduction", F.concat(F.lit(" \n"), F.coalesce("text", F.lit("")), F.lit("\n ")))
+    for name, value in full.items():
+        json = F.to_json(value)
+        form = F.when(key % 4 == 0, json).when(key % 4 == 1, F.concat(F.lit("Sure:\n```json\n"), json, F.lit("\n```"))).when(
+            key % 4 == 2, F.concat(F.lit("{oops "), json)
+        ).otherwise(F.lit(wrong[name]))
+        content = content.when(kind == name, form)
+    return table(spark, sf, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("request_id"), kind.alias("kind"), content.alias("content")
+    )
+
+
 STATUSES = {"view": "pending", "click": "running", "purchase": "completed", "signup": "completed", "error": "failed"}
 
 

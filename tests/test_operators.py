@@ -1,17 +1,18 @@
 """Operators against brute force on small tables with one very large site."""
 
+import datetime as dt
 import hashlib
 import random
 from collections import Counter, defaultdict
 
-import pytest
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from sitelore.functions import vocab as V
 from sitelore.functions.scale import first_many_per_group, project_wanted, salted_join
 from sitelore.operators import (
-    clusters, company, content, costs, discovery, document, elements, links, parts, prefilter, runs, sections,
+    answers, clusters, company, content, costs, discovery, document, elements, links, parts, prefilter, runs, sections,
 )
 from sitelore.sources import sinks, tables
 
@@ -580,3 +581,60 @@ def test_links(spark):
     assert [r.dst_url for r in links.extract_links(df).orderBy("link_no").collect()] == ["https://s/a?x=1&y=2", "https://s/d/b", "https://s/d/e/c"]
     base = df.withColumn("root", F.lit("https://s/"))
     assert [r.dst_url for r in links.extract_links(base, "root").orderBy("link_no").collect()][1:] == ["https://s/b", "https://s/c"]
+
+
+# --- answers and prices -----------------------------------------------------------------------
+def test_answers_of_all_kinds(spark):
+    rows = [
+        ("p1", "prospect", '{"is_potential_customer": true, "confidence_score": 88, "reasoning_for": "fits"}'),
+        ("p2", "prospect", "no json"), ("p3", "prospect", None), ("p4", "prospect", '["a"]'),
+        ("p5", "prospect", '```json\n{"confidence_score": "7", "is_potential_customer": "perhaps", "reasoning_against": null}\n```'),
+        ("l1", "clusters", '{"buying_guides": {"urls": ["u1", null, "u2"]}, "company_information": {"urls": "u3"}, "other": {"urls": ["u4"]}, "priority_extraction_order": ["x"]}'),
+        ("l2", "clusters", "{broken"), ("a1", "audit", 'Here: ```\n{"has_faq": true, "missing": ["faq"], "notes": "n"}\n```'),
+        ("t1", "introduction", " Welcome. \n"), ("t2", "condensed", None), ("x", "unknown", "{}"),
+    ]
+    df = spark.createDataFrame(rows, "request_id string, kind string, content string")
+    parsed = answers.parsed(df)
+    got = {r.request_id: tuple(r)[1:] for r in answers.answer_objects(parsed, "prospect").collect()}
+    assert got == {
+        "p1": (True, True, 88, "fits", ""), "p2": (False, False, 0, "", ""), "p3": (False, False, 0, "", ""),
+        "p4": (False, False, 0, "", ""), "p5": (True, False, 7, "", ""),
+    }
+    items = sorted(tuple(r) for r in answers.answer_items(parsed, "clusters").collect())
+    assert items == [("l1", "buying_guides", 1, "u1"), ("l1", "buying_guides", 2, "u2"), ("l1", "priority_extraction_order", 1, "x")]
+    assert [tuple(r) for r in answers.answer_objects(parsed, "audit").collect()] == [("a1", True, False, False, True, False, "n")]
+    assert [tuple(r) for r in answers.answer_items(parsed, "audit").collect()] == [("a1", "missing", 1, "faq")]
+    assert {tuple(r) for r in answers.answer_texts(df).collect()} == {("t1", "introduction", "Welcome."), ("t2", "condensed", "")}
+
+
+def test_prices_come_from_a_table(spark):
+    day = lambda n: dt.datetime(2024, 1, n)
+    prices = spark.createDataFrame(
+        [("m", 1.0, 2.0, None), ("m-big", 5.0, 6.0, day(5)), ("m-big", 7.0, 8.0, day(9)), ("m-big-x", 9.0, 9.5, day(20)), ("", 99.0, 99.0, None), (None, 1.0, 1.0, None)],
+        "name string, input double, output double, valid_from timestamp",
+    )
+    asked = [("m-big-x", 4), ("m-big-x", 5), ("m-big-x", 9), ("m-big-x", 21), ("m", 1), ("other", 9), ("", 9), (None, 9)]
+    calls = spark.createDataFrame([(m, day(n), "kept") for m, n in asked], "model string, at timestamp, input string")
+    priced = costs.price_of(calls, prices, default=(0.5, 0.6), at="at")
+    got = {(r.model, r["at"].day): (r.input, r.output) for r in priced.collect()}
+    assert got == {
+        ("m-big-x", 4): (1.0, 2.0), ("m-big-x", 5): (5.0, 6.0), ("m-big-x", 9): (7.0, 8.0), ("m-big-x", 21): (9.0, 9.5), ("m", 1): (1.0, 2.0),
+        ("other", 9): (0.5, 0.6), ("", 9): (0.5, 0.6), (None, 9): (0.5, 0.6),
+    }
+    assert "NestedLoop" not in priced._jdf.queryExecution().toString()
+    first = prices.filter("valid_from IS NULL OR valid_from < '2024-01-06'")
+    assert {r.model: r.input for r in costs.price_of(calls, first, (0.5, 0.6)).collect()}["m-big-x"] == 5.0
+
+
+def test_totals_by_rollup(spark):
+    from sitelore.operators import prefilter as P
+
+    rows = [("s", i, u) for i, u in enumerate(["http://s/a", "http://s/a", "http://s/a.pdf", "mailto:x", "http://s/cart"])] + [("t", 0, "http://t/x.png")]
+    df = spark.createDataFrame(rows, "site string, pos bigint, url string")
+    by = {(r.site, r.reason): r.n for r in P.dropped_by_reason(df).collect()}
+    got = {(r.site, r.reason, r.level): r.n for r in P.dropped_totals(df).collect()}
+    want = {(*k, 0): n for k, n in by.items()}
+    for site in ("s", "t"):
+        want[site, None, 1] = sum(n for (s, _), n in by.items() if s == site)
+    want[None, None, 3] = sum(by.values())
+    assert got == want
