@@ -86,6 +86,37 @@ def test_jaccard_odd_rows(docs):
     assert jaccard_join.link_documents(docs([])).count() == 0
 
 
+def test_jaccard_judges_candidates_only(docs):
+    # nothing is similar, but most prefixes share some word: closed to components, nearly all pairs would be met
+    rng = random.Random(8)
+    words = vocabulary(rng, 60)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(120))) for i in range(1500)]
+    pairs, _ = jaccard_join.group_pairs(jaccard_join._prefixes(docs(rows).select("text"), 3, 90), 90)
+    met = {p for r in pairs.collect() for p in zip(r.us, r.vs)}
+    assert len(met) < 0.1 * len(rows) * (len(rows) - 1) / 2
+    assert all(r.component_id == r.doc_id for r in jaccard_join.link_documents(docs(rows)).collect())
+
+
+def test_jaccard_hot_group(docs, monkeypatch):
+    # one prefix and size for many sets: the changed words are frequent ones, far from the rare prefix
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "POSTED", 16)
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(120):
+        text = list(base)
+        for _ in range(rng.randint(0, 2)):
+            text[rng.randrange(60)] = f"x{rng.randrange(4)}"
+        rows.append((i, " ".join(text)))
+    sets, joined = {i: shingles(t, 3) for i, t in rows}, Sets()
+    for a, b in ((a, b) for a in sets for b in range(a)):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+            joined.join(a, b)
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(docs(rows)).collect()}
+    assert got == {i: joined.find(i) for i in sets}
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
