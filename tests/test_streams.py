@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sitelore.functions import urls as U
 
+from sitelore.plans import catalog
 from sitelore.sources import derived as D
 from sitelore.streaming import job_progress, page_stream
 
@@ -99,3 +100,18 @@ def test_jobs_retire_late_events_are_counted_and_few_folders_are_read(spark, tmp
     # a batch that runs again changes nothing
     before = sorted(map(str, job_progress.jobs(spark, out).collect()))
     assert before == sorted(map(str, job_progress.merged(job_progress.jobs(spark, out)).collect()))
+
+
+def test_tables_may_be_folders_of_files(spark, tmp_path):
+    pages = [(1, "http://s/a", "<p>one</p>"), (2, "http://s/b", "<p>two</p>"), (3, "http://s/a", "<p>one</p>")]
+    for n, rows in enumerate((pages, [])):
+        sf = f"{tmp_path}/{n}/"
+        spark.createDataFrame(rows, page_stream.PAGE_SCHEMA).repartition(3).write.parquet(sf + "pages.parquet")
+        spark.createDataFrame([(9, "http://other/", "")], page_stream.PAGE_SCHEMA).write.parquet(sf + "other.parquet")
+        got = catalog.page_stream(spark, sf.rstrip("/"))
+        assert got.columns == ["page_id", "site", "url", "title", "chunk", "emails", "phones"]
+        assert sorted((r.url, r.chunk) for r in got.collect()) == ([("http://s/a", "one"), ("http://s/b", "two")] if rows else [])
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/0/events.parquet")
+    want = catalog.job_progress_stream(spark, SF).collect()
+    assert want and sorted(catalog.job_progress_stream(spark, f"{tmp_path}/0").collect()) == sorted(want)
