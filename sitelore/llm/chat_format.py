@@ -4,12 +4,12 @@ Turns are written as ``<|im_start|>role``, a line feed, the text, ``<|im_end|>``
 backslash is put into each ``<``, backslashes, ``|``, so no control string is left, and none is lost: reading
 takes one backslash out of each.  Roles write ``%``, ``<`` and line feeds as ``%25``, ``%3C`` and ``%0A``.
 
-The table of examples has one row for each assistant turn with its context and its reply, so a conversation of n
-turns is written about n / 4 times over.  That grows with the square of n, so contexts are shared in long
-conversations: turns are cut into blocks of ``BLOCK_TURNS``, an example's ``text`` starts with its block, and
-all blocks of the conversation with a smaller number lie before it.  The text of a whole block is that of its
-last row (``closes_block``).  No row holds more than a block, the table grows in proportion to the turns, and
-``whole_texts`` puts contexts together where a trainer wants them in one string.
+Examples are written in two tables.  The first (``format_examples``) has one row for each assistant turn, in blocks
+of ``BLOCK_TURNS``: its ``text`` starts with its block, and the text of a whole block is that of its last row
+(``closes_block``).  No row holds more than a block, so a conversation of any length is spread over tasks.  The
+second (``write_whole``) is the result: every example with its whole context, all turns before it, written
+out.  A conversation of n turns is written about n / 4 times over, whatever its length; a context of
+more than ``PART_CHARS`` characters lies in several rows, which are cut between blocks.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sitelore.llm.common import small_batches
+from sitelore.llm.common import _free_shuffles, small_batches
 
 TRAINED_ROLE = "assistant"
-#: Turns of a block: contexts within it are written out, those before it are shared.
+#: Turns of a block, from which whole contexts are put together.
 BLOCK_TURNS = 64
+#: Characters of a row of whole examples, give or take a block.
+PART_CHARS = 1_000_000
 #: Characters of examples that a task holds before it hands them on.
 HELD_CHARS = 4_000_000
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -138,6 +140,7 @@ def format_examples(
     rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "_role", "_head", "_body").mapInArrow(
         _expand(block_turns, to_arrow_type(kind)), f"conv_id {kind.simpleString()}, {EXAMPLES}"
     ).write.parquet(path)
+    _free_shuffles(turns.sparkSession)
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
@@ -158,28 +161,55 @@ def turns_of(text: Column) -> Column:
     return F.transform(pieces, parsed)
 
 
+def whole_examples(examples: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """Examples of ``format_examples`` with their whole contexts.
+
+    conv_id, block, target, part, ends, text, loss_start, loss_end.  The rows of an example (block, target) in order
+    of ``part`` are its text; the last of them has the example's block and the trained span, in code points of
+    that row.  ``ends``: the example holds the whole conversation; its target is null where nothing is
+    trained in the end.  The window over a conversation sees its blocks without their texts; texts meet by
+    parts of about ``part_chars`` characters.
+    """
+    closing = examples.filter("closes_block")
+    own_conv = Window.partitionBy("conv_id").orderBy("block")
+    placed = closing.select("conv_id", "block", F.length("text").cast("long").alias("_n")).select(
+        "block", F.lead("block").over(own_conv).isNull().alias("_last"),
+        F.floor(
+            F.coalesce(F.sum("_n").over(own_conv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / part_chars
+        ).alias("part"),
+    )
+    blocks = closing.select("conv_id", "block", "text").join(placed, "block")
+    before = Window.partitionBy("conv_id", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = blocks.select("block", "part", "_last", F.array_join(F.collect_list("text").over(before), "").alias("_head"))
+    last_rows = examples.filter("target is not null or closes_block").join(heads, "block").filter(
+        "target is not null or _last"
+    ).withColumn("ends", F.col("closes_block") & F.col("_last"))
+    full = blocks.groupBy("conv_id", "part").agg(
+        F.array_sort(F.collect_list(F.struct("block", "text"))).alias("_l")
+    ).select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), F.array_join("_l.text", "").alias("text"))
+    names = ["conv_id", "block", "target", "part", "ends", "text", "loss_start", "loss_end"]
+    earlier = last_rows.filter("part > 0").drop("text").join(
+        full, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_p") < F.col("part"))
+    ).withColumn("part", F.col("_p")).withColumns({n: F.lit(None).cast("long") for n in names[-2:]})
+    up = F.length("_head")
+    return last_rows.withColumns({
+        "text": F.concat("_head", "text"), "loss_start": up + F.col("loss_start"), "loss_end": up + F.col("loss_end"),
+    }).select(*names).union(earlier.select(*names))
+
+
+def write_whole(examples: DataFrame, path: str, part_chars: int = PART_CHARS) -> None:
+    """Write ``whole_examples`` as a Parquet table; contexts repeat, which zstd packs well."""
+    whole_examples(examples, part_chars).write.option("compression", "zstd").parquet(path)
+    _free_shuffles(examples.sparkSession)
+
+
 def whole_texts(examples: DataFrame) -> DataFrame:
     """Examples with their contexts in one string: conv_id, text, loss_start, loss_end.
 
-    Only for conversations whose whole text fits in a row; the shared blocks before an example's own are
-    gathered in order.
+    Only for conversations whose whole text fits in a row.
     """
-    shared = examples.filter("closes_block").select(
-        F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.col("text").alias("_t")
-    )
-    own = examples.filter("target is not null")
-    before = own.select("conv_id", "block").distinct().join(
-        shared, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_b") < F.col("block"))
-    ).groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("_b", "_t"))).alias("_l")).select(
-        F.col("conv_id").alias("_c"), F.col("block").alias("_k"), F.array_join(F.col("_l._t"), "").alias("_before")
-    )
-    context = F.coalesce("_before", F.lit(""))
-    return own.join(
-        before, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_k")), "left"
-    ).select(
-        "conv_id", F.concat(context, "text").alias("text"), (F.length(context) + F.col("loss_start")).alias("loss_start"),
-        (F.length(context) + F.col("loss_end")).alias("loss_end"),
-    )
+    whole = whole_examples(examples, part_chars=2**62)
+    return whole.filter("target is not null").select("conv_id", "text", "loss_start", "loss_end")
 
 
 DIGEST = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
@@ -193,28 +223,23 @@ def _digest(kind: pa.DataType):
         kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         rows: list[tuple] = []
         conv, started, turns, loss = None, False, hashlib.sha256(), hashlib.sha256()
-        n_turns = loss_chars = formatted = before = rest = 0
+        n_turns = loss_chars = formatted = 0
 
         def close() -> None:
-            rows.append((conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), formatted + rest))
+            rows.append((conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), formatted))
 
         for batch in batches:
-            for i, n, told, reply, chars, trained, closes in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, n, told, reply, chars in zip(*(c.to_pylist() for c in batch.columns)):
                 if started and i != conv:
                     close()
                     turns, loss = hashlib.sha256(), hashlib.sha256()
-                    n_turns = loss_chars = formatted = before = rest = 0
-                conv, started, rest = i, True, 0
+                    n_turns = loss_chars = formatted = 0
+                conv, started = i, True
                 n_turns += n
                 turns.update(told.encode())
-                if trained:
-                    loss.update(reply.encode())
-                    loss_chars += len(reply)
-                    formatted += before + chars
-                else:  # an example of its own only where the conversation ends with it
-                    rest = before + chars
-                if closes:
-                    before += chars
+                loss.update(reply.encode())
+                loss_chars += len(reply)
+                formatted += chars
             if len(rows) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
                 rows = []
@@ -226,27 +251,31 @@ def _digest(kind: pa.DataType):
     return run
 
 
-def digest(examples: DataFrame) -> DataFrame:
-    """What the examples say, one row for each conversation.
+def digest_whole(whole: DataFrame) -> DataFrame:
+    """What whole examples say, one row for each conversation.
 
     conv_id, n_turns, turns_sha256 (role, line feed, text, line feed of every turn), loss_chars and loss_sha256
-    (all trained spans in order), formatted_chars (code points of all examples with their contexts, shared
-    ones counted in each).  Turns are read from the rows that close a block, replies by the spans of the mask;
-    they are sorted by block and fed to running hashes, so a long conversation is never held as one.
+    (all trained spans in order), formatted_chars (code points of all examples with their contexts, as they
+    stand there).  Turns are read from the example that ends the conversation, replies by the spans of the mask;
+    they are sorted and fed to running hashes, so a long conversation is never held as one.
     """
-    small_batches(examples.sparkSession)
-    kind = examples.schema["conv_id"].dataType
+    small_batches(whole.sparkSession)
+    kind = whole.schema["conv_id"].dataType
     told = turns_of(F.col("text"))
-    closing = F.col("closes_block")
-    rows = examples.select(
-        "conv_id", "block", F.coalesce("target", F.lit(2**31 - 1)).alias("_k"),
-        F.when(closing, F.size(told)).otherwise(0).cast("long").alias("n"),
-        F.when(closing, F.array_join(F.transform(told, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")).otherwise("").alias("told"),
+    rows = whole.select(
+        "conv_id", "block", F.coalesce("target", F.lit(2**31 - 1)).alias("_k"), "part",
+        F.when(F.col("ends"), F.size(told)).otherwise(0).cast("long").alias("n"),
+        F.when(F.col("ends"), F.array_join(F.transform(told, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")).otherwise("").alias("told"),
         F.coalesce(
             unescaped(F.substring("text", F.col("loss_start").cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int"))), F.lit("")
         ).alias("reply"),
-        F.length("text").cast("long").alias("chars"), F.col("target").isNotNull().alias("trained"), closing.alias("closes"),
+        F.length("text").cast("long").alias("chars"),
     )
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "block", "_k").drop("block", "_k").mapInArrow(
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "block", "_k", "part").drop("block", "_k", "part").mapInArrow(
         _digest(to_arrow_type(kind)), f"conv_id {kind.simpleString()}, {DIGEST}"
     )
+
+
+def digest(examples: DataFrame) -> DataFrame:
+    """``digest_whole`` of the whole examples of a table of ``format_examples``."""
+    return digest_whole(whole_examples(examples))

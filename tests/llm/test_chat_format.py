@@ -94,3 +94,23 @@ def test_escapes_go_both_ways(spark):
 def test_no_turns(spark):
     empty = write(spark, [])
     assert empty.count() == 0 and C.digest(empty).count() == 0 and C.whole_texts(empty).count() == 0
+
+
+@pytest.mark.parametrize("part_chars", [60, 2_000, C.PART_CHARS])
+def test_whole_contexts_are_written_and_counted_as_they_stand(spark, part_chars):
+    path = new_path(spark, "whole")
+    C.write_whole(write(spark, ROWS, block_turns=8), path, part_chars)
+    whole = C.read_examples(spark, path)
+    found = {}
+    for r in sorted(whole.collect(), key=lambda r: (r.block, 2**31 if r.target is None else r.target, r.part)):
+        found.setdefault((r.conv_id, r.block, r.target), []).append(r.text)
+    got = {}
+    for (conv, _, target), texts in found.items():
+        got.setdefault(conv, []).append(("".join(texts), target is not None))
+    for conv, turns in ordered(ROWS).items():
+        ex, text = examples(turns)
+        assert got[conv] == [(t, True) for t, _, _ in ex] + [(text, False)] * (turns[-1][0] != "assistant")
+    assert max(len(t) for t in found[max((k for k in found if k[0] == 6 and k[2] is not None), key=lambda k: k[1:])]) <= part_chars + 16 * 50
+    digests = {r.conv_id: r for r in C.digest_whole(whole).collect()}
+    assert {c: d.formatted_chars for c, d in digests.items()} == {c: sum(len(t) for t, _ in ts) for c, ts in got.items()}
+    assert sorted(map(str, digests.values())) == sorted(map(str, C.digest(write(spark, ROWS)).collect()))
