@@ -352,6 +352,12 @@ def group_pairs(prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     return written(blocks.mapInArrow(_filter_pairs(percent), shape).union(own), "pairs"), groups.select("c", "part")
 
 
+def parts_met(pairs: DataFrame) -> DataFrame:
+    """(cu, cv, part): the group parts of each pair of cells, named once however many shingles propose them."""
+    met = pairs.groupBy("cu", "cv").agg(F.array_distinct(F.flatten(F.collect_list(F.array_union("us", "vs")))).alias("parts"))
+    return met.select("cu", "cv", F.explode("parts").alias("part"))
+
+
 def link_documents(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -375,9 +381,7 @@ def link_documents(
     sets = named.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"))
     prefixes = written(_prefixes(rows.select("text"), words, percent), "prefixes")
     pairs, parts = group_pairs(prefixes, percent)
-    wanted = written(
-        pairs.select("cu", "cv", F.explode(F.array_union("us", "vs")).alias("part")).distinct().join(parts, "part"), "wanted"
-    )
+    wanted = written(parts_met(pairs).join(parts, "part"), "wanted")
     stand = wanted.select("c").distinct().join(sets, "c").select(F.col("rep").alias("_rep"), "c")
     chosen = rows.join(stand, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text", "c")
     members = chosen.mapInArrow(_members(words), "c bigint, shingles array<bigint>").dropDuplicates(["c"])

@@ -434,3 +434,14 @@ def test_pipeline_on_next_to_nothing(spark, docs, rows):
     for _, stage in corpus_pipeline.STAGES:
         table = stage(spark, table, "")
     assert table.count() == 0
+
+
+def test_parts_of_a_pair_of_cells_are_named_once(spark):
+    """Many shingles propose the same pairs; rows are made for the distinct parts alone."""
+    rows = [(1, 2, [k % 3, 7], [k % 5, 9]) for k in range(200)] + [(1, 1, [4], [4])]
+    pairs = spark.createDataFrame(rows, "cu long, cv long, us array<long>, vs array<long>")
+    met = jaccard_join.parts_met(pairs)
+    want = {(1, 2, p) for _, _, us, vs in rows[:-1] for p in us + vs} | {(1, 1, 4)}
+    assert sorted(map(tuple, met.collect())) == sorted(want)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate explode") < plan.index("Aggregate")
