@@ -1,11 +1,11 @@
 """Phrase collocation mining: frequent phrases of each language, counted by tries, scored by their weakest cut.
 
-Six scans of the texts (three for step 3), each in tasks that see bounded slices of bytes:
+Seven scans of the texts (four for step 3), each in tasks that see bounded slices of bytes:
 
 1. words by language; those below the least count are in no frequent phrase;
 2. pairs of neighbouring words that are both frequent, as pairs of 32-bit hashes;
 3. three words both of whose pairs are frequent and that fall into a bucket that is full enough (a scan counts
-   the buckets), then four and five words all of whose threes are frequent, as hashes;
+   the buckets), then four and five words all of whose threes are frequent, by buckets as well, as hashes;
 4. the candidates so found, as words, in double-array tries: all positions of a text walk down at once, level by level, and
    the states that accept a phrase are counted and added up over tasks.
 
@@ -40,7 +40,7 @@ SLICE_BYTES, KEYS_AT_ONCE = 8_000_000, 3_000_000
 #: Counts of phrases that leave a task in one row.
 PIECE = 2048
 VECTOR = "piece bigint, counts array<bigint>"
-#: Buckets, as a power of two, that threes are counted in before they are proposed one by one.
+#: Buckets, as a power of two, that longer phrases are counted in before they are proposed one by one.
 BUCKET_BITS = 21
 
 KIND = np.zeros(256, np.uint8)
@@ -257,46 +257,50 @@ def _pairs(words) -> Callable[[Words], list[list[np.ndarray]]]:
     return propose
 
 
-def _three_keys(filters: list, part: Words) -> np.ndarray:
-    """Keys of three words both of whose pairs pass."""
-    if len(part.number) < 3:
-        return np.zeros(0, np.uint64)
+def _phrases(filters: list, part: Words, longest: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Phrases that are longer than what the filters know and all parts of which pass.
+
+    For each length, in columns: words 1 and 2, 3 and 4, 5 and the length.
+    """
+    known, high = len(filters), np.uint64(32)
+    if len(part.number) <= known:
+        return
     symbols = part.symbols()
-    pairs = _alive(symbols, part.left, filters)[1]
-    at = np.flatnonzero(pairs[:-1] & pairs[1:])
-    return _one_key(symbols[at] << np.uint64(32) | symbols[at + 1], symbols[at + 2] << np.uint64(32))
+    alive = _alive(symbols, part.left, filters)[-1]
+    at = np.flatnonzero(alive)
+    for k in range(known + 1, longest + 1):
+        at = at[alive[at + k - known]]
+        s = [symbols[at + d] if d < k else np.zeros(len(at), np.uint64) for d in range(5)]
+        yield k, [s[0] << high | s[1], s[2] << high | s[3], s[4] << high | np.uint64(k)]
+
 
+def _bucket_keys(k: int, columns: list[np.ndarray]) -> np.ndarray:
+    first = _one_key(columns[0], columns[1])
+    return first if k < 5 else _one_key(first, columns[2])
 
-def _count_buckets(filters: list):
-    """How many threes of a task fall into each bucket of keys, as pieces of a vector."""
+
+def _count_buckets(filters: list, longest: int):
+    """How many longer phrases of a task fall into each bucket of keys, as pieces of a vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for part in word_slices(batches):
-            at, n = np.unique(places(_three_keys(filters, part), BUCKET_BITS), return_counts=True)
-            counts[at] += n
+            for k, columns in _phrases(filters, part, longest):
+                at, n = np.unique(places(_bucket_keys(k, columns), BUCKET_BITS), return_counts=True)
+                counts[at] += n
         yield _pieces(counts)
 
     return run
 
 
-def _longer(filters: list, longest: int, buckets=None) -> Callable[[Words], list[list[np.ndarray]]]:
-    """Phrases that are longer than what the filters know and all parts of which pass: words 1 and 2, 3 and 4, 5 and the length."""
+def _longer(filters: list, longest: int, buckets) -> Callable[[Words], list[list[np.ndarray]]]:
+    """Phrases that are longer than what the filters know, all parts of which pass, in buckets that are full enough."""
 
     def propose(part: Words) -> list[list[np.ndarray]]:
-        out, known, high = [], len(filters), np.uint64(32)
-        if len(part.number) <= known:
-            return out
-        symbols = part.symbols()
-        alive = _alive(symbols, part.left, filters)[-1]
-        at = np.flatnonzero(alive)
-        for k in range(known + 1, longest + 1):
-            at = at[alive[at + k - known]]
-            s = [symbols[at + d] if d < k else np.zeros(len(at), np.uint64) for d in range(5)]
-            if buckets is not None and k == 3:
-                passes = buckets.value(_one_key(s[0] << high | s[1], s[2] << high))
-                at, s = at[passes], [c[passes] for c in s]
-            out.append([s[0] << high | s[1], s[2] << high | s[3], s[4] << high | np.uint64(k)])
+        out = []
+        for k, columns in _phrases(filters, part, longest):
+            full = buckets.value(_bucket_keys(k, columns))
+            out.append([c[full] for c in columns])
         return out
 
     return propose
@@ -322,15 +326,15 @@ def candidates(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, Da
     enough = lambda df, keys: df.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select(*keys)
     pairs = written(enough(docs.mapInArrow(_propose(_pairs(frequent), ["key"]), "key bigint, n bigint"), ["key"]), "pairs")
     kept, nothing = ["a", "b", "c"], spark.createDataFrame([], "a bigint, b bigint, c bigint")
-    longer = lambda filters, most, buckets=None: written(enough(
-        docs.mapInArrow(_propose(_longer(filters, most, buckets), kept), "a bigint, b bigint, c bigint, n bigint"), kept
-    ), "longer")
-    filters = [frequent, send(filter_of(pairs, pairs.count()))]
-    threes = nothing
-    if longest > 2:
-        full = _summed(docs.mapInArrow(_count_buckets(filters), VECTOR)).filter(F.col("a") >= least)
+
+    def longer(filters: list, most: int) -> DataFrame:
+        full = _summed(docs.mapInArrow(_count_buckets(filters, most), VECTOR)).filter(F.col("a") >= least)
         buckets = send(_bitmap(full.select((F.col("number") + 1).alias("place")), BUCKET_BITS))
-        threes = longer(filters, 3, buckets)
+        proposed = docs.mapInArrow(_propose(_longer(filters, most, buckets), kept), "a bigint, b bigint, c bigint, n bigint")
+        return written(enough(proposed, kept), "longer")
+
+    filters = [frequent, send(filter_of(pairs, pairs.count()))]
+    threes = longer(filters, 3) if longest > 2 else nothing
     if longest > 3:
         filters.append(send(filter_of(threes.select("a", "b"), threes.count())))
     runs = threes.union(longer(filters, longest)) if longest > 3 else threes

@@ -140,6 +140,27 @@ def test_candidates_beside_the_frequent_ones_change_nothing(docs):
     assert {(r.lang, tuple(r.words)) for r in counted.collect()} >= {(w[0], tuple(w[2].split(" "))) for w in want}
 
 
+def test_four_and_five_words_are_proposed_by_buckets(monkeypatch):
+    class Passes:
+        value = staticmethod(lambda keys: np.ones(len(keys), bool))
+
+    monkeypatch.setattr(P, "BUCKET_BITS", 16)
+    text = "a b c d e. " * 5 + "f g h i j. k l m n."
+    batch = pa.RecordBatch.from_arrays([pa.array(["l"]), pa.array([text])], ["lang", "text"])
+    counts = np.zeros(1 << 16, np.int64)
+    for piece in P._count_buckets([Passes] * 3, 5)(iter([batch])):
+        for p, c in zip(piece.column(0).to_pylist(), piece.column(1)):
+            counts[p * P.PIECE : (p + 1) * P.PIECE] += c.values.to_numpy()
+    assert sorted(counts[counts > 0].tolist()) == [1] * 4 + [5] * 3  # f-j has two fours and a five, k-n a four
+    bits = np.packbits(counts >= 5, bitorder="little")
+
+    class Full:
+        value = P.Filter(16, bits)
+
+    part = next(P.word_slices(iter([batch])))
+    assert [len(h[0]) for h in P._longer([Passes] * 3, 5, Full)(part)] == [10, 5]
+
+
 def test_nothing_frequent_and_no_rows(docs):
     assert P.mine_phrases(docs([])).count() == 0
     assert P.mine_phrases(docs(ODD[:2] + ODD[4:])).count() == 0
