@@ -1,20 +1,21 @@
 """Phrase collocation mining: frequent phrases of each language, counted by tries, scored by their weakest cut.
 
-Seven scans of the texts (four for step 3), each in tasks that see bounded slices of bytes:
+Five scans of the texts (two for step 3), each in tasks that see bounded slices of bytes:
 
 1. words by language; those below the least count are in no frequent phrase;
 2. pairs of neighbouring words that are both frequent, as pairs of 32-bit hashes;
-3. three words both of whose pairs are frequent and that fall into a bucket that is full enough (a scan counts
-   the buckets), then four and five words all of whose threes are frequent, by buckets as well, as hashes;
+3. three words both of whose pairs are frequent, then four and five words all of whose threes are frequent, as hashes;
+   in a corpus so small that few buckets fill up, one more scan each counts buckets, and only full ones are proposed;
 4. the candidates so found, as words, in double-array tries: all positions of a text walk down at once, level by level, and
    the states that accept a phrase are counted and added up over tasks.
 
 Steps 2 and 3 only propose.  A hash that stands for two words can make a count too large and never too small,
 every part of a frequent phrase is as frequent, so no frequent phrase is missed, and the counts returned are those of
-step 4.  Joining frequent pairs on their common word would propose ten times more than what occurs.
+step 4.  Joining frequent pairs on their common word would propose ten times more than what occurs.  Hashes go from task
+to task as packed columns, in parts by the hash of a key, and are added up part by part by numpy.
 
 What is sent to all executors is bounded: the filters of steps 2 and 3 are bitmaps of at most ``2 ** FILTER_BITS``
-bits, and a trie holds about ``TRIE_PHRASES`` phrases; more phrases make more tries, each with a scan of its own.
+bits, and a trie holds about ``TRIE_PHRASES`` phrases; more phrases make more tries, with a scan for every ``TRIES_AT_ONCE``.
 """
 
 from __future__ import annotations
@@ -25,18 +26,23 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sitelore.functions.scale import first_many_per_group
 from sitelore.llm.common import byte_slices, mix, small_batches, text_buffers, written
-from sitelore.llm.double_array import DoubleArray, build, count_phrases
+from sitelore.llm.double_array import DoubleArray, build_flat, count_phrases
 
 LEAST, LONGEST, TOP, UNKNOWN = 100, 5, 2000, "und"
 #: Size of a filter, as a power of two of its bits, and bits for each thing in it, as a power of two.
 FILTER_BITS, BITS_EACH = 28, 6
-TRIE_PHRASES = 500_000
+TRIE_PHRASES, TRIES_AT_ONCE = 500_000, 4
 #: Bytes of text at once, and keys that a task gathers before it counts them.
 SLICE_BYTES, KEYS_AT_ONCE = 8_000_000, 3_000_000
+#: Words of the corpus for each part of the keys that are added up at once, at most, and keys that leave a task in one row.
+PART_WORDS, ROW_KEYS = 1 << 20, 4096
+#: Bytes of packed keys that leave a task at once.
+BATCH_BYTES = 8_000_000
 #: Counts of phrases that leave a task in one row.
 PIECE = 2048
 VECTOR = "piece bigint, counts array<bigint>"
@@ -190,35 +196,93 @@ def _bitmap(places_: DataFrame, bits: int) -> Filter:
     return Filter(bits, bitmap)
 
 
-def _counted(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of some columns and how often each occurs; a row may come out in several parts."""
-    mixed = keys[0]
+def _counted(keys: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct rows of some columns, how often each occurs (or the sum of its ``n``) and their hashes, which are in order."""
+    mixed = mix(keys[0])
     for k in keys[1:]:
-        mixed = mix(mixed) ^ k
+        mixed = mix(mixed ^ k)
+
+    def sorted_by(order: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        columns, hashes = [k[order] for k in keys], mixed[order]
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        return columns, hashes, new
+
     order = np.argsort(mixed)
-    columns = [k[order] for k in keys]
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
+    columns, hashes, new = sorted_by(order)
+    if (new[1:] & (hashes[1:] == hashes[:-1])).any():  # two keys of one hash may lie mixed up
+        columns, hashes, new = sorted_by(order := np.lexsort((*keys, mixed)))
     at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
+    counts = np.diff(np.append(at, len(order))) if n is None or not len(at) else np.add.reduceat(n[order], at)
+    return [c[at] for c in columns], counts, hashes[at]
 
 
-def _propose(propose: Callable[[Words], list[list[np.ndarray]]], names: list[str]):
-    """Rows of keys that a function finds in slices, with how often each occurs in some slices of a task."""
+def _packed(columns: list[np.ndarray], counts: np.ndarray, hashes: np.ndarray, names: list[str], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of up to ``ROW_KEYS`` keys of one part, with their counts; the part is the first bits of the hash."""
+    size, shift = len(hashes), np.uint64(64 - bits)
+    edges = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << shift)
+    cuts = np.unique(np.concatenate((edges, np.arange(0, size, ROW_KEYS), [size])))
+    parts = (hashes[cuts[:-1]] >> shift).astype(np.int32)
+    arrays = [pa.array(parts)]
+    for c in (*(c.astype(np.int64) for c in columns), counts.astype(np.int32)):
+        ends = (cuts * c.itemsize).astype(np.int32)
+        arrays.append(pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends), pa.py_buffer(c)]))
+    rows = pa.RecordBatch.from_arrays(arrays, ["part", *names, "n"])
+    step = max(1, BATCH_BYTES // (ROW_KEYS * (8 * len(columns) + 4)))
+    for i in range(0, len(parts), step):
+        yield rows.slice(i, step)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            columns, counts = _counted([np.concatenate(c) for c in zip(*held)])
-            return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.array(counts)], [*names, "n"])
 
+def _propose(propose: Callable[[Words], list[list[np.ndarray]]], names: list[str], bits: int):
+    """Packed rows of keys that a function finds in slices, with how often each occurs in some slices of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for part in word_slices(batches):
             held += propose(part)
             if sum(len(h[0]) for h in held) >= KEYS_AT_ONCE:
-                yield out()
+                yield from _packed(*_counted([np.concatenate(c) for c in zip(*held)]), names, bits)
                 held = []
+        if any(len(h[0]) for h in held):
+            yield from _packed(*_counted([np.concatenate(c) for c in zip(*held)]), names, bits)
+
+    return run
+
+
+def _frequent(names: list[str], least: int):
+    """Keys that occur ``least`` times in all tasks, and how often, from packed rows in order of the part.
+
+    One part is held at a time; its keys are added up whenever they are twice as many as after the last time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size, most = None, [], 0, KEYS_AT_ONCE
+
+        def added() -> list[np.ndarray]:
+            *columns, n = [np.concatenate(c) for c in zip(*held)]
+            columns, n, _ = _counted(columns, n)
+            return [*columns, n]
+
+        def out() -> pa.RecordBatch:
+            *columns, n = added()
+            enough = n >= least
+            return pa.RecordBatch.from_arrays([pa.array(c[enough].astype(np.int64)) for c in (*columns, n)], [*names, "n"])
+
+        for batch in batches:
+            for i, p in enumerate(batch.column(0).to_pylist()):
+                if p != part:
+                    if held:
+                        yield out()
+                    part, held, size, most = p, [], 0, KEYS_AT_ONCE
+                own = [np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in range(1, 1 + len(names))]
+                held.append([*own, np.frombuffer(batch.column(1 + len(names))[i].as_buffer(), np.int32).astype(np.int64)])
+                size += len(own[0])
+                if size >= most:
+                    held = [added()]
+                    size = len(held[0][0])
+                    most = max(KEYS_AT_ONCE, 2 * size)
         if held:
             yield out()
 
@@ -294,13 +358,15 @@ def _count_buckets(filters: list, longest: int):
 
 
 def _longer(filters: list, longest: int, buckets) -> Callable[[Words], list[list[np.ndarray]]]:
-    """Phrases that are longer than what the filters know, all parts of which pass, in buckets that are full enough."""
+    """Phrases that are longer than what the filters know, all parts of which pass, in full buckets where those were counted."""
 
     def propose(part: Words) -> list[list[np.ndarray]]:
         out = []
         for k, columns in _phrases(filters, part, longest):
-            full = buckets.value(_bucket_keys(k, columns))
-            out.append([c[full] for c in columns])
+            if buckets is not None:
+                full = buckets.value(_bucket_keys(k, columns))
+                columns = [c[full] for c in columns]
+            out.append(columns)
         return out
 
     return propose
@@ -323,21 +389,35 @@ def candidates(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, Da
     )
     known = words.filter("word is not null")
     frequent = send(filter_of(known.select(F.col("symbol").alias("key")), known.count()))
-    enough = lambda df, keys: df.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select(*keys)
-    pairs = written(enough(docs.mapInArrow(_propose(_pairs(frequent), ["key"]), "key bigint, n bigint"), ["key"]), "pairs")
-    kept, nothing = ["a", "b", "c"], spark.createDataFrame([], "a bigint, b bigint, c bigint")
-
-    def longer(filters: list, most: int) -> DataFrame:
-        full = _summed(docs.mapInArrow(_count_buckets(filters, most), VECTOR)).filter(F.col("a") >= least)
-        buckets = send(_bitmap(full.select((F.col("number") + 1).alias("place")), BUCKET_BITS))
-        proposed = docs.mapInArrow(_propose(_longer(filters, most, buckets), kept), "a bigint, b bigint, c bigint, n bigint")
-        return written(enough(proposed, kept), "longer")
-
-    filters = [frequent, send(filter_of(pairs, pairs.count()))]
-    threes = longer(filters, 3) if longest > 2 else nothing
+    total = words.filter("word is null").agg(F.sum("n")).first()[0] or 0
+    bits = max(4, int(total // PART_WORDS).bit_length())
+
+    def enough(propose: Callable[[Words], list[list[np.ndarray]]], names: list[str], table: str) -> tuple[DataFrame, int, int]:
+        """The frequent ones of the keys that a function finds, their number, and how often they occur."""
+        packed = docs.mapInArrow(_propose(propose, names, bits), ", ".join(["part int", *(f"{c} binary" for c in names), "n binary"]))
+        found = packed.repartition("part").sortWithinPartitions("part").mapInArrow(
+            _frequent(names, least), ", ".join(f"{c} bigint" for c in (*names, "n"))
+        )
+        found = written(found, table)
+        n, occur = found.agg(F.count(F.lit(1)), F.sum("n")).first()
+        return found.drop("n"), n, occur or 0
+
+    def longer(filters: list, most: int, occur: int) -> tuple[DataFrame, int, int]:
+        """Frequent longer phrases; ``occur`` is how often the longest parts that the filters know occur."""
+        buckets = None
+        if 2 * occur <= least << BUCKET_BITS:  # else most buckets would be full
+            full = _summed(docs.mapInArrow(_count_buckets(filters, most), VECTOR)).filter(F.col("a") >= least)
+            buckets = send(_bitmap(full.select((F.col("number") + 1).alias("place")), BUCKET_BITS))
+        return enough(_longer(filters, most, buckets), ["a", "b", "c"], "longer")
+
+    pairs, n, occur = enough(_pairs(frequent), ["key"], "pairs")
+    filters = [frequent, send(filter_of(pairs, n))]
+    runs = spark.createDataFrame([], "a bigint, b bigint, c bigint")
+    if longest > 2:
+        runs, n, occur = longer(filters, 3, occur)
     if longest > 3:
-        filters.append(send(filter_of(threes.select("a", "b"), threes.count())))
-    runs = threes.union(longer(filters, longest)) if longest > 3 else threes
+        filters.append(send(filter_of(runs.select("a", "b"), n)))
+        runs = runs.union(longer(filters, longest, occur)[0])
     symbols = [("a", True), ("a", False), ("b", True), ("b", False), ("c", True)]
     phrases = pairs.select(F.col("key").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(2).cast("bigint").alias("c")).union(runs)
     phrases = written(phrases.select(
@@ -356,25 +436,37 @@ def candidates(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, Da
 
 @dataclass
 class Tries:
-    """A trie of phrases and the numbers of their words, by language."""
+    """A trie of phrases and the words of each language in it, with their numbers."""
 
     trie: DoubleArray
-    numbers: dict[str, dict[str, int]]
+    words: dict[str, tuple[pa.Array, np.ndarray]]
     longest: int
 
     @classmethod
-    def of(cls, phrases: list[tuple[str, list[str]]]) -> Tries:
-        """Words that follow others most often get the smallest numbers, so that children lie close together."""
-        follows: dict[tuple[str, str], int] = {}
-        for lang, words in phrases:
-            for k, w in enumerate(words):
-                follows[lang, w] = follows.get((lang, w), 0) + (k > 0)
-        order = sorted(follows, key=lambda key: (-follows[key], key))
-        numbers: dict[str, dict[str, int]] = {}
-        for n, (lang, word) in enumerate(order):
-            numbers.setdefault(lang, {})[word] = n
-        trie = build([tuple(numbers[lang][w] for w in words) for lang, words in phrases])
-        return cls(trie, numbers, max((len(w) for _, w in phrases), default=0))
+    def of(cls, phrases: pa.Table) -> Tries:
+        """The trie of (lang, words) rows; a phrase is accepted by the number of its row.
+
+        Words that follow others most often get the smallest numbers, so that children lie close together.
+        """
+        rows = phrases.select(["lang", "words"]).combine_chunks()
+        lists = rows.column("words").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.string()))
+        lengths = np.asarray(lists.value_lengths(), np.int64)
+        langs = pa.array(rows.column("lang").to_pylist(), pa.string()).dictionary_encode()
+        spelt = lists.flatten().cast(pa.large_string()).dictionary_encode()
+        many = max(1, len(spelt.dictionary))
+        keys = np.repeat(np.asarray(langs.indices, np.int64), lengths) * many + np.asarray(spelt.indices, np.int64)
+        known, place = np.unique(keys, return_inverse=True)
+        follow = np.ones(len(keys), np.int64)
+        follow[np.cumsum(lengths) - lengths] = 0
+        order = np.argsort(-np.bincount(place, follow, len(known)), kind="stable")
+        number = np.empty(len(known), np.int64)
+        number[order] = np.arange(len(known))
+        lang, word = np.divmod(known, many)
+        words = {
+            name: (spelt.dictionary.take(pa.array(word[lang == code])), number[lang == code])
+            for code, name in enumerate(langs.dictionary.to_pylist())
+        }
+        return cls(build_flat(number[place], lengths), words, int(lengths.max(initial=0)))
 
     def symbols(self, part: Words) -> np.ndarray:
         """The number of each word of a slice, -1 where it is in no phrase of its language."""
@@ -383,34 +475,40 @@ class Tries:
         out = np.full(int(found[-1]) + 1 if len(found) else 1, -1, np.int64)
         for code, name in enumerate(part.langs):
             own = lang == code
-            if (known := self.numbers.get(name)) and own.any():
-                words = part.words.take(pa.array(word[own])).to_pylist()
-                out[found[own]] = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+            if name in self.words and own.any():
+                known, numbers = self.words[name]
+                at = pc.index_in(part.words.take(pa.array(word[own])), value_set=known).fill_null(-1).to_numpy()
+                out[found[own]] = np.where(at >= 0, numbers[at], -1)
         return out[part.number]
 
 
 def _count_in(tries):
-    """How often each phrase occurs in the rows of a task, as pieces of a vector by the numbers of the phrases."""
+    """How often each phrase of some tries occurs in the rows of a task, as pieces of a vector.
+
+    The vector holds the phrases of one trie after those of another, each by their numbers, in as many places for each trie.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Tries = tries.value
-        met = np.zeros(len(own.trie.check), np.int64)
+        own, each = tries.value
+        met = [np.zeros(len(t.trie.check), np.int64) for t in own]
         for part in word_slices(batches):
-            met += count_phrases(own.trie, own.symbols(part), part.left, own.longest)
-        states = np.flatnonzero(own.trie.accepts >= 0)
-        counts = np.zeros(-(-max(1, len(states)) // PIECE) * PIECE, np.int64)
-        counts[own.trie.accepts[states]] = met[states]
-        yield _pieces(counts)
+            for t, counts in zip(own, met):
+                counts += count_phrases(t.trie, t.symbols(part), part.left, t.longest)
+        for n, (t, counts) in enumerate(zip(own, met)):
+            states = np.flatnonzero(t.trie.accepts >= 0)
+            vector = np.zeros(each, np.int64)
+            vector[t.trie.accepts[states]] = counts[states]
+            yield _pieces(vector, n * each // PIECE)
 
     return run
 
 
-def _pieces(counts: np.ndarray) -> pa.RecordBatch:
-    """A vector in pieces of ``PIECE`` numbers, without those that are all 0."""
+def _pieces(counts: np.ndarray, first: int = 0) -> pa.RecordBatch:
+    """A vector in pieces of ``PIECE`` numbers, numbered from ``first``, without those that are all 0."""
     pieces = counts.reshape(-1, PIECE)
     found = np.flatnonzero(pieces.any(axis=1))
     ends = pa.array(np.arange(len(found) + 1) * PIECE, pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(found), pa.ListArray.from_arrays(ends, pa.array(pieces[found].ravel()))], ["piece", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(found + first), pa.ListArray.from_arrays(ends, pa.array(pieces[found].ravel()))], ["piece", "counts"])
 
 
 def _summed(pieces: DataFrame) -> DataFrame:
@@ -438,7 +536,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_in_tries(docs: DataFrame, phrases: DataFrame, least: int, per_trie: int = TRIE_PHRASES) -> DataFrame:
-    """lang, words, a: exact counts of those phrases that reach ``least``, by one scan for each trie."""
+    """lang, words, a: exact counts of those phrases that reach ``least``, by one scan for every ``TRIES_AT_ONCE`` tries."""
     spark = docs.sparkSession
     tries = max(1, -(-phrases.count() // per_trie))
     shard = F.pmod(F.xxhash64("lang", "words"), F.lit(tries)).cast("int")
@@ -446,11 +544,18 @@ def count_in_tries(docs: DataFrame, phrases: DataFrame, least: int, per_trie: in
     number = F.row_number().over(Window.partitionBy("trie").orderBy("lang", "words")) - 1
     rows = written(rows.withColumn("number", number.cast("bigint")), "candidates")
     counts = None
-    for t in range(tries):
-        own = rows.filter(F.col("trie") == t).orderBy("number").select("lang", "words").collect()  # about per_trie rows
-        sent = spark.sparkContext.broadcast(Tries.of([(r.lang, r.words) for r in own]))
+    for first in range(0, tries, TRIES_AT_ONCE):
+        own = []
+        for t in range(first, min(first + TRIES_AT_ONCE, tries)):
+            held = rows.filter(F.col("trie") == t).orderBy("number").select("lang", "words").toArrow()  # about per_trie rows
+            own.append((Tries.of(held), held.num_rows))
+        each = -(-max(1, *(n for _, n in own)) // PIECE) * PIECE
+        sent = spark.sparkContext.broadcast(([t for t, _ in own], each))
         pieces = docs.mapInArrow(_count_in(sent), VECTOR)
-        found = written(_summed(pieces).filter(F.col("a") >= least).withColumn("trie", F.lit(t)), "counts")
+        found = _summed(pieces).filter(F.col("a") >= least).selectExpr(
+            f"cast({first} + number div {each} as int) AS trie", f"number % {each} AS number", "a"
+        )
+        found = written(found, "counts")
         sent.destroy()
         counts = found if counts is None else counts.union(found)
     return written(rows.join(counts, ["trie", "number"]).select("lang", "words", "a"), "phrases")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 
-#: Bases tried at once when the children of a node look for room, and rounds over random bases before a search.
-TRIES, ROUNDS, FEW = 64, 4, 6
+from sitelore.llm.common import ragged
+
+#: Bases tried at once when the children of a node look for room.
+TRIED = 8192
+#: Children up to which the nodes of a level try random bases together, in groups by these numbers, and rounds of that.
+FEW, ROUNDS = (32, 16, 8, 4, 2, 1, 0), 200
 
 
 @dataclass
@@ -31,63 +34,101 @@ class DoubleArray:
 
 
 def build(phrases: list[tuple[int, ...]]) -> DoubleArray:
-    """The trie of some phrases, each a tuple of symbols from 0 on; its size is a few places a phrase.
+    """The trie of some phrases, each a tuple of symbols from 0 on."""
+    lengths = np.array([len(p) for p in phrases], np.int64)
+    return build_flat(np.array([s for p in phrases for s in p], np.int64), lengths)
+
+
+def build_flat(symbols: np.ndarray, lengths: np.ndarray) -> DoubleArray:
+    """The trie of some phrases, given as all their symbols from 0 on, one phrase after another; its size is a few places a phrase.
 
     The nodes of a level with most children are placed first, each at the first base where all its
-    children find room.  Those with ``FEW`` children try random bases in a table that is at most half full.
+    children find room, in a part of the table of their own.  Those with few children try random bases in a part
+    that is at most half full, all at once: of those that find room, the ones that got all of their places stay.
     """
-    children: dict[tuple[int, ...], set[int]] = defaultdict(set)
-    for phrase in phrases:
-        for k in range(len(phrase)):
-            children[phrase[:k]].add(phrase[k])
-    total = sum(map(len, children.values()))
-    widest = max((max(c) for c in children.values()), default=0) + 1
-    size = 1 << (2 * total + widest + TRIES).bit_length()
-    base, check = np.zeros(size, np.int64), np.full(size, -2, np.int64)
+    starts, wide = np.cumsum(lengths) - lengths, int(symbols.max(initial=-1)) + 1
+    node = np.zeros(len(lengths), np.int64)
+    levels = []  # parents as numbers of the level above, symbols: the nodes of a level in order of both
+    node_of = []
+    for depth in range(int(lengths.max(initial=0))):
+        own = np.flatnonzero(lengths > depth)
+        keys, at = np.unique(node[own] * wide + symbols[starts[own] + depth], return_inverse=True)
+        node[own] = at
+        levels.append(np.divmod(keys, max(1, wide)))
+        node_of.append((own, at))
+    total = sum(len(p) for p, _ in levels)
+    counts = [np.bincount(p) for p, _ in levels]
+    dense = wide + 2 * sum(int(n[n > FEW[0]].sum()) for n in counts)
+    size = dense + 2 * total + wide + 64
+    base, check = np.zeros(size, np.int32), np.full(size, -2, np.int32)
     check[0] = -1
+    ends = []
     rng = np.random.default_rng(1)
 
-    def room(tried: np.ndarray, own: np.ndarray) -> int:
-        free = (check[tried[:, None] + own[None, :]] == -2).all(axis=1)
-        return int(tried[np.argmax(free)]) if free.any() else -1
-
-    def place(own: np.ndarray) -> int:
-        if len(own) <= FEW:
-            for _ in range(ROUNDS):
-                if (found := room(rng.integers(0, size - widest, TRIES), own)) >= 0:
-                    return found
-        first = 0
-        while True:
-            tried = np.arange(first, min(first + 16 * TRIES, size - widest))
-            if not len(tried):
-                return -1
-            # bases are thinned out by the first children before all are looked at
-            for some in (own[:1], own[:8]):
+    def search(own: np.ndarray, low: int) -> int:
+        """The first base from ``low`` on with room for some children, -1 if there is none."""
+        for first in range(low, size - wide, TRIED):
+            tried = np.arange(first, min(first + TRIED, size - wide))
+            # bases are thinned out by the first children before all are looked at, some bases at a time
+            for some in (own[:1], own[1:4], own[4:16], own[16:64]):
                 tried = tried[(check[tried[:, None] + some[None, :]] == -2).all(axis=1)]
-            if len(tried) and (found := room(tried, own)) >= 0:
-                return found
-            first += 16 * TRIES
-
-    places: dict[tuple[int, ...], int] = {(): 0}
-    level = [()]
-    while level:
-        following = []
-        for node in sorted((n for n in level if n in children), key=lambda n: (-len(children[n]), n)):
-            own = np.array(sorted(children[node]), np.int64)
-            while (found := place(own)) < 0:
-                base = np.concatenate((base, np.zeros(size, np.int64)))
-                check = np.concatenate((check, np.full(size, -2, np.int64)))
-                size *= 2
-            base[places[node]] = found
-            check[found + own] = places[node]
-            for symbol in own.tolist():
-                places[(*node, symbol)] = found + symbol
-                following.append((*node, symbol))
-        level = following
-    accepts = np.full(size, -1, np.int64)
-    for number, phrase in enumerate(phrases):
-        accepts[places[phrase]] = number
-    return DoubleArray(base, check, accepts)
+            step = max(1, (1 << 18) // len(own))
+            for i in range(0, len(tried), step):
+                free = (check[tried[i : i + step, None] + own[None, :]] == -2).all(axis=1)
+                if free.any():
+                    return int(tried[i + np.argmax(free)])
+        return -1
+
+    states, low = np.zeros(1, np.int64), 0
+    for depth, (parent, symbol) in enumerate(levels):
+        first = np.flatnonzero(np.append(True, parent[1:] != parent[:-1]))
+        many = np.diff(np.append(first, len(parent)))
+        owners = states[parent[first]]
+        left = np.argsort(-many, kind="stable")
+        alone = int((many > FEW[0]).sum())
+        queue = left[:alone].tolist()
+        for least in FEW[1:]:
+            some = left[alone:][many[left[alone:]] > least]
+            alone += len(some)
+            for _ in range(ROUNDS):
+                if not len(some):
+                    break
+                bases = rng.integers(dense, size - wide, len(some))
+                n = many[some]
+                at = np.repeat(bases, n) + symbol[ragged(first[some], n)]
+                edges = np.cumsum(n) - n
+                room = np.logical_and.reduceat(check[at] == -2, edges)
+                who = np.repeat(np.arange(len(some)), n)
+                own = np.repeat(room, n)
+                at, who = at[own], who[own]
+                check[at] = -3 - who  # of several nodes that want a place, one is written last
+                lost = np.unique(who[check[at] != -3 - who])
+                room[lost] = False
+                won = room[who]
+                check[at[~won]] = -2
+                check[at[won]] = owners[some][who[won]]
+                base[owners[some[room]]] = bases[room]
+                some = some[~room]
+            queue += some.tolist()
+        for k in queue:
+            own = symbol[first[k] : first[k] + many[k]]
+            while (found := search(own, low)) < 0:
+                more = wide + size // 4
+                base = np.concatenate((base, np.zeros(more, np.int32)))
+                check = np.concatenate((check, np.full(more, -2, np.int32)))
+                size += more
+            base[owners[k]] = found
+            check[found + own] = owners[k]
+            low = max(low, found - 4 * TRIED)  # what lies before is nearly full
+        states = base[states[parent]] + symbol
+        own, at = node_of[depth]
+        last = lengths[own] == depth + 1
+        ends.append((states[at[last]], own[last]))
+    size = int(np.flatnonzero(check != -2)[-1]) + 1
+    accepts = np.full(size, -1, np.int32)
+    for at, number in ends:
+        accepts[at] = number
+    return DoubleArray(base[:size].copy(), check[:size].copy(), accepts)
 
 
 def count_phrases(trie: DoubleArray, symbols: np.ndarray, left: np.ndarray, longest: int) -> np.ndarray:
@@ -95,7 +136,7 @@ def count_phrases(trie: DoubleArray, symbols: np.ndarray, left: np.ndarray, long
 
     All positions start at the root and take one symbol a level; those without a next state drop out.
     """
-    met = np.zeros(len(trie.check), np.int64)
+    ends = []
     at, states = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
     for depth in range(longest):
         alive = left[at] > depth
@@ -105,7 +146,5 @@ def count_phrases(trie: DoubleArray, symbols: np.ndarray, left: np.ndarray, long
         at, states = at[alive], states[alive]
         if not len(at):
             break
-        ends = states[trie.accepts[states] >= 0]
-        if len(ends):
-            met += np.bincount(ends, minlength=len(met))
-    return met
+        ends.append(states[trie.accepts[states] >= 0])
+    return np.bincount(np.concatenate(ends) if ends else np.zeros(0, np.int64), minlength=len(trie.check))

@@ -161,6 +161,49 @@ def test_four_and_five_words_are_proposed_by_buckets(monkeypatch):
     assert [len(h[0]) for h in P._longer([Passes] * 3, 5, Full)(part)] == [10, 5]
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_keys_of_many_tasks_are_added_up_in_parts(monkeypatch, collide):
+    if collide:  # all keys have the same few hashes
+        monkeypatch.setattr(P, "mix", lambda x: (x & np.uint64(1)) << np.uint64(63))
+    monkeypatch.setattr(P, "ROW_KEYS", 7)
+    monkeypatch.setattr(P, "BATCH_BYTES", 100)
+    monkeypatch.setattr(P, "KEYS_AT_ONCE", 40)
+    rng, names, want, rows = np.random.default_rng(5), ["a", "b", "c"], Counter(), []
+    for task in range(6):
+        keys = [np.concatenate((rng.integers(0, 4, 90 * (task > 0), np.uint64), np.full(task, 2**64 - 1, np.uint64))) for _ in names]
+        want.update(zip(*(k.tolist() for k in keys)))
+        if len(keys[0]):
+            for batch in P._packed(*P._counted(keys), names, 4):
+                assert max(len(x) for x in batch.column("n").to_pylist()) <= 7 * 4
+                rows += batch.to_pylist()
+    rows.sort(key=lambda r: r["part"])
+    assert collide or len({r["part"] for r in rows}) > 8
+    schema = pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in [*names, "n"])])
+    batches = pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=5)
+    got = [tuple(r.values()) for b in P._frequent(names, 8)(iter(batches)) for r in b.to_pylist()]
+    assert len(got) == len(set(got))
+    assert {(*(x % 2**64 for x in r[:3]), r[3]) for r in got} == {(*k, n) for k, n in want.items() if n >= 8}
+    assert list(P._frequent(names, 8)(iter([]))) == []
+
+
+def test_longer_phrases_without_buckets(docs, monkeypatch):
+    rows = rows_of_words(6, 150, "the end of. a to, é".split(" "))
+    monkeypatch.setattr(P, "BUCKET_BITS", 0)
+    monkeypatch.setattr(P, "_count_buckets", None)
+    assert {tuple(r) for r in P.mine_phrases(docs(rows), 4).collect()} == mine(rows, 4, 2000)
+
+
+def test_several_tries_share_a_scan(docs, monkeypatch):
+    scans, count_in = [], P._count_in
+    monkeypatch.setattr(P, "_count_in", lambda tries: scans.append(1) or count_in(tries))
+    texts = docs([(1, "a b c d e f g h i j k l. " * 3, "en"), (2, "a b c. d e", "fr"), (3, None, "en")]).selectExpr("lang", "coalesce(text, '') text")
+    pairs = [("en", w) for w in zip("abcdefghijk", "bcdefghijkl")] + [("fr", ("a", "b")), ("fr", ("d", "c"))]
+    phrases = texts.sparkSession.createDataFrame([(lang, list(w)) for lang, w in pairs], "lang string, words array<string>")
+    got = {(r.lang, tuple(r.words)): r.a for r in P.count_in_tries(texts, phrases, 1, per_trie=3).collect()}
+    assert got == {p: 3 for p in pairs[:11]} | {pairs[11]: 1}
+    assert len(scans) == 2  # five tries
+
+
 def test_nothing_frequent_and_no_rows(docs):
     assert P.mine_phrases(docs([])).count() == 0
     assert P.mine_phrases(docs(ODD[:2] + ODD[4:])).count() == 0
@@ -196,5 +239,20 @@ def test_double_array():
     assert double_array.build([]).step(np.zeros(2, np.int64), np.array([0, -1])).tolist() == [-1, -1]
 
 
+def test_double_array_with_large_nodes():
+    rng = np.random.default_rng(2)
+    heads = [(i, int(j)) for i in range(60) for j in rng.choice(400, 400 - 6 * i, replace=False)]
+    phrases = heads + [(i, j, k) for i, j in heads[::50] for k in range(0, 400, 9)]
+    lengths = np.array([len(p) for p in phrases])
+    trie = double_array.build_flat(np.array([s for p in phrases for s in p]), lengths)
+    assert len(trie.check) < 8 * len(phrases) and trie.check[-1] >= 0
+    states = np.zeros(len(phrases), np.int64)
+    for depth in range(3):
+        own = np.flatnonzero(lengths > depth)
+        states[own] = trie.step(states[own], np.array([phrases[i][depth] for i in own]))
+    assert trie.accepts[states].tolist() == list(range(len(phrases)))
+    assert (trie.check >= 0).sum() == 60 + len(phrases)
+
+
 def test_queries_are_registered():
     assert {"op11_chat_format", "op12_source_divergence", "op13_collocations"} <= set(QUERIES)
