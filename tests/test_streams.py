@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sitelore.functions import urls as U
@@ -115,3 +116,39 @@ def test_tables_may_be_folders_of_files(spark, tmp_path):
     events.repartition(3).write.parquet(f"{tmp_path}/0/events.parquet")
     want = catalog.job_progress_stream(spark, SF).collect()
     assert want and sorted(catalog.job_progress_stream(spark, f"{tmp_path}/0").collect()) == sorted(want)
+
+
+class State:
+    """What ``_fold`` asks of a group's state."""
+
+    hasTimedOut, exists, get = False, False, None
+
+    def update(self, values):
+        self.exists, self.get = True, values
+
+    def setTimeoutTimestamp(self, at):
+        self.until = at
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def test_the_last_event_of_a_job_is_found_without_sorting_its_rows(monkeypatch):
+    monkeypatch.delattr(pd.DataFrame, "sort_values")
+    names = ["job_id", "ts_us", "event_id", "status", "progress", "total", "done"]
+    frames = [
+        pd.DataFrame([(7, 9000, 1, "a", "p", 4, 3), (7, 9000, 2, "b", None, None, None), (7, 9000, 2, "c", None, None, 1), (7, 8000, 5, "d", "q", 4, 2)], columns=names),
+        pd.DataFrame([(7, 7000, 8, "e", "r", 4, None)], columns=names),  # older, in a later frame
+        pd.DataFrame([(7, 9000, 3, None, "s", 6, None), (7, 9000, 0, "f", "t", 4, None)], columns=names),
+    ]
+    run, state = job_progress._fold(10), State()
+    # equal rows: the later one; nulls of the last event are kept as such, those of counters are passed over
+    got = [*run((7,), iter(frames[:1]), state)][0]
+    assert [*got.columns] == [*job_progress.COLUMNS] and got.iloc[0].tolist() == [7, 9000, 2, "c", None, None, 3, 5, False]
+    got = [*run((7,), iter(frames[1:]), state)][0].iloc[0].tolist()
+    assert got == [7, 9000, 3, None, "s", 6, 3, 8, False] and state.until == 9 + 10_000
+    none = pd.DataFrame([(1, 9000, 1, None, None, None, None)], columns=names)
+    state = State()
+    assert [*run((None,), iter([none]), state)][0].iloc[0].tolist() == [None, 9000, 1, None, None, None, None, 1, False]
+    state.hasTimedOut, state.remove = True, lambda: None
+    assert [*run((None,), iter([none]), state)][0].iloc[0].tolist() == [None, 9000, 1, None, None, None, None, 1, True]
