@@ -84,7 +84,7 @@ def build(
     else:
         raise ValueError(f"unknown mode {mode!r}")
     selected = reused(picked)
-    chunks = reused(content.selected_chunks(good, selected, max_chars))
+    chunks = content.selected_chunks(good, selected, max_chars)
     contacts = reused(content.site_contacts(chunks))
     languages = content.site_language(chunks)
     bodies = sections.section_docs(sections.section_merge(chunks), contacts)

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -14,6 +15,7 @@ from sitelore.functions.scale import first_many_per_group, project_wanted, salte
 from sitelore.operators import (
     answers, clusters, company, content, costs, discovery, document, elements, links, parts, prefilter, runs, sections,
 )
+from sitelore.plans import knowledge_base
 from sitelore.sources import sinks, tables
 
 md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
@@ -638,3 +640,32 @@ def test_totals_by_rollup(spark):
         want[site, None, 1] = sum(n for (s, _), n in by.items() if s == site)
     want[None, None, 3] = sum(by.values())
     assert got == want
+
+
+def odd_pages(spark):
+    """Pages with text, of blanks only, without HTML, and one that stands twice, and one without an address."""
+    text = lambda n: f"<html><head><title>T{n}</title></head><body><p>Text number {n} of the site, long enough to be kept.</p></body></html>"
+    rows = [
+        (1, "s.example", "https://s.example/", text(1)), (2, "s.example", "https://s.example/about", text(2)),
+        (2, "s.example", "https://s.example/about", text(2)), (3, "s.example", "https://s.example/faq", "<body> <p>  </p></body>"),
+        (4, "s.example", "https://s.example/help", None), (5, "s.example", None, text(5)), (6, "t.example", "https://t.example/x", ""),
+    ]
+    return spark.createDataFrame(rows, "page_id bigint, site string, url string, html string")
+
+
+def test_only_selected_pages_are_read_for_text(spark, tmp_path):
+    odd_pages(spark).write.parquet(f"{tmp_path}/pages")
+    kb = knowledge_base.build(spark.read.parquet(f"{tmp_path}/pages"))
+    plan = kb.chunks._jdf.queryExecution().withCachedData().toString()
+    lines = [line for line in plan.splitlines() if "html" in line]
+    # a text is taken above the join: no filter takes it of every page
+    assert lines and not [line for line in lines if re.match(r"[\s:+*()\d-]*Filter\b", line) and "regexp" in line]
+    got = sorted((r.page_id, r.url, r.title, r.chunk, r.section, r.tokens) for r in kb.chunks.collect())
+    line = lambda n: f"Text number {n} of the site, long enough to be kept."
+    assert got == [
+        (1, "https://s.example/", "T1", line(1), "additional", 12),
+        *[(2, "https://s.example/about", "T2", line(2), "company_overview", 12)] * 2,
+        (5, None, "T5", line(5), "additional", 12),
+    ]
+    empty = kb.documents.filter("site = 't.example'").first()
+    assert empty.sections_present == "" and empty.document.startswith(V.NO_CONTENT)
