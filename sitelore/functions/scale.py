toc: compute the list of selected pages before the pages are joined with it, so that no HTML is shuffled

Symptom: All HTML went through a shuffle beside a list of at most 25 pages a site: 41 MB written at 0.03 GB, 155 MB at 0.14 GB, 264 CPU seconds a GB; the tool's powers of the input were 0.70 for CPU seconds and 0.82 for shuffle, so a growth above 1 was not seen.
Evidence: The list was lazy and its size unknown, so the join dealt out both sides at once (140.8 of 154.7 MB in a local run over the large input); plans over kept tables also show each one's history wherever it is read, up to 42 MB of text for one plan in a local run of knowledge_base_discovered.
Fix: The list is kept, counted and checkpointed, so its size is known and its plan short; Spark broadcasts it where its measured bytes allow, and beyond its threshold joins as before.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 379 -> 310 s, shuffle 0.30 -> 0.02 GB, spill 0.00 -> 0.00 GB, read 0.31 -> 0.36 GB, longest task 11 -> 4 s, most memory of a task 101 -> 101 MB; at 6 GB of input CPU 692 -> 356 s, shuffle 1.74 -> 0.05 GB, spill 0.00 -> 0.00 GB, read 1.83 -> 2.23 GB, longest task 29 -> 4 s, most memory of a task 101 -> 101 MB; with hot keys, at 1 GB of input CPU 324 -> 281 s, shuffle 0.07 -> 0.01 GB, spill 0.00 -> 0.00 GB, read 0.08 -> 0.10 GB, longest task 6 -> 3 s, most memory of a task 101 -> 101 MB.

@@ -96,3 +96,17 @@ def project_wanted(pages: DataFrame, wanted: DataFrame, key: str, project) -> Da
 def reused(df: DataFrame) -> DataFrame:
     """Keep a result that several branches read; lost blocks are recomputed from lineage."""
     return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """A narrow result computed now, of known size and with a short plan, for plans that are made after this.
+
+    Beside a table of unknown size a join deals out both of its sides before it can see that one is small; the
+    size of the kept rows goes along with their checkpoint.  A plan over kept tables shows the plan of each
+    one wherever it is read, so plans that read this one several times would grow by its whole history each time.
+    """
+    kept = reused(df)
+    kept.count()
+    out = checkpointed(kept.select("*"))
+    kept.unpersist()
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sitelore.functions import urls as U, vocab as V
 from sitelore.functions.ranges import in_ranges, running
-from sitelore.functions.scale import reused, salted_join
+from sitelore.functions.scale import measured, reused, salted_join
 from sitelore.operators import clusters, content, discovery, document, links, parts, prefilter, sections
 from sitelore.sources.tables import fetched
 
@@ -83,7 +83,7 @@ def build(
         )
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    selected = reused(picked)
+    selected = measured(picked)  # by its size Spark tells whether HTML can stay where it is
     chunks = content.selected_chunks(good, selected, max_chars)
     contacts = reused(content.site_contacts(chunks))
     languages = content.site_language(chunks)

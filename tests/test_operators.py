@@ -658,8 +658,9 @@ def test_only_selected_pages_are_read_for_text(spark, tmp_path):
     kb = knowledge_base.build(spark.read.parquet(f"{tmp_path}/pages"))
     plan = kb.chunks._jdf.queryExecution().withCachedData().toString()
     lines = [line for line in plan.splitlines() if "html" in line]
-    # a text is taken above the join: no filter takes it of every page
+    # a text is taken above the join: no filter takes it of every page, and no page is dealt out
     assert lines and not [line for line in lines if re.match(r"[\s:+*()\d-]*Filter\b", line) and "regexp" in line]
+    assert "BroadcastHashJoin" in plan and not re.search(r"Exchange hashpartitioning\(page_id", plan)
     got = sorted((r.page_id, r.url, r.title, r.chunk, r.section, r.tokens) for r in kb.chunks.collect())
     line = lambda n: f"Text number {n} of the site, long enough to be kept."
     assert got == [
