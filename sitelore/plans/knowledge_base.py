knowledge_base_discovered: keep the start pages of the sites within a run

Symptom: Four scans of all 64,102 page addresses in the last execution of a local run over the large input, 1.6 to 2.5 CPU seconds each, gave the same 60 start pages.
Evidence: The start pages were a lazy aggregate read by the selection, the documents and the summary, and planned anew by each.
Fix: They are kept, one row per site.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 708 -> 712 s, shuffle 0.51 -> 0.25 GB, spill 0.00 -> 0.00 GB, read 0.40 -> 0.57 GB, longest task 10 -> 3 s, most memory of a task 105 -> 105 MB; at 6 GB of input CPU 1489 -> 957 s, shuffle 2.89 -> 1.21 GB, spill 0.00 -> 0.00 GB, read 2.28 -> 2.61 GB, longest task 25 -> 3 s, most memory of a task 204 -> 204 MB; with hot keys, at 1 GB of input CPU 576 -> 530 s, shuffle 0.13 -> 0.07 GB, spill 0.00 -> 0.00 GB, read 0.14 -> 0.15 GB, longest task 4 -> 3 s, most memory of a task 111 -> 111 MB.

@@ -60,7 +60,7 @@ def build(
     the selected pages.  The chunks feed contacts, language and sections and are kept for them.
     """
     good = fetched(pages)
-    bases = links.homepages(good)
+    bases = reused(links.homepages(good))  # one row per site, read by the selection, the documents and the summary
     candidates = good.select("site", F.col("page_id").alias("pos"), "url")
     addresses = good.groupBy("site", F.expr(U.normalize("url")).alias("url")).agg(F.min("page_id").alias("page_id"))
     if discovered is not None:

@@ -656,6 +656,7 @@ def odd_pages(spark):
 def test_only_selected_pages_are_read_for_text(spark, tmp_path):
     odd_pages(spark).write.parquet(f"{tmp_path}/pages")
     kb = knowledge_base.build(spark.read.parquet(f"{tmp_path}/pages"))
+    assert kb.bases.is_cached  # the start pages are not looked for again by each reader
     plan = kb.chunks._jdf.queryExecution().withCachedData().toString()
     lines = [line for line in plan.splitlines() if "html" in line]
     # a text is taken above the join: no filter takes it of every page, and no page is dealt out
